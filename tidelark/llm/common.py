@@ -6,6 +6,7 @@ import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,7 +54,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 def slices(batch: pa.RecordBatch, text_at: int, most_bytes: int) -> Iterator[pa.RecordBatch]:
     """Parts of a batch of at most most_bytes of text, or of one row."""
-    lengths = pa.compute.binary_length(batch.column(text_at)).to_pylist()
+    lengths = pc.binary_length(batch.column(text_at)).to_pylist()
     begin = total = 0
     for i, n in enumerate(lengths):
         n = n or 0

@@ -1,8 +1,14 @@
 """The queries of this subpackage, and the SQL of those that SQL can express on whole tables."""
 
+from .bpe import op9_bpe
 from .decontaminate import OP10_SQL, op10_decontaminate
+from .simhash import op2_simhash
+from .token_counts import op6_token_counts
 
 QUERIES = {
+    "op2_simhash": op2_simhash,
+    "op6_token_counts": op6_token_counts,
+    "op9_bpe": op9_bpe,
     "op10_decontaminate": op10_decontaminate,
 }
 
