@@ -7,14 +7,16 @@ scored by two matrix products a batch: presence times landmarks, kernel times we
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_remainder, held_out, map_texts, table
+from .common import crc_remainder, held_out, map_texts, slices, table
 
 #: Texts of each language to learn from at most, those with the least hashes of their ids, and landmarks among them.
 PER_LANGUAGE = 400
@@ -25,6 +27,8 @@ LANGUAGES = 64
 BUCKETS = 1 << 16
 RIDGE = 1e-2
 BATCH = 128
+#: How sure the best language must be for a text to be kept.
+LEAST_SURE = 0.3
 LETTER = regex.compile(r"\p{L}")
 NOT_LETTERS = regex.compile(r"[^\p{L}]+")
 FACTORS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
@@ -138,6 +142,30 @@ def predict_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc_
     return out.withColumnRenamed("_id", id_col)
 
 
+def keep_identified(docs: DataFrame, model: LanguageModel, text_col: str = "text", least: float = LEAST_SURE) -> DataFrame:
+    """docs without the rows whose language can't be told: NULL, no letter, or no language that stands out.
+
+    The rows that stay have all their columns, repeats included. A model that has learned no language rejects only
+    texts that are NULL or have no letter.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for batch in batches:
+            for part in slices(batch, at, 4 << 20):
+                texts = part.column(at).to_pylist()
+                if m.names:
+                    names, sure = m.predict(texts)
+                    keep = [n != "und" and s >= least for n, s in zip(names, sure, strict=True)]
+                else:
+                    keep = [bool(t and LETTER.search(t)) for t in texts]
+                yield part.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def learned(id_col: str = "doc_id") -> Column:
     return crc_remainder(F.col(id_col), 3) != 1
 
