@@ -84,12 +84,20 @@ def hull_white_convexity(a: Column, sigma: Column, t1: Column, t2: Column) -> Co
     return sigma * sigma / 2 * b(t1, t2) * (b(F.lit(0.0), t2) * F.exp(-a * t2) + (1 - F.exp(-2 * a * t1)) / (2 * a))
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value evaluated once: expressions inside folds are not shared otherwise."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def log_df(ts: Column, ls: Column, t: Column) -> Column:
     """The logarithm of the discount factor at t: linear between the pillars (ts ascending, ls), carried on beyond them."""
     n = F.size(ts)
-    k = F.greatest(F.lit(1), F.least(n - 1, F.size(F.filter(ts, lambda x: x < t))))
-    x0, x1, y0, y1 = F.element_at(ts, k), F.element_at(ts, k + 1), F.element_at(ls, k), F.element_at(ls, k + 1)
-    return F.when(n == 1, F.element_at(ls, 1)).otherwise(y0 + (y1 - y0) * (t - x0) / (x1 - x0))
+
+    def line(k: Column) -> Column:
+        x0, x1, y0, y1 = F.get(ts, k - 1), F.get(ts, k), F.get(ls, k - 1), F.get(ls, k)
+        return y0 + (y1 - y0) * (t - x0) / (x1 - x0)
+
+    return F.when(n == 1, F.get(ls, F.lit(0))).otherwise(let(F.greatest(F.lit(1), F.least(n - 1, F.size(F.filter(ts, lambda x: x < t)))), line))
 
 
 def zero_rate(df: Column, t: Column) -> Column:
