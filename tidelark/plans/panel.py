@@ -247,3 +247,22 @@ def extents(spark, d):
 def last_bars(spark, d):
     w = p.Window.partitionBy("symbol").orderBy(F.desc("dt"))
     return bars(spark, d).withColumn("n", F.row_number().over(w)).where("n <= 3").drop("n")
+
+
+def gmv_workflow(spark, d):
+    """From prices to contracts of least variance at the first rolling date, valued over the 63 rows after the first 126."""
+    rets = p.log_returns(prices(spark, d))
+    cov = p.rolling_covariance(rets)
+    first = cov.agg(F.min("date").alias("date"))
+    cov = cov.join(F.broadcast(first), "date", "left_semi")
+    w = p.min_variance_weights(cov)
+    last = prices(spark, d).join(F.broadcast(first), "date", "left_semi").select("symbol", F.col("price").alias("p0"))
+    pos = p.size_contracts(p.risk_contributions(cov, w).join(last, "symbol").withColumn("unit_value", F.col("p0") * 50.0), 1_000_000_000.0)
+    rows = rets.withColumn("n", F.row_number().over(p._by("symbol"))).where("n BETWEEN 127 AND 189").select("symbol", "date")
+    held = pos.select("symbol", "contracts", F.lit(50.0).alias("multiplier"), (F.col("contracts") * F.col("unit_value")).alias("initial_value"))
+    pnl = p.position_pnl(prices(spark, d).join(rows, ["symbol", "date"]), held, 1_000_000_000.0)
+    ends = pnl.groupBy("symbol").agg(F.sum("pnl").alias("pnl"), F.max_by("cum_pct", "date").alias("cum_pct"), F.count("*").alias("n"))
+    return rounded(pos.select("symbol", "weight", "contribution", "total", "contracts", "share").join(ends, "symbol"))
+
+
+Q["c14_gmv_workflow"] = gmv_workflow
