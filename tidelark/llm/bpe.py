@@ -26,7 +26,7 @@ from .common import map_texts, table
 #: Words in the lexicon at most; every other word is merged exactly.
 LEXICON = 30_000
 #: Words whose ids a task remembers at a time.
-MEMO = 150_000
+MEMO = 100_000
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 #: White space other than one space before a word or one line end.
@@ -267,8 +267,8 @@ class Encoder:
         known = self.lexicon.look_up([u.encode() for u in new]) if self.lexicon else [None] * len(new)
         unseen = [u for u, k in zip(new, known, strict=True) if k is None]
         memo.update((u, k) for u, k in zip(new, known, strict=True) if k is not None)
-        for i in range(0, len(unseen), 65536):
-            memo.update(zip(unseen[i : i + 65536], v.encode_words(unseen[i : i + 65536]), strict=True))
+        for i in range(0, len(unseen), 16384):
+            memo.update(zip(unseen[i : i + 16384], v.encode_words(unseen[i : i + 16384]), strict=True))
         special = {s: np.array([i], "<u4").tobytes() for s, i in v.special.items()}
         return [b"".join([special[y[0]] if i % 2 else b"".join(map(memo.__getitem__, y)) for i, y in enumerate(x)]) for x in units]
 
@@ -291,7 +291,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
         return work
 
-    out = map_texts(docs, [F.col(id_col).alias("_id"), F.col(text_col).alias("_text")], 1, factory, [("_id", kind), ("ids", "binary"), ("decoded", "string")])
+    out = map_texts(docs, [F.col(id_col).alias("_id"), F.col(text_col).alias("_text")], 1, factory, [("_id", kind), ("ids", "binary"), ("decoded", "string")], most_bytes=1 << 20)
     return out.withColumnRenamed("_id", id_col)
 
 

@@ -75,7 +75,7 @@ def slices(batch: pa.RecordBatch, text_at: int, most_bytes: int) -> Iterator[pa.
         yield batch.slice(begin)
 
 
-def map_texts(df: DataFrame, columns: list[Column], text_at: int, factory: Callable[[], Callable], schema: list[tuple[str, str]], most_bytes: int = 8 << 20) -> DataFrame:
+def map_texts(df: DataFrame, columns: list[Column], text_at: int, factory: Callable[[], Callable], schema: list[tuple[str, str]], most_bytes: int = 4 << 20) -> DataFrame:
     """Applies a Python function to lists of whole column values, a few MB of text at a time.
 
     factory runs once a task and returns the function, which takes one list a column and returns one list for each
@@ -89,6 +89,7 @@ def map_texts(df: DataFrame, columns: list[Column], text_at: int, factory: Calla
             for part in slices(batch, text_at, most_bytes):
                 out = work(*(c.to_pylist() for c in part.columns))
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, arrow, strict=True)], schema=arrow)
+        pa.default_memory_pool().release_unused()  # the worker goes on to other tasks
 
     return df.select(*columns).mapInArrow(run, ", ".join(f"`{name}` {kind}" for name, kind in schema))
 

@@ -154,7 +154,7 @@ def keep_identified(docs: DataFrame, model: LanguageModel, text_col: str = "text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            for part in slices(batch, at, 4 << 20):
+            for part in slices(batch, at, 2 << 20):
                 texts = part.column(at).to_pylist()
                 if m.names:
                     names, sure = m.predict(texts)

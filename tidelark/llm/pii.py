@@ -269,7 +269,7 @@ def mask_pii(docs: DataFrame, model: PiiModel | None = None, id_col: str = "doc_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            for part in slices(batch, at, 8 << 20):
+            for part in slices(batch, at, 2 << 20):
                 texts = [None if t is None else masked(t, m) for t in part.column(at).to_pylist()]
                 columns = list(part.columns)
                 if length_at is not None:
