@@ -232,16 +232,16 @@ def index_to_100(bars: DataFrame, start, end) -> DataFrame:
 
 
 def position_pnl(prices: DataFrame, positions: DataFrame, capital: float) -> DataFrame:
-    """(symbol, date, pnl, ret, cum_pct) of positions (symbol, contracts, multiplier, initial_value) held through prices.
+    """(symbol, date, pnl, ret, grown, cum_pct) of positions (symbol, contracts, multiplier, initial_value) held through prices.
 
-    The first row's profit is against the initial value; cum_pct compounds ret = pnl / capital, in percent, to 2 places.
+    The first row's profit is against the initial value; grown compounds 1 + ret = 1 + pnl / capital, cum_pct is its gain in percent, to 2 places.
     """
     p = prices.join(F.broadcast(positions), "symbol")
     value = F.col("price") * F.col("contracts") * F.col("multiplier")
     p = p.withColumn("_v", value).withColumn("pnl", F.col("_v") - F.coalesce(F.lag("_v").over(_by("symbol")), F.col("initial_value")))
     p = p.withColumn("ret", F.col("pnl") / capital)
-    grown = F.exp(F.sum(F.ln(1 + F.col("ret"))).over(_by("symbol").rowsBetween(Window.unboundedPreceding, 0)))
-    return p.select("symbol", "date", "pnl", "ret", F.bround(100 * (grown - 1), 2).alias("cum_pct"))
+    grown = F.product(1 + F.col("ret")).over(_by("symbol").rowsBetween(Window.unboundedPreceding, 0))  # a loss may be over the capital
+    return p.select("symbol", "date", "pnl", "ret", grown.alias("grown"), F.bround(100 * (grown - 1), 2).alias("cum_pct"))
 
 
 def extent(bars: DataFrame, start, end, pad: float = 0.05) -> DataFrame:
