@@ -105,6 +105,22 @@ def zero_rate(df: Column, t: Column) -> Column:
     return 100 * F.when(t <= 1, (1 / df - 1) / t).otherwise(F.pow(df, -1 / t) - 1)
 
 
+def forward_rate(df_begin: Column, df_end: Column, t: Column) -> Column:
+    """The simple rate, in percent, over the time t between two discount factors."""
+    return 100 * (df_begin / df_end - 1) / t
+
+
+def flat_daily_rate(df: Column, days: Column, base: float = 360.0) -> Column:
+    """The constant daily rate, in percent, that compounds to a discount factor."""
+    return 100 * base * (F.pow(1 / df, 1 / days) - 1)
+
+
+def instantaneous_forward(ts: Column, ls: Column, t: Column, eps: float = 1e-6) -> Column:
+    """The slope of the discount factors' logarithm at t, by a central difference that stays at or above 0."""
+    low = F.greatest(t - eps, F.lit(0.0))
+    return -(log_df(ts, ls, t + eps) - log_df(ts, ls, low)) / (2 * eps)
+
+
 def option_key(underlying: Column, expiry: Column, strike: Column, call: Column) -> Column:
     """UND_MONYY_STRIKE with C or P; a strike without a fraction has no point."""
     text = F.regexp_replace(F.regexp_replace(strike.cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")

@@ -135,6 +135,25 @@ def views(mtm: DataFrame) -> DataFrame:
     return g.unionByName(missing)
 
 
+def pnl_breakdown(mtm: DataFrame, by: list[str]) -> DataFrame:
+    """Profit in all, on equities and on everything else; positions without a profit count as 0."""
+    p, e = F.coalesce("pnl", F.lit(0.0)), F.col("asset_class") == "Equity"
+    return mtm.groupBy(*by).agg(F.sum(p).alias("total"), F.sum(F.when(e, p).otherwise(0.0)).alias("equity"), F.sum(F.when(e, 0.0).otherwise(p)).alias("other"))
+
+
+def reconcile(mtm: DataFrame, tolerance: float = 1e-6) -> DataFrame:
+    """(type, n, mismatches, max_diff): market values against a recomputation from entries, marks and sizes."""
+    size = F.col("quantity") * F.col("multiplier")
+    again = F.when(F.col("type") == "equity", F.col("price") * size).when(F.col("type") == "future", (F.col("price") - F.coalesce("trade_price", "price")) * size).otherwise(F.col("pnl") + F.coalesce("trade_price", F.lit(0.0)) * size)
+    d = F.abs(F.col("market_value") - again)
+    return mtm.where("market_value IS NOT NULL").groupBy("type").agg(F.count("*").alias("n"), F.count_if(d > tolerance * F.greatest(F.abs("market_value"), F.lit(1.0))).alias("mismatches"), F.max(d).alias("max_diff"))
+
+
+def move_exposures(df: DataFrame, pct: float = 0.01) -> DataFrame:
+    """df (price, vol, tick, multiplier) with what a relative move and one standard deviation are worth, in whole ticks."""
+    return df.withColumns({"pct_exposure": nm.tick_round(F.col("price") * pct, F.col("tick")) * F.col("multiplier"), "vol_exposure": nm.tick_round(F.col("price") * F.col("vol"), F.col("tick")) * F.col("multiplier")})
+
+
 def update_positions(positions: DataFrame, updates: DataFrame, fields: tuple[str, ...] = ("expiry_days", "trade_price", "q")) -> tuple[DataFrame, DataFrame]:
     """(positions, report). Each update (seq, symbol, type?, fields) goes to the first position with its symbol, and type if given.
 

@@ -156,3 +156,19 @@ def updates(spark, d):
     ps = read(spark, d, "part").select(F.col("p_partkey").alias("pos_no"), F.concat(F.lit("S"), (F.col("p_partkey") % 450).cast("string")).alias("symbol"), F.get(F.array(F.lit("O"), F.lit("F"), F.lit("P")), (F.col("p_partkey") % 3).cast("int")).alias("type"), F.col("p_size").alias("expiry_days"), F.lit(0.0).alias("trade_price"), F.lit(0.0).alias("q"))
     report = o.update_positions(ps, u)[1]
     return report.select("seq", "symbol", "status", F.get("changes", F.lit(0))["old"].cast("int").alias("old_days"))
+
+
+@query("g14_pnl_breakdown", MTM + " SELECT book_id, round(sum(coalesce(pnl, 0)), 2) AS total, round(sum(CASE WHEN asset_class = 'Equity' THEN coalesce(pnl, 0) ELSE 0 END), 2) AS equity, round(sum(CASE WHEN asset_class = 'Equity' THEN 0 ELSE coalesce(pnl, 0) END), 2) AS other FROM m3 GROUP BY book_id")
+def breakdown(spark, d):
+    return rounded(o.pnl_breakdown(o.mark_to_market(o.resolve(positions(spark, d), *dimensions(spark, d), as_of=AS_OF)), ["book_id"]), 2)
+
+
+@query("g15_reconciliation", MTM + " SELECT type, count(*) AS n, 0::BIGINT AS mismatches FROM m3 WHERE market_value IS NOT NULL GROUP BY type")
+def reconciliation(spark, d):
+    return o.reconcile(o.mark_to_market(o.resolve(positions(spark, d), *dimensions(spark, d), as_of=AS_OF))).drop("max_diff")
+
+
+@query("g9_move_exposures", "SELECT p_partkey, floor(abs(p_retailprice * 0.01::DOUBLE) * 4 + 0.5) / 4 * p_size AS pct_exposure, floor(p_retailprice * (p_size / 64.0::DOUBLE) * 4 + 0.5) / 4 * p_size AS vol_exposure FROM part")
+def moves(spark, d):
+    x = read(spark, d, "part").select("p_partkey", F.col("p_retailprice").alias("price"), (F.col("p_size") / 64.0).alias("vol"), F.lit(0.25).alias("tick"), F.col("p_size").alias("multiplier"))
+    return o.move_exposures(x).select("p_partkey", "pct_exposure", "vol_exposure")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import dates as dt
+from ..functions import numeric as nm
 from ..operators import curves as c
 from ..operators import policy as po
 from .dates import CAL, calendar
@@ -199,3 +200,27 @@ def auctions(spark, d):
     b = basket(spark, d)[0].where("cf IS NOT NULL")
     a = read(spark, d, "lineitem").select(F.concat(F.lit("B"), F.col("l_partkey").cast("string")).alias("cusip"), "l_orderkey", "l_linenumber", F.round("l_extendedprice", 2).alias("accepted"))
     return b.join(a, "cusip", "left").select("contract", "delivery_month", "cusip", "cf", "l_orderkey", "l_linenumber", "accepted")
+
+
+@query("t21_t22_rates", """SELECT l_orderkey, l_linenumber, round(100 * CASE WHEN t <= 1 THEN (1 / df - 1) / t ELSE df ** (-1 / t) - 1 END, 6) AS zero, round(100 * 360 * ((1 / df) ** (1.0 / dy) - 1), 6) AS flat, round(100 * (df / (df * exp(-0.01::DOUBLE)) - 1) / 0.25::DOUBLE, 6) AS forward
+FROM (SELECT l_orderkey, l_linenumber, (30 * l_quantity) AS dy, 30 * l_quantity / 360.0::DOUBLE AS t, exp(-(0.02::DOUBLE + l_discount) * 30 * l_quantity / 360.0::DOUBLE) AS df FROM lineitem)""")
+def simple_rates(spark, d):
+    li = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (30 * F.col("l_quantity")).alias("dy"), (F.lit(0.02) + F.col("l_discount")).alias("r"))
+    li = li.withColumn("t", F.col("dy") / 360.0).withColumn("df", F.exp(-F.col("r") * F.col("t")))
+    return li.select("l_orderkey", "l_linenumber", F.round(nm.zero_rate(F.col("df"), F.col("t")), 6).alias("zero"), F.round(nm.flat_daily_rate(F.col("df"), F.col("dy")), 6).alias("flat"), F.round(nm.forward_rate(F.col("df"), F.col("df") * F.exp(F.lit(-0.01)), F.lit(0.25)), 6).alias("forward"))
+
+
+@query("t20_convexity", """SELECT l_orderkey, l_linenumber, round(s * s / 2 * (1 - exp(-a * (t2 - t1))) / a * ((1 - exp(-a * t2)) / a * exp(-a * t2) + (1 - exp(-2 * a * t1)) / (2 * a)) * 10000, 8) AS bp
+FROM (SELECT l_orderkey, l_linenumber, 0.03::DOUBLE AS a, 0.005::DOUBLE + l_discount / 10 AS s, l_quantity / 10.0::DOUBLE AS t1, l_quantity / 10.0::DOUBLE + 0.25::DOUBLE AS t2 FROM lineitem)""")
+def convexity(spark, d):
+    t1 = F.col("l_quantity") / 10.0
+    bp = nm.hull_white_convexity(F.lit(0.03), F.lit(0.005) + F.col("l_discount") / 10, t1, t1 + 0.25) * 10000
+    return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(bp, 8).alias("bp"))
+
+
+@query("j15_pillar_dates", f"WITH {CAL}, b AS (SELECT o_orderkey AS curve_id, ([1, 3, 6, 12])[1 + o_orderkey % 4] AS m, CAST(CAST(o_orderdate AS DATE) + to_months(([1, 3, 6, 12])[1 + o_orderkey % 4]::INT) AS DATE) AS raw FROM orders) SELECT m::INT AS m, count(*) AS n, sum(CASE WHEN mf <> raw THEN 1 ELSE 0 END)::BIGINT AS moved, max(abs(mf - raw))::INT AS most_days FROM b JOIN cal ON raw = cal.d GROUP BY m")
+def pillar_dates(spark, d):
+    m = F.get(F.array(*(F.lit(x) for x in (1, 3, 6, 12))), (F.col("o_orderkey") % 4).cast("int"))
+    o = read(spark, d, "orders").select(m.alias("m"), F.col("o_orderdate").cast("date").alias("b")).withColumn("tenor", F.concat(F.col("m").cast("string"), F.lit("M")))
+    o = dt.add_tenor(o, calendar(spark), "b", "tenor", "mat").withColumn("days", F.datediff("mat", F.add_months("b", F.col("m"))))
+    return o.groupBy("m").agg(F.count("*").alias("n"), F.count_if(F.col("days") != 0).alias("moved"), F.max(F.abs("days")).alias("most_days"))
