@@ -220,6 +220,18 @@ def test_base_scores(spark):
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
 
 
+def test_the_language_model_learns_from_whole_texts(spark):
+    halves = ["the and " * 10_000, "for with " * 10_000]
+    docs = spark.createDataFrame([(0, "".join(halves)), (2, halves[0]), (3, halves[1])], "doc_id bigint, text string")
+    model, counts = lm_score.fit_words(docs, F.col("doc_id") < 1, BYTE)
+    rows = {r.doc_id: r.score / r.n_tokens for r in lm_score.score_texts(docs, model, counts).collect()}
+    assert rows[2] > -0.1 and rows[3] > -0.1, rows  # each half is learned, wherever it stands in a long text
+    assert lm_score._pieces_of_texts(docs.where("doc_id < 1").selectExpr("doc_id _id", "text _text"), model).selectExpr("sum(size(ids) - 1)").first()[0] == model.tokens
+    net = attention.Attention(9, length=4)
+    _, y, valid = net.blocks([np.array([9, 1, 2, 3, 4, 5]), np.array([5, 6]), np.array([9, 7, 8, 0, 8])])
+    assert y[valid > 0].tolist() == [1, 2, 3, 4, 5, 6, 7, 8, 0, 8]
+
+
 @needs_tables
 def test_classifiers_on_held_out_rows(spark):
     labels = {r.doc_id: r for r in table(spark, SF.replace("0.001", "0.01"), "labels").collect()}
