@@ -192,3 +192,18 @@ def test_file_readers(spark, tmp_path):
     assert ingest.read_equities(spark, str(tmp_path / "e.csv")).first().ric == "AAA"
     assert ingest.read_specs(spark, str(tmp_path / "specs.json")).first().multiplier == 50.0
     assert [tuple(r) for r in ingest.read_symbols(spark, str(tmp_path / "sym.txt")).collect()] == [("ES", "/ESZ", "second, part")]
+
+
+def test_updates_meet_one_position_each(spark):
+    p = spark.createDataFrame([(i, f"S{i % 3}" if i % 7 else None, "OF"[i // 3 % 2] if i % 5 else None, i, 0.0, 0.0) for i in range(1, 60)], "pos_no int, symbol string, type string, expiry_days int, trade_price double, q double")
+    u = spark.createDataFrame([(i, f"S{i % 4}", (None, "O", "F", "X")[i // 4 % 4], 100 + i, None, None) for i in range(64)], "seq int, symbol string, type string, expiry_days int, trade_price double, q double")
+    out, report = portfolio.update_positions(p, u)
+    now = {r.pos_no: r.expiry_days for r in p.collect()}
+    want = {}
+    for r in sorted(u.collect()):
+        hit = min((x.pos_no for x in p.collect() if x.symbol == r.symbol and (r.type is None or x.type == r.type)), default=None)
+        want[r.seq] = None if hit is None else now[hit]
+        now[hit] = r.expiry_days
+    assert {r.seq: r.changes and int(r.changes[0].old) for r in report.collect()} == want
+    assert {r.pos_no: r.expiry_days for r in out.collect()} == {k: v for k, v in now.items() if k}
+    assert " OR " not in report._jdf.queryExecution().optimizedPlan().toString()  # a join on equal keys, not all pairs of a symbol

@@ -160,10 +160,11 @@ def update_positions(positions: DataFrame, updates: DataFrame, fields: tuple[str
     Updates are applied in order: for each field the last one that isn't NULL holds. report: seq, status (changed,
     none, not_found) and changes, the fields with their values before and after.
     """
-    w = Window.partitionBy("seq").orderBy("pos_no")
     u = updates.select("seq", F.col("symbol").alias("_sym"), F.col("type").alias("_type"), *(F.col(f).alias(f"new_{f}") for f in fields))
-    hit = u.join(positions, (F.col("symbol") == F.col("_sym")) & (F.col("_type").isNull() | (F.col("type") == F.col("_type"))), "left")
-    hit = hit.withColumn("_n", F.row_number().over(w)).where("_n = 1")
+    first = F.min_by(F.struct(*positions.columns), "pos_no").alias("p")
+    of_symbol = positions.groupBy("symbol").agg(first).select(F.col("symbol").alias("_s"), F.lit(None).cast(dict(positions.dtypes)["type"]).alias("_t"), "p")
+    of_type = positions.where("type IS NOT NULL").groupBy("symbol", "type").agg(first).select(F.col("symbol").alias("_s"), F.col("type").alias("_t"), "p")
+    hit = u.join(of_symbol.unionByName(of_type), (F.col("_s") == F.col("_sym")) & F.col("_t").eqNullSafe(F.col("_type")), "left").select(*u.columns, "p.*")
     before = Window.partitionBy("pos_no").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     for f in fields:
         hit = hit.withColumn(f"old_{f}", F.coalesce(F.last(f"new_{f}", ignorenulls=True).over(before), F.col(f)))
