@@ -207,3 +207,12 @@ def test_updates_meet_one_position_each(spark):
     assert {r.seq: r.changes and int(r.changes[0].old) for r in report.collect()} == want
     assert {r.pos_no: r.expiry_days for r in out.collect()} == {k: v for k, v in now.items() if k}
     assert " OR " not in report._jdf.queryExecution().optimizedPlan().toString()  # a join on equal keys, not all pairs of a symbol
+
+
+def test_every_part_is_priced(spark, tmp_path):
+    from tidelark.plans import rates
+
+    spark.createDataFrame([(i, 5 + i, 900.0) for i in range(1, 5)], "p_partkey bigint, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(0,)], "n_nationkey int").write.parquet(f"{tmp_path}/nation.parquet")
+    rows = rates.Q["c9_scenario_bonds"](spark, str(tmp_path)).select("bond_id").distinct().collect()
+    assert sorted(r.bond_id for r in rows) == [1, 2, 3, 4]

@@ -77,7 +77,8 @@ def price_bonds(paths: DataFrame, bonds: DataFrame, settlement: str, base: float
     curve = curve.select("base_id", "scenario_id", F.transform("c", lambda x: x["df"]).alias("dfs"))
     settle = F.to_date(F.lit(settlement))
     b = bonds.withColumn("dates", dt.backward_schedule(F.col("maturity"), settle)).where(F.size("dates") > 0)
-    j = curve.crossJoin(F.broadcast(b))  # every scenario prices every bond
+    b = b.repartition(int(b.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    j = b.crossJoin(F.broadcast(curve))  # every scenario prices every bond
     pay = F.col("coupon") / freq * face
     n = F.size("dates")
     pv = F.aggregate(F.transform("dates", lambda d, i: (pay + F.when(i == n - 1, face).otherwise(0.0)) * df_between(F.col("dfs"), F.datediff(d, settle) / 365.0, base)), F.lit(0.0), lambda s, x: s + x)

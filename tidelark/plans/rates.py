@@ -162,7 +162,7 @@ def accum(spark, d):
 
 @query("c9_scenario_bonds")
 def bonds(spark, d):
-    b = read(spark, d, "part").where("p_size % 10 = 0").select(F.col("p_partkey").alias("bond_id"), (F.col("p_size") / 1000.0).alias("coupon"), F.add_months(F.to_date(F.lit(TRADE)), (6 + F.col("p_partkey") % 30).cast("int")).alias("maturity"))
+    b = read(spark, d, "part").select(F.col("p_partkey").alias("bond_id"), (F.col("p_size") / 1000.0).alias("coupon"), F.add_months(F.to_date(F.lit(TRADE)), (6 + F.col("p_partkey") % 30).cast("int")).alias("maturity"))
     s = po.scenarios(bases(spark, d), list(MEETINGS[:4]), [-1, 0, 1], max_cuts=1, max_hikes=0)
     p = po.daily_paths(s, TRADE, 728, 0.0025, base=364.0, hikes=False)
     return rounded(po.price_bonds(p, b, TRADE, 364.0)).withColumn("scenario_id", F.col("scenario_id").cast("long"))
