@@ -209,6 +209,17 @@ def test_updates_meet_one_position_each(spark):
     assert " OR " not in report._jdf.queryExecution().optimizedPlan().toString()  # a join on equal keys, not all pairs of a symbol
 
 
+def test_schedules_of_any_length(spark):
+    day = lambda x: F.to_date(F.lit(x))
+    s = spark.range(1).select(dt.backward_schedule(day("2126-02-15"), day("2026-02-12")).alias("s")).first().s
+    assert len(s) == 201 and s[0] == d.date(2026, 2, 15) and s[-1] == d.date(2126, 2, 15)
+    s = spark.range(1).select(dt.backward_schedule(day("2026-02-12"), day("2026-02-12")).alias("a"), dt.backward_schedule(day("2026-02-13"), day("2026-02-12")).alias("b")).first()
+    assert s.a == [] and s.b == [d.date(2026, 2, 13)]
+    b = spark.range(1).select(day("1990-01-03").alias("eff"), day("2070-01-03").alias("mat"))
+    rows = sorted(dt.annual_schedule(b, dt.business_calendar(spark, 1989, 2075), "eff", "mat").select("coupon_no", "coupon_date").collect())
+    assert [r.coupon_no for r in rows] == list(range(1, len(rows) + 1)) and len(rows) >= 80 and rows[-1].coupon_date == d.date(2070, 1, 3)
+
+
 def test_every_part_is_priced(spark, tmp_path):
     from tidelark.plans import rates
 

@@ -86,9 +86,9 @@ def futures_dates(code: Column, as_of: Column) -> Column:
     return F.when(month.isNotNull() & digit.isNotNull(), pick)
 
 
-def annual_schedule(df: DataFrame, calendar: DataFrame, effective: str, maturity: str, most_years: int = 60) -> DataFrame:
+def annual_schedule(df: DataFrame, calendar: DataFrame, effective: str, maturity: str) -> DataFrame:
     """df exploded into (coupon_no, coupon_date): every year from effective, adjusted, up to maturity, which ends the schedule."""
-    d = df.withColumn("_n", F.explode(F.sequence(F.lit(1), F.least(F.lit(most_years), F.ceil(F.months_between(maturity, effective) / 12).cast("int") + 1))))
+    d = df.withColumn("_n", F.explode(F.sequence(F.lit(1), F.ceil(F.months_between(maturity, effective) / 12).cast("int") + 1)))
     d = d.withColumn("_raw", F.add_months(effective, 12 * F.col("_n")))
     d = d.join(F.broadcast(calendar.select(F.col("d").alias("_raw"), F.col("mf").alias("_mf"))), "_raw", "left")
     d = d.withColumn("_rawp", F.add_months(effective, 12 * (F.col("_n") - 1)))
@@ -98,9 +98,9 @@ def annual_schedule(df: DataFrame, calendar: DataFrame, effective: str, maturity
     return keep.withColumn("coupon_no", F.col("_n")).withColumn("coupon_date", F.when(before, F.col("_mf")).otherwise(F.col(maturity))).drop("_n", "_raw", "_mf", "_rawp", "_mfp")
 
 
-def backward_schedule(maturity: Column, settlement: Column, months: int = 6, most: int = 80) -> Column:
+def backward_schedule(maturity: Column, settlement: Column, months: int = 6) -> Column:
     """Coupon dates after settlement, ascending: chained steps back from maturity, so that a day cut at a month's end stays cut."""
-    steps = F.sequence(F.lit(1), F.lit(most))
+    steps = F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(F.months_between(maturity, settlement) / months).cast("int") + 1))
     chain = F.aggregate(
         steps,
         F.array(maturity),
