@@ -310,3 +310,13 @@ def test_pipeline_by_brute_force(spark):
 
 def test_queries_are_registered():
     assert sorted(int(k[2:].split("_")[0]) for k in queries.QUERIES) == list(range(1, 11))
+
+
+def test_every_language_is_learned(spark):
+    r = random.Random(3)
+    words = {f"l{k}": ["".join(chr(0x4E00 + 40 * k + r.randrange(40)) for _ in range(3)) for _ in range(20)] for k in range(70)}
+    docs = spark.createDataFrame([(i * 70 + k, " ".join(r.choices(words[n], k=15)), n) for i in range(4) for k, n in enumerate(words)], "doc_id bigint, text string, lang string")
+    model = langid.fit_languages(docs, F.lit(True))
+    assert model.names == sorted(words)
+    right = docs.join(langid.predict_languages(docs, model), "doc_id").where("lang = lang_pred").count()
+    assert right > 0.95 * 280

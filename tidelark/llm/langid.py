@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import crc_remainder, held_out, map_texts, slices, table
@@ -21,8 +21,8 @@ from .common import crc_remainder, held_out, map_texts, slices, table
 #: Texts of each language to learn from at most, those with the least hashes of their ids, and landmarks among them.
 PER_LANGUAGE = 400
 LANDMARKS = 32
-#: Languages at most: the most frequent ones.
-LANGUAGES = 64
+#: With more languages than this, one window chooses the texts of all instead of a query for each.
+SEPARATE = 64
 #: n-grams are told apart by 16 bits of their hash.
 BUCKETS = 1 << 16
 RIDGE = 1e-2
@@ -80,22 +80,26 @@ class LanguageModel:
         return names, sure
 
 
-def fit_languages(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, landmarks: int = LANDMARKS, languages: int = LANGUAGES) -> LanguageModel:
-    """Learns from at most per_language texts of each of the most frequent languages.
+def fit_languages(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, landmarks: int = LANDMARKS) -> LanguageModel:
+    """Learns from at most per_language texts of each language; none is left out.
 
     learn: which rows may be learned from; rows without a language, an id or a text are left out. The sample is
     chosen by ids alone, and of its texts only the sets of n-grams, of at most BUCKETS numbers, reach the driver.
     """
     known = docs.where(learn & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"))
-    names = sorted(r["_lang"] for r in known.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(languages).collect())
+    names = sorted(r["_lang"] for r in known.select("_lang").distinct().collect())
     if not names:
         return LanguageModel([], np.empty(0, np.int64), np.empty((0, 0), np.float32), np.empty((0, 0)))
     h = F.xxhash64("_id")
-    ranked = known.where(F.col("_lang").isin(names)).select("_id", "_lang", h.alias("_h"))
-    parts = [ranked.where(F.col("_lang") == n).orderBy("_h", "_id").limit(per_language) for n in names]
-    chosen = parts[0]
-    for p in parts[1:]:
-        chosen = chosen.unionByName(p)
+    ranked = known.select("_id", "_lang", h.alias("_h"))
+    if len(names) > SEPARATE:
+        by = Window.partitionBy("_lang").orderBy("_h", "_id")
+        chosen = ranked.withColumn("_n", F.row_number().over(by)).where(F.col("_n") <= per_language).drop("_n")
+    else:
+        parts = [ranked.where(F.col("_lang") == n).orderBy("_h", "_id").limit(per_language) for n in names]
+        chosen = parts[0]
+        for p in parts[1:]:
+            chosen = chosen.unionByName(p)
     chosen = chosen.dropDuplicates(["_id"])
     sample = docs.where(F.col(text_col).isNotNull() & learn).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id")
 
