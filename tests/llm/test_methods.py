@@ -320,3 +320,9 @@ def test_every_language_is_learned(spark):
     assert model.names == sorted(words)
     right = docs.join(langid.predict_languages(docs, model), "doc_id").where("lang = lang_pred").count()
     assert right > 0.95 * 280
+
+
+def test_all_spellings_of_at_are_candidates():
+    for at in ("(At)", "[At ]", "(aT)", "[ AT ]", "(at)"):
+        text = f"mail jane {at} example [Dot] com now"
+        assert [(s[0], text[s[1] : s[2]]) for s in pii.wider_spans(text, [])] == [(0, text[5:-4])], at

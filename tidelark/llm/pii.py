@@ -2,7 +2,8 @@
 
 Regex, gazetteer and context labelers vote on every candidate span. Expectation-maximisation over the counts of vote
 patterns (their number is fixed, whatever the corpus) estimates how reliable each labeler is for each kind, and its
-posteriors train a span classifier, which decides on the candidates that the base patterns don't cover.
+posteriors train a span classifier. Of the candidates that the base patterns don't cover, those are taken that it gives
+ACCEPT at least, that have a cue word before them, and that no labeler votes against.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: Wider patterns, for the labelers to decide on.
 AT_WORD = re.compile(r"[A-Za-z0-9._%+-]+ ?[\[(] ?at ?[\])] ?[A-Za-z0-9-]+(?: ?(?:[\[(] ?dot ?[\])]|\.) ?[A-Za-z0-9-]+)+", re.IGNORECASE)
+AT = re.compile(r"[\[(] ?at ?[\])]", re.IGNORECASE)
 LOCAL_PHONE = re.compile(r"(?<![0-9+.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])")
 IP6 = re.compile(r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])")
 SHORT_CARD = re.compile(r"(?<![0-9])[0-9]{4}(?:[ -][0-9]{4}){2,4}(?![0-9])")
@@ -83,7 +85,7 @@ def base_spans(text: str) -> list[Span]:
 def wider_spans(text: str, base: list[Span]) -> list[Span]:
     """Candidates of the wider patterns that touch no base span, and no earlier candidate."""
     found: list[Span] = []
-    if "at)" in text or "at]" in text or "AT)" in text or "AT]" in text or "at )" in text or "at ]" in text:
+    if AT.search(text):
         found += [(0, m.start(), m.end()) for m in AT_WORD.finditer(text)]
     if text.count(":") >= 7:
         found += [(1, m.start(), m.end()) for m in IP6.finditer(text)]
