@@ -1,9 +1,9 @@
 """Byte-pair encoding and decoding with a lexicon of frequent words.
 
-The corpus's frequent words are encoded once and compiled into a minimal acyclic automaton whose common suffixes are
+The pieces of the corpus's frequent words are encoded once and compiled into a minimal acyclic automaton whose common suffixes are
 shared. Every arc carries the number of words that sort before those it leads to, so that the sum along a path is the
 number of the word, which its ids are kept under. The automaton is a file that Spark hands to the executors and that
-each task maps into memory. Other words are merged exactly, many at a time, with the ranks of the vocabulary file.
+each task maps into memory. Other pieces are merged exactly, many at a time, with the ranks of the vocabulary file.
 """
 
 from __future__ import annotations
@@ -12,7 +12,6 @@ import hashlib
 import json
 import os
 import re
-import tempfile
 from functools import lru_cache
 
 import numpy as np
@@ -21,16 +20,28 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, table
+from .common import map_texts, most_frequent, shared_file, table, written
 
-#: Words in the lexicon at most; every other word is merged exactly.
-LEXICON = 30_000
-#: Words whose ids a task remembers at a time.
-MEMO = 100_000
+#: Frequent words whose pieces are in the lexicon, at most; every other piece is merged exactly.
+LEXICON = 60_000
+#: Pieces whose ids a worker remembers at a time.
+MEMO = 250_000
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
-#: White space other than one space before a word or one line end.
-UNEVEN = re.compile(r"  | \n|\n\n| $|[\t\x0b-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+
+
+def _piece_pattern(letter: str, number: str) -> str:
+    return rf" ?[{letter}]+| ?[{number}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[^{WHITE}{letter}{number}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
+
+
+PIECES = regex.compile(_piece_pattern(r"\p{L}", r"\p{N}"))
+#: Letters and numbers below U+0250, where the standard library's search, which is faster, can be given them one by one.
+LATIN_PIECES = re.compile(_piece_pattern(r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", r"0-9\xb2\xb3\xb9\xbc-\xbe"))
+BEYOND_LATIN = re.compile(r"[^\x00-\u024f]")
+
+
+def pieces_of(text: str) -> list[str]:
+    """The pieces that a text without special strings is encoded in, each for itself."""
+    return (PIECES if BEYOND_LATIN.search(text) else LATIN_PIECES).findall(text)
 
 
 def _byte_letters() -> dict[str, int]:
@@ -62,6 +73,8 @@ class Vocabulary:
         pairs = np.array([(ids[a] << 20) | ids[b] for a, b in merges], np.int64)
         order = np.argsort(pairs, kind="stable")
         self.pairs, self.rank = pairs[order], order
+        byte = self.of_byte
+        self.rank_of_bytes = self._ranks(np.repeat(byte, 256), np.tile(byte, 256)).reshape(256, 256)
         self.merged = np.array([ids[a + b] for a, b in merges], np.int64)  # by rank
         self.split_special = re.compile("(" + "|".join(re.escape(s) for s in self.special) + ")") if self.special else None
 
@@ -73,13 +86,14 @@ class Vocabulary:
     def merge(self, words: list[bytes]) -> list[np.ndarray]:
         """The ids of each word. All words are merged at once: each round merges, in every word, its pair of least rank."""
         sizes = np.array([len(w) for w in words], np.int64)
-        sym = self.of_byte[np.frombuffer(b"".join(words), np.uint8)]
+        raw = np.frombuffer(b"".join(words), np.uint8)
+        sym = self.of_byte[raw]
         word = np.repeat(np.arange(len(words)), sizes)
         out: list = [None] * len(words)
         none = 1 << 40
         ranks = np.full(len(sym), none, np.int64)  # of each symbol and the next
         if len(sym) > 1:
-            ranks[:-1] = np.where(word[1:] == word[:-1], self._ranks(sym[:-1], sym[1:]), none)
+            ranks[:-1] = np.where(word[1:] == word[:-1], self.rank_of_bytes[raw[:-1], raw[1:]], none)
         while len(sym):
             starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
             least = np.minimum.reduceat(ranks, starts)
@@ -104,17 +118,19 @@ class Vocabulary:
             stay[at + 1] = False
             new_at = at - np.arange(len(at))  # places after the removal
             sym, word, ranks = sym[stay], word[stay], ranks[stay]
-            again = np.unique(np.r_[new_at, np.maximum(new_at - 1, 0)])
+            changed = np.zeros(len(sym), bool)
+            changed[new_at] = changed[np.maximum(new_at - 1, 0)] = True
+            again = np.flatnonzero(changed)
             nxt = np.minimum(again + 1, len(sym) - 1)
             ranks[again] = np.where((again + 1 < len(sym)) & (word[nxt] == word[again]), self._ranks(sym[again], sym[nxt]), none)
         return [np.empty(0, np.int64) if x is None else x for x in out]
 
-    def encode_words(self, words: list[str]) -> list[bytes]:
-        """The ids of each text, packed as little-endian unsigned 32-bit numbers; texts without special strings."""
-        pieces = [PIECES.findall(w) for w in words]
-        distinct = list({p for x in pieces for p in x})
-        ids = dict(zip(distinct, (x.astype("<u4").tobytes() for x in self.merge([p.encode() for p in distinct])), strict=True))
-        return [b"".join([ids[p] for p in x]) for x in pieces]
+    def pack(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each piece, packed as little-endian unsigned 32-bit numbers."""
+        found = self.merge([p.encode() for p in pieces])
+        ends = np.cumsum([4 * len(x) for x in found]).tolist()
+        every = np.concatenate(found).astype("<u4").tobytes() if found else b""
+        return [every[a:z] for a, z in zip([0, *ends], ends, strict=False)]
 
     def decode(self, packed: bytes) -> str:
         get = self.token_bytes.__getitem__
@@ -176,7 +192,7 @@ class Lexicon:
     """The transducer in a file, mapped into memory."""
 
     def __init__(self, path: str):
-        data = np.memmap(path, np.int64, "r", shape=(os.path.getsize(path) // 8,))
+        data = np.memmap(path, np.int64, "r", shape=(os.path.getsize(path) // 8,)).view(np.ndarray)
         self.root, states, arcs, words = (int(x) for x in data[:4])
         at = np.cumsum([4, states, arcs, arcs, arcs, words + 1])
         self.final, self.key, self.to, self.before, self.ends = (data[a:z] for a, z in zip(at, at[1:], strict=False))
@@ -188,6 +204,7 @@ class Lexicon:
         out: list[bytes | None] = [None] * n
         if not n or not len(self.key):
             return out
+        ids = memoryview(self.ids)
         sizes = np.array([len(w) for w in words])
         begins = np.cumsum(sizes) - sizes
         text = np.frombuffer(b"".join(words), np.uint8)
@@ -195,8 +212,9 @@ class Lexicon:
         for step in range(int(sizes.max()) + 1):
             ended = sizes[live] == step
             hit = ended & (self.final[state] == 1)
-            for i, k in zip(live[hit].tolist(), number[hit].tolist(), strict=True):
-                out[i] = self.ids[self.ends[k] : self.ends[k + 1]].tobytes()
+            k = number[hit]
+            for i, a, z in zip(live[hit].tolist(), self.ends[k].tolist(), self.ends[k + 1].tolist(), strict=True):
+                out[i] = ids[a:z].tobytes()
             live, state, number = live[~ended], state[~ended], number[~ended]
             if not len(live):
                 break
@@ -208,11 +226,10 @@ class Lexicon:
         return out
 
 
-def frequent_words(docs: DataFrame, text_col: str = "text", most: int = LEXICON) -> list[str]:
-    """The most frequent words of the whole corpus, each with the space before it; words are counted before the shuffle."""
+def frequent_words(docs: DataFrame, text_col: str = "text", most: int = LEXICON) -> list[tuple[str, int]]:
+    """The most frequent words of the whole corpus, at most `most`, with their counts; words are counted before the shuffle."""
     words = docs.select(F.explode(F.split(F.translate(F.col(text_col), "\n", " "), " ")).alias("w")).where("w <> ''")
-    top = words.groupBy("w").count().where("count > 1").orderBy(F.desc("count"), "w").limit(most)
-    return [" " + r["w"] for r in top.collect()]
+    return most_frequent(written(words.groupBy("w").agg(F.count("*").alias("c")).where("c > 1")), most)
 
 
 #: Files that an application's executors can get already; a name is that of its content.
@@ -220,70 +237,68 @@ _HANDED_OUT: set[tuple[str, str]] = set()
 
 
 def compile_lexicon(docs: DataFrame, path: str, text_col: str = "text", most: int = LEXICON) -> str:
-    """Builds the lexicon of docs and hands the file to the executors; returns its name there."""
+    """Builds the lexicon of the pieces of docs' frequent words and hands the file to the executors; returns its name there."""
     v = vocabulary(path)
-    words = [w for w in frequent_words(docs, text_col, most) if not any(s in w for s in v.special)]
-    coded = sorted(zip((w.encode() for w in words), v.encode_words(words), strict=True))
-    data = build_lexicon([w for w, _ in coded], [x for _, x in coded])
+    words = [" " + w for w, _ in frequent_words(docs, text_col, most) if not any(s in w for s in v.special)]
+    pieces = sorted({p for w in words for p in pieces_of(w)}, key=str.encode)
+    data = build_lexicon([p.encode() for p in pieces], v.pack(pieces))
     name = f"lexicon-{hashlib.sha256(data).hexdigest()[:24]}.bin"
     sc = docs.sparkSession.sparkContext
     if (sc.applicationId, name) not in _HANDED_OUT:
-        with open(file := os.path.join(tempfile.mkdtemp(prefix="lexicon-"), name), "wb") as f:
-            f.write(data)
-        sc.addFile(file)  # the driver serves it to every executor, late ones too
+        sc.addFile(shared_file(docs.sparkSession, name, data))  # executors that come late get it, too
         _HANDED_OUT.add((sc.applicationId, name))
     return name
 
 
 class Encoder:
-    def __init__(self, path: str, lexicon: str | None):
+    """Encodes texts piece by piece: pieces that it remembers, then the lexicon, then exact merges."""
+
+    def __init__(self, path: str, lexicon: str | None, memo: int = MEMO):
         self.v = vocabulary(path)
         self.lexicon = Lexicon(lexicon) if lexicon else None
+        self.most = memo
         self.memo: dict[str, bytes] = {}
+        self.special = {s: np.array([i], "<u4").tobytes() for s, i in self.v.special.items()}
 
-    def _units(self, text: str) -> list[str]:
-        """Parts that are encoded apart from each other and join to text: words with the space before them, and line ends."""
-        if UNEVEN.search(text):
-            return PIECES.findall(text)
-        out: list[str] = []
-        for k, line in enumerate(text.split("\n")):
-            first, *rest = line.split(" ")
-            if k:
-                out.append("\n")
-            if first:
-                out.append(first)
-            out += [" " + w for w in rest]
-        return out
+    def _learn(self, wanted: set[str]) -> None:
+        """Makes the memo hold all wanted pieces."""
+        new = list(wanted.difference(self.memo))
+        if len(self.memo) + len(new) > self.most:
+            self.memo = {}
+            new = list(wanted)
+        known = self.lexicon.look_up([p.encode() for p in new]) if self.lexicon else [None] * len(new)
+        self.memo.update((p, k) for p, k in zip(new, known, strict=True) if k is not None)
+        unseen = [p for p, k in zip(new, known, strict=True) if k is None]
+        for i in range(0, len(unseen), 16384):
+            self.memo.update(zip(unseen[i : i + 16384], self.v.pack(unseen[i : i + 16384]), strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        v, memo = self.v, self.memo
+        v = self.v
         parts = [v.split_special.split(t) if t and v.split_special and any(s in t for s in v.special) else [t or ""] for t in texts]
-        units = [[[p] if i % 2 else self._units(p) for i, p in enumerate(x)] for x in parts]  # special strings stand at odd places
-        wanted = {u for x in units for i, y in enumerate(x) if not i % 2 for u in y}
-        new = list(wanted.difference(memo))
-        if len(memo) + len(new) > MEMO:
-            memo = self.memo = {}
-            new = list(wanted)
-        known = self.lexicon.look_up([u.encode() for u in new]) if self.lexicon else [None] * len(new)
-        unseen = [u for u, k in zip(new, known, strict=True) if k is None]
-        memo.update((u, k) for u, k in zip(new, known, strict=True) if k is not None)
-        for i in range(0, len(unseen), 16384):
-            memo.update(zip(unseen[i : i + 16384], v.encode_words(unseen[i : i + 16384]), strict=True))
-        special = {s: np.array([i], "<u4").tobytes() for s, i in v.special.items()}
-        return [b"".join([special[y[0]] if i % 2 else b"".join(map(memo.__getitem__, y)) for i, y in enumerate(x)]) for x in units]
+        pieces = [[[p] if i % 2 else pieces_of(p) for i, p in enumerate(x)] for x in parts]  # special strings stand at odd places
+        self._learn(set().union(*(y for x in pieces for y in x[::2])))
+        get = self.memo.__getitem__
+        return [b"".join([self.special[y[0]] if i % 2 else b"".join(map(get, y)) for i, y in enumerate(x)]) for x in pieces]
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str, lexicon: str) -> Encoder:
+    """The worker's encoder, which later tasks use again."""
+    return Encoder(path, lexicon)
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", lexicon: int = LEXICON) -> DataFrame:
     """(id, ids, decoded) for each row of docs: the ids, packed as little-endian unsigned 32-bit numbers, and their text.
 
-    NULL is encoded as an empty text, which has no ids. Special strings inside a text become their ids. Repeated rows
-    give repeated results; other columns aren't looked at. path: a vocabulary file that exists on every executor.
+    NULL is encoded as an empty text, which has no ids and decodes to an empty text. Special strings inside a text
+    become their ids. Repeated rows give repeated results; an empty table gives an empty result; other columns aren't
+    looked at. A very long text is held whole, its ids and its decoded text beside it. path: a vocabulary file that exists on every executor.
     """
     kind = dict(docs.dtypes)[id_col]
     name = compile_lexicon(docs, path, text_col, lexicon)
 
     def factory():
-        e = Encoder(path, SparkFiles.get(name))
+        e = encoder(path, SparkFiles.get(name))
 
         def work(ids, texts):
             packed = e.encode(texts)
@@ -296,6 +311,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) for each row of docs, of what encode() gives; edge cases are its own."""
     out = encode(docs, path)
     return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 

@@ -61,6 +61,36 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def shared_file(spark: SparkSession, name: str, data: bytes) -> str:
+    """Writes a small file to the shared checkpoint folder; returns its path."""
+    with_checkpoints(spark)
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(f"{sc.getCheckpointDir()}/{name}")
+    stream = path.getFileSystem(sc._jsc.hadoopConfiguration()).create(path, True)
+    try:
+        stream.write(bytearray(data))
+    finally:
+        stream.close()
+    return path.toString()
+
+
+def most_frequent(counts: DataFrame, most: int, value: str = "w", count: str = "c") -> list[tuple]:
+    """The values of the highest counts, at most `most`, and their counts; values about as frequent as each other are in or out together.
+
+    A histogram of the counts' logarithms gives the least count, so that only the chosen values reach the driver.
+    """
+    band = F.floor(F.log(count) * 20)
+    total, least = 0, None
+    for r in counts.groupBy(band.alias("band")).count().orderBy(F.desc("band")).collect():  # under a thousand
+        total += r["count"]
+        if total > most:
+            break
+        least = r["band"]
+    if least is None:
+        return []
+    return sorted(((r[value], r[count]) for r in counts.where(band >= least).select(value, count).collect()), key=lambda x: (-x[1], x[0]))
+
+
 def slices(batch: pa.RecordBatch, text_at: int, most_bytes: int) -> Iterator[pa.RecordBatch]:
     """Parts of a batch of at most most_bytes of text, or of one row."""
     lengths = pc.binary_length(batch.column(text_at)).to_pylist()
