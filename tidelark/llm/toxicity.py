@@ -1,9 +1,9 @@
 """Toxic passages: the maximal segments of summed token log-odds, and how surprising they are in clean text.
 
-Tokens score by their log-odds between toxic and clean documents under a Dirichlet prior (Monroe et al., 2008). All
-maximal-scoring segments of a text are found in linear time (Ruzzo and Tompa, 1999); extreme-value theory (Karlin and
-Altschul, 1990) says how likely clean text of the same length holds one as good, and the significant ones together
-become a calibrated probability.
+Tokens score by their log-odds between toxic and clean documents under a Dirichlet prior (Monroe et al., 2008), drawn to
+zero by their standard error, less the cost of a token. All maximal-scoring segments of a text are found in linear time
+(Ruzzo and Tompa, 1999); extreme-value theory (Karlin and Altschul, 1990) says how likely clean text of the same length
+holds one as good, and the significant ones together become a calibrated probability.
 """
 
 from __future__ import annotations
@@ -20,11 +20,12 @@ from .logistic import Logistic
 
 #: Labelled documents of each class to learn from at most.
 PER_CLASS = 20_000
-#: Tokens with a score of their own at most; all others have DRIFT.
-TOKENS = 50_000
-DRIFT = -0.5
-PRIOR, FLAT = 50.0, 0.5
-LEAST_Z = 2.5
+#: Strength of the prior, as a share of each class's own counts.
+PRIOR = 0.1
+#: Standard errors that log-odds are drawn to zero by; tokens with less evidence score as unseen ones do, 0.
+ERRORS = 2.0
+#: What each token of a passage costs, so that a longer passage must say more.
+COST = 0.5
 SIGNIFICANT = 0.05
 THRESHOLD = 0.3
 #: ASCII letters in lower case; other ASCII becomes a space; bytes of other letters stay.
@@ -35,51 +36,58 @@ def tokens(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(LETTERS).split()
 
 
-def maximal_segments(places: np.ndarray, scores: np.ndarray, drift: float = DRIFT) -> list[tuple[int, int, float]]:
-    """All maximal-scoring segments (first place, last place, score), from left to right.
+def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
+    """All maximal-scoring segments (first place, last place, score), from left to right, in linear time.
 
-    places: sorted places of the tokens with positive scores; every token between them scores drift (not over 0).
+    Candidates are kept with the sums before and with them, and the place of the last one before whose left sum is
+    smaller. A candidate that no left sum lies below ends all before it: nothing to come can reach over the fall.
     """
-    found: list[tuple[int, int, float, float]] = []  # first, last, sum before it, sum with it
-    total, last = 0.0, -1
-    for p, s in zip(places.tolist(), scores.tolist(), strict=True):
-        before = total + drift * (p - last - 1)
-        total, last = before + s, p
-        first, left, right = p, before, total
-        while found:
-            j = len(found) - 1
-            while j >= 0 and found[j][2] >= left:
-                j -= 1
-            if j < 0 or found[j][3] >= right:
+    edges = np.flatnonzero(np.diff(np.r_[False, scores > 0, False]))
+    begins, ends = edges[::2], edges[1::2]  # runs of positive scores
+    sums = np.r_[0.0, np.cumsum(scores, dtype=float)]
+    found: list[tuple[int, int, float, float]] = []
+    first, last, left, right, below = [], [], [], [], []
+    for a, z, low, high in zip(begins.tolist(), (ends - 1).tolist(), sums[begins].tolist(), sums[ends].tolist(), strict=True):
+        while True:
+            j = len(left) - 1
+            while j >= 0 and left[j] >= low:
+                j = below[j]
+            if j < 0:
+                found += zip(first, last, left, right, strict=True)
+                first, last, left, right, below = [a], [z], [low], [high], [-1]
                 break
-            first, left = found[j][0], found[j][2]
-            del found[j:]
-        found.append((first, p, left, right))
-    return [(a, z, r - left) for a, z, left, r in found]
+            if right[j] >= high:
+                for column, value in zip((first, last, left, right, below), (a, z, low, high, j), strict=True):
+                    column.append(value)
+                break
+            a, low = first[j], left[j]
+            for column in (first, last, left, right, below):
+                del column[j:]
+    found += zip(first, last, left, right, strict=True)
+    return [(a, z, high - low) for a, z, low, high in found]
 
 
 @dataclass
 class ToxicModel:
-    scores: dict[bytes, float]
+    scores: dict[bytes, float]  # of the tokens that don't score 0
     decay: float = 1.0  # of the extreme-value distribution
-    rate: float = 1e-6  # segments that a token of clean text begins
+    rate: float = 1e-6  # positive tokens a token of clean text
     prior: float = 0.5
     calibration: Logistic | None = None
 
     def passages(self, text: bytes | None) -> tuple[list[tuple[int, int, float, float]], int]:
         """The significant segments as (first token, last token, score, p), and the number of tokens."""
         w = tokens(text)
+        if not w or not self.scores:
+            return [], len(w)
         get = self.scores.get
-        hit = [(i, s) for i, s in enumerate(map(get, w)) if s is not None]
-        if not hit:
+        values = np.fromiter((get(x, 0.0) for x in w), float, len(w)) - COST
+        if values.max() <= 0:
             return [], len(w)
-        places, scores = np.array([i for i, _ in hit]), np.array([s for _, s in hit])
-        out = []
-        for a, z, s in maximal_segments(places, scores):
-            p = -np.expm1(-self.rate * len(w) * np.exp(-self.decay * s))
-            if p <= SIGNIFICANT:
-                out.append((a, z, s, float(max(p, 1e-300))))
-        return out, len(w)
+        least = (np.log(self.rate * len(w)) - np.log(-np.log1p(-SIGNIFICANT))) / self.decay  # score of a p of SIGNIFICANT
+        kept = [(a, z, s) for a, z, s in maximal_segments(values) if s >= least]
+        p = -np.expm1(-self.rate * len(w) * np.exp(-self.decay * np.array([s for *_, s in kept])))
+        return [(a, z, s, x) for (a, z, s), x in zip(kept, np.maximum(p, 1e-300).tolist(), strict=True)], len(w)
 
     @staticmethod
     def features(found: list[tuple[int, int, float, float]], n: int) -> list[float]:
@@ -92,9 +100,10 @@ class ToxicModel:
         return self.calibration.predict(np.array(features).reshape(-1, 3)).tolist()
 
 
-def _decay(rate: float, scores: np.ndarray, shares: np.ndarray) -> float:
-    """The positive root of E[exp(decay * score)] = 1 for a token of clean text."""
-    f = lambda x: np.log(rate * np.sum(shares * np.exp(x * scores)) + (1 - rate) * np.exp(x * DRIFT))
+def _decay(scores: np.ndarray, shares: np.ndarray) -> float:
+    """The positive root of E[exp(decay * score)] = 1 for a token of clean text; shares of all others, which score -COST, are what is left."""
+    rest = max(0.0, 1 - shares.sum())
+    f = lambda x: np.log(np.sum(shares * np.exp(x * scores)) + rest * np.exp(-x * COST))
     low, high = 1e-4, 1e-3
     while f(high) < 0 and high < 50:
         low, high = high, high * 2
@@ -104,11 +113,25 @@ def _decay(rate: float, scores: np.ndarray, shares: np.ndarray) -> float:
     return low
 
 
+def _token_scores(c: DataFrame, na: int, nb: int) -> DataFrame:
+    """(w, n, score) of the tokens that don't score 0; c: (w, a, b, n), documents of the classes with w, and its clean tokens.
+
+    The prior has the token's share of both classes together, and in each class PRIOR times the class's weight, so
+    that a token of which nothing is known scores 0 however large the classes are.
+    """
+    share = (F.col("a") + F.col("b")) / (na + nb)
+    a, b = F.col("a") + PRIOR * na * share, F.col("b") + PRIOR * nb * share
+    odds = F.log(a / na) - F.log(b / nb)
+    drawn = F.greatest(F.lit(0.0), F.abs(odds) - ERRORS * F.sqrt(1 / a + 1 / b)) * F.signum(odds)
+    return c.select("w", "n", drawn.alias("score")).where("score <> 0")
+
+
 def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic", per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text") -> ToxicModel:
     """Learns from at most per_class labelled documents of each class, those with the least hashes of their ids.
 
     A token counts once a document, and equal texts once, so that repetition within or between documents gives a
-    token no weight. Without labels of both classes the score is the share of label 1.
+    token no weight. Every token of the sample whose log-odds exceed their error has a score, whatever its sign.
+    Without labels of both classes (an empty table, too) the score of a document is the share of label 1.
     """
     known = {int(r[0]): r[1] for r in labels.where(F.col(label).isin(0, 1)).where(learn).groupBy(label).count().collect()}
     prior = (known.get(1, 0) + 0.5) / (sum(known.values()) + 1)
@@ -116,38 +139,29 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, label: str =
 
     def counts():
         def work(label, texts):
-            c = Counter((w, v) for v, t in zip(label, texts, strict=True) for w in set(tokens(t)))
-            c.update((b"", v) for v in label)  # documents
-            length = Counter()
+            documents, clean = Counter(), Counter()
             for v, t in zip(label, texts, strict=True):
-                length[v] += len(tokens(t))
-            c.update({(b" ", v): n for v, n in length.items()})  # tokens
-            rows = list(c.items())
-            return [w for (w, _), _ in rows], [v for (_, v), _ in rows], [n for _, n in rows]
+                w = tokens(t)
+                documents.update((x, v) for x in set(w))
+                if not v:
+                    clean.update(w)
+            rows = list(documents.items())
+            return [w for (w, _), _ in rows], [v for (_, v), _ in rows], [n for _, n in rows], [0 if v else clean[w] for (w, v), _ in rows]
 
         return work
 
-    c = map_texts(sample, [F.col("label"), F.col("t")], 1, counts, [("w", "binary"), ("label", "int"), ("n", "bigint")])
-    c = c.groupBy("w").agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("b"))
-    c = c.where("a > 1 OR w = cast('' AS binary) OR w = cast(' ' AS binary)").persist()
-    totals = {bytes(r["w"]): (r["a"], r["b"]) for r in c.where("w = cast('' AS binary) OR w = cast(' ' AS binary)").collect()}
-    (na, nb), (_, clean_tokens) = totals.get(b"", (0, 0)), totals.get(b" ", (0, 0))
-    if not na or not nb:
-        c.unpersist()
-        return ToxicModel({}, prior=prior)
-    a0 = FLAT + PRIOR * (F.col("a") + F.col("b")) / (na + nb)  # the prior's share of a token
-    odds = lambda y, n: F.log((y + a0) / (n + 2 * FLAT + PRIOR - y - a0 + 1))
-    z = (F.col("delta")) / F.sqrt(1 / (F.col("a") + a0) + 1 / (F.col("b") + a0))
-    best = c.where("w <> cast('' AS binary) AND w <> cast(' ' AS binary)").withColumn("delta", odds(F.col("a"), na) - odds(F.col("b"), nb)).withColumn("z", z)
-    rows = best.where(F.col("z") > LEAST_Z).orderBy(F.desc("z"), "w").limit(TOKENS).collect()
+    c = map_texts(sample, [F.col("label"), F.col("t")], 1, counts, [("w", "binary"), ("label", "int"), ("n", "bigint"), ("clean", "bigint")])
+    c = c.groupBy("w").agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("b"), F.sum("clean").alias("n")).persist()
+    totals = c.agg(F.sum("a"), F.sum("b"), F.sum("n")).first()
+    na, nb, clean_tokens = (int(x or 0) for x in totals)
+    rows = _token_scores(c, na, nb).collect() if na and nb else []
     c.unpersist()
     if not rows:
         return ToxicModel({}, prior=prior)
-    scores = {bytes(r["w"]): float(min(r["delta"], 8.0)) for r in rows}
-    clean = np.array([r["b"] for r in rows], float) + 0.01
-    rate = float(min(0.5, clean.sum() / max(clean_tokens, 1)))
-    values = np.array(list(scores.values()))
-    model = ToxicModel(scores, _decay(rate, values, clean / clean.sum()), rate, prior)
+    scores = {bytes(r["w"]): r["score"] for r in rows}
+    values, shares = np.array([r["score"] for r in rows]) - COST, np.array([r["n"] for r in rows], float) / clean_tokens
+    rate = float(shares[values > 0].sum())
+    model = ToxicModel(scores, _decay(values, shares), max(rate, 1e-9), prior)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def features():
