@@ -29,12 +29,39 @@ def mixed(seed, n=40):
     return [" ".join(r.choice(["abc", "é", "<|endoftext|>", "the", "..", "it's", "日本", "x1y2", " ", "\n", "aaaaaaa", "\t"]) for _ in range(r.randint(1, 200))) for _ in range(n)]
 
 
+#: Texts in which little or nothing is white space.
+DENSE = ["漢字かな交じり文。" * 40 + "ก่กำลัง" * 30, "a1b2c3" * 60, "abc,def!ghi" * 50, "İ!" * 90, "e\u0301," * 90, "don't'st've" * 40, "<|endoftext|>x<|endof" * 30, "각" * 50 + "한글" * 60, "ΑΣ,ΑΣ" * 60]
+
+
 def test_tokens_as_the_library_counts_them():
     t = Tokenizer.from_file(WORD)
-    for x in ODD + mixed(1):
-        n = len(t.encode(x, add_special_tokens=False))
-        assert [token_counts.count_chunked(t, x, c, o) for c, o in ((40, 4), (100, 16), (10**6, 5))] == [n] * 3
-        assert token_counts.Counter(WORD, 10**6, 9).counts([x, None]) == [n, 0]
+    for size in ((40, 4), (100, 16), (64, 40), (10**6, 5)):
+        c = token_counts.Counter(WORD, *size)
+        texts = [None, *ODD, *DENSE, *mixed(1)]
+        assert c.counts(texts) == [len(t.encode(x or "", add_special_tokens=False)) for x in texts], size
+
+
+def test_texts_without_white_space_take_linear_time():
+    c = token_counts.Counter(WORD)
+    t = Tokenizer.from_file(WORD)
+    for unit in ("漢字", "漢字、", "a", "x1", "ab,"):
+        took = []
+        for n in (100_000, 400_000):
+            text = unit * (n // len(unit))
+            b = time.process_time()
+            got = c.counts([text])[0]
+            took.append(time.process_time() - b)
+            if n == 100_000:
+                assert got == len(t.encode(text, add_special_tokens=False))
+        assert took[1] < 8 * took[0] + 0.5, (unit, took)
+
+
+def test_token_counts_of_a_table(spark):
+    texts = [*ODD, *DENSE, None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    t = Tokenizer.from_file(WORD)
+    want = [(i, len((x or "").encode()), n := len(t.encode(x or "", add_special_tokens=False)), n > 100) for i, x in enumerate(texts)]
+    assert sorted(map(tuple, token_counts.token_counts(docs, WORD, limit=100, chunk=50, overlap=10).collect())) == want
 
 
 def test_bpe_as_the_library_does_it(spark):
