@@ -45,7 +45,8 @@ def price_options(df: DataFrame, price: Column, strike: Column, t: Column, rate:
 
     One formula for both models: the cost of carry is rate - carry on a spot price (Black-Scholes) and 0 where
     `forward` is true (Black 76). No time left: the intrinsic value. No volatility: the discounted intrinsic value of
-    the forward. The delta is then a step and the other Greeks are 0. Shared terms are columns of their own, which keeps the
+    the forward. The delta is then a step and the other Greeks are 0. Theta takes the carry of a spot price off for puts
+    and calls alike. Shared terms are columns of their own, which keeps the
     generated code small.
     """
     c = lambda n: F.col(f"_o_{n}")
@@ -66,7 +67,7 @@ def price_options(df: DataFrame, price: Column, strike: Column, t: Column, rate:
         "delta": pick(c("w") * c("grow") * c("n1"), F.when(ahead > 0, c("w") * c("grow")).otherwise(zero), F.when(now > 0, c("w")).otherwise(zero)),
         "gamma": pick(c("grow") * c("pdf") / (c("s") * c("root")), zero, zero),
         "vega": pick(c("s") * c("grow") * c("pdf") * c("root") / c("v"), zero, zero),
-        "theta": pick(-c("s") * c("grow") * c("pdf") * c("v") * c("v") / (2 * c("root")) - c("r") * second + (c("r") - c("b")) * first, zero, zero),
+        "theta": pick(-c("s") * c("grow") * c("pdf") * c("v") * c("v") / (2 * c("root")) - c("r") * second + F.when(c("f"), c("r") * first).otherwise((c("b") - c("r")) * c("s") * c("grow") * c("n1")), zero, zero),
         "rho": pick(F.when(c("f"), -c("t") * c("price")).otherwise(c("t") * second), zero, zero),
     }
     d = d.withColumns({prefix + k: v for k, v in out.items()})

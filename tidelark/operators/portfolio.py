@@ -21,132 +21,157 @@ def _dim(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else df
 
 
-def resolve(positions: DataFrame, marks: DataFrame, vols: DataFrame, specs: DataFrame, option_marks: DataFrame | None = None, as_of: str = "2026-02-23") -> DataFrame:
-    """positions with price (the underlying's, else the symbol's own), volatilities, multiplier, ticks, class and time to expiry.
-
-    Closed positions, unknown types and positions without a price are left out.
+def resolve(positions: DataFrame, marks: DataFrame, vols: DataFrame, specs: DataFrame, option_marks: DataFrame | None = None, as_of: str = "2026-02-23", rate: float = RATE) -> DataFrame:
+    """Open positions of known types with what valuation and risk need, which follow rules of their own.
+
+    price_mtm: the symbol's own price; of an option the underlying's first. price_risk: the underlying's first for all.
+    vol_mtm: the symbol's own volatility, the position's, 0.2; vol_risk: own, underlying's, position's, 0.2; vol_day: own
+    and, for options, the underlying's, or NULL. Multiplier and ticks of options on futures are those of the underlying
+    (multiplier 1 without a spec; the tick of model prices that of its root, the symbol less three characters, or NULL),
+    of risk moves those of the underlying or the symbol. A position's own rate holds for valuing options on a spot price
+    alone. Expiry is a date or, in risk steps, days first; without either 30 days, and never under a millionth of a year.
     """
     p = positions.where(F.coalesce(F.col("open"), F.lit(True)) & F.col("type").isin("equity", "future", "option"))
-    m, v = _dim(marks), _dim(vols)
-    for col, name in (("underlying_symbol", "und"), ("symbol", "own")):
-        p = p.join(m.select(F.col("symbol").alias(f"_{name}"), F.col("price").alias(f"price_{name}")), F.col(col) == F.col(f"_{name}"), "left").drop(f"_{name}")
-        p = p.join(v.select(F.col("symbol").alias(f"_{name}"), F.col("vol").alias(f"vol_{name}")), F.col(col) == F.col(f"_{name}"), "left").drop(f"_{name}")
-    s = _dim(specs)
-    p = p.join(s.select(F.col("symbol").alias("_s"), F.col("multiplier").alias("spec_mult"), F.col("tick_size").alias("spec_tick"), F.col("asset_class").alias("spec_class")), F.col("symbol") == F.col("_s"), "left").drop("_s")
-    root = F.expr("substring(symbol, 1, greatest(0, length(symbol) - 3))")
-    p = p.withColumn("_root", root).join(s.select(F.col("symbol").alias("_r"), F.col("tick_size").alias("root_tick"), F.col("asset_class").alias("root_class")), F.col("_root") == F.col("_r"), "left").drop("_r", "_root")
-    p = p.withColumn("price", F.coalesce("price_und", "price_own")).where("price IS NOT NULL")
-    equity = (F.col("type") == "equity") | ((F.col("type") == "option") & (F.col("underlying_type") == "equity"))
+    root = lambda c: F.expr(f"substring({c}, 1, greatest(0, length({c}) - 3))")
+    p = p.withColumns({"_und": F.coalesce("underlying_symbol", "symbol"), "_own": F.col("symbol")}).withColumns({"_und_root": root("_und"), "_own_root": root("_own")})
+    m, v, s = _dim(marks), _dim(vols), _dim(specs)
+    looked_up = [(m, "_und", {"price": "price_und"}), (m, "_own", {"price": "price_own"}), (v, "_und", {"vol": "vol_und"}), (v, "_own", {"vol": "vol_own"})]
+    looked_up += [(s, "_und", {"multiplier": "mult_und", "tick_size": "tick_und"}), (s, "_own", {"multiplier": "mult_own"}), (s, "_und_root", {"tick_size": "root_tick"}), (s, "_own_root", {"asset_class": "root_class"})]
+    for dim, key, names in looked_up:
+        p = p.join(dim.select(F.col("symbol").alias("_k"), *(F.col(a).alias(b) for a, b in names.items())), F.col(key) == F.col("_k"), "left").drop("_k")
     option = F.col("type") == "option"
+    on_future = option & F.col("underlying_type").eqNullSafe(F.lit("future"))
+    equity = (F.col("type") == "equity") | F.col("underlying_type").eqNullSafe(F.lit("equity"))
     today = F.to_date(F.lit(as_of))
     by_date, by_days = F.datediff("expiry", today).cast("double"), F.col("expiry_days").cast("double")
+    years = lambda *days: F.greatest(F.coalesce(*days, F.lit(30.0)) / 365, F.lit(1e-6))
+    one, hundred = F.lit(1.0), F.lit(100.0)
     p = p.withColumns(
         {
-            "on_equity": equity,
-            "asset_class": F.when(equity, "Equity").otherwise(F.coalesce(F.nullif("root_class", F.lit("")), F.when(F.col("root_class") == "", "DerivUnknown"), F.lit("Unknown"))),
-            "multiplier": F.when((F.col("type") == "equity"), 1.0).when(option & equity, 100.0).otherwise(F.coalesce("spec_mult", F.lit(1.0))),
-            "t_mtm": F.greatest(F.coalesce(by_date, by_days, F.lit(0.0)), F.lit(0.0)) / 365,
-            "t_sens": F.greatest(F.coalesce(by_days, by_date, F.lit(0.0)) / 365, F.lit(1e-6)),
-            "vol_mtm": F.coalesce("vol_und", "vol_own", "vol", F.lit(0.2)),
-            "vol_day": F.coalesce("vol_own", "vol_und", "vol"),
-            "r": F.coalesce("rate", F.lit(RATE)),
+            "on_future": on_future,
+            "price_risk": F.coalesce("price_und", "price_own"),
+            "price_mtm": F.when(option, F.coalesce("price_und", "price_own")).otherwise(F.col("price_own")),
+            "asset_class": F.when(equity, "Equity").when(F.col("root_class") == "", "DerivUnknown").otherwise(F.coalesce("root_class", F.lit("Unknown"))),
+            "multiplier": F.when(on_future, F.coalesce("mult_und", one)).when(option, hundred).when(F.col("type") == "future", F.coalesce("mult_own", one)).otherwise(one),
+            "mult_risk": F.when(on_future | (F.col("type") == "future"), F.coalesce("mult_und", one)).when(option, hundred).otherwise(one),
+            "model_tick": F.when(on_future, F.col("root_tick")).when(option, F.lit(0.01)),
+            "risk_tick": F.when(on_future | (F.col("type") == "future"), F.coalesce("tick_und", F.lit(0.01))).otherwise(0.01),
+            "t_mtm": years(by_date, by_days),
+            "t_risk": years(by_days, F.greatest(by_date, F.lit(0.0))),
+            "vol_mtm": F.coalesce("vol_own", "vol", F.lit(0.2)),
+            "vol_risk": F.coalesce("vol_own", "vol_und", "vol", F.lit(0.2)),
+            "vol_day": F.when(option, F.coalesce("vol_own", "vol_und")).otherwise(F.col("vol_own")),
+            "rate_mtm": F.when(on_future, F.lit(rate)).otherwise(F.coalesce("rate", F.lit(rate))),
+            "rate_risk": F.lit(rate),
             "carry": F.coalesce("q", F.lit(0.0)),
             "call": F.coalesce(F.lower("option_type") == "call", F.lit(True)),
-            "key": F.when(option, nm.option_key(F.coalesce("underlying_symbol", "symbol"), F.coalesce("expiry", F.date_add(today, F.col("expiry_days"))), F.col("strike"), F.lower("option_type") == "call")),
         }
     )
+    expiry = F.coalesce("expiry", F.date_add(today, F.col("expiry_days")))
+    p = p.withColumn("key", F.when(option & expiry.isNotNull(), nm.option_key(F.col("_und"), expiry, F.col("strike"), F.lower("option_type").startswith("c"))))
+    p = p.drop("_und", "_own", "_und_root", "_own_root")
     if option_marks is None:
         return p.withColumn("mark", F.lit(None).cast("double"))
     om = _dim(option_marks.select(F.col("option_key").alias("key"), F.col("unit_price").alias("mark")))
     return p.join(om, "key", "left")
 
 
-def _priced(df: DataFrame, price: Column, t: str, prefix: str = "_") -> DataFrame:
-    """Black-Scholes on equities, Black on futures."""
-    return nm.price_options(df, price, F.col("strike"), F.col(t), F.col("r"), F.col("vol_mtm"), F.col("carry"), F.col("call"), ~F.col("on_equity"), prefix)
+def _priced(df: DataFrame, price: Column, rule: str, prefix: str = "_") -> DataFrame:
+    """Black on futures, Black-Scholes on all else, by the time, rate and volatility of a rule (mtm, risk, or ladder)."""
+    t, r, v = {"mtm": ("t_mtm", "rate_mtm", "vol_mtm"), "risk": ("t_risk", "rate_risk", "vol_risk"), "ladder": ("t_mtm", "rate_risk", "vol_risk")}[rule]
+    return nm.price_options(df, price, F.col("strike"), F.col(t), F.col(r), F.col(v), F.col("carry"), F.col("call"), F.col("on_future"), prefix)
 
 
 def mark_to_market(resolved: DataFrame) -> DataFrame:
-    """One row a position: model price, entry, profit, market value, notional, Greeks in units of the book, and how the model's price meets the mark.
+    """One row a position with a price: model price, entry, profit, market value, notional, Greeks in units of the book, and how the model's price meets the mark.
 
-    A future's market value is its profit, and its entry the price if it has none; an equity without an entry has no
-    profit. Option prices are rounded to ticks before the profit; an option on a future without a tick for its root
-    keeps NULL values and error says so.
+    A future's market value is its profit, and its entry the price if it has none; an equity or option without an entry
+    has no profit. Option prices are rounded to ticks before the profit; an option on a future without a tick for its
+    root keeps NULL values and error says so. Equities and futures have a delta and no other Greeks.
     """
     option = F.col("type") == "option"
-    tick = F.when(F.col("on_equity"), F.lit(0.01)).otherwise(F.col("root_tick"))
-    d = _priced(resolved, F.col("price"), "t_mtm").withColumn("model_tick", F.when(option, tick))
-    model = F.when(option, F.when(F.col("model_tick").isNotNull(), nm.tick_round(F.col("_price"), F.col("model_tick")))).otherwise(F.col("price"))
-    d = d.withColumn("unit_price", model)
-    entry = F.when(F.col("type") == "future", F.coalesce("trade_price", "price")).otherwise(F.col("trade_price"))
+    d = _priced(resolved.withColumn("price", F.col("price_mtm")).where("price IS NOT NULL"), F.col("price"), "mtm")
+    d = d.withColumn("unit_price", F.when(option, F.when(F.col("model_tick").isNotNull(), nm.tick_round(F.col("_price"), F.col("model_tick")))).otherwise(F.col("price")))
     size = F.col("quantity") * F.col("multiplier")
-    d = d.withColumn("entry", entry).withColumn("pnl", (F.col("unit_price") - F.when(option, F.coalesce("entry", F.lit(0.0))).otherwise(F.col("entry"))) * size)
+    d = d.withColumn("entry", F.when(F.col("type") == "future", F.coalesce("trade_price", "price")).otherwise(F.col("trade_price")))
+    d = d.withColumn("pnl", (F.col("unit_price") - F.col("entry")) * size)
     d = d.withColumn("market_value", F.when(F.col("type") == "future", F.col("pnl")).otherwise(F.col("unit_price") * size))
     d = d.withColumn("gross_notional", F.abs(F.col("price") * size))
-    unit = {"delta": 1.0, "gamma": 0.0, "vega": 0.0, "theta": 0.0, "rho": 0.0}
-    greeks = F.struct(*(F.when(option, F.col(f"_{k}")).otherwise(F.lit(v)).__mul__(size).alias(k) for k, v in unit.items()))
-    diff = nm.tick_round(F.col("unit_price") - F.col("mark"), F.col("model_tick"))
-    pct = F.when(F.col("mark") == 0, F.lit(float("inf"))).otherwise(100 * F.bround(F.try_divide(diff, F.col("mark")), 4))
-    d = d.withColumns({"greeks": greeks, "validation": F.struct(F.col("mark"), F.when(F.col("mark").isNotNull(), diff).alias("diff"), F.when(F.col("mark").isNotNull(), pct).alias("pct")), "error": F.when(option & F.col("model_tick").isNull(), "no tick size for the contract's root")})
-    return d.drop("_price", *(f"_{k}" for k in unit))
+    unit = ("delta", "gamma", "vega", "theta", "rho")
+    greeks = F.struct(*((F.when(option, F.col(f"_{k}")).otherwise(F.lit(1.0 if k == "delta" else None)) * size).alias(k) for k in unit))
+    d = d.withColumn("greeks", greeks).withColumn("delta_notional", F.col("greeks.delta") * F.col("price"))
+    diff = F.when(F.col("mark").isNotNull(), nm.tick_round(F.col("unit_price") - F.col("mark"), F.col("model_tick")))
+    d = d.withColumn("_diff", diff)
+    pct = F.when(F.col("mark") == 0, F.when(F.col("_diff").isNotNull(), F.lit(float("inf")))).otherwise(100 * F.bround(F.try_divide("_diff", "mark"), 4))
+    d = d.withColumns({"validation": F.struct("mark", F.col("_diff").alias("diff"), pct.alias("pct")), "error": F.when(option & F.col("model_tick").isNull(), "no tick size for the contract's root")})
+    return d.drop("_price", "_diff", *(f"_{k}" for k in unit))
 
 
 def sensitivities(resolved: DataFrame, pct_move: float = 0.01) -> DataFrame:
-    """resolved with what a relative move and a one-day move of the volatility make in cash, linear and convex parts.
+    """resolved with base and vol_1d: what a relative move and a one-day move of the volatility make in cash, and their linear and convex parts.
 
-    Moves are of whole ticks, at least one; NULL without a volatility.
+    Moves are of whole ticks, at least one. Without a price base is 0; vol_1d is NULL without a price or volatility.
     """
     option = F.col("type") == "option"
-    tick = F.when(F.col("on_equity"), F.lit(0.01)).otherwise(F.coalesce("spec_tick", F.lit(0.01)))
-    size = F.col("quantity") * F.col("multiplier")
-    d = _priced(resolved, F.col("price"), "t_sens").drop("_price", "_vega", "_theta", "_rho")
-    d = d.withColumns({"_delta": F.when(option, F.col("_delta")).otherwise(1.0), "_gamma": F.when(option, F.col("_gamma")).otherwise(0.0), "_tick": tick})
-    d = d.withColumn("pct_step", nm.at_least_a_tick(F.col("price") * pct_move, F.col("_tick"))).withColumn("day_step", nm.at_least_a_tick(F.col("vol_day") * F.col("price") / F.sqrt(F.lit(252.0)), F.col("_tick")))
+    price, size = F.col("price_risk"), F.col("quantity") * F.col("mult_risk")
+    d = _priced(resolved, price, "risk").drop("_price", "_vega", "_theta", "_rho")
+    d = d.withColumns({"_delta": F.when(option, F.col("_delta")).otherwise(1.0), "_gamma": F.when(option, F.col("_gamma")).otherwise(0.0)})
+    daily = F.when(F.col("vol_day") > 0, F.col("vol_day") * price / F.sqrt(F.lit(252.0)))
+    d = d.withColumn("pct_step", nm.at_least_a_tick(price * pct_move, F.col("risk_tick"))).withColumn("day_step", nm.at_least_a_tick(daily, F.col("risk_tick")))
     for name in ("pct", "day"):
         step = F.col(f"{name}_step")
         d = d.withColumn(f"{name}_linear", F.col("_delta") * step * size).withColumn(f"{name}_convex", F.col("_gamma") * step * step / 2 * size)
-    return d.drop("_delta", "_gamma", "_tick")
+    d = d.withColumns({"base": F.coalesce(F.col("pct_linear") + F.col("pct_convex"), F.lit(0.0)), "vol_1d": F.col("day_linear") + F.col("day_convex")})
+    return d.drop("_delta", "_gamma")
 
 
 def ladder(resolved: DataFrame, bumps: list[float]) -> DataFrame:
     """(book_id, pos_no, bump, value): value of every position with the price moved by each bump, not rounded to ticks.
 
-    The bumps are few and given, and multiply the rows by their number. Entries default to 0 for options, to the mark
-    for futures.
+    An equity's value is quantity times price; a future's is its profit, from its price before the bump if it has no
+    entry; an option's is its profit, from 0 if it has none. Without a price the value is 0. The bumps are few and
+    given, and multiply the rows by their number.
     """
     d = resolved.withColumn("bump", F.explode(F.array(*(F.lit(float(b)) for b in bumps))))
-    moved = F.col("price") + F.col("bump")
-    size = F.col("quantity") * F.col("multiplier")
-    d = _priced(d, moved, "t_mtm")
-    option = F.col("_price")
-    value = F.when(F.col("type") == "option", (option - F.coalesce("trade_price", F.lit(0.0))) * size)
-    value = value.when(F.col("type") == "future", (moved - F.coalesce("trade_price", "price")) * size).otherwise((moved - F.coalesce("trade_price", F.lit(0.0))) * size)
+    moved, size = F.col("price_risk") + F.col("bump"), F.col("quantity") * F.col("multiplier")
+    d = _priced(d, moved, "ladder")
+    value = F.when(F.col("type") == "option", (F.col("_price") - F.coalesce("trade_price", F.lit(0.0))) * size)
+    value = value.when(F.col("type") == "future", (moved - F.coalesce("trade_price", "price_risk")) * size).otherwise(moved * size)
     return d.select("book_id", "pos_no", "bump", F.coalesce(value, F.lit(0.0)).alias("value"))
 
 
 def views(mtm: DataFrame) -> DataFrame:
-    """(view, name, market_value, gross_notional, pnl, n) by asset class, by equity and derivative (both always), and in all."""
-    b = mtm.withColumn("bucket", F.when(F.col("asset_class") == "Equity", "equity").otherwise("derivative"))
+    """(view, name, market_value, gross_notional, pnl, n) by asset class, by equities and derivatives (both always; options are derivatives), and in all."""
+    b = mtm.withColumn("bucket", F.when(F.col("type") == "equity", "EQUITY").otherwise("DERIVATIVE"))
     sums = [F.sum(F.coalesce(c, F.lit(0.0))).alias(c) for c in ("market_value", "gross_notional", "pnl")]
     g = b.groupingSets([["asset_class"], ["bucket"], []], "asset_class", "bucket").agg(*sums, F.count("*").alias("n"), F.grouping_id().alias("g"))
     g = g.select(F.when(F.col("g") == 1, "asset_class").when(F.col("g") == 2, "bucket").otherwise("total").alias("view"), F.coalesce(F.when(F.col("g") == 1, F.col("asset_class")), F.when(F.col("g") == 2, F.col("bucket")), F.lit("all")).alias("name"), "market_value", "gross_notional", "pnl", "n")
-    both = mtm.sparkSession.createDataFrame([("bucket", "equity"), ("bucket", "derivative")], "view string, name string")
+    both = mtm.sparkSession.createDataFrame([("bucket", "EQUITY"), ("bucket", "DERIVATIVE")], "view string, name string")
     missing = both.join(g, ["view", "name"], "left_anti").select("view", "name", *(F.lit(0.0).alias(c) for c in ("market_value", "gross_notional", "pnl")), F.lit(0).cast("long").alias("n"))
     return g.unionByName(missing)
 
 
 def pnl_breakdown(mtm: DataFrame, by: list[str]) -> DataFrame:
     """Profit in all, on equities and on everything else; positions without a profit count as 0."""
-    p, e = F.coalesce("pnl", F.lit(0.0)), F.col("asset_class") == "Equity"
+    p, e = F.coalesce("pnl", F.lit(0.0)), F.col("type") == "equity"
     return mtm.groupBy(*by).agg(F.sum(p).alias("total"), F.sum(F.when(e, p).otherwise(0.0)).alias("equity"), F.sum(F.when(e, 0.0).otherwise(p)).alias("other"))
 
 
 def reconcile(mtm: DataFrame, tolerance: float = 1e-6) -> DataFrame:
-    """(type, n, mismatches, max_diff): market values against a recomputation from entries, marks and sizes."""
-    size = F.col("quantity") * F.col("multiplier")
-    again = F.when(F.col("type") == "equity", F.col("price") * size).when(F.col("type") == "future", (F.col("price") - F.coalesce("trade_price", "price")) * size).otherwise(F.col("pnl") + F.coalesce("trade_price", F.lit(0.0)) * size)
-    d = F.abs(F.col("market_value") - again)
-    return mtm.where("market_value IS NOT NULL").groupBy("type").agg(F.count("*").alias("n"), F.count_if(d > tolerance * F.greatest(F.abs("market_value"), F.lit(1.0))).alias("mismatches"), F.max(d).alias("max_diff"))
+    """(type, n, mismatches, max_diff, marks, off_mark): market values against values made anew from the inputs.
+
+    Options are priced by parity from the opposite option. off_mark counts those of the options with a mark whose
+    price made anew is a tick or more away from it.
+    """
+    size, w = F.col("quantity") * F.col("multiplier"), F.when(F.col("call"), 1.0).otherwise(-1.0)
+    d = nm.price_options(mtm, F.col("price"), F.col("strike"), F.col("t_mtm"), F.col("rate_mtm"), F.col("vol_mtm"), F.col("carry"), ~F.col("call"), F.col("on_future"), "_opp_")
+    ahead = F.col("price") * F.exp(-F.when(F.col("on_future"), F.col("rate_mtm")).otherwise(F.col("carry")) * F.col("t_mtm")) - F.col("strike") * F.exp(-F.col("rate_mtm") * F.col("t_mtm"))
+    d = d.withColumn("_again", nm.tick_round(F.col("_opp_price") + w * ahead, F.col("model_tick")))
+    again = F.when(F.col("type") == "option", F.col("_again") * size).when(F.col("type") == "future", (F.col("price") - F.coalesce("trade_price", "price")) * size).otherwise(F.col("price") * F.col("quantity"))
+    d = d.where("market_value IS NOT NULL").withColumn("_off", F.abs(F.col("market_value") - again))
+    bad = F.col("_off") > tolerance * F.greatest(F.abs("market_value"), F.lit(1.0))
+    off_mark = F.abs(F.col("mark") - F.col("_again")) >= F.col("model_tick") / 2
+    return d.groupBy("type").agg(F.count("*").alias("n"), F.count_if(bad).alias("mismatches"), F.max("_off").alias("max_diff"), F.count("mark").alias("marks"), F.count_if(off_mark).alias("off_mark"))
 
 
 def move_exposures(df: DataFrame, pct: float = 0.01) -> DataFrame:
