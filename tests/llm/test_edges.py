@@ -94,6 +94,29 @@ def test_stages_keep_columns(spark, docs, bench, empty, name):
     assert f(empty).collect() == [] and f(empty).columns == empty.columns
 
 
+def test_encoded_stage(spark, docs, empty):
+    import hashlib
+
+    import corpus_pipeline
+
+    rows = corpus_pipeline.encoded(spark, docs, "").collect()
+    assert sorted(str(r.doc_id) for r in rows) == sorted(str(r[0]) for r in ROWS)
+    of = {r.doc_id: r for r in rows}
+    nothing = hashlib.sha256(b"").hexdigest()
+    for i in (2, 3):
+        assert (of[i].n_tokens, of[i].ids_sha256, of[i].decoded_sha256) == (0, nothing, nothing)
+    assert of[5].decoded_sha256 == hashlib.sha256(LONG.encode()).hexdigest() and of[5].n_tokens > 60_000
+    assert of[None][1:] == of[1][1:]
+    assert corpus_pipeline.encoded(spark, empty, "").collect() == []
+
+
+def test_the_kept_copy_is_determined(spark):
+    rows = [(1, "a b c d", x) for x in "zxyw"] + [(2, "a b c d", "v"), (3, "other words stand here", "u")]
+    for n in (1, 2, 5):
+        d = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(n)
+        assert sorted(map(tuple, simhash.keep_one(d).collect())) == [(1, "a b c d", "w"), (3, "other words stand here", "u")]
+
+
 def test_defined_values(spark, docs, labels, bench):
     score = {r.doc_id: r.score for r in quality.score_quality(docs, quality.fit_quality(docs, labels, F.lit(True))).collect()}
     assert score[2] == score[3] == 0.0 and all(0 <= x <= 1 for x in score.values())

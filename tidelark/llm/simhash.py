@@ -186,13 +186,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> DataFrame:
     """docs without the near copies: of each component the row with the least id stays, whole and with all its columns.
 
-    Of rows that share this id (repeated rows) one stays. A row whose id is NULL can't be told from its copies and
-    stays.
+    Of rows that share this id (repeated rows) one stays, the first by the hash of its text and, in ties, by the other
+    columns as JSON. A row whose id is NULL can't be told from its copies and stays. An empty table stays empty.
     """
     found = near_duplicates(docs, id_col, text_col, bits)
     keep = found.where(F.col(id_col) == F.col("component")).select(F.col(id_col).alias("_keep")).distinct()
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col(f"`{id_col}`").alias("_keep"))
-    first = Window.partitionBy("_keep").orderBy(F.xxhash64(F.col(f"_row.`{text_col}`")))
+    others = F.to_json(F.struct(*(F.col(f"_row.`{c}`") for c in docs.columns if c != text_col)))
+    first = Window.partitionBy("_keep").orderBy(F.xxhash64(F.col(f"_row.`{text_col}`")), others, F.col(f"_row.`{text_col}`"))
     named = packed.join(keep, "_keep").withColumn("_nth", F.row_number().over(first)).where("_nth = 1")
     return named.select("_row.*").unionByName(docs.where(F.col(f"`{id_col}`").isNull()))
 
