@@ -47,7 +47,7 @@ def dated(instruments: DataFrame, calendar: DataFrame) -> DataFrame:
     d = d.withColumns({"t": dt.act_360(F.col("trade_date"), F.col("mat")), "te": dt.act_360(F.col("trade_date"), F.col("effective")), "t1": dt.act_360(F.col("trade_date"), F.col("_fut.start"))})
     d = d.withColumn("alpha", F.when(F.col("type") == "Future", dt.act_360(F.col("_fut.start"), F.col("_fut.end"))).when(F.col("type") == "Swap", dt.act_360(F.col("effective"), F.col("mat"))))
     long = _coupons(d.where((F.col("type") == "Swap") & (F.col("mat") > F.col("one_year"))), calendar, keys).select(*keys, "coupons")
-    d = d.join(long, keys, "left").select(*keys, "mat", "t", "te", "t1", "alpha", "coupons")
+    d = d.join(long, keys, "left").join(F.broadcast(calendar.select(F.col("d").alias("mat"), "prev_bd")), "mat", "left").select(*keys, "mat", "prev_bd", "t", "te", "t1", "alpha", "coupons")
     return instruments.join(F.broadcast(d), keys)  # as many as there are different tenors a day
 
 
@@ -89,7 +89,7 @@ def curve_rows(instruments: DataFrame, params: DataFrame, calendar: DataFrame) -
     i = dated(instruments.na.drop(subset=["type"]), calendar).where("t IS NOT NULL")
     i = i.join(params, ["curve_id", "trade_date"], "left").withColumns({"hw_a": F.coalesce("hw_a", F.lit(HW_A)), "hw_sigma": F.coalesce("hw_sigma", F.lit(HW_SIGMA))})
     i = i.withColumn("ca", F.when(F.col("type") == "Future", nm.hull_white_convexity(F.col("hw_a"), F.col("hw_sigma"), F.col("t1"), F.col("t"))).otherwise(F.lit(0.0)))
-    x = F.struct("t", "symbol", "type", "quote", "te", "t1", "alpha", "ca", "coupons", "mat")
+    x = F.struct("t", "symbol", "type", "quote", "te", "t1", "alpha", "ca", "coupons", "mat", "prev_bd")
     return i.groupBy("curve_id", "trade_date").agg(F.array_sort(F.collect_list(x)).alias("xs"))  # some tens of instruments
 
 
@@ -101,25 +101,30 @@ def bootstrap(rows: DataFrame) -> DataFrame:
 
 
 def pillars(curves: DataFrame) -> DataFrame:
-    """(curve_id, trade_date, pillar_no, symbol, mat, t, df, zero, flat, error_bp): one row a pillar, with the error of repricing its instrument."""
+    """(curve_id, trade_date, pillar_no, symbol, mat, t, df, zero, forward_1d, flat, error_bp): one row a pillar, with the rate of the business day that ends at it and the error of repricing its instrument."""
     p = curves.where("status IS NULL").select("curve_id", "trade_date", "ts", "ls", F.posexplode("xs").alias("n", "x"))
     at = lambda t: _df(F.col("ts"), F.col("ls"), t)
     df = F.exp(F.element_at("ls", F.col("n") + 2))
     days = F.datediff("x.mat", "trade_date")
+    overnight = 100 * (at(dt.act_360(F.col("trade_date"), F.col("x.prev_bd"))) / df - 1) / dt.act_360(F.col("x.prev_bd"), F.col("x.mat"))
     annuity = F.aggregate("x.coupons", F.lit(0.0), lambda s, c: s + c["alpha"] * at(c["t"]))
     model = F.when(F.col("x.type") == "Rate", 100 * (1 / df - 1) / F.col("x.t")).when(F.col("x.type") == "Future", 100 * (1 - (at(F.col("x.t1")) / df - 1) / F.col("x.alpha") - F.col("x.ca")))
     model = model.when(F.col("x.coupons").isNull(), 100 * (at(F.col("x.te")) / df - 1) / F.col("x.alpha")).otherwise(100 * (at(F.col("x.te")) - df) / annuity)
-    out = p.select("curve_id", "trade_date", (F.col("n") + 1).alias("pillar_no"), "x.symbol", "x.mat", "x.t", df.alias("df"), nm.zero_rate(df, F.col("x.t")).alias("zero"), (100 * 360 * (F.pow(1 / df, 1 / days) - 1)).alias("flat"), (100 * (model - F.col("x.quote"))).alias("error_bp"))
+    out = p.select("curve_id", "trade_date", (F.col("n") + 1).alias("pillar_no"), "x.symbol", "x.mat", "x.t", df.alias("df"), nm.zero_rate(df, F.col("x.t")).alias("zero"), overnight.alias("forward_1d"), (100 * 360 * (F.pow(1 / df, 1 / days) - 1)).alias("flat"), (100 * (model - F.col("x.quote"))).alias("error_bp"))
     return out
 
 
+#: Forwards below this are flagged.
+LEAST_FORWARD = -0.05
+
+
 def fit_quality(curves: DataFrame) -> DataFrame:
-    """One row a curve: greatest repricing error, least discount factor, range of zero rates, number and end of pillars, and least forward over 20 steps."""
+    """One row a curve: greatest repricing error, least discount factor, range of zero rates, number and end of pillars, and the least of 20 instantaneous forwards from half a year to the end, with a flag if it is under LEAST_FORWARD."""
     p = pillars(curves).groupBy("curve_id", "trade_date").agg(F.max(F.abs("error_bp")).alias("max_error_bp"), F.min("df").alias("min_df"), F.max("zero").alias("max_zero"), F.min("zero").alias("min_zero"), F.count("*").alias("pillars"), F.max("t").alias("last_t"))
     f = curves.where("status IS NULL").select("curve_id", "trade_date", "ts", "ls", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("k"))
-    a, z = F.element_at("ts", -1) * F.col("k") / 20, F.element_at("ts", -1) * (F.col("k") + 1) / 20
-    f = f.groupBy("curve_id", "trade_date").agg(F.min((nm.log_df(F.col("ts"), F.col("ls"), a) - nm.log_df(F.col("ts"), F.col("ls"), z)) / (z - a)).alias("min_forward"))
-    return p.join(f, ["curve_id", "trade_date"])
+    t = 0.5 + (F.element_at("ts", -1) - 0.5) * F.col("k") / 19
+    f = f.groupBy("curve_id", "trade_date").agg(F.min(nm.instantaneous_forward(F.col("ts"), F.col("ls"), t)).alias("min_forward"))
+    return p.join(f.withColumn("negative_forward", F.col("min_forward") < LEAST_FORWARD), ["curve_id", "trade_date"])
 
 
 def bucket_dv01(rows: DataFrame, bump_bp: float = 1.0) -> DataFrame:

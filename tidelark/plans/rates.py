@@ -8,6 +8,7 @@ from ..functions import dates as dt
 from ..functions import numeric as nm
 from ..operators import curves as c
 from ..operators import policy as po
+from . import curve_sql as cs
 from .dates import CAL, calendar
 from .panel import rounded
 from .tables import read
@@ -50,39 +51,54 @@ def curves(spark, d):
     return c.bootstrap(rows(spark, d))
 
 
-@query("c1_bootstrap")
+CURVES = f"WITH RECURSIVE {cs.instruments(TRADE, TENORS)}, {cs.bootstrap('cv')}"
+
+
+@query("c1_bootstrap", CURVES + f" SELECT curve_id, DATE '{TRADE}' AS trade_date, status, round(t, 8) AS t, round(exp(l), 8) AS df FROM (SELECT curve_id, status, unnest(ts) AS t, unnest(ls) AS l FROM cv) p")
 def bootstrap(spark, d):
     b = curves(spark, d)
     return b.select("curve_id", "trade_date", "status", F.explode(F.arrays_zip("ts", "ls")).alias("p")).select("curve_id", "trade_date", "status", F.round("p.ts", 8).alias("t"), F.round(F.exp("p.ls"), 8).alias("df"))
 
 
-@query("c2_pillars")
+@query("c2_pillars", CURVES + f", {cs.pillar_table('cv')} SELECT curve_id, trade_date, pillar_no, symbol, mat, round(t, 6) AS t, round(df, 6) AS df, round(zero, 6) AS zero, round(forward_1d, 6) AS forward_1d, round(flat, 6) AS flat, round(abs(error_bp), 6) AS error_bp FROM pil")
 def pillars(spark, d):
-    return rounded(c.pillars(curves(spark, d)))
+    return rounded(c.pillars(curves(spark, d)).withColumn("error_bp", F.abs("error_bp")))
+
 
+FORWARD = f"(-({cs.log_df('(tk + 1e-6)')} - {cs.log_df('greatest(tk - 1e-6, 0.0)')}) / 2e-6)"
 
-@query("g18_fit_quality")
+
+@query("g18_fit_quality", CURVES + f""", {cs.pillar_table('cv')}, fw AS (SELECT curve_id, min({FORWARD}) AS f FROM (SELECT curve_id, ts, ls, 0.5 + (ts[-1] - 0.5) * k / 19.0::DOUBLE AS tk FROM cv, range(0, 20) r(k) WHERE status IS NULL) p GROUP BY curve_id)
+SELECT curve_id, trade_date, round(max(abs(error_bp)), 6) AS max_error_bp, round(min(df), 6) AS min_df, round(max(zero), 6) AS max_zero, round(min(zero), 6) AS min_zero, count(*) AS pillars, round(max(t), 6) AS last_t, round(any_value(f), 6) AS min_forward, any_value(f) < -0.05 AS negative_forward FROM pil JOIN fw USING (curve_id) GROUP BY curve_id, trade_date""")
 def quality(spark, d):
     return rounded(c.fit_quality(curves(spark, d)))
 
 
-@query("c3_bucket_dv01")
+@query("c3_bucket_dv01", CURVES + f""", kk AS (SELECT cu.*, k FROM cu, range(0, {len(TENORS)}) r(k)), {cs.bootstrap('bp', 'kk', 'curve_id, k', "CASE WHEN i = k THEN 0.01::DOUBLE ELSE 0 END")}
+SELECT curve_id, DATE '{TRADE}' AS trade_date, symbol, CASE WHEN bp.status IS NULL THEN round_even(list_sum(list_transform(range(1, len(bp.ls) + 1), lambda j: exp(bp.ls[j]) - exp(cv.ls[j]))), 8) END AS dv01 FROM bp JOIN cv USING (curve_id) JOIN ins ON ins.i = k WHERE cv.status IS NULL""")
 def dv01(spark, d):
     return c.bucket_dv01(rows(spark, d))
 
 
-@query("c4_tenor_grid")
+@query("c4_tenor_grid", CURVES + f", {cs.grid(c.GRID)}, {cs.repriced('cv', 'rp')} SELECT curve_id, trade_date, tenor, mat, round(df, 6) AS df, round(par, 6) AS par, round(forward_1d, 6) AS forward_1d, round(flat, 6) AS flat FROM rp")
 def grid(spark, d):
     return rounded(c.reprice_grid(curves(spark, d), calendar(spark)))
 
 
-@query("c5_meeting_prices")
+UNIT = lambda x: f"round_even(greatest(0, least(1, {x})) * 100, 1)"
+
+
+@query("c5_meeting_prices", CURVES + f""", mt AS (SELECT meeting_date, next_bd AS effective_date FROM (VALUES {', '.join(f"(DATE '{m}')" for m in MEETINGS)}) v(meeting_date) JOIN cal ON cal.d = meeting_date),
+mr AS (SELECT curve_id, meeting_date, effective_date, effective_date - meeting_date AS n, ({cs.df("(meeting_date - DATE '2026-02-23') / 360.0::DOUBLE")} / {cs.df("(effective_date - DATE '2026-02-23') / 360.0::DOUBLE")} - 1) * 360 / (effective_date - meeting_date) AS r FROM cv, mt WHERE status IS NULL)
+SELECT curve_id, DATE '{TRADE}' AS trade_date, meeting_date, effective_date, n::INT AS window_days, round_even(r * 100, 4) AS implied_pct, round_even((r - 0.03625::DOUBLE) * 10000, 2) AS diff_bp, {UNIT('(0.03625::DOUBLE - r) / 0.0025::DOUBLE')} AS p_cut_pct, {UNIT('(r - 0.03625::DOUBLE) / 0.0025::DOUBLE')} AS p_hike_pct,
+ 3.375::DOUBLE AS rate_if_cut, 3.875::DOUBLE AS rate_if_hike, 3.625::DOUBLE AS rate_if_hold FROM mr""")
 def meeting_prices(spark, d):
     m = spark.createDataFrame([(x,) for x in MEETINGS], "d string").select(F.to_date("d").alias("meeting_date"))
     return c.price_meetings(curves(spark, d), m, calendar(spark), 0.03625)
 
 
-@query("j16_curve_comparison")
+@query("j16_curve_comparison", CURVES + f""", {cs.bootstrap('mv', bump="CASE WHEN type = 'Swap' THEN 0.01::DOUBLE ELSE 0 END")}, {cs.grid(c.GRID)}, {cs.repriced('cv', 'ra')}, {cs.repriced('mv', 'rb')}, df AS (SELECT tenor, abs(rb.par - ra.par) * 100 AS x FROM ra JOIN rb USING (curve_id, tenor))
+SELECT tenor, round(max(x), 4) AS max_abs, round(avg(x), 4) AS mean_abs, count(*) FILTER (x > 1e-6) AS mismatches, count(*) AS n FROM df GROUP BY tenor""")
 def curve_comparison(spark, d):
     a = c.reprice_grid(curves(spark, d), calendar(spark)).select("curve_id", "trade_date", "tenor", "par")
     moved = instruments(spark, d).withColumn("quote", F.when(F.col("type") == "Swap", F.col("quote") + 0.01).otherwise(F.col("quote")))
