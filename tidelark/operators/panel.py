@@ -55,7 +55,8 @@ def first_values(prices: DataFrame, order: str) -> DataFrame:
 
 
 def pivot(prices: DataFrame, symbols: list[str]) -> DataFrame:
-    return prices.groupBy("date").pivot("symbol", symbols).agg(F.first("price"))
+    """A column a symbol; fails if a date and symbol come twice."""
+    return prices.groupBy("date").pivot("symbol", symbols).agg(F.when(F.count(F.lit(1)) > 1, F.raise_error(F.lit("a date and symbol come twice"))).otherwise(F.first("price")))
 
 
 def spine(prices: DataFrame) -> DataFrame:
@@ -144,7 +145,10 @@ def size_contracts(positions: DataFrame, capital: float) -> DataFrame:
     """positions (weight, unit_value, ...) with contracts (rounded to a tenth half-even, then cut to whole) and the realised share of exposure."""
     c = F.bround(F.col("weight") * capital / F.col("unit_value"), 1).cast("int")
     p = positions.withColumn("contracts", c).withColumn("exposure", F.col("contracts") * F.col("unit_value"))
-    return p.withColumn("share", F.col("exposure") / F.sum("exposure").over(Window.partitionBy(F.col("book") if "book" in positions.columns else F.lit(0))))
+    if "book" in positions.columns:
+        return p.withColumn("share", F.col("exposure") / F.sum("exposure").over(Window.partitionBy("book")))
+    total = p.agg(F.sum("exposure").alias("_total"))  # one row
+    return p.join(F.broadcast(total)).withColumn("share", F.col("exposure") / F.col("_total")).drop("_total")
 
 
 def regression(df: DataFrame, y: str, x: str, by: list[str]) -> DataFrame:

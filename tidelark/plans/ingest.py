@@ -38,9 +38,9 @@ def etf(spark, d):
     return g.parse_etf(raw).withColumn("trading_date", F.col("trading_date").cast("timestamp_ntz"))
 
 
-@query("s8_meeting_calendar", "SELECT DISTINCT CAST(o_orderdate AS DATE) AS meeting_date FROM orders WHERE day(o_orderdate) < 8 AND CAST(o_orderdate AS DATE) >= DATE '1995-06-01'")
+@query("s8_meeting_calendar", "SELECT DISTINCT CAST(o_orderdate AS DATE) AS meeting_date FROM orders WHERE CAST(o_orderdate AS DATE) >= DATE '1995-06-01'")
 def meetings(spark, d):
-    raw = read(spark, d, "orders").where("day(o_orderdate) < 8").select(F.year("o_orderdate").alias("Year"), F.month("o_orderdate").alias("Month"), F.dayofmonth("o_orderdate").alias("Day"))
+    raw = read(spark, d, "orders").select(F.year("o_orderdate").alias("Year"), F.month("o_orderdate").alias("Month"), F.dayofmonth("o_orderdate").alias("Day"))
     return g.meeting_calendar(raw, "1995-06-01")
 
 
@@ -52,13 +52,13 @@ def auctions(spark, d):
     return g.parse_auctions(raw).select("cusip", "issue_date", "coupon", F.col("accepted").cast("double").alias("accepted"))
 
 
-CF = """bk AS (SELECT p_partkey, p_brand, p_size, p_retailprice, p_partkey % 8 AS e FROM part WHERE p_partkey % 7 <> 0)"""
+CF = """bk AS (SELECT p_partkey, p_brand, p_size, p_retailprice, p_partkey % 8 AS e FROM part)"""
 
 
 @query("s12_s13_contract_blocks", f"""WITH {CF}, r AS (SELECT upper(p_brand) || ' FUTURES CONTRACT' AS contract, (p_size + e / 8.0::DOUBLE) / 100 AS coupon, 'Q' || p_partkey AS cusip, 0.85::DOUBLE + p_size / 500.0::DOUBLE AS m1, CASE WHEN p_partkey % 5 <> 0 THEN 0.9::DOUBLE + p_size / 500.0::DOUBLE END AS m2 FROM bk)
 SELECT contract, round(coupon, 8) AS coupon, cusip, 'Mar-2026' AS delivery_month, round(m1, 6) AS cf FROM r UNION ALL SELECT contract, round(coupon, 8), cusip, 'Jun-2026', round(m2, 6) FROM r""")
 def blocks(spark, d):
-    part = read(spark, d, "part").where("p_partkey % 7 <> 0")
+    part = read(spark, d, "part")
     cols = ["c1", "c2", "c3", "c4", "c5", "c6", "c7", "Mar-2026", "Jun-2026"]
     none = lambda n: [F.lit(None).cast("string").alias(c) for c in n]
     heads = part.select(F.col("p_brand").alias("b")).distinct().select(F.col("b").alias("sheet_id"), F.lit(0).cast("long").alias("pos"), F.concat(F.upper("b"), F.lit(" FUTURES CONTRACT")).alias("c1"), *none(cols[1:]))
@@ -71,6 +71,16 @@ def blocks(spark, d):
     return out.select("contract", F.round("coupon", 8).alias("coupon"), "cusip", "delivery_month", F.round("cf", 6).alias("cf"))
 
 
+@query("s12_one_contract", f"""WITH {CF} SELECT 'BRAND#7 FUTURES CONTRACT' AS contract, 'Q' || p_partkey AS cusip, p_partkey::VARCHAR AS row_no FROM bk WHERE p_brand = 'Brand#7'""")
+def one_contract(spark, d):
+    part = read(spark, d, "part").select(F.col("p_brand").alias("b"), "p_partkey")
+    n = F.substring("b", 7, 3).cast("long") * 10_000_000
+    text = lambda c: F.lit(None).cast("string").alias(c)
+    heads = part.select("b").distinct().select(F.lit("s").alias("sheet_id"), n.alias("pos"), F.concat(F.upper("b"), F.lit(" FUTURES CONTRACT")).alias("c1"), text("c2"), text("c6"))
+    rows = part.select(F.lit("s").alias("sheet_id"), (n + 1 + F.col("p_partkey")).alias("pos"), text("c1"), F.col("p_partkey").cast("string").alias("c2"), F.concat(F.lit("Q"), F.col("p_partkey").cast("string")).alias("c6"))
+    return g.contract_block(heads.unionByName(rows), "BRAND#7 ").select("contract", F.col("c6").alias("cusip"), F.col("c2").alias("row_no"))
+
+
 @query("s14_symbols", "SELECT p_brand AS ticker, '/' || arg_max(p_type, p_partkey) AS symbol, arg_max(p_name, p_partkey) AS description FROM part WHERE p_partkey % 10 <> 0 GROUP BY p_brand")
 def symbols(spark, d):
     line = F.when(F.col("p_partkey") % 20 == 0, "# note, text").when(F.col("p_partkey") % 10 == 0, "  ").otherwise(F.concat(F.col("p_brand"), F.lit(",/"), F.col("p_type"), F.lit(", "), F.col("p_name")))

@@ -100,30 +100,37 @@ def corr(spark, d):
     return rounded(p.correlation(p.log_returns(prices(spark, d))))
 
 
+#: The weights by Gauss-Jordan steps on every date's matrix with a column of ones; mat: dates with their full matrices as lists.
+COVARIANCES = RET + PAIRS + """, cv AS (SELECT date, sym_i, sym_j, cov FROM (SELECT *, row_number() OVER w AS n, covar_samp(x, y) OVER v AS cov FROM pr WINDOW w AS (PARTITION BY sym_i, sym_j ORDER BY date), v AS (PARTITION BY sym_i, sym_j ORDER BY date ROWS BETWEEN 125 PRECEDING AND CURRENT ROW)) WHERE n >= 126)"""
+WEIGHTS = """, full_ AS (SELECT date, sym_i AS i, sym_j AS j, cov FROM cv UNION ALL SELECT date, sym_j, sym_i, cov FROM cv WHERE sym_i <> sym_j), rw AS (SELECT date, i, list_append(list(cov ORDER BY j), 1.0::DOUBLE) AS row_ FROM full_ GROUP BY date, i),
+mat AS (SELECT date, list(i ORDER BY i) AS syms, list(row_ ORDER BY i) AS m, 1 AS k FROM rw GROUP BY date), el AS (SELECT * FROM mat UNION ALL
+ SELECT date, syms, list_transform(range(1, len(syms) + 1), lambda r: CASE WHEN r = k THEN list_transform(m[k], lambda x: x / m[k][k]) ELSE list_transform(range(1, len(syms) + 2), lambda c: m[r][c] - m[r][k] * m[k][c] / m[k][k]) END), k + 1 FROM el WHERE k <= len(syms)),
+solved AS (SELECT date, syms, list_transform(m, lambda r: r[-1]) AS x FROM el WHERE k = len(syms) + 1), wt AS (SELECT date, unnest(syms) AS symbol, unnest(list_transform(x, lambda v: v / list_sum(x))) AS weight FROM solved)"""
+CONTRIBUTIONS = WEIGHTS + """, cw AS (SELECT f.date, f.i AS symbol, sum(f.cov * w.weight) AS cw, sqrt(max(CASE WHEN f.i = f.j THEN f.cov END)) AS vol FROM full_ f JOIN wt w ON w.date = f.date AND w.symbol = f.j GROUP BY f.date, f.i),
+rc AS (SELECT date, symbol, weight, vol, cw, sqrt(sum(weight * cw) OVER (PARTITION BY date)) AS total FROM cw JOIN wt USING (date, symbol))"""
+
+
 def weights_of(spark, d):
     cov = p.rolling_covariance(p.log_returns(prices(spark, d)))
     return cov, p.min_variance_weights(cov)
 
 
+@query("g6_min_variance", "WITH RECURSIVE " + COVARIANCES + WEIGHTS + " SELECT date, symbol, round(weight, 6) AS weight FROM wt")
 def min_variance(spark, d):
     return rounded(weights_of(spark, d)[1])
 
 
+@query("g7_risk_contributions", "WITH RECURSIVE " + COVARIANCES + CONTRIBUTIONS + """ SELECT date, symbol, round(weight, 6) AS weight, round(vol, 6) AS vol, round(cw / (vol * total), 6) AS corr_pfl, round(weight * vol, 6) AS stand_alone, round(cw / total, 6) AS marginal, round(weight * cw / total, 6) AS contribution, round(total, 6) AS total FROM rc""")
 def risk(spark, d):
     return rounded(p.risk_contributions(*weights_of(spark, d)))
 
 
-Q["g6_min_variance"], Q["g7_risk_contributions"] = min_variance, risk  # an inverse isn't SQL
-
-
 @query("g5_portfolio_std", "WITH " + RET + """, w AS (SELECT symbol, row_number() OVER (ORDER BY symbol) / 21.0 AS w FROM (SELECT DISTINCT symbol FROM rets)), pf AS (SELECT date, sum(ret * w) AS r FROM rets JOIN w USING (symbol) GROUP BY date)
 SELECT round(stddev_samp(r), 6) AS std, count(*) AS n FROM pf""")
 def portfolio_std(spark, d):
-    names = ["AF", "AO", "NF", "NO", "RF", "RO"]
     r = p.log_returns(prices(spark, d))
-    syms = [x[0] for x in r.select("symbol").distinct().orderBy("symbol").limit(len(names)).collect()]
-    w = spark.createDataFrame([(s, (i + 1) / 21.0) for i, s in enumerate(syms)], "symbol string, w double")
-    pf = r.join(F.broadcast(w), "symbol").groupBy("date").agg(F.sum(F.col("ret") * F.col("w")).alias("r"))
+    w = r.select("symbol").distinct().withColumn("w", F.row_number().over(p.Window.orderBy("symbol")) / 21.0)  # the symbols alone go to one task
+    pf = r.join(w, "symbol").groupBy("date").agg(F.sum(F.col("ret") * F.col("w")).alias("r"))
     return rounded(pf.agg(F.stddev_samp("r").alias("std"), F.count("*").alias("n")))
 
 
@@ -230,12 +237,12 @@ def index(spark, d):
     return rounded(p.index_to_100(prices(spark, d), "1993-01-01", "1996-12-31"))
 
 
-@query("w12_position_pnl", "WITH " + WEEK + """, x AS (SELECT symbol, date, price * 3 * 50.0 AS v FROM prices WHERE symbol <> 'NO'), y AS (SELECT symbol, date, v - coalesce(lag(v) OVER (PARTITION BY symbol ORDER BY date), 140000.0) AS pnl FROM x)
-SELECT symbol, date, round(pnl, 6) AS pnl, round(pnl / 10000000.0, 6) AS ret, round(product(1 + pnl / 10000000.0) OVER (PARTITION BY symbol ORDER BY date ROWS UNBOUNDED PRECEDING), 6) AS grown FROM y""")
+@query("w12_position_pnl", "WITH " + WEEK + """, x AS (SELECT symbol, date, price * 3 * 50.0 AS v FROM prices), y AS (SELECT symbol, date, v - coalesce(lag(v) OVER (PARTITION BY symbol ORDER BY date), 140000.0) AS pnl FROM x)
+SELECT symbol, date, round(pnl, 6) AS pnl, round(pnl / 10000000.0, 6) AS ret, round(grown, 6) AS grown, round_even(100 * (grown - 1), 2) AS cum_pct FROM (SELECT *, product(1 + pnl / 10000000.0) OVER (PARTITION BY symbol ORDER BY date ROWS UNBOUNDED PRECEDING) AS grown FROM y)""")
 def pnl(spark, d):
-    names = [(s, 3, 50.0, 140000.0) for s in ("AF", "NF", "RF", "AO", "RO")]
+    names = [(s, 3, 50.0, 140000.0) for s in ("AF", "NF", "NO", "RF", "AO", "RO")]
     out = p.position_pnl(prices(spark, d), spark.createDataFrame(names, "symbol string, contracts int, multiplier double, initial_value double"), 10_000_000.0)
-    return rounded(out.drop("cum_pct"))
+    return rounded(out)
 
 
 @query("g23_extent", "WITH " + BARS_SQL.format(unit="hour") + """ SELECT symbol, round(min(low) - (max(high) - min(low)) * 0.05, 6) AS low, round(max(high) + (max(high) - min(low)) * 0.05, 6) AS high FROM bars WHERE dt BETWEEN TIMESTAMP '2024-01-03' AND TIMESTAMP '2024-01-12' GROUP BY symbol""")
@@ -249,6 +256,11 @@ def last_bars(spark, d):
     return bars(spark, d).withColumn("n", F.row_number().over(w)).where("n <= 3").drop("n")
 
 
+@query("c14_gmv_workflow", "WITH RECURSIVE " + COVARIANCES.replace(") WHERE n >= 126)", ") WHERE n = 126 AND date = (SELECT min(date) FROM (SELECT date, row_number() OVER (PARTITION BY sym_i, sym_j ORDER BY date) AS n FROM pr) WHERE n >= 126))") + CONTRIBUTIONS + """,
+sz AS (SELECT symbol, weight, weight * cw / total AS contribution, total, price * 50.0 AS unit_value, CAST(trunc(round_even(weight * 1000000000.0 / (price * 50.0), 1)) AS INT) AS contracts FROM rc JOIN prices USING (symbol, date)), sh AS (SELECT *, contracts * unit_value AS v0, contracts * unit_value / sum(contracts * unit_value) OVER () AS share FROM sz),
+hr AS (SELECT symbol, date FROM (SELECT symbol, date, row_number() OVER (PARTITION BY symbol ORDER BY date) AS n FROM rets) WHERE n BETWEEN 127 AND 189), hv AS (SELECT symbol, date, price * contracts * 50.0 AS v, v0 FROM hr JOIN prices USING (symbol, date) JOIN sh USING (symbol)),
+hp AS (SELECT symbol, date, v - coalesce(lag(v) OVER (PARTITION BY symbol ORDER BY date), v0) AS pnl FROM hv), he AS (SELECT symbol, sum(pnl) AS pnl, round_even(100 * (product(1 + pnl / 1000000000.0) - 1), 2) AS cum_pct, count(*) AS n FROM hp GROUP BY symbol)
+SELECT symbol, round(weight, 6) AS weight, round(contribution, 6) AS contribution, round(total, 6) AS total, contracts, round(share, 6) AS share, round(pnl, 6) AS pnl, round(cum_pct, 6) AS cum_pct, n FROM sh JOIN he USING (symbol)""")
 def gmv_workflow(spark, d):
     """From prices to contracts of least variance at the first rolling date, valued over the 63 rows after the first 126."""
     rets = p.log_returns(prices(spark, d))
@@ -264,5 +276,3 @@ def gmv_workflow(spark, d):
     ends = pnl.groupBy("symbol").agg(F.sum("pnl").alias("pnl"), F.max_by("cum_pct", "date").alias("cum_pct"), F.count("*").alias("n"))
     return rounded(pos.select("symbol", "weight", "contribution", "total", "contracts", "share").join(ends, "symbol"))
 
-
-Q["c14_gmv_workflow"] = gmv_workflow

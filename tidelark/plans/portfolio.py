@@ -182,12 +182,12 @@ def sens(spark, d):
     return x.select("pos_no", F.round("pct_step", 6).alias("pct_step"), F.round("day_step", 6).alias("day_step"), *(F.round(c, 4).alias(c) for c in ("pct_linear", "pct_convex", "base", "vol_1d")))
 
 
-@query("j17_update_report", """WITH upd AS (SELECT o_orderkey AS seq, 'S' || (o_custkey % 500) AS symbol, CASE WHEN o_orderkey % 3 = 0 THEN o_orderstatus END AS type, (o_orderkey % 90)::INT AS expiry_days FROM orders WHERE o_orderkey % 50 = 0),
+@query("j17_update_report", """WITH upd AS (SELECT o_orderkey AS seq, 'S' || (o_custkey % 500) AS symbol, CASE WHEN o_orderkey % 3 = 0 THEN o_orderstatus END AS type, (o_orderkey % 90)::INT AS expiry_days FROM orders),
 ps AS (SELECT p_partkey AS pos_no, 'S' || (p_partkey % 450) AS symbol, ([ 'O', 'F', 'P'])[1 + p_partkey % 3] AS type, p_size AS expiry_days FROM part),
 h AS (SELECT u.seq, u.symbol, u.expiry_days AS nw, p.pos_no, p.expiry_days AS old0 FROM upd u LEFT JOIN ps p ON u.symbol = p.symbol AND (u.type IS NULL OR u.type = p.type) QUALIFY row_number() OVER (PARTITION BY u.seq ORDER BY p.pos_no) = 1),
 c AS (SELECT *, coalesce(lag(nw) OVER (PARTITION BY pos_no ORDER BY seq), old0) AS old FROM h) SELECT seq, symbol, CASE WHEN pos_no IS NULL THEN 'not_found' WHEN nw = old THEN 'none' ELSE 'changed' END AS status, CASE WHEN pos_no IS NOT NULL AND nw <> old THEN old END AS old_days FROM c""")
 def updates(spark, d):
-    u = read(spark, d, "orders").where("o_orderkey % 50 = 0").select(F.col("o_orderkey").alias("seq"), F.concat(F.lit("S"), (F.col("o_custkey") % 500).cast("string")).alias("symbol"), F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderstatus")).alias("type"), (F.col("o_orderkey") % 90).cast("int").alias("expiry_days"), F.lit(None).cast("double").alias("trade_price"), F.lit(None).cast("double").alias("q"))
+    u = read(spark, d, "orders").select(F.col("o_orderkey").alias("seq"), F.concat(F.lit("S"), (F.col("o_custkey") % 500).cast("string")).alias("symbol"), F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderstatus")).alias("type"), (F.col("o_orderkey") % 90).cast("int").alias("expiry_days"), F.lit(None).cast("double").alias("trade_price"), F.lit(None).cast("double").alias("q"))
     ps = read(spark, d, "part").select(F.col("p_partkey").alias("pos_no"), F.concat(F.lit("S"), (F.col("p_partkey") % 450).cast("string")).alias("symbol"), F.get(F.array(F.lit("O"), F.lit("F"), F.lit("P")), (F.col("p_partkey") % 3).cast("int")).alias("type"), F.col("p_size").alias("expiry_days"), F.lit(0.0).alias("trade_price"), F.lit(0.0).alias("q"))
     report = o.update_positions(ps, u)[1]
     return report.select("seq", "symbol", "status", F.get("changes", F.lit(0))["old"].cast("int").alias("old_days"))

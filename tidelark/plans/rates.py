@@ -106,7 +106,7 @@ def curve_comparison(spark, d):
     return rounded(c.comparison_summary(c.compare_rates(a, b, "par", ["curve_id", "trade_date", "tenor"]), ["tenor"]), 4)
 
 
-SCHED = f"""{CAL}, b AS (SELECT o_orderkey AS curve_id, CAST(o_orderdate AS DATE) AS eff, CAST(CAST(o_orderdate AS DATE) + INTERVAL 5 YEAR AS DATE) AS mat FROM orders WHERE o_orderkey % 3 = 0),
+SCHED = f"""{CAL}, b AS (SELECT o_orderkey AS curve_id, CAST(o_orderdate AS DATE) AS eff, CAST(CAST(o_orderdate AS DATE) + INTERVAL 5 YEAR AS DATE) AS mat FROM orders),
 s0 AS (SELECT curve_id, eff, mat, n::INT AS coupon_no, mf, CAST(eff + to_years(n::INT) AS DATE) AS un FROM b, range(1, 7) r(n) JOIN cal ON cal.d = CAST(eff + to_years(n::INT) AS DATE)),
 s1 AS (SELECT *, lag(mf) OVER (PARTITION BY curve_id ORDER BY coupon_no) AS pm FROM s0), sa AS (SELECT curve_id, eff, coupon_no, CASE WHEN mf < mat THEN mf ELSE mat END AS cd FROM s1 WHERE coupon_no = 1 OR pm < mat),
 sb AS (SELECT curve_id, eff, coupon_no, un AS cd FROM s0 WHERE coupon_no <= 5), ya AS (SELECT *, (cd - coalesce(lag(cd) OVER (PARTITION BY curve_id ORDER BY coupon_no), eff)) / 360.0::DOUBLE AS al FROM sa), yb AS (SELECT *, (cd - coalesce(lag(cd) OVER (PARTITION BY curve_id ORDER BY coupon_no), eff)) / 360.0::DOUBLE AS al FROM sb)"""
@@ -115,7 +115,7 @@ sb AS (SELECT curve_id, eff, coupon_no, un AS cd FROM s0 WHERE coupon_no <= 5),
 @query("j13_schedule_comparison", f"""WITH {SCHED} SELECT coalesce(ya.curve_id, yb.curve_id) AS curve_id, coalesce(ya.coupon_no, yb.coupon_no) AS coupon_no, ya.cd AS date_a, yb.cd AS date_b, (yb.cd - ya.cd)::INT AS days, round_even((round_even(yb.al, 8) - round_even(ya.al, 8)) * 360, 6) AS accrual_days,
  NOT (coalesce(yb.cd - ya.cd = 0, false) AND coalesce(round_even((round_even(yb.al, 8) - round_even(ya.al, 8)) * 360, 6) = 0, false)) AS differs FROM ya FULL JOIN yb ON ya.curve_id = yb.curve_id AND ya.coupon_no = yb.coupon_no""")
 def schedules(spark, d):
-    o = read(spark, d, "orders").where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("curve_id"), F.col("o_orderdate").cast("date").alias("eff")).withColumn("mat", F.add_months("eff", 60))
+    o = read(spark, d, "orders").select(F.col("o_orderkey").alias("curve_id"), F.col("o_orderdate").cast("date").alias("eff")).withColumn("mat", F.add_months("eff", 60))
     a = dt.annual_schedule(o, calendar(spark), "eff", "mat").select("curve_id", "eff", "coupon_no", "coupon_date")
     b = o.select("curve_id", "eff", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("coupon_no")).withColumn("coupon_date", F.add_months("eff", 12 * F.col("coupon_no")))
     w = c.Window.partitionBy("curve_id").orderBy("coupon_no")
@@ -176,7 +176,20 @@ def accum(spark, d):
     return rounded(po.accumulation(paths(spark, d), 360.0), 8).withColumn("scenario_id", F.col("scenario_id").cast("long"))
 
 
-@query("c9_scenario_bonds")
+YF = lambda y: f"(cp / 2 * 100 * CASE WHEN abs({y}) < 1e-12 THEN n ELSE (1 - (1 / (1 + {y} / 2)) ** n) / ({y} / 2) END + 100 * (1 / (1 + {y} / 2)) ** n)"
+
+#: Bonds with a month more or less to run are priced alike but for their coupon: mm, the months, stands for a schedule.
+BONDS = f"""WITH RECURSIVE {BASES}, {_paths(MEETINGS[:4], -1, 1)}, sc AS (SELECT base_id, initial_rate, raw AS scenario_id, cut_dates FROM bs, pp WHERE total_cuts <= 1 AND total_hikes <= 0),
+dd AS (SELECT base_id, scenario_id, k AS day_idx, initial_rate - CASE WHEN CAST(cut_dates AS DATE) <= DATE '{TRADE}' + k::INT THEN 0.0025::DOUBLE ELSE 0 END AS policy FROM sc, range(1, 729) r(k)), pt AS (SELECT *, exp(-sum(ln(1 + policy / 364)) OVER (PARTITION BY base_id, scenario_id ORDER BY day_idx)) AS df FROM dd),
+mm AS (SELECT DISTINCT 6 + p_partkey % 30 AS mm FROM part), pay AS (SELECT mm, DATE '{TRADE}' + to_months(mm::INT) AS mat, CAST(DATE '{TRADE}' + to_months((mm - 6 * k)::INT) AS DATE) AS d FROM mm, range(0, 8) r(k) WHERE mm - 6 * k > 0),
+pd AS (SELECT *, (d - DATE '{TRADE}') / 365.0::DOUBLE * 364 AS days_on, least(728, floor((d - DATE '{TRADE}') / 365.0::DOUBLE * 364))::INT AS k FROM pay), pv AS (SELECT base_id, scenario_id, mm, d, mat, CASE WHEN k < 1 THEN y.df WHEN k >= 728 THEN x.df ELSE x.df + (y.df - x.df) * (days_on - k) END AS v FROM pd JOIN pt x ON x.day_idx = greatest(k, 1) JOIN pt y USING (base_id, scenario_id) WHERE y.day_idx = least(k + 1, 728)),
+an AS (SELECT base_id, scenario_id, mm, sum(v) AS a, max(CASE WHEN d = mat THEN v END) AS z, count(*)::DOUBLE AS n, min(d) AS nxt FROM pv GROUP BY base_id, scenario_id, mm),
+bd AS (SELECT base_id, scenario_id, p_partkey AS bond_id, p_size / 1000.0::DOUBLE AS cp, n, p_size / 1000.0::DOUBLE / 2 * 100 * a + 100 * z AS dirty, p_size / 1000.0::DOUBLE / 2 * 100 * (DATE '{TRADE}' - CAST(nxt - INTERVAL 6 MONTH AS DATE)) / (nxt - CAST(nxt - INTERVAL 6 MONTH AS DATE)) AS accrued FROM part JOIN an ON mm = 6 + p_partkey % 30),
+ys AS (SELECT base_id, scenario_id, bond_id, cp, n, dirty, accrued, -0.5::DOUBLE AS lo, 1.0::DOUBLE AS hi, 0 AS i FROM bd
+UNION ALL SELECT base_id, scenario_id, bond_id, cp, n, dirty, accrued, CASE WHEN above THEN mid ELSE lo END, CASE WHEN above THEN hi ELSE mid END, i + 1 FROM (SELECT *, {YF('mid')} > dirty AS above FROM (SELECT *, (lo + hi) / 2 AS mid FROM ys WHERE i < 60) q0) q1)"""
+
+
+@query("c9_scenario_bonds", BONDS + f" SELECT base_id, CAST(scenario_id AS BIGINT) AS scenario_id, bond_id, round(dirty, 6) AS dirty, round(dirty - accrued, 6) AS clean, round(accrued, 6) AS accrued, CASE WHEN {YF('(-0.5::DOUBLE)')} >= dirty AND {YF('(1.0::DOUBLE)')} <= dirty THEN round((lo + hi) / 2, 6) END AS ytm FROM ys WHERE i = 60")
 def bonds(spark, d):
     b = read(spark, d, "part").select(F.col("p_partkey").alias("bond_id"), (F.col("p_size") / 1000.0).alias("coupon"), F.add_months(F.to_date(F.lit(TRADE)), (6 + F.col("p_partkey") % 30).cast("int")).alias("maturity"))
     s = po.scenarios(bases(spark, d), list(MEETINGS[:4]), [-1, 0, 1], max_cuts=1, max_hikes=0)
@@ -184,9 +197,6 @@ def bonds(spark, d):
     return rounded(po.price_bonds(p, b, TRADE, 364.0)).withColumn("scenario_id", F.col("scenario_id").cast("long"))
 
 
-YF = lambda y: f"(cp / 2 * 100 * CASE WHEN abs({y}) < 1e-12 THEN n ELSE (1 - (1 / (1 + {y} / 2)) ** n) / ({y} / 2) END + 100 * (1 / (1 + {y} / 2)) ** n)"
-
-
 @query("c10_bond_yields", f"""WITH RECURSIVE b AS (SELECT p_partkey, p_size / 500.0::DOUBLE AS cp, (1 + p_partkey % 40)::DOUBLE AS n, p_retailprice / 10 AS dirty, -0.5::DOUBLE AS lo, 1.0::DOUBLE AS hi, 0 AS i FROM part
 UNION ALL SELECT p_partkey, cp, n, dirty, CASE WHEN {YF('((lo + hi) / 2)')} > dirty THEN (lo + hi) / 2 ELSE lo END, CASE WHEN {YF('((lo + hi) / 2)')} > dirty THEN hi ELSE (lo + hi) / 2 END, i + 1 FROM b WHERE i < 60)
 SELECT p_partkey, CASE WHEN {YF('(-0.5::DOUBLE)')} >= dirty AND {YF('(1.0::DOUBLE)')} <= dirty THEN round((lo + hi) / 2, 6) END AS ytm FROM b WHERE i = 60""")

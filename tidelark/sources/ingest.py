@@ -121,6 +121,15 @@ def contract_blocks(sheet: DataFrame) -> DataFrame:
     return d.where(F.col("contract").isNotNull() & ~F.coalesce(head, F.lit(False)))
 
 
+def contract_block(sheet: DataFrame, keyword: str) -> DataFrame:
+    """The rows of each sheet under the first header that holds the keyword, up to the next header; fails if a sheet has no such header."""
+    blocks = contract_blocks(sheet)
+    head = F.upper("c1").contains("FUTURES CONTRACT") & ~F.col("c1").contains("Tentative")
+    first = sheet.groupBy("sheet_id").agg(F.min_by("c1", F.when(head & F.col("c1").contains(keyword), F.col("pos"))).alias("contract"))
+    first = first.withColumn("contract", F.when(F.col("contract").isNull(), F.raise_error(F.lit(f"{keyword} contract not found."))).otherwise(F.col("contract")))
+    return blocks.join(first, ["sheet_id", "contract"])
+
+
 def clean_blocks(blocks: DataFrame, months: list[str]) -> DataFrame:
     """(contract, coupon, issue_date, maturity, cusip, issuance, delivery_month, cf) of the rows below each block's "Coupon" line.
 
@@ -156,9 +165,13 @@ def in_range(bars: DataFrame, start: str, end: str) -> DataFrame:
     return bars.where(F.col("dt").between(F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp")))
 
 
-def write_bars(bars: DataFrame, path: str) -> None:
-    """The bar store: files by symbol and year, so that a reader of either sees no other; only partitions that bars has are replaced."""
-    d = bars.withColumn("year", F.year("dt")).repartition("symbol", "year").sortWithinPartitions("symbol", "year", "dt")
+def write_bars(bars: DataFrame, path: str, order: list[Column] | None = None) -> None:
+    """The bar store: files by symbol and year, so that a reader of either sees no other; only partitions that bars has are replaced.
+
+    Of several bars of a symbol and time the first by `order` (all other columns, if it isn't given) is written.
+    """
+    d = keep_first(bars, ["symbol", "dt"], order or [F.col(c) for c in bars.columns if c not in ("symbol", "dt")])
+    d = d.withColumn("year", F.year("dt")).repartition("symbol", "year").sortWithinPartitions("symbol", "year", "dt")
     d.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("symbol", "year").parquet(path)
 
 
