@@ -9,6 +9,7 @@ least mixed hashes of all its spans of a fixed length, whose overlap estimates h
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,8 +23,8 @@ PRIMES = (2147483647, 2147483629)
 BASES = (911382323, 972663749)
 SPAN = 12
 KEEP = 48
-#: Ranges of ids that are dealt to tasks, at most.
-RANGES = 4096
+#: Rows of a range of ids, about; a task sorts and reads one range.
+ROWS = 100_000
 
 
 class _Powers:
@@ -163,39 +164,57 @@ def _compare(a: _Document, b: _Document) -> tuple:
     return a.key, n, hashlib.sha256(edited.encode()).hexdigest(), str(a.print), str(fp), a.print.likeness(fp), a.print.likeness(b.print), longest_common_extension(a.prefix, p), longest_common_extension(a.prefix, b.prefix)
 
 
-def fingerprint_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _literal(values: list, kind: str):
+    """The values, NULLs among them, as one constant array, however many they are."""
+    return F.split(F.lit(",".join("" if v is None else str(v) for v in values)), ",").try_cast(f"array<{kind}>")
+
+
+def _range_of(bounds: list[int], nulls: int, at, share):
+    """The number of a row's range. bounds: sorted, an id that fills several ranges several times; its rows are dealt to these by share, which is in [0, 1), and NULL ids to the first `nulls` ranges."""
+    steps = [1 << k for k in reversed(range(len(bounds).bit_length()))]
+    times = Counter(bounds) if len(set(bounds)) < len(bounds) else {}
+    known, many = _literal(bounds, "bigint"), _literal([times.get(b, 1) for b in bounds], "bigint")
+    below = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda a, s: F.when(F.get(known, a + s - 1) <= at, a + s).otherwise(a)) if bounds else F.lit(0)  # a binary search
+    number = below
+    if times:
+        own = F.when(F.get(known, below - 1) == at, F.get(many, below - 1)).otherwise(1)
+        number = (below - own + 1 + F.floor(share * own)).cast("int")
+    return F.when(at.isNull(), F.floor(share * max(1, nulls)).cast("int")).otherwise(number + nulls)
+
+
+def fingerprint_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = ROWS) -> DataFrame:
     """Each row's fingerprint, and that of the text whose last quarter is replaced by the beginning of the next row's text.
 
-    Rows are ordered by their numeric id (NULL first), then by text; after the last comes the first. (id, n_chars,
-    edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, lce_edited, lce_next): the last two are
-    the common prefixes with the edited and with the next text. NULL counts as empty; an empty text has likeness 1 to
-    an empty one and 0 to others; repeated rows follow each other; an empty table gives an empty result.
+    Rows are ordered by their integer id (NULL first), then by the hash of their text; after the last comes the first.
+    (id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, lce_edited, lce_next): the last
+    two are the common prefixes with the edited and with the next text. NULL counts as empty; an empty text has likeness
+    1 to an empty one and 0 to others; repeated rows follow each other; an empty table gives an empty result; a very
+    long text is held whole with its prefix arrays; an id that isn't an integer raises TypeError.
 
-    Ids are dealt into ranges that are sorted apart, each text moving once. The row that follows a range's last one is
-    the first of the next range and is sent to both.
+    Ids are dealt into ranges of about `rows` rows that are sorted apart, each text moving once. An id that fills several
+    ranges, or NULL, is split by the hash of the text. The row that follows a range's last one is the first of the next
+    range and is sent to both.
     """
     spark, kind = docs.sparkSession, dict(docs.dtypes)[id_col]
-    ranges = max(1, min(RANGES, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    d = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    bounds = sorted({int(x) for x in d.select("_id").where("_id IS NOT NULL").approxQuantile("_id", [i / ranges for i in range(1, ranges)], 0.25 / ranges)}) if ranges > 1 else []
-    number = F.expr(f"size(filter(array({', '.join(f'{b}L' for b in bounds)}), b -> b <= _id))") if bounds else F.lit(0)
-    number = F.when(F.col("_id").isNull(), 0).otherwise(number)
-    first = d.select(number.alias("r"), "_id").groupBy("r").agg(F.min(F.struct(F.col("_id").isNotNull().alias("known"), F.col("_id").alias("id"))).alias("least")).orderBy("r").collect()
-    used = [r["r"] for r in first]
-    if not used:
-        used = [0]
-    starts = {r["r"]: r["least"]["id"] for r in first}
-    before = {r: used[i - 1] for i, r in enumerate(used)}  # the first range follows the last
-    begins = F.lit(False)
-    for null in (True, False):
-        ids = [v for v in starts.values() if (v is None) == null]
-        if ids:
-            begins = begins | (F.col("_id").isNull() if null else F.coalesce(F.expr(f"_id IN ({', '.join(f'{v}L' for v in ids)})"), F.lit(False)))
-    previous = F.element_at(F.create_map(*(F.lit(x) for pair in before.items() for x in pair)), F.col("_r"))
-    d = d.withColumn("_r", number)
-    own, lent = F.struct(F.col("_r").alias("r"), F.lit(0).alias("lent")), F.struct(previous.alias("r"), F.lit(1).alias("lent"))
-    d = d.select("_id", "_text", F.explode(F.when(begins, F.array(own, lent)).otherwise(F.array(own))).alias("_to")).select("_to.r", "_to.lent", "_id", "_text")
-    d = d.repartition(ranges, "r").sortWithinPartitions("r", "lent", F.col("_id").asc_nulls_first(), "_text")
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"ids must be integers, not {kind}")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    d = docs.select(F.col(id_col).cast("bigint").alias("_id"), text.alias("_text"), F.shiftrightunsigned(F.xxhash64(text), 11).alias("_h"))
+    size = d.agg(F.count("*").alias("n"), F.count("_id").alias("known")).first()
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size["n"] // rows))
+    nulls = -(-ranges * (size["n"] - size["known"]) // max(1, size["n"]))
+    cuts = [i / ranges for i in range(1, ranges)]
+    bounds = sorted(int(x) for x in d.where("_id IS NOT NULL").approxQuantile("_id", cuts, max(1e-6, 0.25 / ranges))) if cuts and size["known"] else []
+    d = d.withColumn("_r", _range_of(bounds, nulls, F.col("_id"), F.col("_h") / float(1 << 53)))
+    first = d.groupBy("_r").agg(F.min(F.struct(F.col("_id").isNotNull().alias("known"), "_id", "_h")).alias("least")).orderBy("_r").collect()  # a row a range
+    total = len(bounds) + 1 + nulls
+    least, before, last = [None] * total, [None] * total, first[-1]["_r"] if first else 0
+    for r in first:
+        least[r["_r"]], before[r["_r"]], last = (r["least"]["_id"], r["least"]["_h"]), last, r["_r"]  # the first range follows the last
+    mine = F.col("_id").eqNullSafe(F.get(_literal([x and x[0] for x in least], "bigint"), F.col("_r"))) & (F.col("_h") == F.get(_literal([x and x[1] for x in least], "bigint"), F.col("_r")))
+    own, lent = F.struct(F.col("_r").alias("r"), F.lit(0).alias("lent")), F.struct(F.get(_literal(before, "int"), F.col("_r")).alias("r"), F.lit(1).alias("lent"))
+    d = d.select("_id", "_text", "_h", F.explode(F.when(F.coalesce(mine, F.lit(False)), F.array(own, lent)).otherwise(F.array(own))).alias("_to")).select("_to.r", "_to.lent", F.col("_id").cast(kind).alias("_id"), "_text", "_h")
+    d = d.repartitionById(total, F.col("r")).sortWithinPartitions("r", "lent", F.col("_id").asc_nulls_first(), "_h", "_text").drop("_h")
     names = [("_id", kind), ("n_chars", "bigint"), ("edited_sha256", "string"), ("fingerprint", "string"), ("edited_fingerprint", "string"), ("near_edited", "double"), ("near_next", "double"), ("lce_edited", "bigint"), ("lce_next", "bigint")]
     schema = pa.schema([(n, ARROW[k]) for n, k in names])
 
