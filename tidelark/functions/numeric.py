@@ -74,6 +74,20 @@ def price_options(df: DataFrame, price: Column, strike: Column, t: Column, rate:
     return d.drop(*(x for x in d.columns if x.startswith("_o_")))
 
 
+def price_by_model(df: DataFrame, model: Column, spot: Column, forward: Column, strike: Column, t: Column, rate: Column, vol: Column, carry: Column, call: Column, currency: Column, r_dom: Column, r_for: Column, prefix: str = "") -> DataFrame:
+    """price_options with the model that each row names: bs, black, or auto, which is Black where there is a forward.
+
+    Black without a forward takes that of the spot: by both rates for a currency, by `rate` otherwise. A currency's
+    delta is turned from the forward to the spot; the position in its other Greeks stays.
+    """
+    black = (model == "black") | ((model == "auto") & forward.isNotNull())
+    both = F.coalesce(currency, F.lit(False)) & r_dom.isNotNull() & r_for.isNotNull()
+    ahead = F.coalesce(forward, F.when(both, forward_of_spot(spot, t, r_dom, r_for)).otherwise(forward_of_spot(spot, t, rate)))
+    d = df.withColumns({"_m_black": black, "_m_turn": F.when(black & both, F.exp((r_dom - r_for) * t)).otherwise(1.0), "_m_price": F.when(black, ahead).otherwise(spot)})
+    d = price_options(d, F.col("_m_price"), strike, t, rate, vol, carry, call, F.col("_m_black"), prefix)
+    return d.withColumn(prefix + "delta", F.col(prefix + "delta") * F.col("_m_turn")).drop("_m_black", "_m_turn", "_m_price")
+
+
 def forward_of_spot(s: Column, t: Column, r_dom: Column, r_for: Column | None = None) -> Column:
     return s * F.exp((r_dom - r_for if r_for is not None else r_dom) * t)
 

@@ -184,6 +184,17 @@ def compare_schedules(a: DataFrame, b: DataFrame) -> DataFrame:
     return j.select("curve_id", "coupon_no", F.col("a.coupon_date").alias("date_a"), F.col("b.coupon_date").alias("date_b"), days.alias("days"), frac.alias("accrual_days"), (~(days.eqNullSafe(F.lit(0)) & frac.eqNullSafe(F.lit(0.0)))).alias("differs"))
 
 
+def compare_pillars(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """Maturities (mat) of two pillar tables by key: both, the days apart, and whether they differ."""
+    j = a.select(*keys, F.col("mat").alias("mat_a")).join(b.select(*keys, F.col("mat").alias("mat_b")), keys)
+    return j.withColumn("days", F.datediff("mat_b", "mat_a")).withColumn("differs", F.col("days") != 0)
+
+
+def panel_of(maturity: Column, cutoff: Column) -> Column:
+    """short up to the cutoff, long beyond."""
+    return F.when(maturity <= cutoff, "short").otherwise("long")
+
+
 def compare_rates(a: DataFrame, b: DataFrame, value: str, keys: list[str]) -> DataFrame:
     j = a.select(*keys, F.col(value).alias("rate_a")).join(b.select(*keys, F.col(value).alias("rate_b")), keys)
     return j.withColumn("diff_bp", (F.col("rate_b") - F.col("rate_a")) * 100)

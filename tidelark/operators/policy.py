@@ -41,6 +41,14 @@ def dates_of(text: Column) -> Column:
     return F.coalesce(F.transform(F.split(text, ","), lambda s: F.to_date(F.trim(s))), F.array().cast("array<date>"))
 
 
+def with_cut_dates(sc: DataFrame, meetings: list, t0: str, horizon: int) -> DataFrame:
+    """sc whose cut_dates, where they are NULL, are those of cut_indices: places, from 0, among the meetings not before t0. Dates on or before t0, or beyond the horizon, are left out."""
+    ahead = F.array(*(F.to_date(F.lit(m)) for m in sorted(map(str, meetings)) if m >= t0)).cast("array<date>")
+    named = F.when(F.col("cut_dates").isNotNull(), dates_of(F.col("cut_dates"))).otherwise(F.transform(F.coalesce("cut_indices", F.array().cast("array<int>")), lambda i: F.get(ahead, i)))
+    kept = F.filter(named, lambda x: (x > F.to_date(F.lit(t0))) & (x <= F.date_add(F.to_date(F.lit(t0)), horizon)))
+    return sc.withColumn("cut_dates", F.when(F.size(kept) > 0, F.array_join(F.transform(kept, lambda x: F.date_format(x, "yyyy-MM-dd")), ", ")))
+
+
 def daily_paths(sc: DataFrame, t0: str, horizon: int, cut_size: float, hike_size: float | None = None, base: float = 360.0, spread: float = 0.0, hikes: bool = True) -> DataFrame:
     """sc exploded into (day_idx, date, policy, repo, t, df) for day 1 to horizon.
 

@@ -135,6 +135,23 @@ def options(spark, d):
     return r.select("pos_no", *(F.round(f"opt_{c}", n).alias(c) for c, n in (("price", 6), ("delta", 6), ("gamma", 8), ("vega", 5), ("theta", 5), ("rho", 5))))
 
 
+CHOICE = """ch AS (SELECT (l_orderkey * 10 + l_linenumber)::BIGINT AS pos_no, (['auto', 'black', 'bs'])[1 + l_linenumber % 3] AS model, l_extendedprice / l_quantity AS spot, CASE WHEN l_orderkey % 2 = 0 THEN l_extendedprice / l_quantity * 1.01::DOUBLE END AS ahead, p_retailprice AS strike, (l_orderkey % 365 + 1) / 365.0::DOUBLE AS tt, l_tax AS rr, 0.1::DOUBLE + l_discount AS vv, 0.01::DOUBLE AS carry,
+ l_linestatus = 'O' AS call, l_partkey % 3 = 0 AS ccy, 0.05::DOUBLE AS rd, CASE WHEN l_partkey % 2 = 0 THEN 0.02::DOUBLE END AS rf FROM lineitem JOIN part ON l_partkey = p_partkey),
+rs AS (SELECT *, model = 'black' OR (model = 'auto' AND ahead IS NOT NULL) AS fwd, coalesce(ahead, spot * exp((CASE WHEN ccy AND rf IS NOT NULL THEN rd - rf ELSE rr END) * tt)) AS ff FROM ch)"""
+
+
+@query("t14_model_choice", "WITH " + CHOICE + ", " + pricing("tt", "rr", "vv", "CASE WHEN fwd THEN ff ELSE spot END") + " SELECT pos_no, round(oprice, 6) AS price, round(delta * CASE WHEN fwd AND ccy AND rf IS NOT NULL THEN exp((rd - rf) * tt) ELSE 1 END, 6) AS delta, round(gamma, 8) AS gamma, round(vega, 5) AS vega FROM op")
+def model_choice(spark, d):
+    li = read(spark, d, "lineitem").join(read(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    spot = F.col("l_extendedprice") / F.col("l_quantity")
+    args = (
+        F.get(F.array(F.lit("auto"), F.lit("black"), F.lit("bs")), F.col("l_linenumber") % 3), spot, F.when(F.col("l_orderkey") % 2 == 0, spot * 1.01), F.col("p_retailprice"), (F.col("l_orderkey") % 365 + 1) / 365, F.col("l_tax"), F.lit(0.1) + F.col("l_discount"), F.lit(0.01),
+        F.col("l_linestatus") == "O", F.col("l_partkey") % 3 == 0, F.lit(0.05), F.when(F.col("l_partkey") % 2 == 0, 0.02),
+    )
+    x = nm.price_by_model(li, *args, prefix="opt_")
+    return x.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos_no"), *(F.round(f"opt_{c}", n).alias(c) for c, n in (("price", 6), ("delta", 6), ("gamma", 8), ("vega", 5))))
+
+
 MTM = PRICED + """, m1 AS (SELECT *, CASE WHEN type = 'option' THEN round(round(oprice, 10) / model_tick, 0) * model_tick ELSE price END AS unit_price, CASE WHEN type = 'future' THEN coalesce(trade_price, price) ELSE trade_price END AS entry FROM op WHERE price IS NOT NULL),
 m2 AS (SELECT *, (unit_price - entry) * quantity * multiplier AS pnl, CASE WHEN type = 'option' THEN delta ELSE 1 END * quantity * multiplier AS units FROM m1), m3 AS (SELECT m2.*, CASE WHEN type = 'future' THEN pnl ELSE unit_price * quantity * multiplier END AS market_value, abs(price * quantity * multiplier) AS gross_notional, om.mark FROM m2 LEFT JOIN omarks om USING (okey))"""
 

@@ -250,3 +250,22 @@ def pillar_dates(spark, d):
     o = read(spark, d, "orders").select(m.alias("m"), F.col("o_orderdate").cast("date").alias("b")).withColumn("tenor", F.concat(F.col("m").cast("string"), F.lit("M")))
     o = dt.add_tenor(o, calendar(spark), "b", "tenor", "mat").withColumn("days", F.datediff("mat", F.add_months("b", F.col("m"))))
     return o.groupBy("m").agg(F.count("*").alias("n"), F.count_if(F.col("days") != 0).alias("moved"), F.max(F.abs("days")).alias("most_days"))
+
+
+@query("j15_pillar_comparison", f"""WITH {CAL}, b AS (SELECT o_orderkey AS curve_id, CAST(o_orderdate AS DATE) AS base, m, CAST(CAST(o_orderdate AS DATE) + to_months(m) AS DATE) AS raw FROM orders, (VALUES (6), (24), (36), (60)) v(m)),
+c AS (SELECT curve_id, m || 'M' AS tenor, mf AS mat_a, raw AS mat_b, (raw - mf)::INT AS days, raw <> mf AS differs, CASE WHEN mf <= k.d3 THEN 'short' ELSE 'long' END AS panel FROM b JOIN cal ON cal.d = raw JOIN (SELECT d AS base, CAST(d + INTERVAL 36 MONTH AS DATE) AS d3 FROM cal) k USING (base))
+SELECT * FROM c""")
+def pillar_comparison(spark, d):
+    o = read(spark, d, "orders").select(F.col("o_orderkey").alias("curve_id"), F.col("o_orderdate").cast("date").alias("base"), F.explode(F.array(*map(F.lit, (6, 24, 36, 60)))).alias("m")).withColumn("tenor", F.concat(F.col("m").cast("string"), F.lit("M")))
+    a = dt.add_tenor(o, calendar(spark), "base", "tenor", "mat").withColumn("panel", c.panel_of(F.col("mat"), F.add_months("base", 36)))
+    b = o.withColumn("mat", F.add_months("base", F.col("m")))
+    return c.compare_pillars(a, b, ["curve_id", "tenor"]).join(a.select("curve_id", "tenor", "panel"), ["curve_id", "tenor"])
+
+
+@query("c8_cut_indices", f"""WITH s AS (SELECT o_orderkey AS scenario_id, CASE WHEN o_orderkey % 5 = 0 THEN '2026-04-29, 2029-01-31' END AS named, [(o_orderkey % 8)::INT, ((o_orderkey + 3) % 8)::INT] AS idx FROM orders),
+m AS (SELECT [{', '.join(f"DATE '{m}'" for m in MEETINGS)}] AS ms), x AS (SELECT scenario_id, CASE WHEN named IS NOT NULL THEN [DATE '2026-04-29', DATE '2029-01-31'] ELSE [ms[idx[1] + 1], ms[idx[2] + 1]] END AS ds FROM s, m)
+SELECT scenario_id, nullif(array_to_string(list_transform(list_filter(ds, lambda v: v > DATE '{TRADE}' AND v <= DATE '{TRADE}' + 300), lambda v: strftime(v, '%Y-%m-%d')), ', '), '') AS cut_dates FROM x""")
+def cut_indices(spark, d):
+    k = F.col("o_orderkey")
+    s = read(spark, d, "orders").select(k.alias("scenario_id"), F.when(k % 5 == 0, "2026-04-29, 2029-01-31").alias("cut_dates"), F.array((k % 8).cast("int"), ((k + 3) % 8).cast("int")).alias("cut_indices"))
+    return po.with_cut_dates(s, list(MEETINGS), TRADE, 300).select("scenario_id", "cut_dates")
