@@ -55,15 +55,42 @@ def _df(ts: Column, ls: Column, t: Column) -> Column:
     return F.exp(nm.log_df(ts, ls, t))
 
 
+def _placed(ts: Column, n: Column, t: Column) -> Column:
+    """Where t lies among the first n of the pillars ts (0 is the first): those that the line through it passes, and how far it is from one to the other.
+
+    Times are known before any curve is solved; its fold then only looks up two values for each.
+    """
+    k = F.greatest(F.lit(1), F.least(n - 1, F.size(F.filter(F.slice(ts, F.lit(1), n), lambda z: z < t))))
+
+    def place(k: Column) -> Column:
+        x0, x1 = F.get(ts, k - 1), F.get(ts, k)
+        return F.struct((k - 1).alias("a"), k.alias("z"), ((t - x0) / (x1 - x0)).alias("w"))
+
+    alone = F.struct(F.lit(0).alias("a"), F.lit(0).alias("z"), F.lit(0.0).alias("w"))
+    return F.when(t.isNotNull(), F.when(n == 1, alone).otherwise(nm.let(k, place)))
+
+
+def _with_places(xs: Column) -> Column:
+    """xs, in the order of t, with the places of what each instrument needs among the pillars before it."""
+    ts = F.concat(F.array(F.lit(0.0)), F.transform(xs, lambda x: x["t"]))
+
+    def placed(x: Column, i: Column) -> Column:
+        own = lambda c: F.struct(c["t"].alias("t"), c["alpha"].alias("alpha"), _placed(ts, i + 1, c["t"]).alias("at"))
+        return x.withField("at_te", _placed(ts, i + 1, x["te"])).withField("at_t1", _placed(ts, i + 1, x["t1"])).withField("coupons", F.transform(x["coupons"], own))
+
+    return F.transform(xs, placed)
+
+
 def _solve(state: Column, x: Column) -> Column:
     """The discount factor at an instrument's maturity, from earlier pillars only."""
-    at = lambda t: _df(state["ts"], state["ls"], t)
+    ls = state["ls"]
+    at = lambda p: F.exp(F.get(ls, p["a"]) + (F.get(ls, p["z"]) - F.get(ls, p["a"])) * p["w"])
     r = x["quote"] / 100
     fwd = (100 - x["quote"]) / 100 - x["ca"]
     n = F.size(x["coupons"])
-    paid = F.aggregate(F.slice(x["coupons"], F.lit(1), n - 1), F.lit(0.0), lambda s, c: s + c["alpha"] * at(c["t"]))
+    paid = F.aggregate(F.slice(x["coupons"], F.lit(1), n - 1), F.lit(0.0), lambda s, c: s + c["alpha"] * at(c["at"]))
     last = F.element_at(x["coupons"], -1)["alpha"]
-    return F.when(x["type"] == "Rate", 1 / (1 + r * x["t"])).when(x["type"] == "Future", at(x["t1"]) / (1 + fwd * x["alpha"])).when(x["coupons"].isNull(), at(x["te"]) / (1 + r * x["alpha"])).otherwise((at(x["te"]) - r * paid) / (1 + r * last))
+    return F.when(x["type"] == "Rate", 1 / (1 + r * x["t"])).when(x["type"] == "Future", at(x["at_t1"]) / (1 + fwd * x["alpha"])).when(x["coupons"].isNull(), at(x["at_te"]) / (1 + r * x["alpha"])).otherwise((at(x["at_te"]) - r * paid) / (1 + r * last))
 
 
 def _step(state: Column, x: Column) -> Column:
@@ -90,7 +117,8 @@ def curve_rows(instruments: DataFrame, params: DataFrame, calendar: DataFrame) -
     i = i.join(params, ["curve_id", "trade_date"], "left").withColumns({"hw_a": F.coalesce("hw_a", F.lit(HW_A)), "hw_sigma": F.coalesce("hw_sigma", F.lit(HW_SIGMA))})
     i = i.withColumn("ca", F.when(F.col("type") == "Future", nm.hull_white_convexity(F.col("hw_a"), F.col("hw_sigma"), F.col("t1"), F.col("t"))).otherwise(F.lit(0.0)))
     x = F.struct("t", "symbol", "type", "quote", "te", "t1", "alpha", "ca", "coupons", "mat", "prev_bd")
-    return i.groupBy("curve_id", "trade_date").agg(F.array_sort(F.collect_list(x)).alias("xs"))  # some tens of instruments
+    rows = i.groupBy("curve_id", "trade_date").agg(F.array_sort(F.collect_list(x)).alias("xs"))  # some tens of instruments
+    return rows.select("curve_id", "trade_date", F.explode(F.array(_with_places(F.col("xs")))).alias("xs"))  # a generator, so that places are found once
 
 
 def bootstrap(rows: DataFrame) -> DataFrame:

@@ -16,11 +16,12 @@ def select_contracts(futures: DataFrame, rules: DataFrame) -> DataFrame:
     A row that several rules select comes once for each, with the rule's symbol. rules is a small dimension.
     """
     r = rules.withColumnRenamed("maturity", "rule_maturity")
-    hit = futures.join(F.broadcast(r), F.col("px_ident").startswith(F.col("symbol")))
-    hit = hit.withColumn("exact", (F.col("px_ident") == F.col("symbol")) & (F.col("maturity") == F.col("rule_maturity")))
+    names = futures.select(F.col("px_ident").alias("_ident"), F.col("maturity").alias("_maturity")).distinct()  # the prefixes are looked for in these alone
+    hit = names.join(r, F.col("_ident").startswith(F.col("symbol")))
+    hit = hit.withColumn("exact", (F.col("_ident") == F.col("symbol")) & (F.col("_maturity") == F.col("rule_maturity")))
     has = hit.where("exact").select(F.col("symbol").alias("_s")).distinct()
-    hit = hit.join(F.broadcast(has), hit["symbol"] == has["_s"], "left")  # at most as many as rules
-    return hit.where(F.col("exact") | F.col("_s").isNull()).drop("_s", "exact", "rule_maturity")
+    hit = hit.join(has, hit["symbol"] == has["_s"], "left").where(F.col("exact") | F.col("_s").isNull()).select("_ident", "_maturity", "symbol")
+    return futures.join(hit, (F.col("px_ident") == F.col("_ident")) & F.col("maturity").eqNullSafe(F.col("_maturity"))).drop("_ident", "_maturity")
 
 
 def default_rules(futures: DataFrame, default: str = "3M", special: dict[str, str] | None = None) -> DataFrame:
@@ -240,7 +241,7 @@ def position_pnl(prices: DataFrame, positions: DataFrame, capital: float) -> Dat
 
     The first row's profit is against the initial value; grown compounds 1 + ret = 1 + pnl / capital, cum_pct is its gain in percent, to 2 places.
     """
-    p = prices.join(F.broadcast(positions), "symbol")
+    p = prices.join(positions, "symbol")
     value = F.col("price") * F.col("contracts") * F.col("multiplier")
     p = p.withColumn("_v", value).withColumn("pnl", F.col("_v") - F.coalesce(F.lag("_v").over(_by("symbol")), F.col("initial_value")))
     p = p.withColumn("ret", F.col("pnl") / capital)

@@ -1,4 +1,4 @@
-"""Mark-to-market and risk of books of positions: equities, futures and options, in one projection over broadcast dimensions.
+"""Mark-to-market and risk of books of positions: equities, futures and options, in one projection over their dimensions.
 
 positions: book_id, pos_no, type (equity, future, option), symbol, quantity, trade_price, strike, expiry, expiry_days,
 option_type, underlying_type, underlying_symbol, q, vol, rate, open. Missing is NULL. as_of replaces today's date.
@@ -12,13 +12,6 @@ from pyspark.sql import functions as F
 from ..functions import numeric as nm
 
 RATE = 0.04
-#: Rows of a dimension (marks, volatilities, specs) that are broadcast; larger ones are left to the optimizer's own choice.
-MOST_BROADCAST = 1_000_000
-
-
-def _dim(df: DataFrame) -> DataFrame:
-    """A dimension with a broadcast hint if it is small; the count stops as soon as it isn't."""
-    return F.broadcast(df) if df.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else df
 
 
 def resolve(positions: DataFrame, marks: DataFrame, vols: DataFrame, specs: DataFrame, option_marks: DataFrame | None = None, as_of: str = "2026-02-23", rate: float = RATE) -> DataFrame:
@@ -34,7 +27,7 @@ def resolve(positions: DataFrame, marks: DataFrame, vols: DataFrame, specs: Data
     p = positions.where(F.coalesce(F.col("open"), F.lit(True)) & F.col("type").isin("equity", "future", "option"))
     root = lambda c: F.expr(f"substring({c}, 1, greatest(0, length({c}) - 3))")
     p = p.withColumns({"_und": F.coalesce("underlying_symbol", "symbol"), "_own": F.col("symbol")}).withColumns({"_und_root": root("_und"), "_own_root": root("_own")})
-    m, v, s = _dim(marks), _dim(vols), _dim(specs)
+    m, v, s = marks, vols, specs
     looked_up = [(m, "_und", {"price": "price_und"}), (m, "_own", {"price": "price_own"}), (v, "_und", {"vol": "vol_und"}), (v, "_own", {"vol": "vol_own"})]
     looked_up += [(s, "_und", {"multiplier": "mult_und", "tick_size": "tick_und"}), (s, "_own", {"multiplier": "mult_own"}), (s, "_und_root", {"tick_size": "root_tick"}), (s, "_own_root", {"asset_class": "root_class"})]
     for dim, key, names in looked_up:
@@ -72,7 +65,7 @@ def resolve(positions: DataFrame, marks: DataFrame, vols: DataFrame, specs: Data
     p = p.drop("_und", "_own", "_und_root", "_own_root")
     if option_marks is None:
         return p.withColumn("mark", F.lit(None).cast("double"))
-    om = _dim(option_marks.select(F.col("option_key").alias("key"), F.col("unit_price").alias("mark")))
+    om = option_marks.select(F.col("option_key").alias("key"), F.col("unit_price").alias("mark"))
     return p.join(om, "key", "left")
 
 
