@@ -19,10 +19,10 @@ from .logistic import Logistic
 
 #: Labelled documents of each class to learn from at most: a half builds the dictionaries, a half calibrates.
 PER_CLASS = 4000
-#: Bytes of each document that a dictionary is built from at most, at a place that the hash of its id gives.
-EXCERPT = 4096
 DICTIONARY = 65_536
 CHUNK = 4096
+#: Chunks of the whole texts of each class that its dictionary is built from at most, those with the least hashes.
+CHUNKS = 4000
 LEVEL = 3
 THRESHOLD = 0.3
 
@@ -83,15 +83,17 @@ def _dictionary(samples: list[bytes]) -> bytes:
 def fit_quality(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "quality", per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text") -> QualityModel:
     """Learns from at most per_class labelled documents of each class, those with the least hashes of their ids.
 
-    learn: which rows of labels may be learned from. Without labels of both classes the score is the share of label 1.
+    learn: which rows of labels may be learned from. Without labels of both classes (an empty table, too) the score is the
+    share of label 1. At most CHUNKS pieces of CHUNK bytes a class reach the driver, however long the texts are.
     """
     known = labels.where(F.col(label).isin(0, 1)).where(learn).groupBy(label).count().collect()
     share = {int(r[0]): r[1] for r in known}
     prior = (share.get(1, 0) + 0.5) / (sum(share.values()) + 1)
     sample = labelled_sample(docs.where(F.octet_length(text_col) > 0), labels, label, learn, per_class, id_col, text_col).withColumn("half", F.pmod(F.hash("_h"), F.lit(2)))
     text = F.col("text").cast("binary")
-    begin = F.pmod(F.col("_h"), F.greatest(F.octet_length(text) - EXCERPT + 1, F.lit(1))).cast("int") + 1
-    rows = sample.where("half = 0").select("label", F.substring(text, begin, EXCERPT).alias("t"), F.xxhash64("_h").alias("h")).collect()
+    chunks = sample.where("half = 0").select("label", text.alias("_t"), "_h", F.explode(F.sequence(F.lit(0), F.octet_length(text) - 1, F.lit(CHUNK))).alias("at"))
+    chunks = chunks.select("label", F.expr(f"substring(_t, at + 1, {CHUNK})").alias("t"), F.xxhash64("_h", "at").alias("h"))
+    rows = [r for v in (0, 1) for r in chunks.where(F.col("label") == v).orderBy("h", "t").limit(CHUNKS).collect()]
     rows.sort(key=lambda r: (r["h"], bytes(r["t"])))
     own = _own_lines([bytes(r["t"]) for r in rows])
     samples = [[t for t, r in zip(own, rows, strict=True) if t and r["label"] == v] for v in (0, 1)]
@@ -113,7 +115,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, learn: Column, label: str =
 
 
 def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """(id, score, predicted) for each row of docs. NULL and empty texts have score 0; ties and repeats score alike."""
+    """(id, score, predicted) for each row of docs. NULL and empty texts have score 0; ties and repeats score alike; an empty table gives an empty result; whole texts are read, however long."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = dict(docs.dtypes)[id_col]
 
