@@ -159,7 +159,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, label: str =
     if not rows:
         return ToxicModel({}, prior=prior)
     scores = {bytes(r["w"]): r["score"] for r in rows}
-    values, shares = np.array([r["score"] for r in rows]) - COST, np.array([r["n"] for r in rows], float) / clean_tokens
+    values, shares = np.array([r["score"] for r in rows]) - COST, (np.array([r["n"] for r in rows]) + 0.5) / clean_tokens  # clean text may yet hold those that the sample's doesn't
     rate = float(shares[values > 0].sum())
     model = ToxicModel(scores, _decay(values, shares), max(rate, 1e-9), prior)
     shared = docs.sparkSession.sparkContext.broadcast(model)
