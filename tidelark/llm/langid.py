@@ -16,13 +16,12 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .blas import one_thread
 from .common import crc_remainder, held_out, map_texts, slices, table
 
 #: Texts of each language to learn from at most, those with the least hashes of their ids, and landmarks among them.
 PER_LANGUAGE = 400
 LANDMARKS = 32
-#: With more languages than this, one window chooses the texts of all instead of a query for each.
-SEPARATE = 64
 #: n-grams are told apart by 16 bits of their hash.
 BUCKETS = 1 << 16
 RIDGE = 1e-2
@@ -62,7 +61,8 @@ class LanguageModel:
             for k, t in enumerate(part):
                 present[k, ngram_buckets(t)] = True
             size = np.sqrt(present.sum(1))[:, None]
-            out[i : i + BATCH] = (present[:, self.buckets].astype(np.float32) @ self.landmarks.T / size) @ self.weights
+            with one_thread():
+                out[i : i + BATCH] = (present[:, self.buckets].astype(np.float32) @ self.landmarks.T / size) @ self.weights
         return out
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
@@ -92,15 +92,8 @@ def fit_languages(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_c
         return LanguageModel([], np.empty(0, np.int64), np.empty((0, 0), np.float32), np.empty((0, 0)))
     h = F.xxhash64("_id")
     ranked = known.select("_id", "_lang", h.alias("_h"))
-    if len(names) > SEPARATE:
-        by = Window.partitionBy("_lang").orderBy("_h", "_id")
-        chosen = ranked.withColumn("_n", F.row_number().over(by)).where(F.col("_n") <= per_language).drop("_n")
-    else:
-        parts = [ranked.where(F.col("_lang") == n).orderBy("_h", "_id").limit(per_language) for n in names]
-        chosen = parts[0]
-        for p in parts[1:]:
-            chosen = chosen.unionByName(p)
-    chosen = chosen.dropDuplicates(["_id"])
+    by = Window.partitionBy("_lang").orderBy("_h", "_id")  # each task keeps no more than per_language rows of a language for it
+    chosen = ranked.withColumn("_n", F.row_number().over(by)).where(F.col("_n") <= per_language).drop("_n").dropDuplicates(["_id"])
     sample = docs.where(F.col(text_col).isNotNull() & learn).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id")
 
     def factory():
