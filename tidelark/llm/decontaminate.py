@@ -2,8 +2,8 @@
 
 The normalised benchmark windows form a hash set whose size is checked: up to MOST_WINDOWS it goes to every
 executor as a literal set, which each document's windows are looked up in while the document is scanned; beyond that
-the windows of the documents are shuffled to the windows of the benchmark. Either way a hit is verified by comparing
-the words themselves.
+the hashes of the documents' windows are joined to those of the benchmark, and the few that meet are looked at again.
+Either way a hit is verified by comparing the words themselves.
 """
 
 from __future__ import annotations
@@ -70,10 +70,6 @@ def _at(i: Column, length: int) -> list[Column]:
     return [F.get(F.col("w"), i + (k - 1)) for k in range(length)]
 
 
-def _spans(starts: Column, length: int) -> Column:
-    return F.transform(starts, lambda i: F.struct((i - 1).alias("pos"), F.lit(length).alias("len"), F.concat_ws(" ", *_at(i, length)).alias("win")))
-
-
 def _hits_of_length(length: int, rows: list) -> Column:
     """The windows of one length whose first words, then hash, are in the sets and, to verify, whose words are.
 
@@ -112,8 +108,13 @@ def find_contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id"
         out = found.groupBy("_id", "_key", "n_words", "n_hit", "hits").agg(F.count_if(F.coalesce("_at", F.lit(0)) == 0).alias("_rows"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
     else:
         d = settled(d, "w", normal_words(F.col("_text"))).select("_id", F.xxhash64("_text").alias("_key"), "w", F.size("w").alias("n_words"))
-        spans = F.concat(*(_spans(_starts(n), n) for n in lengths)) if lengths else F.array().cast("array<struct<pos:int,len:int,win:string>>")
-        hit = d.select("_id", "_key", F.explode(spans).alias("s")).select("_id", "_key", "s.*").join(windows.select("win", "items"), "win").select("_id", "_key", F.struct("pos", "len").alias("s"), "items", F.lit(None).cast("int").alias("n_words"))
+        places = lambda n: F.transform(_starts(n), lambda i: F.struct(i.alias("i"), F.lit(n).alias("len"), F.xxhash64(*_at(i, n)).alias("hash")))
+        none = F.array().cast("array<struct<i:int,len:int,hash:bigint>>")
+        close = d.select("_id", "_key", F.explode(F.concat(none, *map(places, lengths))).alias("s")).select("_id", "_key", "s.*")
+        close = close.join(windows.select("len", "hash").distinct(), ["len", "hash"], "left_semi").groupBy("_key").agg(F.collect_set(F.struct("i", "len")).alias("close"))
+        spans = F.transform("close", lambda c: F.struct((c["i"] - 1).alias("pos"), c["len"].alias("len"), F.array_join(F.slice("w", c["i"], c["len"]), " ").alias("win")))
+        hit = d.join(close, "_key").select("_id", "_key", F.explode(spans).alias("s")).select("_id", "_key", "s.*").join(windows.select("win", "items"), "win")
+        hit = hit.select("_id", "_key", F.struct("pos", "len").alias("s"), "items", F.lit(None).cast("int").alias("n_words"))
         base = d.select("_id", "_key", F.lit(None).cast("struct<pos:int,len:int>").alias("s"), F.lit(None).cast("array<string>").alias("items"), "n_words")
         out = base.unionByName(hit).groupBy("_id", "_key").agg(F.max("n_words").alias("n_words"), F.count("n_words").alias("_rows"), F.array_sort(F.collect_set("s")).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
         out = out.withColumn("n_hit", _covered(F.col("hits")))
