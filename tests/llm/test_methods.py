@@ -149,15 +149,40 @@ def test_prefix_hashes():
 
 def test_next_documents(spark):
     r = random.Random(9)
-    rows = [(i * 7 % 301 - 50, "".join(r.choice("ab cd") for _ in range(r.choice([0, 1, 3, 30, 200])))) for i in range(301)] + [(5, "tie"), (5, "tie"), (None, "null id")]
-    d = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
-    got = sorted(map(tuple, prefix_hash.fingerprint_with_next(d).select("doc_id", "n_chars", "edited_sha256").collect()), key=str)
-    order = sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+    some = lambda: "".join(r.choice("ab cd") for _ in range(r.choice([0, 1, 3, 30, 200])))
+    rows = [(i * 7 % 301 - 50, some()) for i in range(301)] + [(5, "tie"), (5, "tie"), (None, "null id")]
+    rows += [(40, some() + str(k)) for k in range(200)] + [(None, some() + str(k)) for k in range(200)]  # hot ids
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    key = {x.text: x.h for x in d.select("text", F.expr("shiftrightunsigned(xxhash64(text), 11)").alias("h")).collect()}
+    order = sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, key[x[1]], x[1]))
     want = []
     for k, (i, x) in enumerate(order):
-        n = len(x) // 4
-        want.append((i, len(x), hashlib.sha256((x[: len(x) - n] + order[(k + 1) % len(order)][1][:n]).encode()).hexdigest()))
-    assert got == sorted(want, key=str)
+        n, after = len(x) // 4, order[(k + 1) % len(order)][1]
+        edited = x[: len(x) - n] + after[:n]
+        prints = [prefix_hash.fingerprint(prefix_hash.PrefixHash(t))[0] for t in (x, edited, after)]
+        want.append((i, len(x), hashlib.sha256(edited.encode()).hexdigest(), str(prints[0]), str(prints[1]), prints[0].likeness(prints[1]), prints[0].likeness(prints[2]), len(os.path.commonprefix([x, edited])), len(os.path.commonprefix([x, after]))))
+    for per_range in (10**6, 20):
+        got = prefix_hash.fingerprint_with_next(d.repartition(5), rows=per_range)
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    sizes = [len(x) for x in got.select("doc_id").rdd.glom().collect()]
+    assert max(sizes) < 200, sizes  # neither hot id is in one task
+    with pytest.raises(TypeError):
+        prefix_hash.fingerprint_with_next(d.select(F.col("doc_id").cast("string").alias("doc_id"), "text"))
+
+
+def test_likeness_is_near_the_share_of_spans():
+    r = random.Random(4)
+    words = ["".join(r.choice("abcdefgh") for _ in range(r.randint(2, 8))) for _ in range(300)]
+    for _ in range(60):
+        x = " ".join(r.choices(words, k=r.randint(30, 300)))
+        keep = r.random()
+        y = " ".join(w if r.random() < keep**0.2 else r.choice(words) for w in x.split(" "))
+        spans = [{t[i : i + prefix_hash.SPAN] for i in range(len(t) - prefix_hash.SPAN + 1)} for t in (x, y)]
+        true = 2 * len(spans[0] & spans[1]) / (len(spans[0]) + len(spans[1]))
+        a, b = (prefix_hash.fingerprint(prefix_hash.PrefixHash(t))[0] for t in (x, y))
+        assert a.likeness(b) == b.likeness(a) and abs(a.likeness(b) - true) < 0.3  # 48 of the spans are held: three standard errors at most
+        everything = sorted(set(prefix_hash._mix(prefix_hash.PrefixHash(x).spans(prefix_hash.SPAN)).tolist()))
+        assert a.values.tolist() == everything[: prefix_hash.KEEP]
 
 
 def test_maximal_segments():

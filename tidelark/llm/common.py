@@ -41,10 +41,23 @@ def settled(df: DataFrame, name: str, value: Column) -> DataFrame:
 
 
 def with_checkpoints(spark: SparkSession) -> None:
-    """Keeps the session's checkpoint folder; a session without one (tests) gets a temporary folder."""
+    """Keeps the session's checkpoint folder. Without one a session on one machine (tests) gets a temporary folder; on a cluster, whose executors share none, that is an error."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoints-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and sc.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-checkpoints-"))
+
+
+def drop_intermediate(spark: SparkSession) -> None:
+    """Deletes what written(), checkpointed() and shared_file() have left in the shared folder; for when no DataFrame made from them is read any more."""
+    sc = spark.sparkContext
+    if (folder := sc.getCheckpointDir()) is not None:
+        path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+        fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+        for file in fs.listStatus(path):
+            fs.delete(file.getPath(), True)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
