@@ -215,14 +215,19 @@ class PiiModel:
         return self.probability(code) >= self.least
 
 
-def expectation_maximisation(v: np.ndarray, n: np.ndarray, rounds: int = 100, start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+#: Counts that reliabilities begin from, by class and vote: a test, words before and a gazetteer are taken to tell much, places and forms, which most candidates share, little.
+STRONG, WEAK = [[8, 2, 1], [1, 2, 8]], [[1, 2, 2], [1, 2, 4]]
+PRIORS = np.array([STRONG, STRONG, WEAK, STRONG, WEAK], float).transpose(1, 0, 2)
+
+
+def expectation_maximisation(v: np.ndarray, n: np.ndarray, rounds: int = 100, start: np.ndarray | None = None, prior: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Posterior of each vote pattern, and P(vote | class) as class x labeler x (against, abstains, for).
 
     v: patterns x labelers of -1, 0, 1; n: how often each occurs. Begins from the majority of the votes and a Beta
     prior that takes labelers to be better than chance.
     """
     p = 1 / (1 + np.exp(-v.sum(1) * 1.0)) if start is None else start
-    prior = np.array([[[4, 2, 1]], [[1, 2, 4]]], float)
+    prior = np.array([[[4, 2, 1]], [[1, 2, 4]]], float) if prior is None else prior
     for _ in range(rounds):
         w = np.stack([n * (1 - p), n * p])
         theta = np.stack([(w @ (v == x)) for x in (-1, 0, 1)], axis=-1) + prior
@@ -269,7 +274,8 @@ def fit_pii(found: DataFrame, accept: float = ACCEPT) -> PiiModel:
             continue
         seen, n = np.array([decoded(c)[1] for c, _ in mine]), np.array([c for _, c in mine], float)
         v, group = np.unique(np.array([votes(k, tuple(s)) for s in seen.tolist()]), axis=0, return_inverse=True)
-        p, model.reliabilities[kind] = expectation_maximisation(v, np.bincount(group, n))
+        start = 1 / (1 + np.exp(-v @ np.where(PRIORS[1, :, 2] > 4, 1.0, 0.25)))
+        p, model.reliabilities[kind] = expectation_maximisation(v, np.bincount(group, n), start=start, prior=PRIORS)
         p, x = p[group], inputs(seen)
         model.classifiers[kind] = Logistic(1e-2).fit(np.concatenate([x, x]), np.r_[np.ones(len(p)), np.zeros(len(p))], np.r_[n * p, n * (1 - p)] + 1e-9)
     return model
