@@ -4,6 +4,7 @@ from .bpe import op9_bpe
 from .decontaminate import OP10_SQL, op10_decontaminate
 from .langid import op8_language
 from .lm_score import op5_lm_score
+from .merkle import OP11_SQL, op11_merkle
 from .pii import op7_pii
 from .prefix_hash import op3_fingerprints
 from .quality import op1_quality
@@ -22,8 +23,10 @@ QUERIES = {
     "op8_language": op8_language,
     "op9_bpe": op9_bpe,
     "op10_decontaminate": op10_decontaminate,
+    "op11_merkle": op11_merkle,
 }
 
 ORACLE_SQL = {
     "op10_decontaminate": OP10_SQL,
+    "op11_merkle": OP11_SQL,
 }
