@@ -8,6 +8,7 @@ from .merkle import OP11_SQL, op11_merkle
 from .pii import op7_pii
 from .prefix_hash import op3_fingerprints
 from .quality import op1_quality
+from .repair import op12_repair
 from .simhash import op2_simhash
 from .token_counts import op6_token_counts
 from .toxicity import op4_toxicity
@@ -24,6 +25,7 @@ QUERIES = {
     "op9_bpe": op9_bpe,
     "op10_decontaminate": op10_decontaminate,
     "op11_merkle": op11_merkle,
+    "op12_repair": op12_repair,
 }
 
 ORACLE_SQL = {
