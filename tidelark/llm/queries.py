@@ -5,6 +5,7 @@ from .decontaminate import OP10_SQL, op10_decontaminate
 from .langid import op8_language
 from .lm_score import op5_lm_score
 from .merkle import OP11_SQL, op11_merkle
+from .perplexity import op13_rules
 from .pii import op7_pii
 from .prefix_hash import op3_fingerprints
 from .quality import op1_quality
@@ -26,6 +27,7 @@ QUERIES = {
     "op10_decontaminate": op10_decontaminate,
     "op11_merkle": op11_merkle,
     "op12_repair": op12_repair,
+    "op13_rules": op13_rules,
 }
 
 ORACLE_SQL = {
