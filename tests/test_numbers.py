@@ -53,8 +53,39 @@ def test_ticks_and_keys(spark):
         nm.tick_round(F.lit(1.005), F.lit(0.01)).alias("a"), nm.tick_round(F.lit(-0.125), F.lit(0.25)).alias("b"), nm.tick_round(F.lit(3.3), F.lit(0.0)).alias("c"), nm.at_least_a_tick(F.lit(-0.001), F.lit(0.25)).alias("d"),
         nm.option_key(F.lit("ES"), F.to_date(F.lit("2026-03-20")), F.lit(90.0), F.lit(True)).alias("e"), nm.option_key(F.lit("ES"), F.to_date(F.lit("2026-03-20")), F.lit(90.5), F.lit(False)).alias("f"),
         nm.mixed_fraction(F.lit("3 7/8")).alias("g"), nm.mixed_fraction(F.lit("7/8")).alias("h"), nm.mixed_fraction(F.lit("x")).alias("i"), nm.mixed_fraction(F.lit("4")).alias("j"),
+        nm.tick_round(F.lit(1e11), F.lit(0.25)).alias("k"), nm.tick_round(F.lit(-123456789012.3), F.lit(0.25)).alias("l"), nm.tick_round(F.lit(float("inf")), F.lit(0.25)).alias("m"), nm.tick_round(F.lit(None).cast("double"), F.lit(0.25)).alias("n"), nm.tick_round(F.lit(1e300), F.lit(0.01)).alias("o"),
     ).first()
-    assert tuple(r) == (1.01, -0.25, 3.3, -0.25, "ES_MAR26_90C", "ES_MAR26_90.5P", 3.875, 0.875, None, 4.0)
+    assert tuple(r) == (1.01, -0.25, 3.3, -0.25, "ES_MAR26_90C", "ES_MAR26_90.5P", 3.875, 0.875, None, 4.0, 1e11, -123456789012.25, math.inf, None, 1e300)
+
+
+def test_ticks_as_decimal_digits_say(spark):
+    from decimal import ROUND_HALF_UP, Decimal
+
+    rng = np.random.default_rng(5)
+    rows = [(float(round(x, int(k))), t) for x, k in zip(rng.uniform(-3000, 3000, 4000), rng.integers(0, 6, 4000), strict=True) for t in (0.01, 0.015625, 0.25, 0.005)]
+    for r in spark.createDataFrame(rows, "v double, t double").select("v", "t", nm.tick_round(F.col("v"), F.col("t")).alias("r")).collect():
+        assert r.r == pytest.approx(float((Decimal(str(r.v)) / Decimal(str(r.t))).to_integral_value(ROUND_HALF_UP) * Decimal(str(r.t))), abs=1e-9), r
+
+
+def test_zero_rates_by_the_date(spark):
+    one = lambda days: spark.range(1).select(nm.zero_rate(F.lit(0.95), F.lit(days / 360), F.lit(days) <= 365).alias("z")).first().z
+    for days in (300, 361, 365):
+        assert one(days) == pytest.approx(100 * (1 / 0.95 - 1) * 360 / days)
+    for days in (366, 400):
+        assert one(days) == pytest.approx(100 * (0.95 ** (-360 / days) - 1))
+
+
+def test_contracts_by_rule(spark):
+    f = spark.createDataFrame([("TYM6", "6M"), ("TYM6", "3M"), ("TYU6", "3M"), ("FV", "3M"), ("FVZ6", "3M"), ("FV", "1M"), ("US", "6M"), ("USX", "3M")], "px_ident string, maturity string")
+    rules = spark.createDataFrame([("TY", "3M"), ("FV", "3M"), ("US", "3M"), ("XX", "3M")], "symbol string, maturity string")
+    got = sorted((r.symbol, r.px_ident, r.maturity) for r in panel.select_contracts(f, rules).select("symbol", "px_ident", f.maturity).collect())
+    assert got == [("FV", "FV", "3M"), ("TY", "TYM6", "3M"), ("TY", "TYU6", "3M"), ("US", "USX", "3M")]
+
+
+def test_meeting_lines(spark):
+    text = "x\n2026 FOMC Meetings\nJanuary\n27-28*\nStatement: 12\nAugust\n22 (notation vote)\n9-10 later\nabout 2027 FOMC Meetings\n2027 FOMC Meetings\n3\nJune\n15-16"
+    got = [tuple(r) for r in ingest.rolling_meetings(spark.createDataFrame([("p", text)], "page string, text string")).collect()]
+    assert sorted(got) == sorted([(2026, 1, 28), (2026, 8, 22), (2026, 8, 10), (2027, 8, 3), (2027, 6, 16)])
 
 
 def test_calendar(spark):
@@ -62,6 +93,15 @@ def test_calendar(spark):
     assert cal[d.date(2026, 7, 2)].next_bd == d.date(2026, 7, 6)  # the 4th is a Saturday, kept on Friday
     assert not cal[d.date(2026, 6, 19)].is_bd and not cal[d.date(2026, 11, 26)].is_bd
     assert cal[d.date(2026, 5, 31)].mf == d.date(2026, 5, 29)
+    every = {r.d: r for r in dt.business_calendar(spark, 1999, 2101).collect()}
+    held = {r.holiday for r in dt.us_holidays(spark, 1998, 2102).collect()}
+    days = sorted(every)
+    assert all(every[x].is_bd == (x.weekday() < 5 and x not in held) for x in days)
+    open_ = [x for x in days if every[x].is_bd]
+    after = dict(zip(open_, open_[1:], strict=False))
+    assert all(every[x].next_bd == y and every[y].prev_bd == x for x, y in after.items())
+    far = spark.range(1).select(dt.next_business_day(F.to_date(F.lit("2433-07-03"))).alias("a"), dt.add_tenor(F.to_date(F.lit("1850-01-31")), F.lit("1M")).alias("b")).first()
+    assert (far.a, far.b) == (d.date(2433, 7, 5), d.date(1850, 2, 28))
     s = spark.range(1).select(dt.backward_schedule(F.to_date(F.lit("2027-08-31")), F.to_date(F.lit("2026-02-12"))).alias("s")).first().s
     assert s == [d.date(2026, 2, 28), d.date(2026, 8, 28), d.date(2027, 2, 28), d.date(2027, 8, 31)]
     f = spark.range(1).select(dt.futures_dates(F.lit("SOFR3H6"), F.to_date(F.lit("2026-02-23"))).alias("a"), dt.futures_dates(F.lit("SOFR3H5"), F.to_date(F.lit("2026-02-23"))).alias("b"), dt.futures_dates(F.lit("xx"), F.to_date(F.lit("2026-02-23"))).alias("c")).first()
@@ -69,7 +109,7 @@ def test_calendar(spark):
 
 
 def quotes(spark, up=0.0):
-    rows = [(1, "ON", "1B", "Rate", 3.6), (1, "SOFR3H6", "3M", "Future", 96.4), (1, "SOFR3M6", "3M", "Future", 96.5), (1, "2Y", "2Y", "Swap", 3.5), (1, "3Y", "3Y", "Swap", 3.5), (1, "4Y", "4Y", "Swap", 3.55 + up), (1, "5Y", "5Y", "Swap", 3.6), (1, "?", "1Y", "Other", 1.0), (2, "ON", "1B", "Rate", 3.6), (2, "2Y", "2Y", "Swap", -30.0), (3, "ON", "1B", None, 3.6)]
+    rows = [(1, "ON", "1B", "Rate", 3.6), (1, "SOFR3Z5", "3M", "Future", 96.38), (1, "SOFR3H6", "3M", "Future", 96.4), (1, "SOFR3M6", "3M", "Future", 96.5), (1, "2Y", "2Y", "Swap", 3.5), (1, "3Y", "3Y", "Swap", 3.5), (1, "4Y", "4Y", "Swap", 3.55 + up), (1, "5Y", "5Y", "Swap", 3.6), (1, "?", "1Y", "Other", 1.0), (2, "ON", "1B", "Rate", 3.6), (2, "2Y", "2Y", "Swap", -30.0), (3, "ON", "1B", None, 3.6)]
     return spark.createDataFrame(rows, "curve_id int, symbol string, tenor string, type string, quote double").withColumn("trade_date", F.to_date(F.lit("2026-02-23")))
 
 
@@ -78,8 +118,7 @@ def no_params(spark):
 
 
 def test_bootstrap_against_plain_python(spark):
-    cal = dt.business_calendar(spark, 2025, 2035)
-    rows = curves.curve_rows(quotes(spark), no_params(spark), cal)
+    rows = curves.curve_rows(quotes(spark), no_params(spark))
     solved = {r.curve_id: r for r in curves.bootstrap(rows).collect()}
     assert 3 not in solved and "increases" in solved[2].status
     ts, ls = [0.0], [0.0]
@@ -99,7 +138,7 @@ def test_bootstrap_against_plain_python(spark):
             t1 = max(x.t1, 0)
             b = lambda p, q: (1 - math.exp(-a * (q - p))) / a
             ca = sg * sg / 2 * b(t1, x.t) * (b(0, x.t) * math.exp(-a * x.t) + (1 - math.exp(-2 * a * t1)) / (2 * a))
-            df = at(x.t1) / (1 + ((100 - x.quote) / 100 - ca) * x.alpha)
+            df = at(t1) / (1 + ((100 - x.quote) / 100 - ca) * x.alpha)
         else:
             paid = sum(c.alpha * at(c.t) for c in x.coupons[:-1])
             df = (at(x.te) - r * paid) / (1 + r * x.coupons[-1].alpha)
@@ -107,16 +146,16 @@ def test_bootstrap_against_plain_python(spark):
         ls.append(math.log(df))
     assert solved[1].ts == pytest.approx(ts, abs=1e-14) and solved[1].ls == pytest.approx(ls, abs=1e-14)
     p = {r.symbol: r for r in curves.pillars(curves.bootstrap(rows)).collect()}
-    assert max(abs(p[s].error_bp) for s in ("ON", "SOFR3M6", "3Y", "4Y", "5Y")) < 1e-6  # what lies between pillars was extrapolated for the others
+    assert max(abs(p[s].error_bp) for s in ("ON", "SOFR3Z5", "SOFR3M6", "3Y", "4Y", "5Y")) < 1e-6  # what lies between pillars was extrapolated for the others
     q = curves.fit_quality(curves.bootstrap(rows)).first()
-    assert q.pillars == 7 and q.min_forward > -0.05
+    assert q.pillars == 8 and q.min_forward > -0.05
     b = {r.symbol: r.dv01 for r in curves.bucket_dv01(rows, 1.0).where("curve_id = 1").collect()}
-    moved = curves.bootstrap(curves.curve_rows(quotes(spark, 0.01), no_params(spark), cal)).where("curve_id = 1").first()
-    assert b["4Y"] == pytest.approx(sum(math.exp(y) - math.exp(x) for x, y in zip(ls, moved.ls, strict=True)), abs=1e-8) and len(b) == 7
-    g = {r.tenor: r for r in curves.reprice_grid(curves.bootstrap(rows), cal).where("curve_id = 1").collect()}
+    moved = curves.bootstrap(curves.curve_rows(quotes(spark, 0.01), no_params(spark))).where("curve_id = 1").first()
+    assert b["4Y"] == pytest.approx(sum(math.exp(y) - math.exp(x) for x, y in zip(ls, moved.ls, strict=True)), abs=1e-8) and len(b) == 8
+    g = {r.tenor: r for r in curves.reprice_grid(curves.bootstrap(rows)).where("curve_id = 1").collect()}
     assert len(g) == 28 and g["5Y"].par == pytest.approx(3.6, abs=1e-9)
     m = spark.createDataFrame([("2026-03-18",), ("2020-01-01",)], "s string").select(F.to_date("s").alias("meeting_date"))
-    priced = curves.price_meetings(curves.bootstrap(rows), m, cal, 0.03625).collect()
+    priced = curves.price_meetings(curves.bootstrap(rows), m, 0.03625).collect()
     assert len(priced) == 1 and priced[0].rate_if_cut == 3.375 and 0 <= priced[0].p_cut_pct <= 100
 
 
@@ -216,7 +255,7 @@ def test_schedules_of_any_length(spark):
     s = spark.range(1).select(dt.backward_schedule(day("2026-02-12"), day("2026-02-12")).alias("a"), dt.backward_schedule(day("2026-02-13"), day("2026-02-12")).alias("b")).first()
     assert s.a == [] and s.b == [d.date(2026, 2, 13)]
     b = spark.range(1).select(day("1990-01-03").alias("eff"), day("2070-01-03").alias("mat"))
-    rows = sorted(dt.annual_schedule(b, dt.business_calendar(spark, 1989, 2075), "eff", "mat").select("coupon_no", "coupon_date").collect())
+    rows = sorted(dt.annual_schedule(b, "eff", "mat").select("coupon_no", "coupon_date").collect())
     assert [r.coupon_no for r in rows] == list(range(1, len(rows) + 1)) and len(rows) >= 80 and rows[-1].coupon_date == d.date(2070, 1, 3)
 
 

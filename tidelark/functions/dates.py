@@ -1,10 +1,14 @@
-"""Business calendars, tenors, futures dates and coupon schedules, as columns and small dimension joins."""
+"""Business days, tenors, futures dates and coupon schedules, as columns: no calendar is joined, so that any date has its answer."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from datetime import date, timedelta
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .numeric import let
+
 #: Month letters of futures codes.
 MONTH_LETTERS = {"F": 1, "G": 2, "H": 3, "J": 4, "K": 5, "M": 6, "N": 7, "Q": 8, "U": 9, "V": 10, "X": 11, "Z": 12}
 
@@ -42,33 +46,78 @@ def us_holidays(spark: SparkSession, first_year: int, last_year: int) -> DataFra
     return y.select(F.explode(F.concat(moved, floating)).alias("holiday")).distinct()
 
 
-def business_calendar(spark: SparkSession, first_year: int, last_year: int) -> DataFrame:
-    """(d, is_bd, next_bd, prev_bd, mf): one row a day; next and previous are strict, mf is modified following.
+#: Holidays by date, as month * 100 + day, and the days that those by weekday fall on.
+FIXED_HOLIDAYS = (101, 619, 704, 1111, 1225)
+FIXED_AFTER, FIXED_BEFORE = (102, 620, 705, 1112, 1226), (1231, 618, 703, 1110, 1224)
+MONDAY_HOLIDAYS, THURSDAY_HOLIDAY = ((115, 121), (215, 221), (525, 531), (901, 907), (1008, 1014)), (1122, 1128)
+
+
+
+def _is_open(weekday: int, md: int) -> bool:
+    between = any(a <= md <= z for a, z in MONDAY_HOLIDAYS)
+    holiday = md in FIXED_HOLIDAYS or (weekday == 0 and (between or md in FIXED_AFTER)) or (weekday == 3 and THURSDAY_HOLIDAY[0] <= md <= THURSDAY_HOLIDAY[1]) or (weekday == 4 and md in FIXED_BEFORE)
+    return weekday < 5 and not holiday
 
-    At most a few ten thousand rows, whatever the data.
+
+def _tables() -> tuple[bytes, bytes, bytes]:
+    """For each weekday (Monday 0), month and day: 1 on business days, and the days to the next and from the last, as letters.
+
+    The 29th of February is no holiday and no neighbour of one, so that a year's length makes no difference.
     """
-    days = spark.range(1).select(F.explode(F.sequence(F.make_date(F.lit(first_year), F.lit(1), F.lit(1)), F.make_date(F.lit(last_year), F.lit(12), F.lit(31)))).alias("d"))
-    hol = us_holidays(spark, first_year - 1, last_year + 1)
-    c = days.join(F.broadcast(hol), days["d"] == hol["holiday"], "left").select("d", (F.col("holiday").isNull() & (F.weekday("d") < 5)).alias("is_bd"))
-    c = c.withColumn("bd", F.when(F.col("is_bd"), F.col("d")))
-    by = Window.partitionBy(F.lit(0)).orderBy("d")  # a fixed small dimension: one partition
-    c = c.withColumn("next_bd", F.min("bd").over(by.rowsBetween(1, 30))).withColumn("prev_bd", F.max("bd").over(by.rowsBetween(-30, -1)))
-    mf = F.when(F.col("is_bd"), F.col("d")).when(F.month("next_bd") == F.month("d"), F.col("next_bd")).otherwise(F.col("prev_bd"))
-    return c.select("d", "is_bd", "next_bd", "prev_bd", mf.alias("mf"))
+    every = [(w, date(2000, 1, 1) + timedelta(k)) for w in range(7) for k in range(366)]
+    run = lambda w, d, sign: next(k for k in range(1, 9) if _is_open((w + sign * k) % 7, (d + timedelta(sign * k)).month * 100 + (d + timedelta(sign * k)).day))
+    out = [bytearray(7 * 372) for _ in range(3)]
+    for w, d in every:
+        at = (w * 12 + d.month - 1) * 31 + d.day - 1
+        out[0][at] = 48 + _is_open(w, d.month * 100 + d.day)
+        out[1][at], out[2][at] = 48 + run(w, d, 1), 48 + run(w, d, -1)
+    return tuple(map(bytes, out))
+
+
+_OPEN, _NEXT, _LAST = _tables()
+
+
+def _entry(table: bytes, d: Column) -> Column:
+    at = (F.weekday(d) * 12 + F.month(d) - 1) * 31 + F.dayofmonth(d)
+    return F.ascii(F.substring(F.lit(table), at, F.lit(1)).cast("string")) - 48
+
+
+def is_business_day(d: Column) -> Column:
+    """Neither a weekend nor a US federal holiday, as us_holidays lists them: one look into a constant, as for the days around it."""
+    return _entry(_OPEN, d) == 1
+
+
+def next_business_day(d: Column) -> Column:
+    return F.date_add(d, _entry(_NEXT, d))
+
+
+def previous_business_day(d: Column) -> Column:
+    return F.date_sub(d, _entry(_LAST, d))
+
+
+def modified_following(d: Column) -> Column:
+    """d, or the next business day, or the one before if that is in another month."""
+    return F.when(is_business_day(d), d).otherwise(let(next_business_day(d), lambda after: F.when(F.month(after) == F.month(d), after).otherwise(previous_business_day(d))))
+
+
+def business_calendar(spark: SparkSession, first_year: int, last_year: int) -> DataFrame:
+    """(d, is_bd, next_bd, prev_bd, mf): one row a day of the years; next and previous are strict, mf is modified following."""
+    begin = F.make_date(F.lit(first_year), F.lit(1), F.lit(1))
+    n = spark.range(1).select(F.datediff(F.make_date(F.lit(last_year), F.lit(12), F.lit(31)), begin)).first()[0] + 1
+    d = spark.range(n).select(F.date_add(begin, F.col("id").cast("int")).alias("d"))
+    c = F.col("d")
+    return d.select("d", is_business_day(c).alias("is_bd"), next_business_day(c).alias("next_bd"), previous_business_day(c).alias("prev_bd"), modified_following(c).alias("mf"))
 
 
-def add_tenor(df: DataFrame, calendar: DataFrame, base: str, tenor: str, out: str) -> DataFrame:
-    """df with base plus a tenor such as 1B, 2W, 3M, 5Y or 10D; months end at the month's end, days aren't adjusted.
+def add_tenor(base: Column, tenor: Column) -> Column:
+    """base plus a tenor such as 1B, 2W, 3M, 5Y or 10D; months end at the month's end, days aren't adjusted.
 
     A tenor of another form gives NULL.
     """
-    n = F.expr(f"try_cast(substring({tenor}, 1, length({tenor}) - 1) AS int)")
-    unit = F.upper(F.substring(F.trim(F.col(tenor)), -1, 1))
-    raw = F.when(unit == "Y", F.add_months(base, 12 * n)).when(unit == "M", F.add_months(base, n)).when(unit == "W", F.date_add(base, 7 * n)).when(unit == "D", F.date_add(base, n)).when((unit == "B") & (n == 1), F.col(base))
-    d = df.withColumn("_raw", raw)
-    cal = F.broadcast(calendar.select(F.col("d").alias("_raw"), F.col("next_bd").alias("_next"), F.col("mf").alias("_mf")))
-    d = d.join(cal, "_raw", "left")
-    return d.withColumn(out, F.when(unit == "B", F.col("_next")).when(unit == "D", F.col("_raw")).otherwise(F.col("_mf"))).drop("_raw", "_next", "_mf")
+    n = F.substring(tenor, F.lit(1), F.length(tenor) - 1).try_cast("int")
+    unit = F.upper(F.substring(F.trim(tenor), -1, 1))
+    raw = F.when(unit == "Y", F.add_months(base, 12 * n)).when(unit == "M", F.add_months(base, n)).when(unit == "W", F.date_add(base, 7 * n))
+    return F.when((unit == "B") & (n == 1), next_business_day(base)).when(unit == "D", F.date_add(base, n)).when(raw.isNotNull(), let(raw, modified_following))
 
 
 def futures_dates(code: Column, as_of: Column) -> Column:
@@ -86,16 +135,12 @@ def futures_dates(code: Column, as_of: Column) -> Column:
     return F.when(month.isNotNull() & digit.isNotNull(), pick)
 
 
-def annual_schedule(df: DataFrame, calendar: DataFrame, effective: str, maturity: str) -> DataFrame:
+def annual_schedule(df: DataFrame, effective: str, maturity: str) -> DataFrame:
     """df exploded into (coupon_no, coupon_date): every year from effective, adjusted, up to maturity, which ends the schedule."""
-    d = df.withColumn("_n", F.explode(F.sequence(F.lit(1), F.ceil(F.months_between(maturity, effective) / 12).cast("int") + 1)))
-    d = d.withColumn("_raw", F.add_months(effective, 12 * F.col("_n")))
-    d = d.join(F.broadcast(calendar.select(F.col("d").alias("_raw"), F.col("mf").alias("_mf"))), "_raw", "left")
-    d = d.withColumn("_rawp", F.add_months(effective, 12 * (F.col("_n") - 1)))
-    d = d.join(F.broadcast(calendar.select(F.col("d").alias("_rawp"), F.col("mf").alias("_mfp"))), "_rawp", "left")
-    before = F.col("_mf") < F.col(maturity)
-    keep = d.where((F.col("_n") == 1) | (F.col("_mfp") < F.col(maturity)))  # the first date not before maturity closes the schedule, at maturity
-    return keep.withColumn("coupon_no", F.col("_n")).withColumn("coupon_date", F.when(before, F.col("_mf")).otherwise(F.col(maturity))).drop("_n", "_raw", "_mf", "_rawp", "_mfp")
+    d = df.withColumn("coupon_no", F.explode(F.sequence(F.lit(1), F.ceil(F.months_between(maturity, effective) / 12).cast("int") + 1)))
+    year = lambda k: modified_following(F.add_months(effective, 12 * k))
+    d = d.where((F.col("coupon_no") == 1) | (year(F.col("coupon_no") - 1) < F.col(maturity)))  # the first date not before maturity closes the schedule
+    return d.withColumn("coupon_date", F.least(year(F.col("coupon_no")), F.col(maturity)))
 
 
 def backward_schedule(maturity: Column, settlement: Column, months: int = 6) -> Column:

@@ -29,9 +29,13 @@ def norm_pdf(x: Column) -> Column:
 
 
 def tick_round(value: Column, tick: Column) -> Column:
-    """The nearest multiple of tick, half away from zero, on the decimal digits of the doubles; a tick of 0, below or NULL rounds nothing."""
-    steps = F.round(value.cast("decimal(20,10)") / tick.cast("decimal(20,10)"), 0).cast("double")
-    return F.when(tick > 0, steps * tick).otherwise(value)
+    """The nearest multiple of tick, half away from zero; a tick of 0, below or NULL rounds nothing.
+
+    A half counts as one if decimal digits say so and the doubles' quotient falls short by its last digits: it is
+    taken up by 2e-14 of itself. Quotients from 1e15 on are whole already.
+    """
+    whole = lambda q: F.when(F.abs(q) < 1e15, F.signum(q) * F.floor(F.abs(q) * (1 + 2e-14) + 0.5)).otherwise(q)
+    return F.coalesce(let(value / F.when(tick > 0, tick), whole) * tick, value)
 
 
 def at_least_a_tick(value: Column, tick: Column) -> Column:
@@ -104,6 +108,12 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that are evaluated once a row: filters and later columns would otherwise have the expressions copied into them. The optimizer moves nothing across a generator."""
+    x = F.explode(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))).alias("_once")
+    return df.select("*", x).select(*df.columns, *(F.col(f"_once.{n}").alias(n) for n in columns))
+
+
 def log_df(ts: Column, ls: Column, t: Column) -> Column:
     """The logarithm of the discount factor at t: linear between the pillars (ts ascending, ls), carried on beyond them."""
     n = F.size(ts)
@@ -115,9 +125,9 @@ def log_df(ts: Column, ls: Column, t: Column) -> Column:
     return F.when(n == 1, F.get(ls, F.lit(0))).otherwise(let(F.greatest(F.lit(1), F.least(n - 1, F.size(F.filter(ts, lambda x: x < t)))), line))
 
 
-def zero_rate(df: Column, t: Column) -> Column:
-    """In percent: simple up to a year, with annual compounding beyond."""
-    return 100 * F.when(t <= 1, (1 / df - 1) / t).otherwise(F.pow(df, -1 / t) - 1)
+def zero_rate(df: Column, t: Column, short: Column) -> Column:
+    """In percent, of time t in act/360: simple where `short` (maturities up to a year's tenor from the trade date), with annual compounding elsewhere."""
+    return 100 * F.when(short, (1 / df - 1) / t).otherwise(F.pow(df, -1 / t) - 1)
 
 
 def forward_rate(df_begin: Column, df_end: Column, t: Column) -> Column:

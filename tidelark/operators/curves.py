@@ -1,13 +1,18 @@
 """Discount curves: many bootstraps at once, their repricing, bucket sensitivities, meeting prices and comparisons.
 
-A curve is an array of instruments in one row; it is solved by a fold over the array, so that any number of curves, and of
-bumped copies of them, is one projection after one aggregation by curve.
+A curve is an array of instruments in one row. Curves are solved in Arrow batches, pillar by pillar for all curves of a
+batch, and all bumped copies of them, at once; what a row's pillars then price are plain columns.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import dates as dt
 from ..functions import numeric as nm
@@ -17,87 +22,158 @@ GRID = ("1D", "1W", "2W", "3W", "1M", "2M", "3M", "6M", "9M", "12M", "18M", "2Y"
 HW_A, HW_SIGMA = 0.03, 0.0060
 
 
-def trade_days(df: DataFrame, calendar: DataFrame) -> DataFrame:
-    """(trade_date, spot_bd, effective, one_year): the next business day, the one after, and a year's tenor, for each trade date."""
-    c = F.broadcast(calendar.select("d", "next_bd"))
-    t = df.select("trade_date").distinct().join(c.select(F.col("d").alias("trade_date"), F.col("next_bd").alias("spot_bd")), "trade_date")
-    t = t.join(c.select(F.col("d").alias("spot_bd"), F.col("next_bd").alias("effective")), "spot_bd").withColumn("_y", F.lit("1Y"))
-    return dt.add_tenor(t, calendar, "trade_date", "_y", "one_year").drop("_y")
+def trade_days(df: DataFrame) -> DataFrame:
+    """df with spot_bd, effective and one_year: the next business day, the one after, and a year's tenor, of each trade date."""
+    d = nm.once(df, spot_bd=dt.next_business_day(F.col("trade_date")))
+    return nm.once(d, effective=dt.next_business_day(F.col("spot_bd")), one_year=dt.add_tenor(F.col("trade_date"), F.lit("1Y")))
 
 
-def _coupons(df: DataFrame, calendar: DataFrame, keys: list[str]) -> DataFrame:
-    """df (keys, trade_date, effective, mat) with coupons, the array of (t, alpha) of annual fixed coupons."""
-    s = dt.annual_schedule(df, calendar, "effective", "mat")
+def _coupons(df: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, coupons) of df (keys, trade_date, effective, mat): the array of (t, alpha) of annual fixed coupons."""
+    s = dt.annual_schedule(df, "effective", "mat")
     w = Window.partitionBy(*keys).orderBy("coupon_no")
-    s = s.withColumn("alpha", dt.act_360(F.lag("coupon_date", 1).over(w), F.col("coupon_date")))
-    s = s.withColumn("alpha", F.coalesce("alpha", dt.act_360(F.col("effective"), F.col("coupon_date")))).withColumn("t", dt.act_360(F.col("trade_date"), F.col("coupon_date")))
-    a = s.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("t", "alpha"))).alias("coupons"))  # one a year
-    return df.join(a, keys, "left")
+    before = F.coalesce(F.lag("coupon_date", 1).over(w), "effective")
+    s = s.withColumns({"alpha": dt.act_360(before, F.col("coupon_date")), "t": dt.act_360(F.col("trade_date"), F.col("coupon_date"))})
+    return s.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("t", "alpha"))).alias("coupons"))  # one a year
 
 
-def dated(instruments: DataFrame, calendar: DataFrame) -> DataFrame:
-    """instruments with mat, t, te, t1, alpha and coupons. Dates depend on the few different (trade_date, type, tenor, symbol), which they are found for.
+def dated(instruments: DataFrame) -> DataFrame:
+    """instruments with mat, prev_bd, t, te, t1, alpha, short and coupons. Dates depend on the few different (trade_date, type, tenor, symbol), which they are found for.
 
-    An unknown type or tenor has a NULL mat.
+    short: up to a year's tenor from the trade date. t1 of a future that accrues already is 0. An unknown type or tenor has a NULL mat.
     """
     keys = ["trade_date", "type", "symbol", "tenor"]
-    d = instruments.select(*keys).distinct().join(F.broadcast(trade_days(instruments, calendar)), "trade_date")
-    d = dt.add_tenor(d, calendar, "effective", "tenor", "_swap").withColumn("_fut", dt.futures_dates(F.col("symbol"), F.col("trade_date")))
-    d = d.withColumn("mat", F.when(F.col("type") == "Rate", F.col("spot_bd")).when(F.col("type") == "Future", F.col("_fut.end")).when(F.col("type") == "Swap", F.col("_swap")))
-    d = d.withColumns({"t": dt.act_360(F.col("trade_date"), F.col("mat")), "te": dt.act_360(F.col("trade_date"), F.col("effective")), "t1": dt.act_360(F.col("trade_date"), F.col("_fut.start"))})
+    d = trade_days(instruments.select(*keys).distinct())
+    d = nm.once(d, _swap=dt.add_tenor(F.col("effective"), F.col("tenor")), _fut=dt.futures_dates(F.col("symbol"), F.col("trade_date")))
+    d = nm.once(d, mat=F.when(F.col("type") == "Rate", F.col("spot_bd")).when(F.col("type") == "Future", F.col("_fut.end")).when(F.col("type") == "Swap", F.col("_swap")))
+    start = F.greatest(dt.act_360(F.col("trade_date"), F.col("_fut.start")), F.lit(0.0))
+    d = nm.once(d, t=dt.act_360(F.col("trade_date"), F.col("mat")), te=dt.act_360(F.col("trade_date"), F.col("effective")), t1=F.when(F.col("_fut").isNotNull(), start), prev_bd=dt.previous_business_day(F.col("mat")), short=F.col("mat") <= F.col("one_year"))
     d = d.withColumn("alpha", F.when(F.col("type") == "Future", dt.act_360(F.col("_fut.start"), F.col("_fut.end"))).when(F.col("type") == "Swap", dt.act_360(F.col("effective"), F.col("mat"))))
-    long = _coupons(d.where((F.col("type") == "Swap") & (F.col("mat") > F.col("one_year"))), calendar, keys).select(*keys, "coupons")
-    d = d.join(long, keys, "left").join(F.broadcast(calendar.select(F.col("d").alias("mat"), "prev_bd")), "mat", "left").select(*keys, "mat", "prev_bd", "t", "te", "t1", "alpha", "coupons")
-    return instruments.join(F.broadcast(d), keys)  # as many as there are different tenors a day
+    long = _coupons(d.where((F.col("type") == "Swap") & ~F.col("short")), keys)
+    d = d.join(long, keys, "left").select(*keys, "mat", "prev_bd", "t", "te", "t1", "alpha", "short", "coupons")
+    return instruments.join(d, keys)
 
 
 def _df(ts: Column, ls: Column, t: Column) -> Column:
     return F.exp(nm.log_df(ts, ls, t))
 
 
-def _solve(state: Column, x: Column) -> Column:
-    """The discount factor at an instrument's maturity, from earlier pillars only."""
-    at = lambda t: _df(state["ts"], state["ls"], t)
-    r = x["quote"] / 100
-    fwd = (100 - x["quote"]) / 100 - x["ca"]
-    n = F.size(x["coupons"])
-    paid = F.aggregate(F.slice(x["coupons"], F.lit(1), n - 1), F.lit(0.0), lambda s, c: s + c["alpha"] * at(c["t"]))
-    last = F.element_at(x["coupons"], -1)["alpha"]
-    return F.when(x["type"] == "Rate", 1 / (1 + r * x["t"])).when(x["type"] == "Future", at(x["t1"]) / (1 + fwd * x["alpha"])).when(x["coupons"].isNull(), at(x["te"]) / (1 + r * x["alpha"])).otherwise((at(x["te"]) - r * paid) / (1 + r * last))
-
-
-def _step(state: Column, x: Column) -> Column:
-    before = F.element_at(state["ls"], -1)
-
-    def checked(df: Column) -> Column:
-        wrong = F.when(x["t"] <= F.element_at(state["ts"], -1), F.concat(F.lit("t does not increase at "), x["symbol"])).when(df.isNull() | (df <= 0), F.concat(F.lit("discount factor not positive at "), x["symbol"])).when(F.ln(df) > before, F.concat(F.lit("discount factor increases at "), x["symbol"]))
-        return nm.let(
-            wrong,
-            lambda w: F.when(w.isNotNull(), F.struct(state["ts"].alias("ts"), state["ls"].alias("ls"), w.alias("status"))).otherwise(
-                F.struct(F.concat(state["ts"], F.array(x["t"])).alias("ts"), F.concat(state["ls"], F.array(F.ln(df))).alias("ls"), F.lit(None).cast("string").alias("status"))
-            ),
-        )
-
-    return F.when(state["status"].isNotNull(), state).otherwise(nm.let(_solve(state, x), checked))
-
-
-def curve_rows(instruments: DataFrame, params: DataFrame, calendar: DataFrame) -> DataFrame:
+def curve_rows(instruments: DataFrame, params: DataFrame) -> DataFrame:
     """(curve_id, trade_date, xs): each curve's instruments in the order of t. Rows without a type, and unknown types, are left out.
 
     params: (curve_id, trade_date, hw_a, hw_sigma), NULL for the defaults.
     """
-    i = dated(instruments.na.drop(subset=["type"]), calendar).where("t IS NOT NULL")
+    i = dated(instruments.na.drop(subset=["type"])).where("t IS NOT NULL")
     i = i.join(params, ["curve_id", "trade_date"], "left").withColumns({"hw_a": F.coalesce("hw_a", F.lit(HW_A)), "hw_sigma": F.coalesce("hw_sigma", F.lit(HW_SIGMA))})
     i = i.withColumn("ca", F.when(F.col("type") == "Future", nm.hull_white_convexity(F.col("hw_a"), F.col("hw_sigma"), F.col("t1"), F.col("t"))).otherwise(F.lit(0.0)))
-    x = F.struct("t", "symbol", "type", "quote", "te", "t1", "alpha", "ca", "coupons", "mat", "prev_bd")
+    x = F.struct("t", "symbol", "type", "quote", "te", "t1", "alpha", "ca", "coupons", "mat", "prev_bd", "short")
     return i.groupBy("curve_id", "trade_date").agg(F.array_sort(F.collect_list(x)).alias("xs"))  # some tens of instruments
 
 
+#: Curves that are solved together: a batch's tables are this many times its pillars and coupons.
+CURVES = 512
+KINDS = ("Rate", "Future", "Swap")
+
+
+def _table(lists: pa.ListArray, values: np.ndarray, fill: float) -> np.ndarray:
+    """The lists as rows of a table, as wide as the longest."""
+    starts, ends = lists.offsets.to_numpy()[:-1], lists.offsets.to_numpy()[1:]
+    n = ends - starts
+    at = np.arange(n.max(initial=0))[None, :]
+    inside = at < n[:, None]
+    out = np.full(inside.shape, fill)
+    out[inside] = values[(starts[:, None] + at)[inside]]
+    return out
+
+
+class CurveBatch:
+    """The instruments of some curves as tables, a row a curve and a column a place in the order of t."""
+
+    def __init__(self, xs: pa.ListArray):
+        x = xs.values
+        number = lambda name: _table(xs, x.field(name).to_numpy(zero_copy_only=False).astype(float), np.nan)
+        self.n = xs.value_lengths().fill_null(0).to_numpy()
+        self.symbols = x.field("symbol").to_pylist()
+        self.starts = xs.offsets.to_numpy()[:-1]
+        kind = np.array([KINDS.index(k) if k in KINDS else -1 for k in x.field("type").to_pylist()], float)
+        self.kind = _table(xs, kind, -1.0)
+        self.t, self.quote, self.te, self.t1, self.alpha, self.ca = (number(c) for c in ("t", "quote", "te", "t1", "alpha", "ca"))
+        c = x.field("coupons")
+        rows = _table(xs, np.arange(len(x), dtype=float), -1.0).astype(int)
+        own = [np.vstack([_table(c, c.values.field(f).to_numpy(zero_copy_only=False).astype(float), np.nan).reshape(len(x), -1), np.full((1, max(c.value_lengths().fill_null(0).to_numpy().max(initial=0), 0)), np.nan)]) for f in ("t", "alpha")]
+        self.coupon_t, self.coupon_alpha = (v[rows] for v in own)  # curves x places x coupons
+        self.long = np.isfinite(self.coupon_t).any(2) if self.coupon_t.shape[2] else np.zeros(self.t.shape, bool)
+
+    def solve(self, bumps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(logarithms of discount factors, what stopped the curve) for bumps (curves x copies x places) of the quotes.
+
+        The pillars' times are those of all copies, so that places between them are found once a curve. Stops: the place
+        times four plus 1 for a time that doesn't increase, 2 for a factor that isn't positive, 3 for one that rises; -1 for none.
+        """
+        m, copies, width = bumps.shape
+        ls, stop = np.zeros((m, copies, width + 1)), np.full((m, copies), -1)
+        ts = np.concatenate([np.zeros((m, 1)), self.t], 1)
+        rows = np.arange(m)
+
+        def at(t: np.ndarray, i: int) -> np.ndarray:
+            """Discount factors at times (curves x any), from pillars 0 to i, for every copy."""
+            if i == 0:
+                return np.ones((m, copies, t.shape[1]))
+            k = np.clip((ts[:, None, : i + 1] < t[:, :, None]).sum(2), 1, i)
+            x0, x1 = ts[rows[:, None], k - 1], ts[rows[:, None], k]
+            share = (t - x0) / (x1 - x0)
+            y0, y1 = (np.take_along_axis(ls, np.broadcast_to(j[:, None, :], (m, copies, j.shape[1])), 2) for j in (k - 1, k))
+            return np.exp(y0 + (y1 - y0) * share[:, None, :])
+
+        with np.errstate(all="ignore"):
+            for i in range(width):
+                kind, live = self.kind[:, i], i < self.n
+                quote = self.quote[:, None, i] + bumps[:, :, i]
+                r, alpha = quote / 100, self.alpha[:, None, i]
+                df = np.full((m, copies), np.nan)
+                if (kind == 0).any():
+                    df = np.where((kind == 0)[:, None], 1 / (1 + r * self.t[:, None, i]), df)
+                if (kind == 1).any():
+                    df = np.where((kind == 1)[:, None], at(self.t1[:, i : i + 1], i)[:, :, 0] / (1 + ((100 - quote) / 100 - self.ca[:, None, i]) * alpha), df)
+                if (kind == 2).any():
+                    begin = at(self.te[:, i : i + 1], i)[:, :, 0]
+                    value = begin / (1 + r * alpha)
+                    if self.long[:, i].any():
+                        t, a = self.coupon_t[:, i], self.coupon_alpha[:, i]
+                        last = np.isfinite(t).sum(1) - 1
+                        early = np.arange(t.shape[1])[None, :] < last[:, None]
+                        paid = (np.where(early, a, 0.0)[:, None, :] * at(np.where(early, t, 0.0), i)).sum(2)
+                        value = np.where(self.long[:, i, None], (begin - r * paid) / (1 + r * a[rows, last][:, None]), value)
+                    df = np.where((kind == 2)[:, None], value, df)
+                y, before = np.log(df), ls[:, :, i]
+                late = np.broadcast_to((self.t[:, i] <= ts[:, i])[:, None], y.shape)
+                wrong = np.select([late, ~(df > 0), y > before], [1, 2, 3], 0)
+                open_ = (stop < 0) & live[:, None]
+                stop = np.where(open_ & (wrong > 0), 4 * i + wrong, stop)
+                ls[:, :, i + 1] = np.where(open_ & (wrong == 0), y, before)
+        return ls, stop
+
+
+STOPS = {1: "t does not increase at ", 2: "discount factor not positive at ", 3: "discount factor increases at "}
+
+
 def bootstrap(rows: DataFrame) -> DataFrame:
     """rows (xs, ...) with ts, ls and status: pillars from (0, 1) on, logarithms of discount factors, and NULL or what stopped the curve."""
-    start = F.struct(F.array(F.lit(0.0)).alias("ts"), F.array(F.lit(0.0)).alias("ls"), F.lit(None).cast("string").alias("status"))
-    fold = F.explode(F.array(F.aggregate("xs", start, _step))).alias("_c")  # a generator, so that nothing evaluates the fold again
-    return rows.select("*", fold).withColumns({"ts": F.col("_c.ts"), "ls": F.col("_c.ls"), "status": F.col("_c.status")}).drop("_c")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for begin in range(0, whole.num_rows, CURVES):
+                batch = pa.RecordBatch.from_struct_array(pa.concat_arrays([whole.slice(begin, CURVES).to_struct_array()]))
+                c = CurveBatch(batch.column("xs"))
+                ls, stop = (v[:, 0] for v in c.solve(np.zeros((len(c.n), 1, c.t.shape[1]))))
+                n = np.where(stop >= 0, stop // 4, c.n) + 1
+                inside = np.arange(ls.shape[1])[None, :] < n[:, None]
+                offsets = pa.array(np.r_[0, np.cumsum(n)], pa.int32())
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(v[inside])) for v in (np.concatenate([np.zeros((len(n), 1)), c.t], 1), ls)]
+                status = pa.array([STOPS[s % 4] + c.symbols[a + s // 4] if s >= 0 else None for s, a in zip(stop.tolist(), c.starts.tolist(), strict=True)], pa.string())
+                yield pa.RecordBatch.from_arrays([*batch.columns, *lists, status], [*batch.schema.names, "ts", "ls", "status"])
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, *T._parse_datatype_string("ts array<double>, ls array<double>, status string").fields]))
 
 
 def pillars(curves: DataFrame) -> DataFrame:
@@ -110,7 +186,7 @@ def pillars(curves: DataFrame) -> DataFrame:
     annuity = F.aggregate("x.coupons", F.lit(0.0), lambda s, c: s + c["alpha"] * at(c["t"]))
     model = F.when(F.col("x.type") == "Rate", 100 * (1 / df - 1) / F.col("x.t")).when(F.col("x.type") == "Future", 100 * (1 - (at(F.col("x.t1")) / df - 1) / F.col("x.alpha") - F.col("x.ca")))
     model = model.when(F.col("x.coupons").isNull(), 100 * (at(F.col("x.te")) / df - 1) / F.col("x.alpha")).otherwise(100 * (at(F.col("x.te")) - df) / annuity)
-    out = p.select("curve_id", "trade_date", (F.col("n") + 1).alias("pillar_no"), "x.symbol", "x.mat", "x.t", df.alias("df"), nm.zero_rate(df, F.col("x.t")).alias("zero"), overnight.alias("forward_1d"), (100 * 360 * (F.pow(1 / df, 1 / days) - 1)).alias("flat"), (100 * (model - F.col("x.quote"))).alias("error_bp"))
+    out = p.select("curve_id", "trade_date", (F.col("n") + 1).alias("pillar_no"), "x.symbol", "x.mat", "x.t", df.alias("df"), nm.zero_rate(df, F.col("x.t"), F.col("x.short")).alias("zero"), overnight.alias("forward_1d"), (100 * 360 * (F.pow(1 / df, 1 / days) - 1)).alias("flat"), (100 * (model - F.col("x.quote"))).alias("error_bp"))
     return out
 
 
@@ -130,31 +206,49 @@ def fit_quality(curves: DataFrame) -> DataFrame:
 def bucket_dv01(rows: DataFrame, bump_bp: float = 1.0) -> DataFrame:
     """(curve_id, trade_date, symbol, dv01): what a bump of one quote does to the sum of all discount factors, to 8 places.
 
-    A future's price falls by the bump, other quotes rise. Each curve becomes one row a bump, without a shuffle.
+    A future's price falls by the bump, other quotes rise. A curve and its bumped copies, one a quote, are solved
+    together. Curves without a solution have no rows, a copy without one has NULL.
     """
-    base = bootstrap(rows).where("status IS NULL").withColumn("base", F.col("ls"))
-    b = base.select("curve_id", "trade_date", "base", "xs", F.explode(F.sequence(F.lit(0), F.size("xs") - 1)).alias("k"))
-    sign = F.get("xs", F.col("k"))["type"]
-    moved = F.transform("xs", lambda x, i: F.when(i == F.col("k"), x.withField("quote", x["quote"] + F.when(x["type"] == "Future", -bump_bp / 100).otherwise(bump_bp / 100))).otherwise(x))
-    b = b.withColumn("symbol", F.get("xs", F.col("k"))["symbol"]).withColumn("type", sign).withColumn("xs", moved)
-    b = bootstrap(b)
-    total = F.aggregate(F.zip_with("ls", "base", lambda x, y: F.exp(x) - F.exp(y)), F.lit(0.0), lambda s, x: s + x)
-    return b.select("curve_id", "trade_date", "symbol", F.when(F.col("status").isNull(), F.bround(total, 8)).alias("dv01"))
-
 
-def reprice_grid(curves: DataFrame, calendar: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for begin in range(0, whole.num_rows, CURVES):
+                batch = pa.RecordBatch.from_struct_array(pa.concat_arrays([whole.slice(begin, CURVES).to_struct_array()]))
+                c = CurveBatch(batch.column("xs"))
+                m, width = c.t.shape
+                bumps = np.zeros((m, width + 1, width))
+                for k in range(width):
+                    bumps[:, k, k] = np.where(c.kind[:, k] == 1, -bump_bp / 100, bump_bp / 100)
+                ls, stop = c.solve(bumps)
+                there = np.arange(width + 1)[None, :] <= c.n[:, None]
+                moved = np.where(there[:, None, :], np.exp(ls[:, :-1]) - np.exp(ls[:, -1:]), 0.0).sum(2)
+                keep = (np.arange(width)[None, :] < c.n[:, None]) & (stop[:, -1:] < 0)
+                curve, place = np.nonzero(keep)
+                at = pa.array(curve)
+                value = pa.array(moved[keep], mask=stop[:, :-1][keep] >= 0)
+                symbols = pa.array([c.symbols[a + p] for a, p in zip(c.starts[curve].tolist(), place.tolist(), strict=True)], pa.string())
+                yield pa.RecordBatch.from_arrays([batch.column("curve_id").take(at), batch.column("trade_date").take(at), symbols, value], ["curve_id", "trade_date", "symbol", "dv01"])
+
+    kind = dict(rows.dtypes)
+    out = rows.select("curve_id", "trade_date", "xs").mapInArrow(run, f"curve_id {kind['curve_id']}, trade_date {kind['trade_date']}, symbol string, dv01 double")
+    return out.withColumn("dv01", F.bround("dv01", 8))
+
+
+def reprice_grid(curves: DataFrame) -> DataFrame:
     """(curve_id, trade_date, tenor, mat, df, par, forward_1d, flat) on the tenor grid, rates in percent.
 
     Days count from the trade date without adjustment, weeks from it with, months and years from the effective date.
+    The grid's dates are found once a trade date; they are joined to its curves, by broadcast if the optimizer finds them small.
     """
-    t = trade_days(curves, calendar).withColumn("tenor", F.explode(F.array(*(F.lit(g) for g in GRID))))
-    near = dt.add_tenor(t.where("right(tenor, 1) IN ('D', 'W')"), calendar, "trade_date", "tenor", "mat")
-    far = dt.add_tenor(t.where("right(tenor, 1) NOT IN ('D', 'W')"), calendar, "effective", "tenor", "mat")
-    g = near.unionByName(far).join(F.broadcast(calendar.select(F.col("d").alias("mat"), "prev_bd")), "mat", "left")
+    t = trade_days(curves.select("trade_date").distinct()).withColumn("tenor", F.explode(F.array(*(F.lit(g) for g in GRID))))
+    t = nm.once(t, base=F.when(F.right("tenor", F.lit(1)).isin("D", "W"), F.col("trade_date")).otherwise(F.col("effective")))
+    g = nm.once(t, mat=dt.add_tenor(F.col("base"), F.col("tenor")))
     keys = ["trade_date", "tenor"]
-    long = _coupons(g.where(F.col("mat") > F.col("one_year")), calendar, keys).select(*keys, "coupons")
-    g = g.join(long, keys, "left").withColumns({"t": dt.act_360(F.col("trade_date"), F.col("mat")), "te": dt.act_360(F.col("trade_date"), F.col("effective")), "tp": dt.act_360(F.col("trade_date"), F.col("prev_bd")), "alpha": dt.act_360(F.col("effective"), F.col("mat"))})
-    c = curves.where("status IS NULL").select("curve_id", "trade_date", "ts", "ls").join(F.broadcast(g), "trade_date")  # 28 rows a day
+    g = g.join(_coupons(g.where(F.col("mat") > F.col("one_year")), keys), keys, "left")
+    g = nm.once(g, prev_bd=dt.previous_business_day(F.col("mat"))).withColumns({"t": dt.act_360(F.col("trade_date"), F.col("mat")), "te": dt.act_360(F.col("trade_date"), F.col("effective")), "tp": dt.act_360(F.col("trade_date"), F.col("prev_bd")), "alpha": dt.act_360(F.col("effective"), F.col("mat"))})
+    g = g.groupBy("trade_date").agg(F.collect_list(F.struct("tenor", "mat", "prev_bd", "t", "te", "tp", "alpha", "coupons")).alias("grid"))  # a row a day
+    c = curves.where("status IS NULL").select("curve_id", "trade_date", "ts", "ls").join(g, "trade_date")
+    c = c.select("curve_id", "trade_date", "ts", "ls", F.inline("grid"))
     at = lambda x: _df(F.col("ts"), F.col("ls"), x)
     c = c.withColumns({"df": at(F.col("t")), "dfe": at(F.col("te")), "dfp": at(F.col("tp")), "annuity": F.aggregate("coupons", F.lit(0.0), lambda s, k: s + k["alpha"] * at(k["t"]))})
     par = F.when(F.col("coupons").isNull(), F.try_divide(F.col("dfe") / F.col("df") - 1, F.col("alpha"))).otherwise((F.col("dfe") - F.col("df")) / F.col("annuity"))
@@ -163,10 +257,16 @@ def reprice_grid(curves: DataFrame, calendar: DataFrame) -> DataFrame:
     return c.select("curve_id", "trade_date", "tenor", "mat", "df", (100 * par).alias("par"), (100 * fwd).alias("forward_1d"), (100 * flat).alias("flat"))
 
 
-def price_meetings(curves: DataFrame, meetings: DataFrame, calendar: DataFrame, mid: float, step_bp: float = 25.0) -> DataFrame:
-    """What a curve's overnight rate from each meeting (meeting_date, not before the trade date) to the next business day implies for the policy rate."""
-    m = meetings.join(calendar.select(F.col("d").alias("meeting_date"), F.col("next_bd").alias("effective_date")), "meeting_date")
-    c = curves.where("status IS NULL").select("curve_id", "trade_date", "ts", "ls").join(F.broadcast(m), F.col("meeting_date") >= F.col("trade_date"))
+def price_meetings(curves: DataFrame, meetings: DataFrame, mid: float, step_bp: float = 25.0) -> DataFrame:
+    """What a curve's overnight rate from each meeting (meeting_date, not before the trade date) to the next business day implies for the policy rate.
+
+    A trade date's meetings are found once and joined to its curves by the date, so that no curve is compared with all meetings.
+    """
+    m = meetings.select("meeting_date", dt.next_business_day(F.col("meeting_date")).alias("effective_date"))
+    days = curves.select("trade_date").distinct().join(m, F.col("meeting_date") >= F.col("trade_date"))  # the calendar's days and meetings
+    days = days.groupBy("trade_date").agg(F.collect_list(F.struct("meeting_date", "effective_date")).alias("ahead"))
+    c = curves.where("status IS NULL").select("curve_id", "trade_date", "ts", "ls").join(days, "trade_date")
+    c = c.select("curve_id", "trade_date", "ts", "ls", F.inline("ahead"))
     days, step = F.datediff("effective_date", "meeting_date"), step_bp / 10000
     at = lambda x: _df(F.col("ts"), F.col("ls"), dt.act_360(F.col("trade_date"), F.col(x)))
     c = c.withColumn("_r", (at("meeting_date") / at("effective_date") - 1) * 360 / days)

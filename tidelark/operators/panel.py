@@ -11,17 +11,16 @@ from pyspark.sql import functions as F
 
 
 def select_contracts(futures: DataFrame, rules: DataFrame) -> DataFrame:
-    """Rows of the contracts that rules (symbol, maturity) name: exact ident and maturity, or else idents that begin with the symbol.
+    """Rows of the contracts that rules (symbol, maturity) name: of the rule's maturity, with the symbol as ident or, if there is none, idents that begin with it.
 
     A row that several rules select comes once for each, with the rule's symbol. rules is a small dimension.
     """
-    r = rules.withColumnRenamed("maturity", "rule_maturity")
+    r = rules.withColumnRenamed("maturity", "_maturity")
     names = futures.select(F.col("px_ident").alias("_ident"), F.col("maturity").alias("_maturity")).distinct()  # the prefixes are looked for in these alone
-    hit = names.join(r, F.col("_ident").startswith(F.col("symbol")))
-    hit = hit.withColumn("exact", (F.col("_ident") == F.col("symbol")) & (F.col("_maturity") == F.col("rule_maturity")))
-    has = hit.where("exact").select(F.col("symbol").alias("_s")).distinct()
-    hit = hit.join(has, hit["symbol"] == has["_s"], "left").where(F.col("exact") | F.col("_s").isNull()).select("_ident", "_maturity", "symbol")
-    return futures.join(hit, (F.col("px_ident") == F.col("_ident")) & F.col("maturity").eqNullSafe(F.col("_maturity"))).drop("_ident", "_maturity")
+    hit = names.join(r, "_maturity").where(F.col("_ident").startswith(F.col("symbol")))
+    exact = F.max(F.col("_ident") == F.col("symbol")).over(Window.partitionBy("symbol", "_maturity"))
+    hit = hit.withColumn("_exact", exact).where(~F.col("_exact") | (F.col("_ident") == F.col("symbol")))
+    return futures.join(hit, (F.col("px_ident") == F.col("_ident")) & (F.col("maturity") == F.col("_maturity"))).drop("_ident", "_maturity", "_exact")
 
 
 def default_rules(futures: DataFrame, default: str = "3M", special: dict[str, str] | None = None) -> DataFrame:

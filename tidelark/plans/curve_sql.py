@@ -49,7 +49,7 @@ CONVEXITY = "(CASE WHEN type = 'Future' THEN sg * sg / 2 * (1 - exp(-hw * (t - g
 def bootstrap(name: str, source: str = "cu", keys: str = "curve_id", bump: str = "0") -> str:
     """name(keys, level, hw, sg, ts, ls, status): the curves of a source; bump is added to the quotes, in percent of rate."""
     rate = "(level + i * 0.05::DOUBLE + bumped) / 100"
-    solved = f"""CASE type WHEN 'Rate' THEN 1 / (1 + rr * t) WHEN 'Future' THEN {df('t1')} / (1 + (rr - conv) * alpha) ELSE CASE WHEN ct IS NULL THEN {df('te')} / (1 + rr * alpha) ELSE ({df('te')} - rr * {annuity('len(ct) - 1')}) / (1 + rr * ca[-1]) END END"""
+    solved = f"""CASE type WHEN 'Rate' THEN 1 / (1 + rr * t) WHEN 'Future' THEN {df('greatest(t1, 0)')} / (1 + (rr - conv) * alpha) ELSE CASE WHEN ct IS NULL THEN {df('te')} / (1 + rr * alpha) ELSE ({df('te')} - rr * {annuity('len(ct) - 1')}) / (1 + rr * ca[-1]) END END"""
     return f"""{name}_r AS (SELECT {keys}, level, hw, sg, [0.0::DOUBLE] AS ts, [0.0::DOUBLE] AS ls, NULL::VARCHAR AS status, 0 AS n FROM {source}
  UNION ALL SELECT {keys}, level, hw, sg, CASE WHEN ok THEN list_append(ts, t) ELSE ts END, CASE WHEN ok THEN list_append(ls, ln(dfv)) ELSE ls END, coalesce(status, w), n + 1
  FROM (SELECT *, status IS NULL AND w IS NULL AS ok FROM (SELECT *, CASE WHEN t <= ts[-1] THEN 't does not increase at ' || symbol WHEN dfv IS NULL OR dfv <= 0 THEN 'discount factor not positive at ' || symbol WHEN ln(dfv) > ls[-1] THEN 'discount factor increases at ' || symbol END AS w
@@ -59,8 +59,8 @@ def bootstrap(name: str, source: str = "cu", keys: str = "curve_id", bump: str =
 
 def pillar_table(curves: str) -> str:
     """pil: one row a pillar of curves, with rates in percent and repricing errors in basis points."""
-    model = f"CASE type WHEN 'Rate' THEN 100 * (1 / d - 1) / t WHEN 'Future' THEN 100 * (1 - ({df('t1')} / d - 1) / alpha - conv) ELSE CASE WHEN ct IS NULL THEN 100 * ({df('te')} / d - 1) / alpha ELSE 100 * ({df('te')} - d) / {annuity('len(ct)')} END END"
-    return f"""pil AS (SELECT curve_id, td AS trade_date, i + 1 AS pillar_no, symbol, mat, t, d AS df, 100 * CASE WHEN t <= 1 THEN (1 / d - 1) / t ELSE d ** (-1 / t) - 1 END AS zero, 100 * ({df('(prev_bd - td) / 360.0::DOUBLE')} / d - 1) * 360 / (mat - prev_bd) AS forward_1d,
+    model = f"CASE type WHEN 'Rate' THEN 100 * (1 / d - 1) / t WHEN 'Future' THEN 100 * (1 - ({df('greatest(t1, 0)')} / d - 1) / alpha - conv) ELSE CASE WHEN ct IS NULL THEN 100 * ({df('te')} / d - 1) / alpha ELSE 100 * ({df('te')} - d) / {annuity('len(ct)')} END END"
+    return f"""pil AS (SELECT curve_id, td AS trade_date, i + 1 AS pillar_no, symbol, mat, t, d AS df, 100 * CASE WHEN mat <= year1 THEN (1 / d - 1) / t ELSE d ** (-1 / t) - 1 END AS zero, 100 * ({df('(prev_bd - td) / 360.0::DOUBLE')} / d - 1) * 360 / (mat - prev_bd) AS forward_1d,
  100 * 360 * ((1 / d) ** (1.0::DOUBLE / (mat - td)) - 1) AS flat, 100 * ({model} - CASE WHEN type = 'Future' THEN 100 - (level + i * 0.05::DOUBLE) ELSE level + i * 0.05::DOUBLE END) AS error_bp
  FROM (SELECT c.*, x.*, exp(c.ls[x.i + 2]) AS d, {CONVEXITY} AS conv FROM {curves} c CROSS JOIN ins x WHERE status IS NULL) p)"""
 

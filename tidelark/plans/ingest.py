@@ -120,10 +120,13 @@ def historical(spark, d):
     return g.historical_meetings(pages).groupBy("Year", "Month", "Day").agg(F.count("*").alias("n"))
 
 
-@query("s21_rolling_meetings", """SELECT DISTINCT 2000 + year(o_orderdate) % 100 AS Year, month(o_orderdate)::INT AS Month, least(day(o_orderdate) + 1, 28)::INT AS Day FROM orders""")
+@query("s21_rolling_meetings", """SELECT DISTINCT 2000 + year(o_orderdate) % 100 AS Year, month(o_orderdate)::INT AS Month, CASE WHEN day(o_orderdate) % 3 = 1 THEN day(o_orderdate) ELSE least(day(o_orderdate) + 1, 28) END::INT AS Day FROM orders""")
 def rolling(spark, d):
+    """Pages of a month each, with days written as 1-2*, 22 (notation vote) and 1-2 with a note behind, among lines that are none."""
     names = F.array(*(F.lit(m) for m in g.MONTHS))
     o = read(spark, d, "orders").select((F.lit(2000) + F.year("o_orderdate") % 100).alias("y"), F.month("o_orderdate").alias("m"), F.dayofmonth("o_orderdate").alias("d")).distinct()
-    text = F.concat_ws("\n", F.concat(F.col("y").cast("string"), F.lit(" FOMC Meetings")), F.get(names, F.col("m") - 1), F.concat(F.lit("1-"), F.least(F.col("d") + 1, F.lit(28)).cast("string")), F.lit("Statement: PDF"))
+    later = F.concat(F.lit("1-"), F.least(F.col("d") + 1, F.lit(28)).cast("string"))
+    days = F.when(F.col("d") % 3 == 0, F.concat(later, F.lit("*"))).when(F.col("d") % 3 == 1, F.concat(F.col("d").cast("string"), F.lit(" (notation vote)"))).otherwise(F.concat(later, F.lit(" Statement")))
+    text = F.concat_ws("\n", F.concat(F.col("y").cast("string"), F.lit(" FOMC Meetings")), F.get(names, F.col("m") - 1), days, F.lit("Statement: PDF"))
     pages = o.select(F.concat_ws("-", "y", "m", "d").alias("page"), text.alias("text"))
     return g.assemble_calendar(g.rolling_meetings(pages))

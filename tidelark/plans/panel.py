@@ -33,7 +33,7 @@ def rounded(df, digits: int = 6):
 
 @query("p1_contract_selection", """WITH fut AS (SELECT p_partkey, p_brand AS px_ident, CASE WHEN p_size % 3 = 0 THEN '1M' ELSE '3M' END AS maturity, p_retailprice AS price FROM part),
 rules AS (SELECT 'Brand#1' AS symbol, '3M' AS m UNION ALL SELECT 'Brand#23', '1M' UNION ALL SELECT 'Brand#34', '6M'),
-hit AS (SELECT f.*, symbol, (px_ident = symbol AND maturity = m) AS exact FROM fut f JOIN rules ON starts_with(px_ident, symbol))
+hit AS (SELECT f.*, symbol, px_ident = symbol AS exact FROM fut f JOIN rules ON starts_with(px_ident, symbol) AND maturity = m)
 SELECT p_partkey, px_ident, maturity, price, symbol FROM hit WHERE exact OR symbol NOT IN (SELECT symbol FROM hit WHERE exact)""")
 def contract_selection(spark, d):
     fut = read(spark, d, "part").select("p_partkey", F.col("p_brand").alias("px_ident"), F.when(F.col("p_size") % 3 == 0, "1M").otherwise("3M").alias("maturity"), F.col("p_retailprice").alias("price"))

@@ -9,14 +9,14 @@ from ..functions import numeric as nm
 from ..operators import curves as c
 from ..operators import policy as po
 from . import curve_sql as cs
-from .dates import CAL, calendar
+from .dates import CAL
 from .panel import rounded
 from .tables import read
 
 TRADE = "2026-02-23"
 #: Policy meetings after the trade date.
 MEETINGS = ("2026-03-18", "2026-04-29", "2026-06-17", "2026-07-29", "2026-09-16", "2026-10-28", "2026-12-09", "2027-01-27")
-TENORS = (("ON", "1B", "Rate"), ("SOFR3H6", "3M", "Future"), ("SOFR3M6", "3M", "Future"), ("SOFR3U6", "3M", "Future"), ("2Y", "2Y", "Swap"), ("3Y", "3Y", "Swap"), ("4Y", "4Y", "Swap"), ("5Y", "5Y", "Swap"), ("7Y", "7Y", "Swap"), ("10Y", "10Y", "Swap"), ("15Y", "15Y", "Swap"), ("20Y", "20Y", "Swap"), ("30Y", "30Y", "Swap"))
+TENORS = (("ON", "1B", "Rate"), ("SOFR3Z5", "3M", "Future"), ("SOFR3H6", "3M", "Future"), ("SOFR3M6", "3M", "Future"), ("SOFR3U6", "3M", "Future"), ("2Y", "2Y", "Swap"), ("3Y", "3Y", "Swap"), ("4Y", "4Y", "Swap"), ("5Y", "5Y", "Swap"), ("7Y", "7Y", "Swap"), ("10Y", "10Y", "Swap"), ("15Y", "15Y", "Swap"), ("20Y", "20Y", "Swap"), ("30Y", "30Y", "Swap"))
 Q, S = {}, {}
 
 
@@ -35,7 +35,7 @@ def instruments(spark, d):
     t = spark.createDataFrame([(s, n, k, i) for i, (s, n, k) in enumerate(TENORS)], "symbol string, tenor string, type string, i int")
     cust = read(spark, d, "customer").select(F.col("c_custkey").alias("curve_id"), (F.lit(2.0) + (F.col("c_custkey") % 100) / 50.0).alias("level"))
     rate = F.col("level") + F.col("i") * 0.05
-    q = cust.join(F.broadcast(t))  # 13 instruments a curve
+    q = cust.join(F.broadcast(t))  # 14 instruments a curve, of which one future accrues already
     return q.select("curve_id", F.to_date(F.lit(TRADE)).alias("trade_date"), "symbol", "tenor", "type", F.when(F.col("type") == "Future", 100 - rate).otherwise(rate).alias("quote"))
 
 
@@ -44,7 +44,7 @@ def params(spark, d):
 
 
 def rows(spark, d):
-    return c.curve_rows(instruments(spark, d), params(spark, d), calendar(spark))
+    return c.curve_rows(instruments(spark, d), params(spark, d))
 
 
 def curves(spark, d):
@@ -82,7 +82,7 @@ def dv01(spark, d):
 
 @query("c4_tenor_grid", CURVES + f", {cs.grid(c.GRID)}, {cs.repriced('cv', 'rp')} SELECT curve_id, trade_date, tenor, mat, round(df, 6) AS df, round(par, 6) AS par, round(forward_1d, 6) AS forward_1d, round(flat, 6) AS flat FROM rp")
 def grid(spark, d):
-    return rounded(c.reprice_grid(curves(spark, d), calendar(spark)))
+    return rounded(c.reprice_grid(curves(spark, d)))
 
 
 UNIT = lambda x: f"round_even(greatest(0, least(1, {x})) * 100, 1)"
@@ -94,15 +94,15 @@ SELECT curve_id, DATE '{TRADE}' AS trade_date, meeting_date, effective_date, n::
  3.375::DOUBLE AS rate_if_cut, 3.875::DOUBLE AS rate_if_hike, 3.625::DOUBLE AS rate_if_hold FROM mr""")
 def meeting_prices(spark, d):
     m = spark.createDataFrame([(x,) for x in MEETINGS], "d string").select(F.to_date("d").alias("meeting_date"))
-    return c.price_meetings(curves(spark, d), m, calendar(spark), 0.03625)
+    return c.price_meetings(curves(spark, d), m, 0.03625)
 
 
 @query("j16_curve_comparison", CURVES + f""", {cs.bootstrap('mv', bump="CASE WHEN type = 'Swap' THEN 0.01::DOUBLE ELSE 0 END")}, {cs.grid(c.GRID)}, {cs.repriced('cv', 'ra')}, {cs.repriced('mv', 'rb')}, df AS (SELECT tenor, abs(rb.par - ra.par) * 100 AS x FROM ra JOIN rb USING (curve_id, tenor))
 SELECT tenor, round(max(x), 4) AS max_abs, round(avg(x), 4) AS mean_abs, count(*) FILTER (x > 1e-6) AS mismatches, count(*) AS n FROM df GROUP BY tenor""")
 def curve_comparison(spark, d):
-    a = c.reprice_grid(curves(spark, d), calendar(spark)).select("curve_id", "trade_date", "tenor", "par")
+    a = c.reprice_grid(curves(spark, d)).select("curve_id", "trade_date", "tenor", "par")
     moved = instruments(spark, d).withColumn("quote", F.when(F.col("type") == "Swap", F.col("quote") + 0.01).otherwise(F.col("quote")))
-    b = c.reprice_grid(c.bootstrap(c.curve_rows(moved, params(spark, d), calendar(spark))), calendar(spark)).select("curve_id", "trade_date", "tenor", "par")
+    b = c.reprice_grid(c.bootstrap(c.curve_rows(moved, params(spark, d)))).select("curve_id", "trade_date", "tenor", "par")
     return rounded(c.comparison_summary(c.compare_rates(a, b, "par", ["curve_id", "trade_date", "tenor"]), ["tenor"]), 4)
 
 
@@ -116,7 +116,7 @@ sb AS (SELECT curve_id, eff, coupon_no, un AS cd FROM s0 WHERE coupon_no <= 5),
  NOT (coalesce(yb.cd - ya.cd = 0, false) AND coalesce(round_even((round_even(yb.al, 8) - round_even(ya.al, 8)) * 360, 6) = 0, false)) AS differs FROM ya FULL JOIN yb ON ya.curve_id = yb.curve_id AND ya.coupon_no = yb.coupon_no""")
 def schedules(spark, d):
     o = read(spark, d, "orders").select(F.col("o_orderkey").alias("curve_id"), F.col("o_orderdate").cast("date").alias("eff")).withColumn("mat", F.add_months("eff", 60))
-    a = dt.annual_schedule(o, calendar(spark), "eff", "mat").select("curve_id", "eff", "coupon_no", "coupon_date")
+    a = dt.annual_schedule(o, "eff", "mat").select("curve_id", "eff", "coupon_no", "coupon_date")
     b = o.select("curve_id", "eff", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("coupon_no")).withColumn("coupon_date", F.add_months("eff", 12 * F.col("coupon_no")))
     w = c.Window.partitionBy("curve_id").orderBy("coupon_no")
     alpha = lambda x: x.withColumn("alpha", dt.act_360(F.coalesce(F.lag("coupon_date").over(w), "eff"), F.col("coupon_date"))).drop("eff")
@@ -228,12 +228,15 @@ def auctions(spark, d):
     return b.join(a, "cusip", "left").select("contract", "delivery_month", "cusip", "cf", "l_orderkey", "l_linenumber", "accepted")
 
 
-@query("t21_t22_rates", """SELECT l_orderkey, l_linenumber, round(100 * CASE WHEN t <= 1 THEN (1 / df - 1) / t ELSE df ** (-1 / t) - 1 END, 6) AS zero, round(100 * 360 * ((1 / df) ** (1.0 / dy) - 1), 6) AS flat, round(100 * (df / (df * exp(-0.01::DOUBLE)) - 1) / 0.25::DOUBLE, 6) AS forward
-FROM (SELECT l_orderkey, l_linenumber, (30 * l_quantity) AS dy, 30 * l_quantity / 360.0::DOUBLE AS t, exp(-(0.02::DOUBLE + l_discount) * 30 * l_quantity / 360.0::DOUBLE) AS df FROM lineitem)""")
+@query("t21_t22_rates", f"""WITH {CAL}, q AS (SELECT l_orderkey, l_linenumber, CAST(l_shipdate AS DATE) AS td, (30 * l_quantity)::INT + l_linenumber AS dy, l_discount FROM lineitem),
+r AS (SELECT q.*, dy / 360.0::DOUBLE AS t, td + dy <= mf AS short, exp(-(0.02::DOUBLE + l_discount) * dy / 360.0::DOUBLE) AS df FROM q JOIN cal ON cal.d = CAST(td + INTERVAL 1 YEAR AS DATE))
+SELECT l_orderkey, l_linenumber, short, round(100 * CASE WHEN short THEN (1 / df - 1) / t ELSE df ** (-1 / t) - 1 END, 6) AS zero, round(100 * 360 * ((1 / df) ** (1.0::DOUBLE / dy) - 1), 6) AS flat, round(100 * (df / (df * exp(-0.01::DOUBLE)) - 1) / 0.25::DOUBLE, 6) AS forward FROM r""")
 def simple_rates(spark, d):
-    li = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (30 * F.col("l_quantity")).alias("dy"), (F.lit(0.02) + F.col("l_discount")).alias("r"))
-    li = li.withColumn("t", F.col("dy") / 360.0).withColumn("df", F.exp(-F.col("r") * F.col("t")))
-    return li.select("l_orderkey", "l_linenumber", F.round(nm.zero_rate(F.col("df"), F.col("t")), 6).alias("zero"), F.round(nm.flat_daily_rate(F.col("df"), F.col("dy")), 6).alias("flat"), F.round(nm.forward_rate(F.col("df"), F.col("df") * F.exp(F.lit(-0.01)), F.lit(0.25)), 6).alias("forward"))
+    """Maturities of 31 to 1,507 days from each ship date, those of 361 to 368 around a year's tenor among them."""
+    days = (30 * F.col("l_quantity")).cast("int") + F.col("l_linenumber")
+    li = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_shipdate").cast("date").alias("td"), days.alias("dy"), (F.lit(0.02) + F.col("l_discount")).alias("r"))
+    li = li.withColumns({"t": F.col("dy") / 360.0, "short": F.date_add("td", F.col("dy")) <= dt.add_tenor(F.col("td"), F.lit("1Y"))}).withColumn("df", F.exp(-F.col("r") * F.col("t")))
+    return li.select("l_orderkey", "l_linenumber", "short", F.round(nm.zero_rate(F.col("df"), F.col("t"), F.col("short")), 6).alias("zero"), F.round(nm.flat_daily_rate(F.col("df"), F.col("dy")), 6).alias("flat"), F.round(nm.forward_rate(F.col("df"), F.col("df") * F.exp(F.lit(-0.01)), F.lit(0.25)), 6).alias("forward"))
 
 
 @query("t20_convexity", """SELECT l_orderkey, l_linenumber, round(s * s / 2 * (1 - exp(-a * (t2 - t1))) / a * ((1 - exp(-a * t2)) / a * exp(-a * t2) + (1 - exp(-2 * a * t1)) / (2 * a)) * 10000, 8) AS bp
@@ -248,7 +251,7 @@ def convexity(spark, d):
 def pillar_dates(spark, d):
     m = F.get(F.array(*(F.lit(x) for x in (1, 3, 6, 12))), (F.col("o_orderkey") % 4).cast("int"))
     o = read(spark, d, "orders").select(m.alias("m"), F.col("o_orderdate").cast("date").alias("b")).withColumn("tenor", F.concat(F.col("m").cast("string"), F.lit("M")))
-    o = dt.add_tenor(o, calendar(spark), "b", "tenor", "mat").withColumn("days", F.datediff("mat", F.add_months("b", F.col("m"))))
+    o = o.withColumn("mat", dt.add_tenor(F.col("b"), F.col("tenor"))).withColumn("days", F.datediff("mat", F.add_months("b", F.col("m"))))
     return o.groupBy("m").agg(F.count("*").alias("n"), F.count_if(F.col("days") != 0).alias("moved"), F.max(F.abs("days")).alias("most_days"))
 
 
@@ -257,7 +260,7 @@ c AS (SELECT curve_id, m || 'M' AS tenor, mf AS mat_a, raw AS mat_b, (raw - mf):
 SELECT * FROM c""")
 def pillar_comparison(spark, d):
     o = read(spark, d, "orders").select(F.col("o_orderkey").alias("curve_id"), F.col("o_orderdate").cast("date").alias("base"), F.explode(F.array(*map(F.lit, (6, 24, 36, 60)))).alias("m")).withColumn("tenor", F.concat(F.col("m").cast("string"), F.lit("M")))
-    a = dt.add_tenor(o, calendar(spark), "base", "tenor", "mat").withColumn("panel", c.panel_of(F.col("mat"), F.add_months("base", 36)))
+    a = o.withColumn("mat", dt.add_tenor(F.col("base"), F.col("tenor"))).withColumn("panel", c.panel_of(F.col("mat"), F.add_months("base", 36)))
     b = o.withColumn("mat", F.add_months("base", F.col("m")))
     return c.compare_pillars(a, b, ["curve_id", "tenor"]).join(a.select("curve_id", "tenor", "panel"), ["curve_id", "tenor"])
 

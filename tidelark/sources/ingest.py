@@ -115,7 +115,7 @@ def decode_candles(payloads: DataFrame) -> DataFrame:
 
 def contract_blocks(sheet: DataFrame) -> DataFrame:
     """sheet (sheet_id, pos, c1, c2, ...) with contract: the header row that a row stands under. Tentative headers open no block."""
-    head = F.upper("c1").contains("FUTURES CONTRACT") & ~F.col("c1").contains("Tentative")
+    head = F.upper("c1").contains("FUTURES CONTRACT") & ~F.upper("c1").contains("TENTATIVE")
     w = Window.partitionBy("sheet_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     d = sheet.withColumn("contract", F.last(F.when(head, F.col("c1")), ignorenulls=True).over(w))
     return d.where(F.col("contract").isNotNull() & ~F.coalesce(head, F.lit(False)))
@@ -124,7 +124,7 @@ def contract_blocks(sheet: DataFrame) -> DataFrame:
 def contract_block(sheet: DataFrame, keyword: str) -> DataFrame:
     """The rows of each sheet under the first header that holds the keyword, up to the next header; fails if a sheet has no such header."""
     blocks = contract_blocks(sheet)
-    head = F.upper("c1").contains("FUTURES CONTRACT") & ~F.col("c1").contains("Tentative")
+    head = F.upper("c1").contains("FUTURES CONTRACT") & ~F.upper("c1").contains("TENTATIVE")
     first = sheet.groupBy("sheet_id").agg(F.min_by("c1", F.when(head & F.col("c1").contains(keyword), F.col("pos"))).alias("contract"))
     first = first.withColumn("contract", F.when(F.col("contract").isNull(), F.raise_error(F.lit(f"{keyword} contract not found."))).otherwise(F.col("contract")))
     return blocks.join(first, ["sheet_id", "contract"])
@@ -190,13 +190,16 @@ def historical_meetings(pages: DataFrame) -> DataFrame:
 
 
 def rolling_meetings(pages: DataFrame) -> DataFrame:
-    """(Year, Month, Day) of pages (page, text) whose lines set the year ("2026 ... Meetings"), the month, and the days ("17-18") in turn."""
+    """(Year, Month, Day) of pages (page, text) whose lines set the year ("2026 FOMC Meetings", at the line's beginning), the month, and the days in turn.
+
+    A line of days begins with a day or two days, such as "17-18*" or "22 (notation vote)"; the last of them counts, whatever follows.
+    """
     lines = pages.select("page", F.posexplode(F.split("text", "\n")).alias("pos", "line")).withColumn("line", F.trim("line"))
     w = Window.partitionBy("page").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    year = F.regexp_extract("line", r"(20\d\d)\s+FOMC Meetings", 1).try_cast("int")
+    year = F.regexp_extract("line", r"^(20\d\d) FOMC Meetings", 1).try_cast("int")
     month = F.when(F.col("line").rlike(rf"^({NAMES})$"), _month(F.col("line")))
     d = lines.withColumns({"y": F.last(year, ignorenulls=True).over(w), "m": F.last(month, ignorenulls=True).over(w)})
-    day = F.regexp_extract("line", r"^(?:\d{1,2}\s*[-–]\s*)?(\d{1,2})\*?$", 1).try_cast("int")
+    day = F.when(year.isNull(), F.regexp_extract("line", r"^(?:\d+-)?(\d+)", 1).try_cast("int"))
     return d.withColumn("Day", day).where("Day IS NOT NULL AND y IS NOT NULL AND m IS NOT NULL").select(F.col("y").alias("Year"), F.col("m").alias("Month"), "Day")
 
 
