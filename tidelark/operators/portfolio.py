@@ -27,9 +27,10 @@ def resolve(positions: DataFrame, marks: DataFrame, vols: DataFrame, specs: Data
     p = positions.where(F.coalesce(F.col("open"), F.lit(True)) & F.col("type").isin("equity", "future", "option"))
     root = lambda c: F.expr(f"substring({c}, 1, greatest(0, length({c}) - 3))")
     p = p.withColumns({"_und": F.coalesce("underlying_symbol", "symbol"), "_own": F.col("symbol")}).withColumns({"_und_root": root("_und"), "_own_root": root("_own")})
-    m, v, s = marks, vols, specs
-    looked_up = [(m, "_und", {"price": "price_und"}), (m, "_own", {"price": "price_own"}), (v, "_und", {"vol": "vol_und"}), (v, "_own", {"vol": "vol_own"})]
-    looked_up += [(s, "_und", {"multiplier": "mult_und", "tick_size": "tick_und"}), (s, "_own", {"multiplier": "mult_own"}), (s, "_und_root", {"tick_size": "root_tick"}), (s, "_own_root", {"asset_class": "root_class"})]
+    every = marks.select("symbol", "price").join(vols.select("symbol", "vol"), "symbol", "full").join(specs.select("symbol", "multiplier", "tick_size"), "symbol", "full")  # all that is known of a symbol
+    roots = specs.select("symbol", "tick_size", "asset_class")
+    looked_up = [(every, "_und", {"price": "price_und", "vol": "vol_und", "multiplier": "mult_und", "tick_size": "tick_und"}), (every, "_own", {"price": "price_own", "vol": "vol_own", "multiplier": "mult_own"})]
+    looked_up += [(roots, "_und_root", {"tick_size": "root_tick"}), (roots, "_own_root", {"asset_class": "root_class"})]
     for dim, key, names in looked_up:
         p = p.join(dim.select(F.col("symbol").alias("_k"), *(F.col(a).alias(b) for a, b in names.items())), F.col(key) == F.col("_k"), "left").drop("_k")
     option = F.col("type") == "option"
@@ -70,9 +71,9 @@ def resolve(positions: DataFrame, marks: DataFrame, vols: DataFrame, specs: Data
 
 
 def _priced(df: DataFrame, price: Column, rule: str, prefix: str = "_") -> DataFrame:
-    """Black on futures, Black-Scholes on all else, by the time, rate and volatility of a rule (mtm, risk, or ladder)."""
+    """Black on futures, Black-Scholes on all else, by the time, rate and volatility of a rule (mtm, risk, or ladder). Rows that are no options have NULL, which costs no exponential."""
     t, r, v = {"mtm": ("t_mtm", "rate_mtm", "vol_mtm"), "risk": ("t_risk", "rate_risk", "vol_risk"), "ladder": ("t_mtm", "rate_risk", "vol_risk")}[rule]
-    return nm.price_options(df, price, F.col("strike"), F.col(t), F.col(r), F.col(v), F.col("carry"), F.col("call"), F.col("on_future"), prefix)
+    return nm.price_options(df, F.when(F.col("type") == "option", price), F.col("strike"), F.col(t), F.col(r), F.col(v), F.col("carry"), F.col("call"), F.col("on_future"), prefix)
 
 
 def mark_to_market(resolved: DataFrame) -> DataFrame:
@@ -157,7 +158,7 @@ def reconcile(mtm: DataFrame, tolerance: float = 1e-6) -> DataFrame:
     price made anew is a tick or more away from it.
     """
     size, w = F.col("quantity") * F.col("multiplier"), F.when(F.col("call"), 1.0).otherwise(-1.0)
-    d = nm.price_options(mtm, F.col("price"), F.col("strike"), F.col("t_mtm"), F.col("rate_mtm"), F.col("vol_mtm"), F.col("carry"), ~F.col("call"), F.col("on_future"), "_opp_")
+    d = nm.price_options(mtm, F.when(F.col("type") == "option", F.col("price")), F.col("strike"), F.col("t_mtm"), F.col("rate_mtm"), F.col("vol_mtm"), F.col("carry"), ~F.col("call"), F.col("on_future"), "_opp_")
     ahead = F.col("price") * F.exp(-F.when(F.col("on_future"), F.col("rate_mtm")).otherwise(F.col("carry")) * F.col("t_mtm")) - F.col("strike") * F.exp(-F.col("rate_mtm") * F.col("t_mtm"))
     d = d.withColumn("_again", nm.tick_round(F.col("_opp_price") + w * ahead, F.col("model_tick")))
     again = F.when(F.col("type") == "option", F.col("_again") * size).when(F.col("type") == "future", (F.col("price") - F.coalesce("trade_price", "price")) * size).otherwise(F.col("price") * F.col("quantity"))

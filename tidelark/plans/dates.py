@@ -75,7 +75,7 @@ def futures(spark, d):
 
 
 @query("t7_annual_schedule", f"""WITH {CAL}, b AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS eff, CAST(CAST(o_orderdate AS DATE) + to_months(12 * (1 + o_orderkey % 12)::INT + 5) AS DATE) AS mat FROM orders),
-s AS (SELECT o_orderkey, eff, mat, n, mf FROM b, range(1, 20) r(n) JOIN cal ON cal.d = CAST(eff + to_years(n::INT) AS DATE)), p AS (SELECT *, lag(mf) OVER (PARTITION BY o_orderkey ORDER BY n) AS pm FROM s)
+u AS (SELECT *, CAST(eff + to_years(n::INT) AS DATE) AS un FROM b, range(1, 20) r(n)), s AS (SELECT o_orderkey, eff, mat, n, mf FROM u JOIN cal ON cal.d = un), p AS (SELECT *, lag(mf) OVER (PARTITION BY o_orderkey ORDER BY n) AS pm FROM s)
 SELECT o_orderkey, n::INT AS coupon_no, CASE WHEN mf < mat THEN mf ELSE mat END AS coupon_date FROM p WHERE n = 1 OR pm < mat""")
 def annual(spark, d):
     o = order_dates(spark, d).withColumn("mat", F.add_months("d", (12 * (1 + F.col("o_orderkey") % 12) + 5).cast("int")))

@@ -107,7 +107,7 @@ def curve_comparison(spark, d):
 
 
 SCHED = f"""{CAL}, b AS (SELECT o_orderkey AS curve_id, CAST(o_orderdate AS DATE) AS eff, CAST(CAST(o_orderdate AS DATE) + INTERVAL 5 YEAR AS DATE) AS mat FROM orders),
-s0 AS (SELECT curve_id, eff, mat, n::INT AS coupon_no, mf, CAST(eff + to_years(n::INT) AS DATE) AS un FROM b, range(1, 7) r(n) JOIN cal ON cal.d = CAST(eff + to_years(n::INT) AS DATE)),
+u0 AS (SELECT curve_id, eff, mat, n::INT AS coupon_no, CAST(eff + to_years(n::INT) AS DATE) AS un FROM b, range(1, 7) r(n)), s0 AS (SELECT u0.*, mf FROM u0 JOIN cal ON cal.d = un),
 s1 AS (SELECT *, lag(mf) OVER (PARTITION BY curve_id ORDER BY coupon_no) AS pm FROM s0), sa AS (SELECT curve_id, eff, coupon_no, CASE WHEN mf < mat THEN mf ELSE mat END AS cd FROM s1 WHERE coupon_no = 1 OR pm < mat),
 sb AS (SELECT curve_id, eff, coupon_no, un AS cd FROM s0 WHERE coupon_no <= 5), ya AS (SELECT *, (cd - coalesce(lag(cd) OVER (PARTITION BY curve_id ORDER BY coupon_no), eff)) / 360.0::DOUBLE AS al FROM sa), yb AS (SELECT *, (cd - coalesce(lag(cd) OVER (PARTITION BY curve_id ORDER BY coupon_no), eff)) / 360.0::DOUBLE AS al FROM sb)"""
 
