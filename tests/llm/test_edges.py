@@ -4,7 +4,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from tidelark.llm import bpe, decontaminate, langid, lm_score, pii, prefix_hash, quality, simhash, token_counts, toxicity
+from tidelark.llm import bpe, decontaminate, langid, lm_score, merkle, perplexity, pii, prefix_hash, quality, simhash, token_counts, toxicity
 from tidelark.llm.common import crc_remainder
 
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
@@ -50,6 +50,8 @@ def operators(docs, labels, bench):
     yield "language", lambda d: langid.predict_languages(d, langid.fit_languages(d, langid.learned()))
     yield "bpe", lambda d: bpe.encode(d, BYTE)
     yield "decontaminate", lambda d: decontaminate.find_contamination(d, bench)
+    yield "merkle", lambda d: merkle.manifest(d.select("doc_id", "source", "text"), F.col("source"), F.col("doc_id"), merkle.leaf_digest([F.col("doc_id"), F.col("text")]))
+    yield "rules", perplexity.quality_rules
 
 
 NAMES = [n for n, _ in operators(None, None, None)]
@@ -62,7 +64,7 @@ def test_one_result_a_row(spark, docs, labels, bench, empty, name):
     ids = sorted((str(r.doc_id) for r in rows))
     assert ids == sorted(str(r[0]) for r in ROWS)
     same = [r for r in rows if r.doc_id == 6]
-    assert name == "prefix" or same[0] == same[1]
+    assert name in ("prefix", "merkle") or same[0] == same[1]
     assert f(empty).collect() == []
 
 
@@ -119,7 +121,7 @@ def test_the_kept_copy_is_determined(spark):
 
 def test_defined_values(spark, docs, labels, bench):
     score = {r.doc_id: r.score for r in quality.score_quality(docs, quality.fit_quality(docs, labels, F.lit(True))).collect()}
-    assert score[2] == score[3] == 0.0 and all(0 <= x <= 1 for x in score.values())
+    assert 0 < score[2] == score[3] < 1 and all(0 <= x <= 1 for x in score.values())
     fp = {r.doc_id: (r.fp, r.component) for r in simhash.near_duplicates(docs).collect()}
     assert fp[2] == fp[3] == fp[4] == (0, 2) and fp[None] == fp[1]
     n = {r.doc_id: r for r in decontaminate.find_contamination(docs, bench).collect()}

@@ -140,10 +140,17 @@ def map_texts(df: DataFrame, columns: list[Column], text_at: int, factory: Calla
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, per_class: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id, text, label) to learn from: of each class the per_class rows with the least hash of the id.
 
-    At most 2 * per_class ids are kept, so that their broadcast has a proven bound whatever the size of labels.
+    Repeated rows of labels count once, and ids with both labels teach nothing. At most 2 * per_class ids are kept, so that their broadcast has a proven bound whatever
+    the size of labels.
     """
-    known = labels.where(F.col(label).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label).cast("int").alias("label"))
-    known = known.where(learn).withColumn("_h", F.xxhash64("_id"))
+    known = labels.where(F.col(label).isin(0, 1) & F.col(id_col).isNotNull()).where(learn).groupBy(F.col(id_col).alias("_id")).agg(F.min(label).cast("int").alias("label"), F.max(label).cast("int").alias("_most"))
+    known = known.where(F.col("label") == F.col("_most")).select("_id", "label", F.xxhash64("_id").alias("_h"))
     part = [known.where(F.col("label") == v).orderBy("_h", "_id").limit(per_class) for v in (0, 1)]
-    chosen = part[0].unionByName(part[1]).dropDuplicates(["_id"])
+    chosen = part[0].unionByName(part[1])
     return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "_id").select("_id", "text", "label", "_h")
+
+
+def label_shares(labels: DataFrame, label: str, learn: Column, id_col: str = "doc_id") -> dict[int, int]:
+    """How many ids have label 0 and 1, as labelled_sample counts them."""
+    known = labels.where(F.col(label).isin(0, 1) & F.col(id_col).isNotNull()).where(learn).groupBy(id_col).agg(F.min(label).cast("int").alias("v"), F.max(label).cast("int").alias("w"))
+    return {r["v"]: r["count"] for r in known.where("v = w").groupBy("v").count().collect()}

@@ -83,24 +83,28 @@ class LanguageModel:
 def fit_languages(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, landmarks: int = LANDMARKS) -> LanguageModel:
     """Learns from at most per_language texts of each language; none is left out.
 
-    learn: which rows may be learned from; rows without a language, an id or a text are left out. The sample is
-    chosen by ids alone, and of its texts only the sets of n-grams, of at most BUCKETS numbers, reach the driver.
+    learn: which rows may be learned from; rows without a language, an id or a text are left out. A row's language is
+    its own, also where rows share an id, and equal rows count once. The sample is chosen by hashes of ids and texts,
+    and of its texts only the sets of n-grams, of at most BUCKETS numbers, reach the driver.
     """
-    known = docs.where(learn & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"))
+    key = F.xxhash64(F.col(text_col))
+    known = docs.where(learn & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), key.alias("_key")).distinct()
     names = sorted(r["_lang"] for r in known.select("_lang").distinct().collect())
     if not names:
         return LanguageModel([], np.empty(0, np.int64), np.empty((0, 0), np.float32), np.empty((0, 0)))
     h = F.xxhash64("_id")
-    ranked = known.select("_id", "_lang", h.alias("_h"))
-    by = Window.partitionBy("_lang").orderBy("_h", "_id")  # each task keeps no more than per_language rows of a language for it
-    chosen = ranked.withColumn("_n", F.row_number().over(by)).where(F.col("_n") <= per_language).drop("_n").dropDuplicates(["_id"])
-    sample = docs.where(F.col(text_col).isNotNull() & learn).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id")
+    ranked = known.select("_id", "_lang", "_key", h.alias("_h"))
+    by = Window.partitionBy("_lang").orderBy("_h", "_id", "_key")  # each task keeps no more than per_language rows of a language for it
+    chosen = ranked.withColumn("_n", F.row_number().over(by)).where(F.col("_n") <= per_language).drop("_n")
+    texts = docs.where(F.col(text_col).isNotNull() & learn).select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), key.alias("_key"), F.col(text_col).alias("_text"))
+    sample = texts.join(F.broadcast(chosen), ["_id", "_lang", "_key"])
 
     def factory():
         return lambda h, lang, texts: (h, lang, [np.unique(ngram_buckets(t)).astype(np.int32) if LETTER.search(t) else np.empty(0, np.int32) for t in texts])
 
     rows = map_texts(sample, [F.col("_h"), F.col("_lang"), F.col("_text")], 2, factory, [("h", "bigint"), ("lang", "string"), ("x", "array<int>")]).collect()
-    rows = sorted((r for r in rows if len(r["x"])), key=lambda r: (r["h"], r["lang"]))
+    rows = list({(r["h"], r["lang"], tuple(r["x"])): r for r in rows if len(r["x"])}.values())  # equal rows once
+    rows = sorted(rows, key=lambda r: (r["h"], r["lang"], r["x"]))
     chosen_rows = [r for n in names for r in [r for r in rows if r["lang"] == n][:landmarks]]
     if not chosen_rows:
         return LanguageModel([], np.empty(0, np.int64), np.empty((0, 0), np.float32), np.empty((0, 0)))

@@ -14,7 +14,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_remainder, held_out, labelled_sample, map_texts, table
+from .common import crc_remainder, held_out, label_shares, labelled_sample, map_texts, table
 from .logistic import Logistic
 
 #: Labelled documents of each class to learn from at most: a half builds the dictionaries, a half calibrates.
@@ -31,6 +31,7 @@ THRESHOLD = 0.3
 class QualityModel:
     dictionaries: tuple[bytes, bytes]  # of bad and good text
     prior: float
+    empty: float = 0.5  # of texts without a byte, which compression says nothing of
     calibration: Logistic | None = None
     _compressors: list = field(default_factory=list)
 
@@ -55,7 +56,7 @@ class QualityModel:
         return [(good - bad).sum() / (good + bad).sum(), diff.max(), diff.min(), whole, ratio.min(), ratio.max(), np.log1p(len(text))]
 
     def scores(self, texts: list[bytes | None]) -> list[float]:
-        out = [0.0] * len(texts)
+        out = [self.empty] * len(texts)
         full = [i for i, t in enumerate(texts) if t]
         if self.calibration is None:
             p = [self.prior] * len(full)
@@ -86,9 +87,11 @@ def fit_quality(docs: DataFrame, labels: DataFrame, learn: Column, label: str =
     learn: which rows of labels may be learned from. Without labels of both classes (an empty table, too) the score is the
     share of label 1. At most CHUNKS pieces of CHUNK bytes a class reach the driver, however long the texts are.
     """
-    known = labels.where(F.col(label).isin(0, 1)).where(learn).groupBy(label).count().collect()
-    share = {int(r[0]): r[1] for r in known}
+    share = label_shares(labels, label, learn, id_col)
     prior = (share.get(1, 0) + 0.5) / (sum(share.values()) + 1)
+    without = docs.where(F.coalesce(F.octet_length(text_col), F.lit(0)) == 0)
+    none = labelled_sample(without, labels, label, learn, per_class, id_col, text_col).agg(F.coalesce(F.sum("label"), F.lit(0)), F.count("*")).first()
+    empty = (none[0] + prior) / (none[1] + 1)
     sample = labelled_sample(docs.where(F.octet_length(text_col) > 0), labels, label, learn, per_class, id_col, text_col).withColumn("half", F.pmod(F.hash("_h"), F.lit(2)))
     text = F.col("text").cast("binary")
     chunks = sample.where("half = 0").select("label", text.alias("_t"), "_h", F.explode(F.sequence(F.lit(0), F.octet_length(text) - 1, F.lit(CHUNK))).alias("at"))
@@ -98,8 +101,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, learn: Column, label: str =
     own = _own_lines([bytes(r["t"]) for r in rows])
     samples = [[t for t, r in zip(own, rows, strict=True) if t and r["label"] == v] for v in (0, 1)]
     if not all(samples):
-        return QualityModel((b"\n", b"\n"), prior)
-    model = QualityModel((_dictionary(samples[0]), _dictionary(samples[1])), prior)
+        return QualityModel((b"\n", b"\n"), prior, empty)
+    model = QualityModel((_dictionary(samples[0]), _dictionary(samples[1])), prior, empty)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def factory():
@@ -115,7 +118,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, learn: Column, label: str =
 
 
 def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """(id, score, predicted) for each row of docs. NULL and empty texts have score 0; ties and repeats score alike; an empty table gives an empty result; whole texts are read, however long."""
+    """(id, score, predicted) for each row of docs. NULL and empty texts have the share of label 1 among labelled empty texts; ties and repeats score alike; an empty table gives an empty result; whole texts are read, however long."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = dict(docs.dtypes)[id_col]
 

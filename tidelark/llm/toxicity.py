@@ -1,7 +1,7 @@
 """Toxic passages: the maximal segments of summed token log-odds, and how surprising they are in clean text.
 
-Tokens score by their log-odds between toxic and clean documents under a Dirichlet prior (Monroe et al., 2008), drawn to
-zero by their standard error, less the cost of a token. All maximal-scoring segments of a text are found in linear time
+Tokens score by their log-odds between toxic and clean documents under a Dirichlet prior of a fixed weight (Monroe et al.,
+2008), which draws tokens of little evidence to zero, less the cost of a token. All maximal-scoring segments of a text are found in linear time
 (Ruzzo and Tompa, 1999); extreme-value theory (Karlin and Altschul, 1990) says how likely clean text of the same length
 holds one as good, and the significant ones together become a calibrated probability.
 """
@@ -15,17 +15,17 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_remainder, held_out, labelled_sample, map_texts, table
+from .common import crc_remainder, held_out, label_shares, labelled_sample, map_texts, table
 from .logistic import Logistic
 
 #: Labelled documents of each class to learn from at most.
 PER_CLASS = 20_000
-#: Strength of the prior, as a share of each class's own counts.
-PRIOR = 0.1
-#: Standard errors that log-odds are drawn to zero by; tokens with less evidence score as unseen ones do, 0.
-ERRORS = 2.0
-#: What each token of a passage costs, so that a longer passage must say more.
-COST = 0.5
+#: Weight of the prior: documents with a token that are seen before any, in both classes together, and divided between them as those of all tokens are.
+PRIOR = 10.0
+#: What each token of a passage costs at least, so that a longer passage must say more; more where clean text would gain by its tokens on average.
+COST = 1.0
+#: Scores are held in steps of this size; the many tokens whose score is next to nothing, and so 0, need no entry.
+STEP = 0.25
 SIGNIFICANT = 0.05
 THRESHOLD = 0.3
 #: ASCII letters in lower case; other ASCII becomes a space; bytes of other letters stay.
@@ -70,6 +70,7 @@ def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
 @dataclass
 class ToxicModel:
     scores: dict[bytes, float]  # of the tokens that don't score 0
+    cost: float = COST
     decay: float = 1.0  # of the extreme-value distribution
     rate: float = 1e-6  # positive tokens a token of clean text
     prior: float = 0.5
@@ -81,7 +82,7 @@ class ToxicModel:
         if not w or not self.scores:
             return [], len(w)
         get = self.scores.get
-        values = np.fromiter((get(x, 0.0) for x in w), float, len(w)) - COST
+        values = np.fromiter((get(x, 0.0) for x in w), float, len(w)) - self.cost
         if values.max() <= 0:
             return [], len(w)
         least = (np.log(self.rate * len(w)) - np.log(-np.log1p(-SIGNIFICANT))) / self.decay  # score of a p of SIGNIFICANT
@@ -100,10 +101,10 @@ class ToxicModel:
         return self.calibration.predict(np.array(features).reshape(-1, 3)).tolist()
 
 
-def _decay(scores: np.ndarray, shares: np.ndarray) -> float:
-    """The positive root of E[exp(decay * score)] = 1 for a token of clean text; shares of all others, which score -COST, are what is left."""
+def _decay(scores: np.ndarray, shares: np.ndarray, cost: float) -> float:
+    """The positive root of E[exp(decay * score)] = 1 for a token of clean text; shares of all others, which score -cost, are what is left."""
     rest = max(0.0, 1 - shares.sum())
-    f = lambda x: np.log(np.sum(shares * np.exp(x * scores)) + rest * np.exp(-x * COST))
+    f = lambda x: np.log(np.sum(shares * np.exp(x * scores)) + rest * np.exp(-x * cost))
     low, high = 1e-4, 1e-3
     while f(high) < 0 and high < 50:
         low, high = high, high * 2
@@ -113,27 +114,24 @@ def _decay(scores: np.ndarray, shares: np.ndarray) -> float:
     return low
 
 
-def _token_scores(c: DataFrame, na: int, nb: int) -> DataFrame:
-    """(w, n, score) of the tokens that don't score 0; c: (w, a, b, n), documents of the classes with w, and its clean tokens.
+def token_odds(a: Column, b: Column, na: int, nb: int) -> Column:
+    """Log-odds of tokens that a toxic and b clean documents hold, of classes with na and nb such pairs.
 
-    The prior has the token's share of both classes together, and in each class PRIOR times the class's weight, so
-    that a token of which nothing is known scores 0 however large the classes are.
+    The prior adds PRIOR documents to each token, divided as na and nb are: the less is known of a token, the nearer
+    it is to 0, and with the evidence its odds grow towards the counts' own.
     """
-    share = (F.col("a") + F.col("b")) / (na + nb)
-    a, b = F.col("a") + PRIOR * na * share, F.col("b") + PRIOR * nb * share
-    odds = F.log(a / na) - F.log(b / nb)
-    drawn = F.greatest(F.lit(0.0), F.abs(odds) - ERRORS * F.sqrt(1 / a + 1 / b)) * F.signum(odds)
-    return c.select("w", "n", drawn.alias("score")).where("score <> 0")
+    p = na / (na + nb)
+    return F.log((a + PRIOR * p) / na) - F.log((b + PRIOR * (1 - p)) / nb)
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic", per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text") -> ToxicModel:
     """Learns from at most per_class labelled documents of each class, those with the least hashes of their ids.
 
     A token counts once a document, and equal texts once, so that repetition within or between documents gives a
-    token no weight. Every token of the sample whose log-odds exceed their error has a score, whatever its sign.
+    token no weight. Every token of the sample has a score, whatever its sign.
     Without labels of both classes (an empty table, too) the score of a document is the share of label 1.
     """
-    known = {int(r[0]): r[1] for r in labels.where(F.col(label).isin(0, 1)).where(learn).groupBy(label).count().collect()}
+    known = label_shares(labels, label, learn, id_col)
     prior = (known.get(1, 0) + 0.5) / (sum(known.values()) + 1)
     sample = labelled_sample(docs, labels, label, learn, per_class, id_col, text_col).select("label", F.col("text").cast("binary").alias("t")).where("t IS NOT NULL").dropDuplicates(["t", "label"])
 
@@ -154,14 +152,17 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, label: str =
     c = c.groupBy("w").agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("b"), F.sum("clean").alias("n")).persist()
     totals = c.agg(F.sum("a"), F.sum("b"), F.sum("n")).first()
     na, nb, clean_tokens = (int(x or 0) for x in totals)
-    rows = _token_scores(c, na, nb).collect() if na and nb else []
+    score = F.round(token_odds(F.col("a"), F.col("b"), na, nb) / STEP) * STEP if na and nb else F.lit(0.0)
+    rows = c.select("w", "n", score.alias("score")).where("score <> 0").collect()
     c.unpersist()
     if not rows:
         return ToxicModel({}, prior=prior)
     scores = {bytes(r["w"]): r["score"] for r in rows}
-    values, shares = np.array([r["score"] for r in rows]) - COST, (np.array([r["n"] for r in rows]) + 0.5) / clean_tokens  # clean text may yet hold those that the sample's doesn't
+    odds, shares = np.array([r["score"] for r in rows]), (np.array([r["n"] for r in rows]) + 0.5) / (clean_tokens + 0.5 * len(rows))  # clean text may yet hold those that the sample's doesn't
+    cost = max(COST, float(shares @ odds) + COST / 2)  # a token of clean text must lose on average
+    values = odds - cost
     rate = float(shares[values > 0].sum())
-    model = ToxicModel(scores, _decay(values, shares), max(rate, 1e-9), prior)
+    model = ToxicModel(scores, cost, _decay(values, shares, cost), max(rate, 1e-9), prior)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def features():
