@@ -12,6 +12,10 @@ CDF_P = (0.0352624965998911, 0.700383064443688, 6.37396220353165, 33.91286607838
 CDF_Q = (0.0883883476483184, 1.75566716318264, 16.064177579207, 86.7807322029461, 296.564248779674, 637.333633378831, 793.826512519948, 440.413735824752)
 
 
+#: Months in the keys of options.
+MONTHS = ("JAN", "FEB", "MAR", "APR", "MAY", "JUN", "JUL", "AUG", "SEP", "OCT", "NOV", "DEC")
+
+
 def _poly(c: tuple[float, ...], a: Column) -> Column:
     return reduce(lambda s, k: s * a + F.lit(k), c[1:], F.lit(c[0]))
 
@@ -32,10 +36,9 @@ def tick_round(value: Column, tick: Column) -> Column:
     """The nearest multiple of tick, half away from zero; a tick of 0, below or NULL rounds nothing.
 
     A half counts as one if decimal digits say so and the doubles' quotient falls short by its last digits: it is
-    taken up by 2e-14 of itself. Quotients from 1e15 on are whole already.
+    taken up by 4e-15 of itself first. Exact for quotients of up to some 1e13; beyond, doubles hold no fractions of a tick to speak of.
     """
-    whole = lambda q: F.when(F.abs(q) < 1e15, F.signum(q) * F.floor(F.abs(q) * (1 + 2e-14) + 0.5)).otherwise(q)
-    return F.coalesce(let(value / F.when(tick > 0, tick), whole) * tick, value)
+    return F.coalesce(F.rint(value / F.when(tick > 0, tick) * (1 + 4e-15)) * tick, value)
 
 
 def at_least_a_tick(value: Column, tick: Column) -> Column:
@@ -50,32 +53,41 @@ def price_options(df: DataFrame, price: Column, strike: Column, t: Column, rate:
     One formula for both models: the cost of carry is rate - carry on a spot price (Black-Scholes) and 0 where
     `forward` is true (Black 76). No time left: the intrinsic value. No volatility: the discounted intrinsic value of
     the forward. The delta is then a step and the other Greeks are 0. Theta takes the carry of a spot price off for puts
-    and calls alike. Shared terms are columns of their own, which keeps the
-    generated code small.
+    and calls alike. Shared terms are evaluated once a row, a generator a step: in one stage with the other columns of
+    a book their code would be a method that the JVM doesn't compile.
     """
-    c = lambda n: F.col(f"_o_{n}")
-    stage = lambda d, **x: d.withColumns({f"_o_{k}": v for k, v in x.items()})
-    d = stage(df, s=price, k=strike, t=t.cast("double"), r=rate, v=vol, w=F.when(call, F.lit(1.0)).otherwise(F.lit(-1.0)), b=F.when(forward, F.lit(0.0)).otherwise(rate - carry), f=forward)
-    d = stage(d, root=F.when((c("t") > 0) & (c("v") > 0), c("v") * F.sqrt(c("t"))), grow=F.exp((c("b") - c("r")) * c("t")), dr=F.exp(-c("r") * c("t")))
-    d = stage(d, d1=(F.ln(c("s") / c("k")) + (c("b") + c("v") * c("v") / 2) * c("t")) / c("root"))
-    d = stage(d, z1=c("w") * c("d1"), z2=c("w") * (c("d1") - c("root")))
-    d = stage(d, n1=norm_cdf(c("z1")), n2=norm_cdf(c("z2")), pdf=norm_pdf(c("d1")))
+    where: dict[str, tuple[int, int]] = {}
+
+    def c(n: str) -> Column:
+        k, i = where[n]
+        return F.get(F.col(f"_o{k}"), F.lit(i))
+
+    def step(d: DataFrame, **x: Column) -> DataFrame:
+        """d with an array of doubles; of structs the optimizer would take fields out below the generator, and lose them."""
+        k = len({k for k, _ in where.values()})
+        where.update({n: (k, i) for i, n in enumerate(x)})
+        return d.select("*", F.explode(F.array(F.array(*(v.cast("double") for v in x.values())))).alias(f"_o{k}"))
+
+    d = step(df, s=price, k=strike, t=t, r=rate.cast("double"), v=vol.cast("double"), w=F.when(call, F.lit(1.0)).otherwise(F.lit(-1.0)), b=F.when(forward, F.lit(0.0)).otherwise(rate - carry), f=forward)
+    d = step(d, root=F.when((c("t") > 0) & (c("v") > 0), c("v") * F.sqrt(c("t"))), grow=F.exp((c("b") - c("r")) * c("t")), dr=F.exp(-c("r") * c("t")))
+    d = step(d, d1=(F.ln(c("s") / c("k")) + (c("b") + c("v") * c("v") / 2) * c("t")) / c("root"))
+    d = step(d, z1=c("w") * c("d1"), z2=c("w") * (c("d1") - c("root")))
+    d = step(d, n1=norm_cdf(c("z1")), n2=norm_cdf(c("z2")), pdf=norm_pdf(c("d1")))
     live, flat = c("root").isNotNull(), c("t") > 0
     ahead, now = c("w") * (c("s") * c("grow") - c("k") * c("dr")), c("w") * (c("s") - c("k"))
     pick = lambda value, still, ended: F.when(live, value).when(flat, still).otherwise(ended)
     zero, first, second = F.lit(0.0), c("w") * c("s") * c("grow") * c("n1"), c("w") * c("k") * c("dr") * c("n2")
-    value = pick(first - second, F.greatest(ahead, zero), F.greatest(now, zero))
-    d = stage(d, price=value)
+    d = step(d, price=pick(first - second, F.greatest(ahead, zero), F.greatest(now, zero)))
     out = {
         "price": c("price"),
         "delta": pick(c("w") * c("grow") * c("n1"), F.when(ahead > 0, c("w") * c("grow")).otherwise(zero), F.when(now > 0, c("w")).otherwise(zero)),
         "gamma": pick(c("grow") * c("pdf") / (c("s") * c("root")), zero, zero),
         "vega": pick(c("s") * c("grow") * c("pdf") * c("root") / c("v"), zero, zero),
-        "theta": pick(-c("s") * c("grow") * c("pdf") * c("v") * c("v") / (2 * c("root")) - c("r") * second + F.when(c("f"), c("r") * first).otherwise((c("b") - c("r")) * c("s") * c("grow") * c("n1")), zero, zero),
-        "rho": pick(F.when(c("f"), -c("t") * c("price")).otherwise(c("t") * second), zero, zero),
+        "theta": pick(-c("s") * c("grow") * c("pdf") * c("v") * c("v") / (2 * c("root")) - c("r") * second + F.when(c("f") == 1, c("r") * first).otherwise((c("b") - c("r")) * c("s") * c("grow") * c("n1")), zero, zero),
+        "rho": pick(F.when(c("f") == 1, -c("t") * c("price")).otherwise(c("t") * second), zero, zero),
     }
-    d = d.withColumns({prefix + k: v for k, v in out.items()})
-    return d.drop(*(x for x in d.columns if x.startswith("_o_")))
+    d = step(d, **{f"out_{k}": v for k, v in out.items()})
+    return d.select(*(x for x in df.columns if x not in {prefix + k for k in out}), *(c(f"out_{k}").alias(prefix + k) for k in out))
 
 
 def price_by_model(df: DataFrame, model: Column, spot: Column, forward: Column, strike: Column, t: Column, rate: Column, vol: Column, carry: Column, call: Column, currency: Column, r_dom: Column, r_for: Column, prefix: str = "") -> DataFrame:
@@ -110,8 +122,9 @@ def let(value: Column, body) -> Column:
 
 def once(df: DataFrame, **columns: Column) -> DataFrame:
     """df with columns that are evaluated once a row: filters and later columns would otherwise have the expressions copied into them. The optimizer moves nothing across a generator."""
-    x = F.explode(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))).alias("_once")
-    return df.select("*", x).select(*df.columns, *(F.col(f"_once.{n}").alias(n) for n in columns))
+    for name, c in columns.items():
+        df = df.select("*", F.explode(F.array(c)).alias(name))
+    return df
 
 
 def log_df(ts: Column, ls: Column, t: Column) -> Column:
@@ -148,8 +161,10 @@ def instantaneous_forward(ts: Column, ls: Column, t: Column, eps: float = 1e-6)
 
 def option_key(underlying: Column, expiry: Column, strike: Column, call: Column) -> Column:
     """UND_MONYY_STRIKE with C or P; a strike without a fraction has no point."""
-    text = F.regexp_replace(F.regexp_replace(strike.cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
-    return F.concat_ws("_", underlying, F.upper(F.date_format(expiry, "MMMyy")), F.concat(text, F.when(call, "C").otherwise("P")))
+    text = strike.cast("string")
+    short = F.when(F.contains(text, F.lit(".")) & ~F.contains(text, F.lit("E")), F.rtrim(F.rtrim(text, F.lit("0")), F.lit("."))).otherwise(text)
+    month = F.get(F.array(*(F.lit(m) for m in MONTHS)), F.month(expiry) - 1)
+    return F.concat_ws("_", underlying, F.concat(month, F.lpad((F.year(expiry) % 100).cast("string"), 2, "0")), F.concat(short, F.when(call, "C").otherwise("P")))
 
 
 def mixed_fraction(text: Column) -> Column:

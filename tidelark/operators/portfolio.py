@@ -85,7 +85,7 @@ def mark_to_market(resolved: DataFrame) -> DataFrame:
     """
     option = F.col("type") == "option"
     d = _priced(resolved.withColumn("price", F.col("price_mtm")).where("price IS NOT NULL"), F.col("price"), "mtm")
-    d = d.withColumn("unit_price", F.when(option, F.when(F.col("model_tick").isNotNull(), nm.tick_round(F.col("_price"), F.col("model_tick")))).otherwise(F.col("price")))
+    d = nm.once(d, unit_price=F.when(option, F.when(F.col("model_tick").isNotNull(), nm.tick_round(F.col("_price"), F.col("model_tick")))).otherwise(F.col("price")))
     size = F.col("quantity") * F.col("multiplier")
     d = d.withColumn("entry", F.when(F.col("type") == "future", F.coalesce("trade_price", "price")).otherwise(F.col("trade_price")))
     d = d.withColumn("pnl", (F.col("unit_price") - F.col("entry")) * size)
