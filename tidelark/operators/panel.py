@@ -9,6 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import stats
+from . import series
+
 
 def select_contracts(futures: DataFrame, rules: DataFrame) -> DataFrame:
     """Rows of the contracts that rules (symbol, maturity) name: of the rule's maturity, with the symbol as ident or, if there is none, idents that begin with it.
@@ -94,11 +97,10 @@ def pairs(returns: DataFrame, same: bool = True) -> DataFrame:
 
 
 def rolling_covariance(returns: DataFrame, window: int = 126) -> DataFrame:
-    """(date, sym_i, sym_j, cov, corr) of each full window of rows; pairs are shuffled, each its own sliding aggregate."""
-    w = _by("sym_i", "sym_j")
-    over = w.rowsBetween(1 - window, 0)
-    p = pairs(returns).withColumns({"n": F.row_number().over(w), "cov": F.covar_samp("x", "y").over(over), "corr": F.corr("x", "y").over(over)})
-    return p.where(F.col("n") >= window).select("date", "sym_i", "sym_j", "cov", "corr")
+    """(date, sym_i, sym_j, cov, corr) of each full window of rows; a pair's series is split into blocks."""
+    columns = {"cov": series.full(lambda w: F.covar_samp("x", "y").over(w), window), "corr": series.full(lambda w: F.corr("x", "y").over(w), window)}
+    p = series.rolling(pairs(returns), ["sym_i", "sym_j"], window - 1, columns)
+    return p.where(F.col("pos") >= window - 1).select("date", "sym_i", "sym_j", "cov", "corr")
 
 
 def correlation(returns: DataFrame) -> DataFrame:
@@ -152,34 +154,34 @@ def size_contracts(positions: DataFrame, capital: float) -> DataFrame:
 
 
 def regression(df: DataFrame, y: str, x: str, by: list[str]) -> DataFrame:
-    """Least squares of y on x within each group: slope, intercept, r2, adj_r2, standard error, t, F and n."""
+    """Least squares of y on x within each group: slope, intercept, r2, adj_r2, standard error, t, F, their p-values and n."""
     a = df.where(F.col(y).isNotNull() & F.col(x).isNotNull()).groupBy(*by)
     a = a.agg(*(f(F.col(y), F.col(x)).alias(n) for n, f in (("slope", F.regr_slope), ("intercept", F.regr_intercept), ("r2", F.regr_r2), ("n", F.regr_count), ("sxx", F.regr_sxx), ("syy", F.regr_syy), ("sxy", F.regr_sxy))))
     div = F.try_divide  # one row, or one x, has no slope
     sse = F.col("syy") - div(F.col("sxy") * F.col("sxy"), F.col("sxx"))
     a = a.withColumn("slope_se", F.when(F.col("n") > 2, F.sqrt(div(div(sse, F.col("n") - 2), F.col("sxx")))))
     a = a.withColumns({"t": div(F.col("slope"), F.col("slope_se")), "adj_r2": F.when(F.col("n") > 2, 1 - div((1 - F.col("r2")) * (F.col("n") - 1), F.col("n") - 2))}).withColumn("f", F.col("t") * F.col("t"))
-    return a.drop("sxx", "syy", "sxy")
+    free = F.col("n") - 2
+    return a.withColumns({"p_t": stats.t_tails(F.col("t"), free), "p_f": stats.f_tail(F.col("f"), F.lit(1), free)}).drop("sxx", "syy", "sxy")
 
 
 def durbin_watson(df: DataFrame, y: str, x: str, by: list[str]) -> DataFrame:
-    """The Durbin-Watson statistic of the residuals in the order of date."""
+    """The Durbin-Watson statistic of the residuals in the order of date; a group's rows are split into blocks."""
     fit = regression(df, y, x, by).select(*by, "slope", "intercept")
-    e = df.join(fit, by).withColumn("e", F.col(y) - F.col("intercept") - F.col("slope") * F.col(x))
-    e = e.withColumn("d", F.col("e") - F.lag("e").over(_by(*by)))
+    e = df.join(fit, by).withColumn("e", F.col(y) - F.col("intercept") - F.col("slope") * F.col(x)).select(*by, "date", "e")
+    e = series.rolling(e, by, 1, {"d": lambda w: F.col("e") - F.lag("e").over(w)})
     return e.groupBy(*by).agg((F.sum(F.col("d") * F.col("d")) / F.sum(F.col("e") * F.col("e"))).alias("dw"))
 
 
 def rolling_slope(df: DataFrame, y: str, x: str, by: list[str], window: int = 64) -> DataFrame:
-    """df with beta over each full window of rows within the group."""
-    w = _by(*by).rowsBetween(1 - window, 0)
-    return df.withColumn("beta", F.when(F.count("*").over(w) == window, F.regr_slope(F.col(y), F.col(x)).over(w)))
+    """df with beta over each full window of rows within the group, whose rows are split into blocks."""
+    return series.rolling(df, by, window - 1, {"beta": series.full(lambda w: F.regr_slope(F.col(y), F.col(x)).over(w), window)}).drop("pos")
 
 
 def box_stats(df: DataFrame, value: str, by: list[str]) -> DataFrame:
-    """Quartiles and whiskers within 1.5 interquartile ranges of them."""
-    q = df.groupBy(*by).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q")).select(*by, F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
-    d = df.join(F.broadcast(q), by)  # a row a group
+    """Quartiles and whiskers within 1.5 interquartile ranges of them; the quartiles are exact for groups of any size."""
+    q = stats.exact_quantiles(df, value, by, [0.25, 0.5, 0.75]).select(*by, F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
+    d = df.join(q, by)
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = (F.col(value) >= F.col("q1") - reach) & (F.col(value) <= F.col("q3") + reach)
     return d.groupBy(*by, "q1", "median", "q3").agg(F.min(F.when(inside, F.col(value))).alias("low"), F.max(F.when(inside, F.col(value))).alias("high"), F.count_if(~inside).alias("outliers"))
@@ -187,38 +189,11 @@ def box_stats(df: DataFrame, value: str, by: list[str]) -> DataFrame:
 
 def historical_volatility(prices: DataFrame, window: int = 252) -> DataFrame:
     """(symbol, date, vol): annualised standard deviation of log returns over full windows; NULL before the first."""
-    r = prices.where("price IS NOT NULL").withColumn("ret", F.ln("price") - F.lag(F.ln("price")).over(_by("symbol"))).where("ret IS NOT NULL")
-    w = _by("symbol").rowsBetween(1 - window, 0)
-    return r.select("symbol", "date", F.when(F.count("ret").over(w) == window, F.stddev_samp("ret").over(w) * np.sqrt(252.0)).alias("vol"))
-
+    vol = series.full(lambda w: F.stddev_samp("ret").over(w) * np.sqrt(252.0), window)
+    return series.rolling(series.log_changes(prices), ["symbol"], window - 1, {"vol": vol}).select("symbol", "date", "vol")
 
-def ewma_volatility(prices: DataFrame, span: int = 63) -> DataFrame:
-    """(symbol, date, vol): annualised exponentially weighted volatility of log returns, bias-corrected; NULL for the first.
 
-    A symbol's returns are folded in order; batches of a symbol stream through, so that its length needs no memory.
-    """
-    alpha = 2 / (span + 1)
-    r = prices.where("price IS NOT NULL").withColumn("ret", F.ln("price") - F.lag(F.ln("price")).over(_by("symbol"))).where("ret IS NOT NULL")
-    kind = dict(prices.dtypes)["date"]
-
-    def fold(batches):
-        state: dict = {"symbol": None}
-        for pdf in batches:
-            out = np.empty(len(pdf))
-            for i, (s, x) in enumerate(zip(pdf.symbol, pdf.ret, strict=True)):
-                if s != state["symbol"]:
-                    state = {"symbol": s, "w": 0.0, "w2": 0.0, "m": 0.0, "v": 0.0}
-                old = state["w"] * (1 - alpha)
-                state["w2"] = state["w2"] * (1 - alpha) ** 2 + 1
-                state["w"] = old + 1
-                d = x - state["m"]
-                state["m"] += d / state["w"]
-                state["v"] = (old * state["v"] + d * (x - state["m"])) / state["w"]
-                free = state["w"] ** 2 - state["w2"]
-                out[i] = np.sqrt(max(state["v"] * state["w"] ** 2 / free, 0.0) * 252) if free > 1e-12 else np.nan
-            yield pd.DataFrame({"symbol": pdf.symbol, "date": pdf.date, "vol": pd.Series(out).astype(object).where(~np.isnan(out), None)})
-
-    return r.select("symbol", "date", "ret").repartition("symbol").sortWithinPartitions("symbol", "date").mapInPandas(fold, f"symbol string, date {kind}, vol double")
+ewma_volatility = series.ewma_volatility
 
 
 def interpolate_in_time(df: DataFrame, value: str, by: str = "symbol") -> DataFrame:
