@@ -19,13 +19,13 @@ from .common import crc_remainder, held_out, label_shares, labelled_sample, map_
 from .logistic import Logistic
 
 #: Labelled documents of each class to learn from at most.
-PER_CLASS = 20_000
+PER_CLASS = 10_000
 #: Weight of the prior: documents with a token that are seen before any, in both classes together, and divided between them as those of all tokens are.
 PRIOR = 10.0
 #: What each token of a passage costs at least, so that a longer passage must say more; more where clean text would gain by its tokens on average.
 COST = 1.0
 #: Scores are held in steps of this size; the many tokens whose score is next to nothing, and so 0, need no entry.
-STEP = 0.25
+STEP = 0.5
 SIGNIFICANT = 0.05
 THRESHOLD = 0.3
 #: ASCII letters in lower case; other ASCII becomes a space; bytes of other letters stay.
@@ -153,12 +153,13 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, label: str =
     totals = c.agg(F.sum("a"), F.sum("b"), F.sum("n")).first()
     na, nb, clean_tokens = (int(x or 0) for x in totals)
     score = F.round(token_odds(F.col("a"), F.col("b"), na, nb) / STEP) * STEP if na and nb else F.lit(0.0)
-    rows = c.select("w", "n", score.alias("score")).where("score <> 0").collect()
+    rows = c.select("w", "n", score.alias("score")).where("score <> 0").toArrow()
     c.unpersist()
-    if not rows:
+    if not len(rows):
         return ToxicModel({}, prior=prior)
-    scores = {bytes(r["w"]): r["score"] for r in rows}
-    odds, shares = np.array([r["score"] for r in rows]), (np.array([r["n"] for r in rows]) + 0.5) / (clean_tokens + 0.5 * len(rows))  # clean text may yet hold those that the sample's doesn't
+    odds = rows.column("score").to_numpy()
+    scores = dict(zip(rows.column("w").to_pylist(), odds.tolist(), strict=True))
+    shares = (rows.column("n").to_numpy() + 0.5) / (clean_tokens + 0.5 * len(rows))  # clean text may yet hold those that the sample's doesn't
     cost = max(COST, float(shares @ odds) + COST / 2)  # a token of clean text must lose on average
     values = odds - cost
     rate = float(shares[values > 0].sum())
