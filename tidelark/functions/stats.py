@@ -36,23 +36,30 @@ def _fraction(a: Column, b: Column, x: Column) -> Column:
     return F.aggregate(steps, F.struct(F.lit(1.0).alias("c"), first.alias("d"), first.alias("h")), step, lambda s: s["h"])
 
 
-def incomplete_beta(a: Column, b: Column, x: Column) -> Column:
-    """The regularised incomplete beta function; a and b from 0.5 on, x from 0 to 1."""
-    front = F.exp(log_gamma(a + b) - log_gamma(a) - log_gamma(b) + a * F.ln(x) + b * F.ln(1 - x))
+def _log_beta(a: Column, b: Column) -> Column:
+    """The logarithm of the beta function; of a large argument the ratio of two gamma functions by Stirling's formula, whose large terms cancel before they are summed."""
+    big, small = F.greatest(a, b), F.least(a, b)
+    ratio = (big - 0.5) * F.log1p(small / big) + small * F.ln(big + small) - small + (1 / (big + small) - 1 / big) / 12
+    return log_gamma(small) - F.when(big > 1000, ratio).otherwise(log_gamma(a + b) - log_gamma(big))
+
+
+def incomplete_beta(a: Column, b: Column, x: Column, rest: Column) -> Column:
+    """The regularised incomplete beta function; a and b from 0.5 on, x from 0 to 1, and rest, which is 1 - x without its loss of digits."""
+    log = lambda v, w: F.when(w < 0.5, F.log1p(-w)).otherwise(F.ln(v))
+    front = F.exp(a * log(x, rest) + b * log(rest, x) - _log_beta(a, b))
     low = x < (a + 1) / (a + b + 2)
-    return F.when(x <= 0, F.lit(0.0)).when(x >= 1, F.lit(1.0)).when(low, front * _fraction(a, b, x) / a).otherwise(1 - front * _fraction(b, a, 1 - x) / b)
+    return F.when(x <= 0, F.lit(0.0)).when(rest <= 0, F.lit(1.0)).when(low, front * _fraction(a, b, x) / a).otherwise(1 - front * _fraction(b, a, rest) / b)
 
 
 def t_tails(t: Column, free: Column) -> Column:
     """The probability of a t statistic at least as far from 0, of `free` degrees of freedom (1 or more); NULL without either."""
-    v = free.cast("double")
-    return F.when(free >= 1, let(v / (v + t * t), lambda x: incomplete_beta(v / 2, F.lit(0.5), x)))
+    return f_tail(t * t, F.lit(1), free)
 
 
 def f_tail(f: Column, free1: Column, free2: Column) -> Column:
     """The probability of an F statistic at least as large."""
     a, b = free1.cast("double"), free2.cast("double")
-    return F.when((free1 >= 1) & (free2 >= 1), let(b / (b + a * f), lambda x: incomplete_beta(b / 2, a / 2, x)))
+    return F.when((free1 >= 1) & (free2 >= 1), incomplete_beta(b / 2, a / 2, b / (b + a * f), a * f / (b + a * f)))
 
 
 #: Ranges that a group's values are counted in, at each of the rounds.

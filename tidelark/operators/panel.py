@@ -196,13 +196,39 @@ def historical_volatility(prices: DataFrame, window: int = 252) -> DataFrame:
 ewma_volatility = series.ewma_volatility
 
 
-def interpolate_in_time(df: DataFrame, value: str, by: str = "symbol") -> DataFrame:
-    """df with gaps of value filled linearly in elapsed days; leading gaps stay, trailing ones repeat the last value."""
-    known = F.when(F.col(value).isNotNull(), F.struct("date", F.col(value).alias("x")))
-    d = df.withColumn("_a", F.last(known, ignorenulls=True).over(_by(by).rowsBetween(Window.unboundedPreceding, 0)))
-    d = d.withColumn("_z", F.first(known, ignorenulls=True).over(_by(by).rowsBetween(0, Window.unboundedFollowing)))
-    line = F.col("_a.x") + F.try_divide((F.col("_z.x") - F.col("_a.x")) * F.datediff("date", "_a.date"), F.datediff("_z.date", "_a.date"))
-    return d.withColumn(value, F.coalesce(F.col(value), F.when(F.col("_a").isNotNull() & F.col("_z").isNotNull(), line), F.col("_a.x"))).drop("_a", "_z")
+interpolate_in_time = series.interpolate_in_time
+
+
+def slope_studies(prices: DataFrame, studies: DataFrame) -> DataFrame:
+    """(study_id, date, x, y, regime): clipped changes of a slope and of its proxy, for any number of studies at once.
+
+    studies: study_id, near and far (the symbols of the slope, far less near, times scale), proxy_a and proxy_b (a + weight b),
+    break_date and break_shift (added to the proxy up to the date), clip_x, clip_y and band. A study takes the dates on which all
+    four symbols have a row, fills NULL prices in time, then takes differences. Its series may be of any length.
+    """
+    legs = studies.select("study_id", F.explode(F.array(*(F.struct(F.lit(c).alias("leg"), F.col(c).alias("symbol")) for c in ("near", "far", "proxy_a", "proxy_b")))).alias("l")).select("study_id", "l.leg", "l.symbol")
+    rows = prices.join(legs, "symbol").select(F.concat_ws("|", F.col("study_id").cast("string"), "leg").alias("series"), "study_id", "leg", "date", "price")
+    whole = rows.groupBy("study_id", "date").agg(F.count("*").alias("n")).where("n = 4").select("study_id", "date")
+    rows = interpolate_in_time(rows.join(whole, ["study_id", "date"]), "price", "series")
+    at = lambda leg: F.max(F.when(F.col("leg") == leg, F.col("price"))).alias(leg + "_price")
+    d = rows.groupBy("study_id", "date").agg(*map(at, ("near", "far", "proxy_a", "proxy_b"))).join(studies, "study_id")
+    slope = (F.col("far_price") - F.col("near_price")) * F.col("scale")
+    proxy = F.col("proxy_a_price") + F.col("weight") * F.col("proxy_b_price") + F.when(F.col("date") <= F.col("break_date"), F.col("break_shift")).otherwise(0.0)
+    d = d.select("study_id", "date", slope.alias("s"), proxy.alias("q"), "clip_x", "clip_y", "band")
+    change = lambda c: (lambda w: F.col(c) - F.lag(c).over(w))
+    d = series.rolling(d, ["study_id"], 1, {"dx": change("s"), "dy": change("q")}).where("dx IS NOT NULL AND dy IS NOT NULL")
+    within = lambda c, limit: F.greatest(-F.col(limit), F.least(F.col(limit), F.col(c)))
+    d = d.select("study_id", "date", within("dx", "clip_x").alias("x"), within("dy", "clip_y").alias("y"), "band")
+    kind = F.when(F.col("x") > F.col("band"), "Steepening").when(F.col("x") < -F.col("band"), "Flattening").otherwise("Stable")
+    return d.select("study_id", "date", "x", "y", kind.alias("regime"))
+
+
+def study_results(changes: DataFrame, window: int = 64) -> DataFrame:
+    """(study_id, regime, n, slope, intercept, r2, t, p_t, beta) of each study (regime All) and each of its regimes; beta is the last rolling slope, NULL before `window` rows."""
+    every = changes.withColumn("regime", F.explode(F.array(F.lit("All"), F.col("regime"))))
+    fits = regression(every, "y", "x", ["study_id", "regime"]).select("study_id", "regime", "n", "slope", "intercept", "r2", "t", "p_t")
+    last = rolling_slope(every, "y", "x", ["study_id", "regime"], window).groupBy("study_id", "regime").agg(F.max_by("beta", "date").alias("beta"))
+    return fits.join(last, ["study_id", "regime"])
 
 
 def index_to_100(bars: DataFrame, start, end) -> DataFrame:

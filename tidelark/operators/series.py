@@ -59,6 +59,25 @@ def log_changes(prices: DataFrame, by: str = "symbol", rows: int = ROWS) -> Data
     return d.where("pos > 0").select(by, "date", "ret")
 
 
+def interpolate_in_time(df: DataFrame, value: str, by: str = "symbol", rows: int = ROWS) -> DataFrame:
+    """df with gaps of value filled linearly in elapsed days; leading gaps stay, trailing ones repeat the last value.
+
+    The nearest known values are looked for in a row's block; where it has none, in the blocks around, by their first and last known.
+    """
+    known = F.when(F.col(value).isNotNull(), F.struct(F.col("date").alias("d"), F.col(value).alias("x")))
+    d = in_blocks(numbered(df, [by]), 0, rows).drop("_own")
+    w = Window.partitionBy(by, "_block").orderBy("pos")
+    to, on = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    edges = d.groupBy(by, "_block").agg(F.min(known).alias("first"), F.max(known).alias("last"))
+    blocks = Window.partitionBy(by).orderBy("_block")  # a row a block
+    edges = edges.select(by, "_block", F.last("last", ignorenulls=True).over(blocks.rowsBetween(Window.unboundedPreceding, -1)).alias("_pa"), F.first("first", ignorenulls=True).over(blocks.rowsBetween(1, Window.unboundedFollowing)).alias("_pz"))
+    d = d.withColumns({"_a": F.last(known, ignorenulls=True).over(to), "_z": F.first(known, ignorenulls=True).over(on)}).join(edges, [by, "_block"])
+    d = d.withColumns({"_a": F.coalesce("_a", "_pa"), "_z": F.coalesce("_z", "_pz")})
+    line = F.col("_a.x") + F.try_divide((F.col("_z.x") - F.col("_a.x")) * F.datediff("date", "_a.d"), F.datediff("_z.d", "_a.d"))
+    filled = F.coalesce(F.col(value), F.when(F.col("_a").isNotNull() & F.col("_z").isNotNull(), line), F.col("_a.x"))
+    return d.withColumn(value, filled).select(*df.columns)
+
+
 def _decayed_sums(x: np.ndarray, keep: float) -> np.ndarray:
     """Of each place, the sum of the values up to it, each times keep to the power of its distance: a scan in steps that double."""
     out, k = x.copy(), 1

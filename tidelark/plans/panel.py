@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import numeric as nm
 from ..operators import panel as p
 from .tables import BARS_SQL, PRICES_SQL, bars, prices, read
 
@@ -175,9 +176,14 @@ def _ols(df, by):
     return p.regression(df, "y", "x", by).select(*by, *(F.round(c, 6).alias(c) for c in ("slope", "intercept", "r2")), "n", F.round("slope_se", 6).alias("slope_se"), F.round("t", 4).alias("t"), F.round("adj_r2", 6).alias("adj_r2"))
 
 
-@query("g10_regression", "WITH " + STUDY + f" SELECT study, {OLS} FROM rg GROUP BY study")
+#: The tails of t by Simpson's rule over its density.
+P_VALUE = "round(1 - 2 * exp(lgamma((nu + 1) / 2) - lgamma(nu / 2)) / sqrt(nu * pi()) * (abs(tt) / 6000) * list_sum(list_transform(range(0, 2001), lambda i: (CASE WHEN i = 0 OR i = 2000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * (1 + (abs(tt) * i / 2000.0::DOUBLE) ** 2 / nu) ** (-(nu + 1) / 2))), 6)"
+
+
+@query("g10_regression", "WITH " + STUDY + f", fit AS (SELECT study, {OLS}, (count(*) - 2)::DOUBLE AS nu, regr_slope(y, x) / sqrt((regr_syy(y, x) - regr_sxy(y, x) * regr_sxy(y, x) / regr_sxx(y, x)) / (count(*) - 2) / regr_sxx(y, x)) AS tt FROM rg GROUP BY study) SELECT * EXCLUDE (nu, tt), round(tt * tt, 3) AS f, {P_VALUE} AS p_t, {P_VALUE} AS p_f FROM fit")
 def ols(spark, d):
-    return _ols(study(spark, d), ["study"])
+    r = p.regression(study(spark, d), "y", "x", ["study"])
+    return _ols(study(spark, d), ["study"]).join(r.select("study", F.round("f", 3).alias("f"), F.round("p_t", 6).alias("p_t"), F.round("p_f", 6).alias("p_f")), "study")
 
 
 @query("g11_regime_regression", "WITH " + STUDY + f" SELECT regime, {OLS} FROM rg GROUP BY regime HAVING count(*) > 2")
@@ -208,10 +214,34 @@ def boxes(spark, d):
     return rounded(p.box_stats(study(spark, d), "y", ["regime"]))
 
 
+#: Studies of all ordered triples of symbols, on daily prices with gaps.
+STUDIES = DAY + """, gp AS (SELECT symbol, date, CASE WHEN day(date) % 11 <> 3 THEN price END AS price FROM prices), sy AS (SELECT DISTINCT symbol FROM prices), sd AS (SELECT (a.symbol || b.symbol || c.symbol) AS study_id, a.symbol AS near, b.symbol AS far, c.symbol AS proxy_a, a.symbol AS proxy_b FROM sy a, sy b, sy c WHERE a.symbol <> b.symbol AND b.symbol <> c.symbol AND a.symbol <> c.symbol),
+lg AS (SELECT study_id, leg, symbol FROM sd UNPIVOT (symbol FOR leg IN (near, far, proxy_a, proxy_b))), rw AS (SELECT study_id, leg, date, price FROM lg JOIN gp USING (symbol) QUALIFY count(*) OVER (PARTITION BY study_id, date) = 4),
+kn AS (SELECT *, last_value(CASE WHEN price IS NOT NULL THEN date END IGNORE NULLS) OVER u AS d0, last_value(price IGNORE NULLS) OVER u AS p0, first_value(CASE WHEN price IS NOT NULL THEN date END IGNORE NULLS) OVER v AS d1, first_value(price IGNORE NULLS) OVER v AS p1 FROM rw
+WINDOW u AS (PARTITION BY study_id, leg ORDER BY date ROWS UNBOUNDED PRECEDING), v AS (PARTITION BY study_id, leg ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+fl AS (SELECT study_id, leg, date, coalesce(price, CASE WHEN d0 IS NOT NULL AND d1 IS NOT NULL THEN p0 + (p1 - p0) * (date - d0) / (d1 - d0) END, p0) AS price FROM kn),
+pv AS (SELECT study_id, date, max(price) FILTER (leg = 'near') AS n, max(price) FILTER (leg = 'far') AS f, max(price) FILTER (leg = 'proxy_a') AS a, max(price) FILTER (leg = 'proxy_b') AS b FROM fl GROUP BY 1, 2),
+ch AS (SELECT study_id, date, (f - n) * 10 - lag((f - n) * 10) OVER w AS dx, pq - lag(pq) OVER w AS dy FROM (SELECT *, a + 4 * b + CASE WHEN date <= DATE '1994-06-30' THEN 48.56::DOUBLE ELSE 0 END AS pq FROM pv) q WINDOW w AS (PARTITION BY study_id ORDER BY date)),
+cl AS (SELECT study_id, date, greatest(-2100.0::DOUBLE, least(2100.0::DOUBLE, dx)) AS x, greatest(-300.0::DOUBLE, least(300.0::DOUBLE, dy)) AS y FROM ch WHERE dx IS NOT NULL AND dy IS NOT NULL), rg AS (SELECT *, CASE WHEN x > 15 THEN 'Steepening' WHEN x < -15 THEN 'Flattening' ELSE 'Stable' END AS regime FROM cl),
+ev AS (SELECT study_id, 'All' AS regime, date, x, y FROM rg UNION ALL SELECT study_id, regime, date, x, y FROM rg), bt AS (SELECT study_id, regime, arg_max(b, date) AS beta FROM (SELECT study_id, regime, date, CASE WHEN count(*) OVER v = 64 THEN regr_slope(y, x) OVER v END AS b FROM ev WINDOW v AS (PARTITION BY study_id, regime ORDER BY date ROWS BETWEEN 63 PRECEDING AND CURRENT ROW)) q WHERE b IS NOT NULL GROUP BY 1, 2)"""
+
+
+@query("c15_slope_studies", "WITH " + STUDIES + """ SELECT study_id, regime, count(*) AS n, round(regr_slope(y, x), 5) AS slope, round(regr_intercept(y, x), 4) AS intercept, round(regr_r2(y, x), 5) AS r2, round(any_value(beta), 5) AS beta FROM ev LEFT JOIN bt USING (study_id, regime) GROUP BY study_id, regime""")
+def studies(spark, d):
+    """All ordered triples of the symbols: slope of the second over the first, and the third plus four times the first as its proxy."""
+    prices_ = prices(spark, d, "day")
+    s = prices_.select("symbol").distinct()
+    a, b, c = (s.select(F.col("symbol").alias(n)) for n in ("near", "far", "proxy_a"))
+    t = a.join(b, F.col("near") != F.col("far")).join(c, (F.col("proxy_a") != F.col("near")) & (F.col("proxy_a") != F.col("far")))  # the symbols of a panel
+    t = t.select(F.concat("near", "far", "proxy_a").alias("study_id"), "*", F.col("near").alias("proxy_b"), F.lit(10.0).alias("scale"), F.lit(4.0).alias("weight"), F.to_date(F.lit("1994-06-30")).alias("break_date"), F.lit(48.56).alias("break_shift"), F.lit(2100.0).alias("clip_x"), F.lit(300.0).alias("clip_y"), F.lit(15.0).alias("band"))
+    x = p.slope_studies(prices_.withColumn("price", F.when(F.dayofmonth("date") % 11 != 3, F.col("price"))), t)
+    return p.study_results(x).select("study_id", "regime", "n", F.round("slope", 5).alias("slope"), F.round("intercept", 4).alias("intercept"), F.round("r2", 5).alias("r2"), F.round("beta", 5).alias("beta"))
+
+
 @query("w7_historical_volatility", "WITH " + WEEK + """, r AS (SELECT symbol, date, ln(price) - lag(ln(price)) OVER (PARTITION BY symbol ORDER BY date) AS ret FROM prices WHERE price IS NOT NULL)
-SELECT symbol, date, round(CASE WHEN count(ret) OVER v = 126 THEN stddev_samp(ret) OVER v * sqrt(252.0) END, 6) AS vol FROM r WHERE ret IS NOT NULL WINDOW v AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 125 PRECEDING AND CURRENT ROW)""")
+SELECT symbol, date, round(CASE WHEN count(ret) OVER v = 252 THEN stddev_samp(ret) OVER v * sqrt(252.0) END, 6) AS vol FROM r WHERE ret IS NOT NULL WINDOW v AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 251 PRECEDING AND CURRENT ROW)""")
 def hist_vol(spark, d):
-    return rounded(p.historical_volatility(prices(spark, d), 126))
+    return rounded(p.historical_volatility(prices(spark, d), 252))
 
 
 @query("w8_ewma_volatility", "WITH RECURSIVE " + WEEK + """, r AS (SELECT symbol, date, row_number() OVER (PARTITION BY symbol ORDER BY date) AS i, ret FROM (SELECT symbol, date, ln(price) - lag(ln(price)) OVER (PARTITION BY symbol ORDER BY date) AS ret FROM prices) WHERE ret IS NOT NULL),
@@ -257,10 +287,11 @@ def last_bars(spark, d):
 
 
 @query("c14_gmv_workflow", "WITH RECURSIVE " + COVARIANCES.replace(") WHERE n >= 126)", ") WHERE n = 126 AND date = (SELECT min(date) FROM (SELECT date, row_number() OVER (PARTITION BY sym_i, sym_j ORDER BY date) AS n FROM pr) WHERE n >= 126))") + CONTRIBUTIONS + """,
-sz AS (SELECT symbol, weight, weight * cw / total AS contribution, total, price * 50.0 AS unit_value, CAST(trunc(round_even(weight * 1000000000.0 / (price * 50.0), 1)) AS INT) AS contracts FROM rc JOIN prices USING (symbol, date)), sh AS (SELECT *, contracts * unit_value AS v0, contracts * unit_value / sum(contracts * unit_value) OVER () AS share FROM sz),
+sz AS (SELECT symbol, weight, weight * cw / total AS contribution, total, vol, cw, floor(price * 4 + 0.5) / 4 * 50.0 AS unit_value, CAST(trunc(round_even(weight * 1000000000.0 / (floor(price * 4 + 0.5) / 4 * 50.0), 1)) AS INT) AS contracts FROM rc JOIN prices USING (symbol, date)), sh AS (SELECT *, contracts * unit_value AS v0, contracts * unit_value / sum(contracts * unit_value) OVER () AS share FROM sz),
 hr AS (SELECT symbol, date FROM (SELECT symbol, date, row_number() OVER (PARTITION BY symbol ORDER BY date) AS n FROM rets) WHERE n BETWEEN 127 AND 189), hv AS (SELECT symbol, date, price * contracts * 50.0 AS v, v0 FROM hr JOIN prices USING (symbol, date) JOIN sh USING (symbol)),
-hp AS (SELECT symbol, date, v - coalesce(lag(v) OVER (PARTITION BY symbol ORDER BY date), v0) AS pnl FROM hv), he AS (SELECT symbol, sum(pnl) AS pnl, round_even(100 * (product(1 + pnl / 1000000000.0) - 1), 2) AS cum_pct, count(*) AS n FROM hp GROUP BY symbol)
-SELECT symbol, round(weight, 6) AS weight, round(contribution, 6) AS contribution, round(total, 6) AS total, contracts, round(share, 6) AS share, round(pnl, 6) AS pnl, round(cum_pct, 6) AS cum_pct, n FROM sh JOIN he USING (symbol)""")
+hp AS (SELECT symbol, date, v - coalesce(lag(v) OVER (PARTITION BY symbol ORDER BY date), v0) AS pnl FROM hv), sd AS (SELECT stddev_samp(r) AS std_after FROM (SELECT date, sum(ret * share) AS r FROM rets JOIN hr USING (symbol, date) JOIN sh USING (symbol) GROUP BY date) q),
+he AS (SELECT symbol, sum(pnl) AS pnl, round_even(100 * (product(1 + pnl / 1000000000.0) - 1), 2) AS cum_pct, count(*) AS n FROM hp GROUP BY symbol)
+SELECT symbol, round(weight, 6) AS weight, round(contribution, 6) AS contribution, round(total, 6) AS total, contracts, round(share, 6) AS share, round(pnl, 6) AS pnl, round(cum_pct, 6) AS cum_pct, n, round(share * vol, 6) AS xs, round(share * cw / total, 6) AS xsr, round(std_after, 6) AS std_after FROM sh JOIN he USING (symbol), sd""")
 def gmv_workflow(spark, d):
     """From prices to contracts of least variance at the first rolling date, valued over the 63 rows after the first 126."""
     rets = p.log_returns(prices(spark, d))
@@ -269,10 +300,13 @@ def gmv_workflow(spark, d):
     cov = cov.join(F.broadcast(first), "date", "left_semi")
     w = p.min_variance_weights(cov)
     last = prices(spark, d).join(F.broadcast(first), "date", "left_semi").select("symbol", F.col("price").alias("p0"))
-    pos = p.size_contracts(p.risk_contributions(cov, w).join(last, "symbol").withColumn("unit_value", F.col("p0") * 50.0), 1_000_000_000.0)
-    rows = rets.withColumn("n", F.row_number().over(p._by("symbol"))).where("n BETWEEN 127 AND 189").select("symbol", "date")
+    pos = p.size_contracts(p.risk_contributions(cov, w).join(last, "symbol").withColumn("unit_value", nm.tick_round(F.col("p0"), F.lit(0.25)) * 50.0), 1_000_000_000.0)
+    pos = pos.withColumns({"xs": F.col("share") * F.col("vol"), "xsr": F.col("share") * F.col("marginal")})
+    rows = rets.withColumn("n", F.row_number().over(p._by("symbol"))).where("n BETWEEN 127 AND 189").select("symbol", "date", "ret")
     held = pos.select("symbol", "contracts", F.lit(50.0).alias("multiplier"), (F.col("contracts") * F.col("unit_value")).alias("initial_value"))
-    pnl = p.position_pnl(prices(spark, d).join(rows, ["symbol", "date"]), held, 1_000_000_000.0)
+    pnl = p.position_pnl(prices(spark, d).join(rows.drop("ret"), ["symbol", "date"]), held, 1_000_000_000.0)
     ends = pnl.groupBy("symbol").agg(F.sum("pnl").alias("pnl"), F.max_by("cum_pct", "date").alias("cum_pct"), F.count("*").alias("n"))
-    return rounded(pos.select("symbol", "weight", "contribution", "total", "contracts", "share").join(ends, "symbol"))
+    after = rows.join(pos.select("symbol", "share"), "symbol").groupBy("date").agg(F.sum(F.col("ret") * F.col("share")).alias("r"))
+    out = pos.select("symbol", "weight", "contribution", "total", "contracts", "share", "xs", "xsr").join(ends, "symbol")
+    return rounded(out.join(F.broadcast(after.agg(F.stddev_samp("r").alias("std_after")))))  # one row
 
