@@ -75,10 +75,10 @@ def _by(*keys: str):
     return Window.partitionBy(*keys).orderBy("date")
 
 
-def log_returns(prices: DataFrame) -> DataFrame:
-    """(symbol, date, ret) on the dates where every symbol has one; a gap voids its day and the next."""
+def log_returns(prices: DataFrame, drop: str = "any") -> DataFrame:
+    """(symbol, date, ret) on the dates where every symbol has one; a gap voids its day and the next. drop="all" keeps the dates where some symbol has one, with NULL for the others."""
     r = spine(prices).withColumn("ret", F.ln("price") - F.lag(F.ln("price")).over(_by("symbol")))
-    ok = r.groupBy("date").agg(F.count("ret").alias("n"), F.count("*").alias("all")).where("n = all").select("date")
+    ok = r.groupBy("date").agg(F.count("ret").alias("n"), F.count("*").alias("all")).where("n = all" if drop == "any" else "n > 0").select("date")
     return r.join(ok, "date", "left_semi").select("symbol", "date", "ret")
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..sources import ingest as g
@@ -19,6 +22,46 @@ def query(name: str, sql: str):
     return add
 
 
+def landed(df, kind: str) -> str:
+    """Writes df as files of a kind to a folder that driver and executors share, and returns it."""
+    spark = df.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared and spark.sparkContext.master.split("[")[0] != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    path = f"{shared or tempfile.mkdtemp(prefix='spark-landed-')}/landed-{uuid.uuid4().hex}"
+    (df.write.option("header", True) if kind == "csv" else df.write).format(kind).save(path)
+    return path
+
+
+@query("s1_equities", "SELECT CAST(l_shipdate AS DATE) AS trading_date, 'P' || l_partkey AS ric, l_extendedprice AS last, CASE WHEN l_linenumber <> 2 THEN l_quantity END AS volume FROM lineitem")
+def equities(spark, d):
+    li = read(spark, d, "lineitem")
+    raw = li.select(F.col("l_shipdate").cast("date").alias("trading_date"), F.concat(F.lit("P"), F.col("l_partkey").cast("string"), F.lit(".N")).alias("ric"), F.col("l_extendedprice").alias("last"), F.when(F.col("l_linenumber") != 2, F.col("l_quantity")).alias("volume"))
+    return g.read_equities(spark, landed(raw, "csv"))
+
+
+@query("s2_futures", "SELECT CAST(o_orderdate AS DATE) AS obs_date, o_orderpriority AS px_ident, CASE WHEN o_orderkey % 3 <> 0 THEN '3M' END AS maturity, o_totalprice AS price FROM orders")
+def futures(spark, d):
+    raw = read(spark, d, "orders").select(F.col("o_orderdate").cast("date").alias("obs_date"), F.col("o_orderpriority").alias("px_ident"), F.when(F.col("o_orderkey") % 3 != 0, "3M").alias("maturity"), F.col("o_totalprice").alias("price"))
+    return g.read_futures(spark, landed(raw, "csv")).drop("file")
+
+
+@query("s9_instruments", "SELECT 'c' || c_custkey AS curve_id, DATE '2026-02-23' AS trade_date, c_mktsegment AS symbol, '2Y' AS tenor, 'Swap' AS type, c_acctbal AS quote FROM customer WHERE c_custkey % 4 <> 0")
+def quotes(spark, d):
+    c = F.col("c_custkey")
+    raw = read(spark, d, "customer").select(F.concat(F.lit("c"), c.cast("string")).alias("curve_id"), F.lit("2026-02-23").alias("trade_date"), F.col("c_mktsegment").alias("symbol"), F.lit("2Y").alias("tenor"), F.when(c % 4 != 0, "Swap").alias("type"), F.col("c_acctbal").alias("quote"))
+    return g.read_instruments(spark, landed(raw, "csv"))
+
+
+@query("s16_bar_store", "WITH " + BARS_SQL.format(unit="day") + " SELECT symbol, dt, close, volume FROM bars")
+def bar_store(spark, d):
+    """Bars written to the store, each twice, and read back: one a symbol and time is kept, that of the greater close."""
+    b = bars(spark, d).withColumn("dt", F.col("dt").cast("timestamp"))
+    path = landed(b.limit(0).select("symbol"), "parquet") + "-bars"
+    g.write_bars(b.unionByName(b.withColumn("close", F.col("close") - 1)), path, [F.desc("close")])
+    return g.read_bars(spark, path).select("symbol", F.col("dt").cast("timestamp_ntz").alias("dt"), "close", "volume")
+
+
 @query("s4_specs_with_defaults", "SELECT p_partkey, p_brand AS symbol, CASE WHEN p_brand < 'Brand#3' THEN 50.0 ELSE 1.0 END::DOUBLE AS multiplier, CASE WHEN p_brand < 'Brand#3' THEN 0.25 ELSE 1.0 END::DOUBLE AS tick_size, CASE WHEN p_brand < 'Brand#3' THEN 12.5 ELSE 1.0 END::DOUBLE AS tick_value, CASE WHEN p_brand < 'Brand#3' THEN 'Rates' ELSE 'Unknown' END AS asset_class FROM part")
 def specs(spark, d):
     part = read(spark, d, "part")

@@ -79,6 +79,13 @@ def returns(spark, d):
     return rounded(p.log_returns(prices(spark, d)))
 
 
+@query("p12_log_returns_of_some", "WITH " + DAY + """, gp AS (SELECT symbol, date, CASE WHEN symbol <> 'AF' OR day(date) % 9 <> 4 THEN price END AS price FROM prices WHERE day(date) % 10 <> 7 OR symbol = 'NO'), grid AS (SELECT d.date, s.symbol, price FROM (SELECT DISTINCT date FROM gp) d CROSS JOIN (SELECT DISTINCT symbol FROM gp) s LEFT JOIN gp USING (date, symbol)),
+raw AS (SELECT symbol, date, ln(price) - lag(ln(price)) OVER (PARTITION BY symbol ORDER BY date) AS ret FROM grid) SELECT symbol, date, round(ret, 6) AS ret FROM raw WHERE date IN (SELECT date FROM raw GROUP BY date HAVING count(ret) > 0)""")
+def returns_of_some(spark, d):
+    g = prices(spark, d, "day").where((F.dayofmonth("date") % 10 != 7) | (F.col("symbol") == "NO"))
+    return rounded(p.log_returns(g.withColumn("price", F.when((F.col("symbol") != "AF") | (F.dayofmonth("date") % 9 != 4), F.col("price"))), "all"))
+
+
 @query("w3_simple_returns", "WITH " + DAY + """, grid AS (SELECT d.date, s.symbol, price FROM (SELECT DISTINCT date FROM prices) d CROSS JOIN (SELECT DISTINCT symbol FROM prices) s LEFT JOIN prices USING (date, symbol)),
 f AS (SELECT symbol, date, last_value(price IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY date ROWS UNBOUNDED PRECEDING) AS q FROM grid),
 r AS (SELECT symbol, date, q / lag(q) OVER (PARTITION BY symbol ORDER BY date) - 1 AS ret FROM f)

@@ -148,6 +148,17 @@ def scenario_rows(spark, d):
     return s.select("base_id", F.col("scenario_id").cast("long").alias("scenario_id"), "total_cuts", "total_hikes", "cut_dates", "hike_dates", F.round("terminal_rate", 6).alias("terminal_rate"))
 
 
+#: Initial rates of the customers' segments, floored and capped.
+CAPPED = "bs AS (SELECT c_mktsegment AS base_id, 0.03::DOUBLE + max(c_custkey % 10) * 0.0005::DOUBLE AS initial_rate FROM customer GROUP BY 1)"
+
+
+@query("p18_scenarios_capped", f"WITH {CAPPED}, {_paths(MEETINGS[:5], -1, 1)} SELECT base_id, CAST(raw AS BIGINT) AS scenario_id, CAST(total_cuts AS INT) AS total_cuts, CAST(total_hikes AS INT) AS total_hikes, round(initial_rate + (total_hikes - total_cuts) * 0.0025::DOUBLE, 6) AS terminal_rate FROM bs, pp WHERE total_cuts <= 2 AND total_hikes <= 2 AND initial_rate + (total_hikes - total_cuts) * 0.0025::DOUBLE BETWEEN 0.0311::DOUBLE AND 0.0361::DOUBLE")
+def scenarios_capped(spark, d):
+    b = read(spark, d, "customer").groupBy(F.col("c_mktsegment").alias("base_id")).agg((F.lit(0.03) + F.max(F.col("c_custkey") % 10) * 0.0005).alias("initial_rate"))
+    s = po.scenarios(b, list(MEETINGS[:5]), [-1, 0, 1], floor=0.0311, cap=0.0361)
+    return s.select("base_id", F.col("scenario_id").cast("long").alias("scenario_id"), "total_cuts", "total_hikes", F.round("terminal_rate", 6).alias("terminal_rate"))
+
+
 @query("c6_scenarios_contiguous", f"WITH {BASES}, {_paths(MEETINGS, -2, 1)} SELECT base_id, row_number() OVER (PARTITION BY base_id ORDER BY raw) - 1 AS scenario_id, CAST(total_cuts AS INT) AS total_cuts, CAST(total_hikes AS INT) AS total_hikes, cut_dates, hike_dates, round(initial_rate + (total_hikes - total_cuts) * 0.0025::DOUBLE, 8) AS terminal_rate FROM bs, pp WHERE total_cuts <= 2 AND total_hikes <= 1")
 def scenario_rows_contiguous(spark, d):
     s = po.scenarios(bases(spark, d), list(MEETINGS), [-2, -1, 0, 1], max_hikes=1, contiguous=True)
