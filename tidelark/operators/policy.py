@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,32 +13,98 @@ from ..functions import dates as dt
 from ..functions.numeric import let
 
 
+def path_counts(meetings: int, moves: list[int], max_cuts: int, max_hikes: int, low: int, high: int) -> np.ndarray:
+    """Of each (meetings left, cuts, hikes) so far, how many ways on there are that end within the totals, with hikes less cuts between low and high. Numbers from 2**62 on are held as 2**62."""
+    c, h = np.arange(max_cuts + 1)[:, None], np.arange(max_hikes + 1)[None, :]
+    out = [((low <= h - c) & (h - c <= high)).astype(object) * 1]
+    for _ in range(meetings):
+        ways = np.zeros_like(out[-1])
+        for x in moves:
+            down, up = min(max(-x, 0), max_cuts + 1), min(max(x, 0), max_hikes + 1)
+            ways[: max_cuts + 1 - down, : max_hikes + 1 - up] += out[-1][down:, up:]
+        out.append(np.minimum(ways, 2**62))
+    return np.array(out).astype(np.int64)
+
+
+def path_of(ranks: np.ndarray, counts: np.ndarray, moves: list[int]) -> np.ndarray:
+    """The places in moves (ascending) that make the paths of these ranks, a row a path: at each meeting, the ways on of lesser moves are counted off."""
+    n, rows = len(counts) - 1, np.arange(len(ranks))
+    padded = np.pad(counts, ((0, 0), (0, max(0, -min(moves))), (0, max(0, max(moves)))))
+    left, c, h = ranks.copy(), np.zeros(len(ranks), int), np.zeros(len(ranks), int)
+    out = np.zeros((len(ranks), n), np.int32)
+    for j in range(n):
+        ends = np.cumsum([padded[n - j - 1][c + max(-x, 0), h + max(x, 0)] for x in moves], axis=0)
+        k = (left[None, :] >= ends).sum(0)
+        left -= np.where(k > 0, ends[np.maximum(k - 1, 0), rows], 0)
+        x = np.array(moves)[k]
+        c, h = c + np.maximum(-x, 0), h + np.maximum(x, 0)
+        out[:, j] = k
+    return out
+
+
+#: Ranks that one row of ranges stands for.
+RANKS = 32768
+
+
 def scenarios(bases: DataFrame, meetings: list, moves: list[int], step: float = 0.0025, max_cuts: int = 2, max_hikes: int = 2, floor: float | None = None, cap: float | None = None, contiguous: bool = False) -> DataFrame:
     """(base_id, scenario_id, total_cuts, total_hikes, cut_dates, hike_dates, terminal_rate) for every path of moves.
 
-    bases: (base_id, initial_rate). Moves are added meeting by meeting and paths beyond the totals are dropped at
-    once, since totals only grow: what is kept is what the result holds, however many meetings there are. A path's id
-    is its place in the enumeration of all paths, or with contiguous its place among those kept, from 0.
+    bases: (base_id, initial_rate). The paths of a base that end within the totals, floor and cap are counted by (meetings
+    left, cuts, hikes); tasks are dealt ranges of their ranks and make those paths alone, so that nothing is made to be dropped, one base is
+    the work of many tasks and the plan doesn't grow with the meetings. A path's id is its place in the enumeration of all paths of moves,
+    or with contiguous its rank among those kept, from 0. A base without a rate has no paths under a floor or cap, and all of them,
+    with no terminal rate, without.
     """
-    moves = sorted(moves)
-    d = bases.select("base_id", "initial_rate", F.lit(0).cast("decimal(38,0)").alias("raw"), F.lit(0).alias("total_cuts"), F.lit(0).alias("total_hikes"), F.array().cast("array<date>").alias("cuts"), F.array().cast("array<date>").alias("hikes"))
-    for m in meetings:
-        day = F.to_date(F.lit(str(m)))
-        step_ = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(x).alias("x")) for i, x in enumerate(moves))))
-        d = d.select("*", step_.alias("m"))
-        x = F.col("m.x")
-        d = d.select("base_id", "initial_rate", (F.col("raw") * len(moves) + F.col("m.i")).cast("decimal(38,0)").alias("raw"), (F.col("total_cuts") + F.greatest(-x, F.lit(0))).alias("total_cuts"), (F.col("total_hikes") + F.greatest(x, F.lit(0))).alias("total_hikes"),
-                     F.when(x < 0, F.concat("cuts", F.array(day))).otherwise(F.col("cuts")).alias("cuts"), F.when(x > 0, F.concat("hikes", F.array(day))).otherwise(F.col("hikes")).alias("hikes"))
-        d = d.where((F.col("total_cuts") <= max_cuts) & (F.col("total_hikes") <= max_hikes))
-    d = d.withColumn("terminal_rate", F.col("initial_rate") + (F.col("total_hikes") - F.col("total_cuts")) * step)
+    moves, kinds = sorted(moves), dict(bases.dtypes)
+    nets = F.sequence(F.lit(-max_cuts), F.lit(max_hikes))
+    end = lambda n: F.col("initial_rate") + n * step
     if floor is not None:
-        d = d.where(F.col("terminal_rate") >= floor)
+        nets = F.filter(nets, lambda n: end(n) >= floor)
     if cap is not None:
-        d = d.where(F.col("terminal_rate") <= cap)
-    number = F.row_number().over(Window.partitionBy("base_id").orderBy("raw")) - 1 if contiguous else F.col("raw")
-    text = lambda a: F.when(F.size(a) > 0, F.array_join(F.transform(a, lambda x: F.date_format(x, "yyyy-MM-dd")), ", "))
+        nets = F.filter(nets, lambda n: end(n) <= cap)
+    b = bases.select("base_id", "initial_rate", F.array_min(nets).alias("low"), F.array_max(nets).alias("high")).where("low IS NOT NULL")
+    known: dict[tuple[int, int], np.ndarray] = {}
+
+    def counts(low: int, high: int) -> np.ndarray:
+        if (low, high) not in known:
+            known[low, high] = path_counts(len(meetings), moves, max_cuts, max_hikes, low, high)
+        return known[low, high]
+
+    def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, (low, high) in enumerate(zip(batch.column("low").to_pylist(), batch.column("high").to_pylist(), strict=True)):
+                n = int(counts(low, high)[-1, 0, 0])
+                if n >= 2**62:
+                    raise OverflowError("more paths than ranks can number")
+                for first in range(0, n, RANKS * 1024):
+                    begin = np.arange(first, min(n, first + RANKS * 1024), RANKS)
+                    row = batch.take(pa.array(np.full(len(begin), i)))
+                    yield pa.RecordBatch.from_arrays([*row.columns, pa.array(begin), pa.array(np.minimum(begin + RANKS, n))], [*row.schema.names, "begin", "finish"])
+
+    def paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, (low, high, begin, finish) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("low", "high", "begin", "finish")), strict=True)):
+                ranks = np.arange(begin, finish)
+                digits = path_of(ranks, counts(low, high), moves)
+                row = batch.select(["base_id", "initial_rate"]).take(pa.array(np.full(len(ranks), i)))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ranks) + 1) * len(meetings), pa.int32()), pa.array(digits.ravel()))
+                yield pa.RecordBatch.from_arrays([*row.columns, pa.array(ranks), lists], ["base_id", "initial_rate", "rank", "digits"])
+
+    head = f"base_id {kinds['base_id']}, initial_rate {kinds['initial_rate']}"
+    r = b.mapInArrow(ranges, f"{head}, low int, high int, begin bigint, finish bigint").repartition("base_id", "begin")
+    d = r.mapInArrow(paths, f"{head}, rank bigint, digits array<int>")
+    days = F.array(*(F.to_date(F.lit(str(m))) for m in meetings)).cast("array<date>")
+    d = d.withColumn("_x", F.transform("digits", lambda i: F.get(F.array(*map(F.lit, moves)), i)))
+    total = lambda sign: F.aggregate("_x", F.lit(0), lambda s, x: s + F.greatest(x * sign, F.lit(0)))
+    d = d.withColumns({"total_cuts": total(-1), "total_hikes": total(1)}).withColumn("terminal_rate", F.col("initial_rate") + (F.col("total_hikes") - F.col("total_cuts")) * step)
+
+    def text(sign: int) -> Column:
+        a = F.filter(F.transform("_x", lambda x, i: F.when(x * sign > 0, F.date_format(F.get(days, i), "yyyy-MM-dd"))), lambda s: s.isNotNull())
+        return F.when(F.size(a) > 0, F.array_join(a, ", "))
+
+    number = F.col("rank") if contiguous else F.aggregate("digits", F.lit(0).cast("decimal(38,0)"), lambda s, i: (s * len(moves) + i).cast("decimal(38,0)"))
     terminal = F.col("terminal_rate") if contiguous else F.bround("terminal_rate", 6)
-    return d.select("base_id", "initial_rate", number.cast("decimal(38,0)").alias("scenario_id"), "total_cuts", "total_hikes", text("cuts").alias("cut_dates"), text("hikes").alias("hike_dates"), terminal.alias("terminal_rate"))
+    return d.select("base_id", "initial_rate", number.cast("decimal(38,0)").alias("scenario_id"), "total_cuts", "total_hikes", text(-1).alias("cut_dates"), text(1).alias("hike_dates"), terminal.alias("terminal_rate"))
 
 
 def dates_of(text: Column) -> Column:

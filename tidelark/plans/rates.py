@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import dates as dt
 from ..functions import numeric as nm
 from ..operators import curves as c
+from ..operators import intervals as iv
 from ..operators import policy as po
 from . import curve_sql as cs
 from .dates import CAL
@@ -65,6 +66,16 @@ def pillars(spark, d):
     return rounded(c.pillars(curves(spark, d)).withColumn("error_bp", F.abs("error_bp")))
 
 
+@query("j12_interval_discounts", CURVES + f""", tt AS (SELECT o_orderkey, o_custkey AS curve_id, (CAST(o_orderdate AS DATE) - DATE '1994-01-01') / 60.0::DOUBLE AS t FROM orders)
+SELECT o_orderkey, curve_id, round(t, 8) AS t, round(CASE WHEN status IS NULL THEN {cs.df('t')} END, 8) AS df FROM tt LEFT JOIN cv USING (curve_id)""")
+def interval_discounts(spark, d):
+    """The discount factor on its customer's curve at a time that each order's date gives, some before the curve and some beyond its end."""
+    p = curves(spark, d).where("status IS NULL").select("curve_id", F.explode(F.arrays_zip("ts", "ls")).alias("p")).select("curve_id", F.col("p.ts").alias("t"), F.col("p.ls").alias("l"))
+    days = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1994-01-01").cast("date"))
+    o = read(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("curve_id"), (days / 60.0).alias("t"))
+    return iv.discount_factors_at(p, o, ["curve_id"]).select("o_orderkey", "curve_id", F.round("t", 8).alias("t"), F.round("df", 8).alias("df"))
+
+
 FORWARD = f"(-({cs.log_df('(tk + 1e-6)')} - {cs.log_df('greatest(tk - 1e-6, 0.0)')}) / 2e-6)"
 
 
