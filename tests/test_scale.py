@@ -1,5 +1,6 @@
 """Lookups by intervals, paths by rank and the versioned bar store, against plain Python."""
 
+import datetime as dt
 import itertools
 import math
 
@@ -8,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidelark.operators import intervals, policy
+from tidelark.sources import store
 
 
 def plain_factor(ts, ls, t):
@@ -78,3 +80,67 @@ def test_many_meetings(spark):
     with pytest.raises(Exception, match="more paths"):
         policy.scenarios(base, days * 3, [-1, 0, 1], max_cuts=60, max_hikes=60).count()
     assert policy.scenarios(base, [], [-1, 0, 1]).count() == 2 and policy.scenarios(base.where("false"), days, [-1, 0, 1]).count() == 0
+
+
+def bars_of(spark, rows, columns="symbol string, dt timestamp, close double"):
+    return spark.createDataFrame([(s, dt.datetime(2024 if k < 9 else 2025, 1, k % 9 + 1), *x) for s, k, *x in rows], columns)
+
+
+def closes(df):
+    rows = df.collect()
+    assert len({(r.symbol, r.dt) for r in rows}) == len(rows)
+    return {(r.symbol, str(r.dt)[:10]): r.close for r in rows}
+
+
+def test_commits_of_the_store(spark, tmp_path):
+    path = str(tmp_path / "store")
+    assert store.commits(spark, path) == []
+    with pytest.raises(ValueError, match="no commit"):
+        store.snapshot(spark, path)
+    assert store.add_bars(bars_of(spark, [("A", 1, 1.0), ("2024", 2, 2.0)]), path, "one") == 1
+    before = store.snapshot(spark, path)
+    assert store.add_bars(bars_of(spark, [("A", 1, 9.0), ("A", 3, 3.0), ("A", 3, 3.5), ("A", 10, 4.0)]), path, "two", [F.desc("close")]) == 2
+    assert store.add_bars(bars_of(spark, [("B", 1, 7.0)]), path, "one") == 1  # run again: nothing changes
+    first, second = {("A", "2024-01-02"): 1.0, ("2024", "2024-01-03"): 2.0}, {("A", "2024-01-04"): 3.5, ("A", "2025-01-02"): 4.0}
+    assert closes(before) == first == closes(store.snapshot(spark, path, 1))
+    assert closes(store.snapshot(spark, path)) == first | second
+    assert closes(store.snapshot(spark, path, symbol="2024")) == {("2024", "2024-01-03"): 2.0}
+    assert "symbol" in (store.snapshot(spark, path, symbol="2024")._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: ")[1].split("]")[0])
+    assert store.compact(spark, path) == 3 and closes(store.snapshot(spark, path)) == first | second
+    wider = bars_of(spark, [("A", 1, 8.0, 5), ("C", 1, 6.0, 5)], "symbol string, dt timestamp, close double, volume bigint")
+    assert store.add_bars(wider, path) == 4
+    got = {(r.symbol, r.close, r.volume) for r in store.snapshot(spark, path).collect()}
+    assert ("C", 6.0, 5) in got and ("A", 1.0, None) in got and len(got) == 5
+    assert store.add_bars(wider.where("false"), path, "none") == 5 and store.snapshot(spark, path).count() == 5
+    assert store.vacuum(spark, path) == [] and len(store.vacuum(spark, path, 0.0)) == 2
+    assert store.snapshot(spark, path).count() == 5 and closes(store.snapshot(spark, path, 3)) == first | second
+    with pytest.raises(ValueError, match="no commit"):
+        store.snapshot(spark, path, 77)
+
+
+def test_a_write_that_fails_leaves_the_store_as_it_was(spark, tmp_path):
+    path = str(tmp_path / "store")
+    store.add_bars(bars_of(spark, [("A", 1, 1.0)]), path, "one")
+    broken = bars_of(spark, [("A", k, float(k)) for k in range(2, 8)]).withColumn("close", F.when(F.col("close") < 7, F.col("close")).otherwise(F.raise_error(F.lit("lost"))))
+    with pytest.raises(Exception, match="lost"):
+        store.add_bars(broken, path, "two")
+    assert closes(store.snapshot(spark, path)) == {("A", "2024-01-02"): 1.0}
+    store._write(bars_of(spark, [("A", 5, 5.0)]), path)  # a job that died between its files and its commit
+    (tmp_path / "store" / "commits" / ".half.tmp").write_text("{")
+    assert closes(store.snapshot(spark, path)) == {("A", "2024-01-02"): 1.0}
+    assert store.add_bars(bars_of(spark, [("A", 2, 2.0)]), path, "two") == 2 and len(store.snapshot(spark, path).collect()) == 2
+
+
+def test_two_writers_get_two_numbers(spark, tmp_path, monkeypatch):
+    path, real = str(tmp_path / "store"), store.commits
+    store.add_bars(bars_of(spark, [("A", 1, 1.0)]), path, "one")
+    looks = []
+
+    def late(*args):  # the first two looks of this writer are before the other's commit
+        looks.append(1)
+        return real(*args) if len(looks) > 2 else []
+
+    monkeypatch.setattr(store, "commits", late)
+    assert store.add_bars(bars_of(spark, [("A", 2, 2.0)]), path, "two") == 2
+    monkeypatch.undo()
+    assert [c["batch"] for c in store.commits(spark, path)] == ["one", "two"] and store.snapshot(spark, path).count() == 2

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..sources import ingest as g
+from ..sources import store
 from .tables import BARS_SQL, bars, read
 
 Q, S = {}, {}
@@ -62,6 +63,20 @@ def bar_store(spark, d):
     return g.read_bars(spark, path).select("symbol", F.col("dt").cast("timestamp_ntz").alias("dt"), "close", "volume")
 
 
+@query("s19_store_commits", "WITH " + BARS_SQL.format(unit="day") + " SELECT symbol, dt, CASE WHEN day(dt) % 3 = 0 THEN -close ELSE close END AS close, CASE WHEN day(dt) % 3 = 0 THEN volume END AS volume FROM bars")
+def store_commits(spark, d):
+    """Two thirds of the bars without volumes, then all with negated closes, one batch twice, a compaction between and a batch after it: what was stored first is read."""
+    b = bars(spark, d).withColumn("dt", F.col("dt").cast("timestamp")).select("symbol", "dt", "close", "volume")
+    later = b.withColumn("close", -F.col("close"))
+    path = landed(b.limit(0).select("symbol"), "parquet") + "-commits"
+    for day in (1, 2):
+        store.add_bars(b.where(f"day(dt) % 3 = {day}").drop("volume"), path, f"day {day}")
+        store.add_bars(later, path, "day 1")
+    store.compact(spark, path)
+    store.add_bars(later, path, "all")
+    return store.snapshot(spark, path).withColumn("dt", F.col("dt").cast("timestamp_ntz"))
+
+
 @query("s4_specs_with_defaults", "SELECT p_partkey, p_brand AS symbol, CASE WHEN p_brand < 'Brand#3' THEN 50.0 ELSE 1.0 END::DOUBLE AS multiplier, CASE WHEN p_brand < 'Brand#3' THEN 0.25 ELSE 1.0 END::DOUBLE AS tick_size, CASE WHEN p_brand < 'Brand#3' THEN 12.5 ELSE 1.0 END::DOUBLE AS tick_value, CASE WHEN p_brand < 'Brand#3' THEN 'Rates' ELSE 'Unknown' END AS asset_class FROM part")
 def specs(spark, d):
     part = read(spark, d, "part")

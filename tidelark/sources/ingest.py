@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import mixed_fraction
+from . import store
 
 #: Schemas of the files; what is missing is NULL.
 EQUITIES = "trading_date DATE, ric STRING, last DOUBLE, volume DOUBLE"
@@ -176,6 +177,9 @@ def write_bars(bars: DataFrame, path: str, order: list[Column] | None = None) ->
 
 
 def read_bars(spark: SparkSession, path: str, symbol: str | None = None) -> DataFrame:
+    """Bars of a folder that write_bars made, or the last commit of a versioned store (sources.store)."""
+    if store.is_store(spark, path):
+        return store.snapshot(spark, path, symbol=symbol)
     d = spark.read.parquet(path).drop("year")
     return d if symbol is None else d.where(F.col("symbol") == symbol)
 

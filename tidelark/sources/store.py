@@ -1,7 +1,7 @@
 """The versioned bar store: bars are only ever added, and count once a commit names them.
 
-A write puts files under data/write=<id>/symbol=/year=, then makes its commit, a small file whose name is the commit's number, in
-one step that fails if the number is taken. Readers take the commits there are when they begin: a job that dies before its
+A write puts files under data/write=<id>/symbol=/year=, then makes its commit, a small file whose name is the commit's number, by
+a rename that fails if the number is taken. Readers take the commits there are when they begin: a job that dies before its
 commit leaves files that no reader looks at. A batch's name is in its commit, so that the same batch changes nothing the second time.
 """
 
@@ -56,15 +56,20 @@ def _commit(spark: SparkSession, path: str, entry: dict) -> int:
             if c["batch"] == entry["batch"]:
                 return c["number"]
         number = known[-1]["number"] + 1 if known else 1
+        _, made = _folder(spark, f"{path}/commits/.{uuid.uuid4().hex}.tmp")
         _, final = _folder(spark, f"{path}/commits/{number:012d}.json")
-        try:
-            stream = fs.create(final, False)  # of two writers only one can make the file
+        stream = fs.create(made, True)
+        stream.write(text)
+        stream.close()
+        jvm = spark._jvm
+        no_options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        try:  # a rename that doesn't replace: of two writers only one gets the number
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(made.toUri() if made.toUri().getScheme() else fs.getUri(), spark._jsc.hadoopConfiguration()).rename(made, final, no_options)
         except Py4JJavaError as e:
+            fs.delete(made, False)
             if not fs.exists(final):
                 raise e
             continue
-        stream.write(text)
-        stream.close()
         return number
 
 

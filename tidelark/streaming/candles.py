@@ -1,11 +1,11 @@
-"""Landed candle payloads as a stream: each batch is decoded and put into the bar store."""
+"""Landed candle payloads as a stream: each batch is decoded and committed to the versioned bar store."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from ..sources import ingest
+from ..sources import ingest, store
 
 
 def candle_stream(spark: SparkSession, landing: str, late: str = "2 days") -> DataFrame:
@@ -14,19 +14,11 @@ def candle_stream(spark: SparkSession, landing: str, late: str = "2 days") -> Da
     return ingest.decode_candles(raw).withWatermark("dt", late).dropDuplicatesWithinWatermark(["symbol", "dt"])
 
 
-def store_candles(stream: DataFrame, store: str, checkpoint: str, once: bool = False) -> StreamingQuery:
-    """Upserts every batch into the store; what is stored wins, so that a batch that is run again changes nothing."""
+def store_candles(stream: DataFrame, path: str, checkpoint: str, once: bool = False) -> StreamingQuery:
+    """Commits every batch to the versioned store under the name of its checkpoint and number: a batch that is run again changes nothing, and stored bars win over new ones."""
 
-    def put(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(store)
-        there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
-        if there:
-            touched = batch.selectExpr("symbol", "year(dt) AS y").distinct()
-            old = spark.read.parquet(store).join(touched.withColumnRenamed("y", "year"), ["symbol", "year"], "left_semi").select(*batch.columns)
-            batch = ingest.upsert_bars(old, batch)
-            batch = batch.checkpoint()  # it reads what it is about to replace
-        ingest.write_bars(batch, store)
+    def put(batch: DataFrame, number: int) -> None:
+        store.add_bars(batch, path, f"{checkpoint}#{number}")
 
     w = stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if once else w).start()
