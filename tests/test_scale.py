@@ -1,15 +1,17 @@
 """Lookups by intervals, paths by rank and the versioned bar store, against plain Python."""
 
 import datetime as dt
+import io
 import itertools
 import math
+import zipfile
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tidelark.operators import intervals, policy
-from tidelark.sources import store
+from tidelark.sources import sheets, store
 
 
 def plain_factor(ts, ls, t):
@@ -144,3 +146,45 @@ def test_two_writers_get_two_numbers(spark, tmp_path, monkeypatch):
     assert store.add_bars(bars_of(spark, [("A", 2, 2.0)]), path, "two") == 2
     monkeypatch.undo()
     assert [c["batch"] for c in store.commits(spark, path)] == ["one", "two"] and store.snapshot(spark, path).count() == 2
+
+
+def test_workbooks(spark, tmp_path):
+    rows = [["Symbol", "Tenors", "Type", "Quote"], ["ON", "1B", "Rate", 3.63, None, dt.date(2026, 2, 23)], ["2Y", " 2Y ", "Swap", 3.5], [], ["note <&> only"], ["SOFR3M6", "3M", "Future", "96.5"], [], [*[None] * 15, 0.85]]
+    (tmp_path / "curve a.xlsx").write_bytes(sheets.workbook({"Q & A": rows, "other": [["x"] * 30]}))
+    (tmp_path / "empty.xlsx").write_bytes(sheets.workbook({"Q": []}))
+    got = {r.pos: r.cells for r in sheets.read_sheets(spark, str(tmp_path / "*.xlsx"), "Q & A").collect()}
+    assert got == {1: ["Symbol", "Tenors", "Type", "Quote"], 2: ["ON", "1B", "Rate", "3.63", None, "2026-02-23"], 3: ["2Y", " 2Y ", "Swap", "3.5"], 5: ["note <&> only"], 6: ["SOFR3M6", "3M", "Future", "96.5"], 8: [*[None] * 15, "0.85"]}
+    assert sheets.read_sheets(spark, str(tmp_path), 1).first().cells == ["x"] * 30 and sheets.read_sheets(spark, str(tmp_path)).count() == 7
+    i, p = sheets.quotes(sheets.read_sheets(spark, str(tmp_path), 0))
+    assert sorted((r.symbol, r.tenor, r.quote, str(r.trade_date)) for r in i.collect()) == [("2Y", "2Y", 3.5, "2026-02-23"), ("ON", "1B", 3.63, "2026-02-23"), ("SOFR3M6", "3M", 96.5, "2026-02-23")]
+    assert [(r.hw_a, round(r.hw_sigma, 9)) for r in p.collect()] == [(None, 0.0085)]
+
+
+def test_workbooks_of_other_writers(spark):
+    """Shared and rich strings, formulas, booleans, errors, own date formats, the later epoch, rows and cells without places."""
+    main, rel = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"', "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    files = {
+        "xl/workbook.xml": f'<workbook {main} xmlns:r="{rel}"><workbookPr date1904="1"/><sheets><sheet name="S" sheetId="9" r:id="rId7"/></sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId7" Target="/xl/worksheets/a.xml"/></Relationships>',
+        "xl/sharedStrings.xml": f"<sst {main}><si><t>one</t></si><si><r><t>t</t></r><r><t>wo</t></r><rPh><t>no</t></rPh></si></sst>",
+        "xl/styles.xml": f'<styleSheet {main}><numFmts><numFmt numFmtId="170" formatCode="[Red]mmm-yy"/><numFmt numFmtId="171" formatCode="0.0&quot;d&quot;"/></numFmts><cellXfs><xf numFmtId="0"/><xf numFmtId="170"/><xf numFmtId="171"/></cellXfs></styleSheet>',
+        "xl/worksheets/a.xml": f'<worksheet {main}><sheetData><row><c t="s"><v>1</v></c><c t="s"><v>0</v></c><c t="str"><f>A1</f><v>two</v></c><c t="b"><v>1</v></c><c t="e"><v>#N/A</v></c></row><row r="7"><c r="AB7" s="1"><v>1.5</v></c><c s="2"><v>2.5</v></c></row></sheetData></worksheet>',
+    }
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, text in files.items():
+            z.writestr(name, text)
+    d = spark.createDataFrame([("f", bytearray(out.getvalue())), ("none", None)], "path string, content binary")
+    assert {r.pos: r.cells for r in sheets.parse_sheets(d).collect()} == {1: ["two", "one", "two", "true", None], 7: [*[None] * 27, "1904-01-02 12:00:00", "2.5"]}
+    with pytest.raises(Exception, match="zip"):
+        sheets.parse_sheets(d.withColumn("content", F.encode(F.lit("text"), "UTF-8"))).count()
+
+
+def test_factor_sheets_have_their_own_months(spark):
+    block = lambda name, months, *bonds: [[f"{name} FUTURES CONTRACT"], [None, None, "Coupon", *[None] * 4, *months], *([None, 1, *b] for b in bonds)]
+    issue = dt.date(2025, 1, 31)
+    rows = block("2-YEAR", [dt.date(2026, 3, 1), dt.date(2026, 6, 1)], ["3 7/8", issue, "01/31/2027", "C1", "$42", 0.97, "-----"], [4.125, issue, issue, " C2 ", 7, 0.98, 0.99])
+    rows += block("Tentative 9-YEAR", [dt.date(2030, 1, 1)]) + block("5-YEAR", [dt.date(2026, 9, 1)], ["1/2", issue, issue, "C3", None, "0.9"], [None, issue])
+    d = spark.createDataFrame([("f", bytearray(sheets.workbook({"CF": rows})))], "path string, content binary")
+    got = sorted((r.contract[:6], r.cusip, round(r.coupon, 9), str(r.maturity), r.issuance, r.delivery_month, r.cf) for r in sheets.conversion_factors(sheets.parse_sheets(d)).collect())
+    assert got == [("2-YEAR", "C1", 0.03875, "2027-01-31", 42.0, "Jun-2026", None), ("2-YEAR", "C1", 0.03875, "2027-01-31", 42.0, "Mar-2026", 0.97), ("2-YEAR", "C2", 0.04125, "2025-01-31", 7.0, "Jun-2026", 0.99), ("2-YEAR", "C2", 0.04125, "2025-01-31", 7.0, "Mar-2026", 0.98), ("5-YEAR", "C3", 0.005, "2025-01-31", None, "Sep-2026", 0.9)]

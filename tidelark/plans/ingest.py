@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..sources import ingest as g
-from ..sources import store
+from ..sources import sheets, store
 from .tables import BARS_SQL, bars, read
 
 Q, S = {}, {}
@@ -129,6 +131,30 @@ def blocks(spark, d):
     return out.select("contract", F.round("coupon", 8).alias("coupon"), "cusip", "delivery_month", F.round("cf", 6).alias("cf"))
 
 
+@query("s12_factor_sheets", S["s12_s13_contract_blocks"])
+def factor_sheets(spark, d):
+    """Workbooks of a brand's contract each, 2,000 part keys to a book, read back: months are the dates of each sheet's own header."""
+    part = read(spark, d, "part").select(F.col("p_brand").alias("brand"), F.floor(F.col("p_partkey") / 2000).alias("book"), F.struct("p_partkey", "p_size").alias("row"))
+    books = part.groupBy("brand", "book").agg(F.collect_list("row").alias("rows"))
+
+    def pages(batches):
+        for b in batches:
+            out = []
+            for brand, rows in zip(b.column("brand").to_pylist(), b.column("rows").to_pylist(), strict=True):
+                none = [None] * 4
+                body = [[f"{brand.upper()} FUTURES CONTRACT"], [None, None, "Coupon", *none, dt.date(2026, 3, 1), dt.date(2026, 6, 1)]]
+                for i, r in enumerate(rows):
+                    key, size = r["p_partkey"], r["p_size"]
+                    coupon = f"{size} {key % 8}/8" if key % 8 else size
+                    body.append([None, i + 1, coupon, dt.date(2024, 1, 15), "01/15/2034", f"Q{key}", "$42", 0.85 + size / 500, 0.9 + size / 500 if key % 5 else "-----"])
+                out.append((f"{brand}-{rows[0]['p_partkey']}", sheets.workbook({"Notes": [["none"]], "Conversion Factors": body})))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.binary()), strict=True)], ["path", "content"]) if out else pa.RecordBatch.from_pylist([], pa.schema({"path": pa.string(), "content": pa.binary()}))
+
+    files = books.mapInArrow(pages, "path string, content binary")
+    out = sheets.conversion_factors(sheets.parse_sheets(files, "Conversion Factors"))
+    return out.select("contract", F.round("coupon", 8).alias("coupon"), "cusip", "delivery_month", F.round("cf", 6).alias("cf"))
+
+
 @query("s12_one_contract", f"""WITH {CF} SELECT 'BRAND#7 FUTURES CONTRACT' AS contract, 'Q' || p_partkey AS cusip, p_partkey::VARCHAR AS row_no FROM bk WHERE p_brand = 'Brand#7'""")
 def one_contract(spark, d):
     part = read(spark, d, "part").select(F.col("p_brand").alias("b"), "p_partkey")

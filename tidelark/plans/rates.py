@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..functions import dates as dt
@@ -9,6 +10,7 @@ from ..functions import numeric as nm
 from ..operators import curves as c
 from ..operators import intervals as iv
 from ..operators import policy as po
+from ..sources import sheets
 from . import curve_sql as cs
 from .dates import CAL
 from .panel import rounded
@@ -61,6 +63,28 @@ def bootstrap(spark, d):
     return b.select("curve_id", "trade_date", "status", F.explode(F.arrays_zip("ts", "ls")).alias("p")).select("curve_id", "trade_date", "status", F.round("p.ts", 8).alias("t"), F.round(F.exp("p.ls"), 8).alias("df"))
 
 
+@query("s9_quote_sheets", S["c1_bootstrap"])
+def quote_sheets(spark, d):
+    """The curves of c1 from a workbook each of quotes, trade date and volatility."""
+    q = instruments(spark, d).groupBy("curve_id", "trade_date").agg(F.collect_list(F.struct("symbol", "tenor", "type", "quote")).alias("rows"))  # 14 a curve
+    q = q.join(params(spark, d).select("curve_id", "hw_sigma"), "curve_id", "left")
+
+    def books(batches):
+        for b in batches:
+            files = []
+            for day, rows, sigma in zip(*(b.column(c).to_pylist() for c in ("trade_date", "rows", "hw_sigma")), strict=True):
+                table = [["Symbol", "Tenors", "Type", "Quote"], *([r["symbol"], r["tenor"], r["type"], r["quote"]] for r in rows), ["end of quotes"]]
+                table[1] += [None, day]
+                table[7] += [None] * 11 + [None if sigma is None else 100 * sigma]
+                files.append(sheets.workbook({"Quotes": table}))
+            yield pa.RecordBatch.from_arrays([b.column("curve_id").cast(pa.string()), pa.array(files, pa.binary())], ["path", "content"])
+
+    i, p = sheets.quotes(sheets.parse_sheets(q.mapInArrow(books, "path string, content binary"), 0))
+    b = c.bootstrap(c.curve_rows(i, p))
+    b = b.select(F.col("curve_id").cast("long").alias("curve_id"), "trade_date", "status", F.explode(F.arrays_zip("ts", "ls")).alias("p"))
+    return b.select("curve_id", "trade_date", "status", F.round("p.ts", 8).alias("t"), F.round(F.exp("p.ls"), 8).alias("df"))
+
+
 @query("c2_pillars", CURVES + f", {cs.pillar_table('cv')} SELECT curve_id, trade_date, pillar_no, symbol, mat, round(t, 6) AS t, round(df, 6) AS df, round(zero, 6) AS zero, round(forward_1d, 6) AS forward_1d, round(flat, 6) AS flat, round(abs(error_bp), 6) AS error_bp FROM pil")
 def pillars(spark, d):
     return rounded(c.pillars(curves(spark, d)).withColumn("error_bp", F.abs("error_bp")))
