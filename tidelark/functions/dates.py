@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import calendar
 from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -152,3 +153,48 @@ def backward_schedule(maturity: Column, settlement: Column, months: int = 6) ->
         lambda a, _: F.when(F.add_months(F.element_at(a, -1), -months) > settlement, F.concat(a, F.array(F.add_months(F.element_at(a, -1), -months)))).otherwise(a),
     )
     return F.when(maturity > settlement, F.reverse(chain)).otherwise(F.array().cast("array<date>"))
+
+
+# The same rules of plain dates, for tasks that find a trade date's grid once for all its curves.
+
+
+def _day_entry(table: bytes, d: date) -> int:
+    return table[(d.weekday() * 12 + d.month - 1) * 31 + d.day - 1] - 48
+
+
+def next_business_date(d: date) -> date:
+    return d + timedelta(_day_entry(_NEXT, d))
+
+
+def previous_business_date(d: date) -> date:
+    return d - timedelta(_day_entry(_LAST, d))
+
+
+def months_on(d: date, n: int) -> date:
+    """As add_months: cut at the month's end."""
+    y, m = divmod(d.year * 12 + d.month - 1 + n, 12)
+    return date(y, m + 1, min(d.day, calendar.monthrange(y, m + 1)[1]))
+
+
+def modified_following_date(d: date) -> date:
+    if _day_entry(_OPEN, d) == 1:
+        return d
+    after = next_business_date(d)
+    return after if after.month == d.month else previous_business_date(d)
+
+
+def tenor_date(base: date, tenor: str) -> date:
+    """base plus a whole number of days, weeks, months or years, as add_tenor."""
+    n, unit = int(tenor[:-1]), tenor[-1]
+    if unit == "D":
+        return base + timedelta(n)
+    return modified_following_date(base + timedelta(7 * n) if unit == "W" else months_on(base, n * (12 if unit == "Y" else 1)))
+
+
+def annual_dates(effective: date, maturity: date) -> list[date]:
+    """The coupon dates of annual_schedule."""
+    out, k = [], 1
+    while not out or out[-1] < maturity:
+        out.append(min(modified_following_date(months_on(effective, 12 * k)), maturity))
+        k += 1
+    return out

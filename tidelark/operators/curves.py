@@ -6,6 +6,7 @@ batch, and all bumped copies of them, at once; what a row's pillars then price a
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Iterator
 
 import numpy as np
@@ -234,27 +235,87 @@ def bucket_dv01(rows: DataFrame, bump_bp: float = 1.0) -> DataFrame:
     return out.withColumn("dv01", F.bround("dv01", 8))
 
 
-def reprice_grid(curves: DataFrame) -> DataFrame:
-    """(curve_id, trade_date, tenor, mat, df, par, forward_1d, flat) on the tenor grid, rates in percent.
+class Grid:
+    """The tenor grid of a trade date: its dates, and the times that its rates take discount factors at."""
+
+    def __init__(self, day: datetime.date):
+        effective = dt.next_business_date(dt.next_business_date(day))
+        one_year = dt.tenor_date(day, "1Y")
+        self.mat = [dt.tenor_date(day if g[-1] in "DW" else effective, g) for g in GRID]
+        years = lambda a, b: (b - a).days / 360.0
+        before = [dt.previous_business_date(m) for m in self.mat]
+        self.days = np.array([(m - day).days for m in self.mat], float)
+        self.overnight = np.array([years(b, m) for b, m in zip(before, self.mat, strict=True)])
+        self.alpha = np.array([years(effective, m) for m in self.mat])
+        times = [*(years(day, m) for m in self.mat), *(years(day, b) for b in before), years(day, effective)]
+        paid, self.long, self.begins = [], np.array([m > one_year for m in self.mat]), []
+        for m in (m for m, long in zip(self.mat, self.long, strict=True) if long):
+            self.begins.append(len(paid))
+            c = dt.annual_dates(effective, m)
+            paid += [(years(day, x), years(y, x)) for x, y in zip(c, [effective, *c], strict=False)]
+        self.coupon_alpha = np.array([x for _, x in paid])
+        self.times, self.places = np.unique([*times, *(x for x, _ in paid)], return_inverse=True)  # tenors share most coupons
+
+    def prices(self, ts: np.ndarray, ls: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(df, par, forward_1d, flat), curves x tenors, rates in percent, of curves with n pillars (0, 1) and on; par is not a number where no time passes."""
+        k = np.zeros((len(n), len(self.times)), np.int64)
+        for j in range(ts.shape[1]):
+            k += ts[:, j, None] < self.times
+        k = np.maximum(np.minimum(k, n[:, None] - 1), 1)
+        some = n > 1
+        with np.errstate(all="ignore"):
+            x0, x1, y0, y1 = (np.take_along_axis(v, np.minimum(i, v.shape[1] - 1), 1) for v, i in ((ts, k - 1), (ts, k), (ls, k - 1), (ls, k)))
+            at = np.exp(np.where(some[:, None], y0 + (y1 - y0) * (self.times - x0) / (x1 - x0), ls[:, :1]))[:, self.places]
+            g = len(GRID)
+            df, dfp, dfe = at[:, :g], at[:, g : 2 * g], at[:, 2 * g, None]
+            par = np.where(self.alpha != 0, (dfe / df - 1) / self.alpha, np.nan)
+            par[:, self.long] = (dfe - df[:, self.long]) / np.add.reduceat(self.coupon_alpha * at[:, 2 * g + 1 :], self.begins, 1)
+            return df, 100 * par, 100 * ((dfp / df - 1) / self.overnight), 100 * (360 * ((1 / df) ** (1 / self.days) - 1))
+
+
+def grids(curves: DataFrame) -> DataFrame:
+    """(curve_id, trade_date, grid) of each solved curve with a trade date: its rates on the tenor grid, as an array of (tenor, mat, df, par, forward_1d, flat).
 
     Days count from the trade date without adjustment, weeks from it with, months and years from the effective date.
-    The grid's dates are found once a trade date; they are joined to its curves, by broadcast if the optimizer finds them small.
+    Curves are priced in the batches that they come in: they are solved once, and neither moved nor joined. A batch's trade dates have their grids found once.
     """
-    t = trade_days(curves.select("trade_date").distinct()).withColumn("tenor", F.explode(F.array(*(F.lit(g) for g in GRID))))
-    t = nm.once(t, base=F.when(F.right("tenor", F.lit(1)).isin("D", "W"), F.col("trade_date")).otherwise(F.col("effective")))
-    g = nm.once(t, mat=dt.add_tenor(F.col("base"), F.col("tenor")))
-    keys = ["trade_date", "tenor"]
-    g = g.join(_coupons(g.where(F.col("mat") > F.col("one_year")), keys), keys, "left")
-    g = nm.once(g, prev_bd=dt.previous_business_day(F.col("mat"))).withColumns({"t": dt.act_360(F.col("trade_date"), F.col("mat")), "te": dt.act_360(F.col("trade_date"), F.col("effective")), "tp": dt.act_360(F.col("trade_date"), F.col("prev_bd")), "alpha": dt.act_360(F.col("effective"), F.col("mat"))})
-    g = g.groupBy("trade_date").agg(F.collect_list(F.struct("tenor", "mat", "prev_bd", "t", "te", "tp", "alpha", "coupons")).alias("grid"))  # a row a day
-    c = curves.where("status IS NULL").select("curve_id", "trade_date", "ts", "ls").join(g, "trade_date")
-    c = c.select("curve_id", "trade_date", "ts", "ls", F.inline("grid"))
-    at = lambda x: _df(F.col("ts"), F.col("ls"), x)
-    c = c.withColumns({"df": at(F.col("t")), "dfe": at(F.col("te")), "dfp": at(F.col("tp")), "annuity": F.aggregate("coupons", F.lit(0.0), lambda s, k: s + k["alpha"] * at(k["t"]))})
-    par = F.when(F.col("coupons").isNull(), F.try_divide(F.col("dfe") / F.col("df") - 1, F.col("alpha"))).otherwise((F.col("dfe") - F.col("df")) / F.col("annuity"))
-    fwd = (F.col("dfp") / F.col("df") - 1) / dt.act_360(F.col("prev_bd"), F.col("mat"))
-    flat = 360 * (F.pow(1 / F.col("df"), 1 / F.datediff("mat", "trade_date")) - 1)
-    return c.select("curve_id", "trade_date", "tenor", "mat", "df", (100 * par).alias("par"), (100 * fwd).alias("forward_1d"), (100 * flat).alias("flat"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict = {}
+        for whole in batches:
+            for begin in range(0, whole.num_rows, CURVES):
+                batch = pa.RecordBatch.from_struct_array(pa.concat_arrays([whole.slice(begin, CURVES).to_struct_array()]))
+                days = batch.column("trade_date").to_pylist()
+                n = batch.column("ts").value_lengths().fill_null(0).to_numpy()
+                ts, ls = (_table(batch.column(c), batch.column(c).values.to_numpy(zero_copy_only=False), np.nan) for c in ("ts", "ls"))
+                values, mats = np.empty((4, len(n), len(GRID))), np.empty((len(n), len(GRID)), "datetime64[D]")
+                of_day: dict = {}
+                for i, day in enumerate(days):
+                    of_day.setdefault(day, []).append(i)
+                for day, rows in of_day.items():
+                    if day not in kept:
+                        if len(kept) > MOST_GRIDS:
+                            kept.clear()
+                        kept[day] = Grid(day)
+                    values[:, rows] = kept[day].prices(ts[rows], ls[rows], n[rows])
+                    mats[rows] = np.array(kept[day].mat, "datetime64[D]")
+                df, par, forward, flat = (v.ravel() for v in values)
+                columns = [pa.array(list(GRID) * len(n), pa.string()), pa.array(mats.ravel()), pa.array(df), pa.array(par, mask=np.isnan(par)), pa.array(forward), pa.array(flat)]
+                offsets = pa.array(np.arange(len(n) + 1) * len(GRID), pa.int32())
+                yield pa.RecordBatch.from_arrays([batch.column("curve_id"), batch.column("trade_date"), pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(columns, ["tenor", "mat", "df", "par", "forward_1d", "flat"]))], ["curve_id", "trade_date", "grid"])
+
+    c = curves.where("status IS NULL AND trade_date IS NOT NULL").select("curve_id", "trade_date", "ts", "ls")
+    kind = dict(c.dtypes)
+    return c.mapInArrow(run, f"curve_id {kind['curve_id']}, trade_date {kind['trade_date']}, grid array<struct<tenor: string, mat: date, df: double, par: double, forward_1d: double, flat: double>>")
+
+
+#: Trade dates whose grids a task holds at a time, of some 10 KB each.
+MOST_GRIDS = 1024
+
+
+def reprice_grid(curves: DataFrame) -> DataFrame:
+    """(curve_id, trade_date, tenor, mat, df, par, forward_1d, flat) on the tenor grid, rates in percent: a row for each entry of grids."""
+    return grids(curves).select("curve_id", "trade_date", F.inline("grid"))
 
 
 def price_meetings(curves: DataFrame, meetings: DataFrame, mid: float, step_bp: float = 25.0) -> DataFrame:
@@ -300,6 +361,14 @@ def compare_rates(a: DataFrame, b: DataFrame, value: str, keys: list[str]) -> Da
     return j.withColumn("diff_bp", (F.col("rate_b") - F.col("rate_a")) * 100)
 
 
+def compare_grids(a: DataFrame, b: DataFrame, value: str) -> DataFrame:
+    """compare_rates of a value of two tables of grids by curve and tenor; curves are joined whole, a row each, and their tenors after."""
+    own = lambda d, name: d.select("curve_id", "trade_date", F.transform("grid", lambda x: F.struct(x["tenor"].alias("tenor"), x[value].alias("rate"))).alias(name))
+    j = own(a, "_a").join(own(b, "_b"), ["curve_id", "trade_date"])  # a trade date's grids are in the same order
+    j = j.select("curve_id", "trade_date", F.inline(F.zip_with("_a", "_b", lambda x, y: F.struct(x["tenor"].alias("tenor"), x["rate"].alias("rate_a"), y["rate"].alias("rate_b")))))
+    return j.withColumn("diff_bp", (F.col("rate_b") - F.col("rate_a")) * 100)
+
+
 def comparison_summary(diffs: DataFrame, by: list[str], value: str = "diff_bp", tolerance: float = 1e-6) -> DataFrame:
     d = F.abs(value)
     return diffs.groupBy(*by).agg(F.max(d).alias("max_abs"), F.avg(d).alias("mean_abs"), F.count_if(d > tolerance).alias("mismatches"), F.count("*").alias("n"))
