@@ -135,10 +135,10 @@ def meeting_prices(spark, d):
 @query("j16_curve_comparison", CURVES + f""", {cs.bootstrap('mv', bump="CASE WHEN type = 'Swap' THEN 0.01::DOUBLE ELSE 0 END")}, {cs.grid(c.GRID)}, {cs.repriced('cv', 'ra')}, {cs.repriced('mv', 'rb')}, df AS (SELECT tenor, abs(rb.par - ra.par) * 100 AS x FROM ra JOIN rb USING (curve_id, tenor))
 SELECT tenor, round(max(x), 4) AS max_abs, round(avg(x), 4) AS mean_abs, count(*) FILTER (x > 1e-6) AS mismatches, count(*) AS n FROM df GROUP BY tenor""")
 def curve_comparison(spark, d):
-    a = c.reprice_grid(curves(spark, d)).select("curve_id", "trade_date", "tenor", "par")
     moved = instruments(spark, d).withColumn("quote", F.when(F.col("type") == "Swap", F.col("quote") + 0.01).otherwise(F.col("quote")))
-    b = c.reprice_grid(c.bootstrap(c.curve_rows(moved, params(spark, d)))).select("curve_id", "trade_date", "tenor", "par")
-    return rounded(c.comparison_summary(c.compare_rates(a, b, "par", ["curve_id", "trade_date", "tenor"]), ["tenor"]), 4)
+    b = c.bootstrap(c.curve_rows(moved, params(spark, d)))
+    return rounded(c.comparison_summary(c.compare_grids(c.grids(curves(spark, d)), c.grids(b), "par"), ["tenor"]), 4)
+
 
 
 SCHED = f"""{CAL}, b AS (SELECT o_orderkey AS curve_id, CAST(o_orderdate AS DATE) AS eff, CAST(CAST(o_orderdate AS DATE) + INTERVAL 5 YEAR AS DATE) AS mat FROM orders),
