@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates as dt
-from ..functions.numeric import let
 
 
 def path_counts(meetings: int, moves: list[int], max_cuts: int, max_hikes: int, low: int, high: int) -> np.ndarray:
@@ -149,39 +148,63 @@ def df_between(dfs: Column, t: Column, base: float) -> Column:
     return F.when(t <= 0, F.lit(1.0)).when(k < 1, F.get(dfs, F.lit(0))).when(k >= n, F.get(dfs, n - 1)).otherwise(y0 + (y1 - y0) * (at - k))
 
 
+#: Parts that the bonds of one coupon and maturity are dealt into.
+PARTS = 16
+
+
 def price_bonds(paths: DataFrame, bonds: DataFrame, settlement: str, base: float, face: float = 100.0, freq: int = 2) -> DataFrame:
-    """(base_id, scenario_id, bond_id, dirty, clean, accrued, ytm) of bonds (bond_id, coupon, maturity) on each scenario's daily discount factors."""
+    """(base_id, scenario_id, bond_id, dirty, clean, accrued, ytm) of bonds (bond_id, coupon, maturity) on each scenario's daily discount factors.
+
+    A price depends on coupon and maturity: bonds alike in both are priced once, and each takes its prices by them.
+    """
     curve = paths.groupBy("base_id", "scenario_id").agg(F.array_sort(F.collect_list(F.struct("t", "df"))).alias("c"))
     curve = curve.select("base_id", "scenario_id", F.transform("c", lambda x: x["df"]).alias("dfs"))
     settle = F.to_date(F.lit(settlement))
-    b = bonds.withColumn("dates", dt.backward_schedule(F.col("maturity"), settle)).where(F.size("dates") > 0)
+    b = bonds.select("coupon", "maturity").distinct().withColumn("dates", dt.backward_schedule(F.col("maturity"), settle)).where(F.size("dates") > 0)
     b = b.repartition(int(b.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    j = b.crossJoin(F.broadcast(curve))  # every scenario prices every bond
+    j = b.crossJoin(F.broadcast(curve))  # every scenario prices every kind of bond
     pay = F.col("coupon") / freq * face
     n = F.size("dates")
     pv = F.aggregate(F.transform("dates", lambda d, i: (pay + F.when(i == n - 1, face).otherwise(0.0)) * df_between(F.col("dfs"), F.datediff(d, settle) / 365.0, base)), F.lit(0.0), lambda s, x: s + x)
     nxt = F.get("dates", F.lit(0))
     prev = F.add_months(nxt, -6)
     accrued = pay * F.datediff(settle, prev) / F.datediff(nxt, prev)
-    j = j.withColumns({"dirty": pv, "accrued": accrued}).withColumn("clean", F.col("dirty") - F.col("accrued"))
-    j = j.select("base_id", "scenario_id", "bond_id", "coupon", "dates", "accrued", "clean", F.explode(F.array("dirty")).alias("dirty"))
-    return j.select("base_id", "scenario_id", "bond_id", "dirty", "clean", "accrued", yield_of(F.col("dirty"), F.col("coupon"), n, face, freq).alias("ytm"))
+    j = j.select("base_id", "scenario_id", "coupon", "maturity", n.alias("n"), accrued.alias("accrued"), F.explode(F.array(pv)).alias("dirty"))
+    j = j.withColumn("clean", F.col("dirty") - F.col("accrued")).withColumn("ytm", yield_of(F.col("dirty"), F.col("coupon"), F.col("n"), face, freq))
+    j = j.groupBy("coupon", "maturity").agg(F.collect_list(F.struct("base_id", "scenario_id", "dirty", "clean", "accrued", "ytm")).alias("prices"))  # one a scenario, as in the broadcast
+    j = j.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    own = bonds.select("bond_id", "coupon", "maturity", F.pmod(F.xxhash64("bond_id"), F.lit(PARTS)).cast("int").alias("part"))
+    same = F.col("o.coupon").eqNullSafe(F.col("j.coupon")) & (F.col("o.maturity") == F.col("j.maturity")) & (F.col("o.part") == F.col("j.part"))
+    out = own.alias("o").join(j.alias("j"), same).select("bond_id", F.inline("prices"))
+    return out.select("base_id", "scenario_id", "bond_id", "dirty", "clean", "accrued", "ytm")
+
+
+def yields(dirty: np.ndarray, coupon: np.ndarray, periods: np.ndarray, face: float, freq: int, low: float, high: float, rounds: int) -> np.ndarray:
+    """The yields of yield_of, not a number where there is none."""
+
+    def price(y: np.ndarray) -> np.ndarray:
+        small, whole = np.abs(y) < 1e-12, (1 / (1 + y / freq)) ** periods
+        return coupon / freq * face * np.where(small, periods, (1 - whole) / np.where(small, 1.0, y / freq)) + face * whole
+
+    with np.errstate(all="ignore"):
+        a, z = np.full(len(dirty), low), np.full(len(dirty), high)
+        there = (price(a) >= dirty) & (price(z) <= dirty)
+        for _ in range(rounds):
+            mid = (a + z) / 2
+            above = price(mid) > dirty
+            a, z = np.where(above, mid, a), np.where(above, z, mid)
+        return np.where(there, (a + z) / 2, np.nan)
 
 
 def yield_of(dirty: Column, coupon: Column, periods: Column, face: float = 100.0, freq: int = 2, low: float = -0.5, high: float = 1.0, rounds: int = 60) -> Column:
-    """The yield at which whole periods price to dirty, by bisection; NULL if it isn't between low and high."""
-
-    def price(y: Column) -> Column:
-        small = F.abs(y) < 1e-12
-        return let(F.pow(1 / (1 + y / freq), periods), lambda whole: coupon / freq * face * F.when(small, periods.cast("double")).otherwise((1 - whole) / F.when(small, 1.0).otherwise(y / freq)) + face * whole)
-
-    found = F.aggregate(
-        F.sequence(F.lit(1), F.lit(rounds)),
-        F.struct(F.lit(low).alias("a"), F.lit(high).alias("z")),
-        lambda s, _: let((s["a"] + s["z"]) / 2, lambda mid: F.when(price(mid) > dirty, F.struct(mid.alias("a"), s["z"].alias("z"))).otherwise(F.struct(s["a"].alias("a"), mid.alias("z")))),
-        lambda s: (s["a"] + s["z"]) / 2,
-    )
-    return F.when((price(F.lit(low)) >= dirty) & (price(F.lit(high)) <= dirty), found)
+    """The yield at which whole periods price to dirty, by bisection of a batch of rows at a time; NULL if it isn't between low and high."""
+
+    @F.arrow_udf("double")
+    def found(d: pa.Array, c: pa.Array, n: pa.Array) -> pa.Array:
+        y = yields(*(x.to_numpy(zero_copy_only=False).astype(float) for x in (d, c, n)), face, freq, low, high, rounds)
+        return pa.array(y, mask=np.isnan(y))
+
+    return found(dirty.cast("double"), coupon.cast("double"), periods.cast("double"))
 
 
 def rank_delivery(basket: DataFrame, futures: DataFrame, as_of: str) -> DataFrame:
