@@ -13,6 +13,7 @@ from ..operators import policy as po
 from ..sources import sheets
 from . import curve_sql as cs
 from .dates import CAL
+from .ingest import landed
 from .panel import rounded
 from .tables import read
 
@@ -79,7 +80,8 @@ def quote_sheets(spark, d):
                 files.append(sheets.workbook({"Quotes": table}))
             yield pa.RecordBatch.from_arrays([b.column("curve_id").cast(pa.string()), pa.array(files, pa.binary())], ["path", "content"])
 
-    i, p = sheets.quotes(sheets.parse_sheets(q.mapInArrow(books, "path string, content binary"), 0))
+    rows = sheets.parse_sheets(q.mapInArrow(books, "path string, content binary"), 0)
+    i, p = sheets.quotes(spark.read.schema(rows.schema).parquet(landed(rows, "parquet")))  # read several times, parsed once
     b = c.bootstrap(c.curve_rows(i, p))
     b = b.select(F.col("curve_id").cast("long").alias("curve_id"), "trade_date", "status", F.explode(F.arrays_zip("ts", "ls")).alias("p"))
     return b.select("curve_id", "trade_date", "status", F.round("p.ts", 8).alias("t"), F.round(F.exp("p.ls"), 8).alias("df"))
