@@ -21,8 +21,6 @@ from pyspark.sql import functions as F
 from .common import map_texts, slices, table, written
 
 ORDER = 5
-#: Grams kept of each order at most, the most frequent; what others took of a context's probability goes to the shorter context.
-MOST_GRAMS = 500_000
 #: Symbols before and after a word. In a word they, and NUL, count as an unknown character.
 BEGIN, END, UNKNOWN = 2, 3, 0xFFFD
 #: A band reaches from the quartiles by REACH times their distance, which counts as LEAST_SPREAD at least; perplexities are held as logarithms to base 10, in steps of 1 / STEPS.
@@ -177,24 +175,8 @@ def _discounts(types: DataFrame) -> DataFrame:
     return n.select("lang", *(value(i).alias(f"d{i}") for i in (1, 2, 3)))
 
 
-def _least_count(types: DataFrame, most: int) -> int:
-    """The least count that no more than `most` grams reach, by a histogram of the counts' logarithms; 1 if all fit in."""
-    band = F.floor(F.log2("c") * 4)
-    total, least = 0, None
-    rows = types.groupBy(band.alias("band")).agg(F.count("*").alias("n"), F.min("c").alias("c")).orderBy(F.desc("band")).collect()  # under 300
-    for r in rows:
-        total += r["n"]
-        if total > most:
-            return least if least is not None else r["c"] + 1 if r["n"] <= most else NEVER
-        least = r["c"]
-    return 1
-
-
-NEVER = 1 << 62
-
-
-def fit_ngrams(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", most: int = MOST_GRAMS) -> NgramModel:
-    """The model of all texts. An empty table gives one that knows no symbol."""
+def fit_ngrams(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> NgramModel:
+    """The model of all texts, with every gram that occurs in them: 16 bytes each on the driver and in every task. An empty table gives one that knows no symbol."""
     types = written(gram_counts(docs, lang_col, text_col))
     grams, contexts, kinds = [], [], {}
     for k in range(ORDER, 0, -1):
@@ -203,7 +185,7 @@ def fit_ngrams(docs: DataFrame, lang_col: str = "lang", text_col: str = "text",
         t = types.withColumn("context", F.left("gram", F.lit(k - 1)))
         whole = t.groupBy("lang", "context").agg(F.sum("c").alias("whole"))
         few = F.broadcast(d) if d.count() <= 10_000 else d  # a row a language
-        t = t.where(F.col("c") >= _least_count(types, most)).join(few, "lang").join(whole, ["lang", "context"])
+        t = t.join(few, "lang").join(whole, ["lang", "context"])
         cut = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
         t = t.select("lang", "gram", ((F.col("c") - cut) / F.col("whole")).alias("share"), F.sum((F.col("c") - cut) / F.col("whole")).over(by).alias("taken"))
         grams.append(_collected(t.select("lang", "gram", F.col("share").alias("v")), k))
@@ -217,13 +199,18 @@ def fit_ngrams(docs: DataFrame, lang_col: str = "lang", text_col: str = "text",
 
 
 def _collected(rows: DataFrame, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes, in order, and values of grams of a length; of a bounded table."""
-    t = rows.toArrow()
-    langs = np.array([_seed(x) for x in t.column("lang").to_pylist()], np.uint64)
-    codes = np.frombuffer("".join(t.column("gram").to_pylist()).encode("utf-32-le"), np.uint32).reshape(len(langs), length)
-    h = langs
-    for j in range(length):
-        h = _mixed(h, codes[:, j])
+    """Hashes, in order, and values of grams of a length. Tasks make the hashes: 16 bytes a gram reach the driver."""
+
+    def hashed(batches):
+        for b in batches:
+            h = np.array([_seed(x) for x in b.column("lang").to_pylist()], np.uint64)
+            codes = np.frombuffer("".join(b.column("gram").to_pylist()).encode("utf-32-le"), np.uint32).reshape(len(h), length)
+            for j in range(length):
+                h = _mixed(h, codes[:, j])
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), b.column("v")], ["h", "v"])
+
+    t = rows.select("lang", "gram", F.col("v").cast("double").alias("v")).mapInArrow(hashed, "h bigint, v double").toArrow()
+    h = t.column("h").to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(h)
     return h[order], t.column("v").to_numpy().astype(np.float64)[order]
 
