@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from .blas import one_thread
+from .blas import keep_memory, one_thread
 
 
 def windows(n: int, length: int, context: int) -> np.ndarray:
@@ -18,8 +18,8 @@ def rows_sum(t: np.ndarray) -> np.ndarray:
     return t @ np.ones(t.shape[1], t.dtype)
 
 
-def softmax(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The rows of a matrix as probabilities, and the sums they were divided by. t is left with its exponents.
+def exponentials(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The exponentials of a matrix, and the sums of its rows. t is left with its exponents.
 
     Only from rows whose exponents would overflow or vanish the greatest is taken off, so that a row's result doesn't
     depend on the others.
@@ -28,79 +28,176 @@ def softmax(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         top = t.max(-1, keepdims=True)
         t -= np.where(top > 60, top, 0)
     p = np.exp(t)
-    total = p.sum(-1)
+    total = rows_sum(p)
     if len(total) and total.min() < 1e-20:
         low = np.flatnonzero(total < 1e-20)
         t[low] -= t[low].max(-1, keepdims=True)
         p[low] = np.exp(t[low])
         total[low] = p[low].sum(-1)
-    p /= total[:, None]
     return p, total
 
 
+def softmax(t: np.ndarray) -> np.ndarray:
+    """The rows of a matrix as probabilities. t is left with its exponents."""
+    p, total = exponentials(t)
+    p /= total[:, None]
+    return p
+
+
+def groups_of(size: int, head: int) -> list[tuple[int, int]]:
+    """The ids from head on in groups, of head ids or, farther on, a quarter of those before."""
+    out, a = [], head
+    while a < size:
+        out.append((a, min(size, a + max(head, a // 4))))
+        a = out[-1][1]
+    return out
+
+
 class Attention:
     """P(id | the ids before it in the window): embeddings, masked attention, and a softmax over the ids.
 
-    begin: the id that stands before the first token of a text; ids are below `size`.
+    begin: the id that stands before the first token of a text; ids are below `size`. With `head`, ids should be less frequent
+    the higher they are: those from head on are in groups, a place's softmax is over the ids below head and the groups, and that of an
+    id in a group is multiplied by a softmax over the group. The product is a distribution over all ids, each of which has
+    its own weights, but a group is evaluated only where one of its ids occurs.
     """
 
-    def __init__(self, size: int, width: int = 16, length: int = 32, context: int = 8, seed: int = 7):
+    def __init__(self, size: int, width: int = 16, length: int = 32, context: int = 8, seed: int = 7, head: int | None = None):
         r = np.random.default_rng(seed)
         self.size, self.width, self.length, self.context, self.begin = size, width, length, context, size
         g = lambda *s: (r.standard_normal(s) / np.sqrt(s[0])).astype(np.float32)
         self.w = {"e": (r.standard_normal((size + 1, width)) * 0.3).astype(np.float32), "p": (r.standard_normal((length, width)) * 0.05).astype(np.float32)}
         self.w |= {"q": g(width, width), "k": g(width, width), "v": g(width, width), "o": g(width, width), "u": g(width, size), "b": np.zeros(size, np.float32)}
+        self.head = min(size, head or size)
+        self.groups = groups_of(size, self.head)
+        self.first = np.r_[np.arange(self.head), np.repeat(self.head + np.arange(len(self.groups)), [z - a for a, z in self.groups])].astype(np.int64)  # of each id, its place in the first softmax
+        if self.groups:
+            self.w |= {"c": g(width, len(self.groups)), "d": np.zeros(len(self.groups), np.float32)}
         self.mask = np.where(np.tril(np.ones((length, length), bool)), 0, -1e9).astype(np.float32)
 
     def _forward(self, x: np.ndarray):
         w, n = self.w, x.shape[1]
-        h = w["e"][x] + w["p"][:n]
+        h = w["e"].take(x.ravel(), 0).reshape(*x.shape, self.width)
+        h += w["p"][:n]
         flat = h.reshape(-1, self.width)
         q, k, v = ((flat @ w[name]).reshape(h.shape) for name in "qkv")
         a = (q * np.float32(1 / np.sqrt(self.width))) @ k.transpose(0, 2, 1)
         a += self.mask[:n, :n]
-        a = softmax(a.reshape(-1, n))[0].reshape(a.shape)
+        a = softmax(a.reshape(-1, n)).reshape(a.shape)
         m = a @ v
         z = h + (m.reshape(-1, self.width) @ w["o"]).reshape(h.shape)
         return h, q, k, v, a, m, z
 
-    def log_probabilities(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Natural log-probabilities of y after the inputs x, both windows x places."""
-        z = self._forward(x)[-1].reshape(-1, self.width)
-        logits = z @ self.w["u"]
-        logits += self.w["b"]
-        total = softmax(logits)[1]
-        return (logits[np.arange(len(logits)), y.ravel()] - np.log(total)).reshape(x.shape)
+    def start_from(self, share: np.ndarray) -> None:
+        """Sets the biases so that, without context, ids have these shares."""
+        self.w["b"][:] = np.log(share)
+        if self.groups:
+            self.w["d"][:] = np.log([share[a:b].sum() for a, b in self.groups])
+
+    def _head(self) -> tuple[np.ndarray, np.ndarray]:
+        """Weights and biases of the ids of the head and of the groups."""
+        w = self.w
+        if not self.groups:
+            return w["u"], w["b"]
+        return np.concatenate([w["u"][:, : self.head], w["c"]], 1), np.concatenate([w["b"][: self.head], w["d"]])
+
+    def _places(self, y: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """The place of each id in the first softmax, and the rows whose ids are in each group."""
+        first = self.first.take(y)
+        if not self.groups:
+            return first, []
+        far = np.flatnonzero(first >= self.head)
+        group = first[far] - self.head
+        far = far[np.argsort(group.astype(np.uint8), kind="stable")]
+        return first, np.split(far, np.cumsum(np.bincount(group, minlength=len(self.groups)))[:-1])
+
+    def log_probabilities(self, x: np.ndarray, y: np.ndarray, places: np.ndarray | None = None) -> np.ndarray:
+        """Natural log-probabilities of y after the inputs x, both windows x places; of the marked places alone, in their order, if these are given."""
+        w, n = self.w, x.shape[1]
+        h = w["e"].take(x.ravel(), 0).reshape(*x.shape, self.width)
+        h += w["p"][:n]
+        flat = h.reshape(-1, self.width)
+        a = (flat @ ((w["q"] / np.sqrt(np.float32(self.width))) @ w["k"].T)).reshape(h.shape) @ h.transpose(0, 2, 1)
+        a += self.mask[:n, :n]
+        p, total = exponentials(a.reshape(-1, n))
+        m = p.reshape(a.shape) @ (flat @ (w["v"] @ w["o"])).reshape(h.shape)
+        z = m.reshape(-1, self.width)
+        z /= total[:, None]
+        z += flat
+        shape, y = x.shape, y.ravel()
+        if places is not None:
+            at = np.flatnonzero(places)
+            z, y, shape = z[at], y[at], at.shape
+        u, b = self._head()
+        first, rows = self._places(y)
+        out = self._log_softmax(z, u, b, first)
+        for (low, high), r in zip(self.groups, rows, strict=True):
+            if len(r):
+                out[r] += self._log_softmax(z[r], w["u"][:, low:high], w["b"][low:high], y[r] - low)
+        return out.reshape(shape)
+
+    @staticmethod
+    def _log_softmax(z: np.ndarray, u: np.ndarray, b: np.ndarray, y: np.ndarray) -> np.ndarray:
+        t = z @ u
+        t += b
+        total = exponentials(t)[1]
+        return t[np.arange(len(t)), y] - np.log(total)
 
     def train(self, x: np.ndarray, y: np.ndarray, valid: np.ndarray, passes: int = 1, batch: int = 64, rate: float = 0.01, least: float = 0.0, seed: int = 11) -> None:
-        """Adam, each pass over all windows in another order; the rate falls from `rate` to `least` on the way."""
+        """Adam, each pass over all windows in another order; the rate falls from `rate` to `least` on the way. A step moves the embeddings of its windows' ids, and no group above those they hold."""
         r = np.random.default_rng(seed)
         m1 = {k: np.zeros_like(v) for k, v in self.w.items()}
         m2 = {k: np.zeros_like(v) for k, v in self.w.items()}
         order = np.concatenate([r.permutation(len(x)) for _ in range(passes)])
         steps = -(-len(order) // batch)
+        keep_memory()
         with one_thread():
             for t in range(1, steps + 1):
                 i = order[(t - 1) * batch : t * batch]
-                g = self._gradients(x[i], y[i], valid[i])
                 lr = min(1, t / 20) * (least + (rate - least) * (0.5 + 0.5 * np.cos(np.pi * t / steps)))
-                for k, d in g.items():
-                    m1[k] += 0.1 * (d - m1[k])
-                    m2[k] += 0.01 * (d * d - m2[k])
-                    self.w[k] -= (lr * (m1[k] / (1 - 0.9**t)) / (np.sqrt(m2[k] / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
+                for k, at, d in self._parts(x[i], y[i], valid[i]):
+                    a, b = m1[k][at], m2[k][at]
+                    a += 0.1 * (d - a)
+                    b += 0.01 * (d * d - b)
+                    m1[k][at], m2[k][at] = a, b
+                    self.w[k][at] -= (lr * (a / (1 - 0.9**t)) / (np.sqrt(b / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
 
     def _gradients(self, x, y, valid) -> dict[str, np.ndarray]:
+        g = {k: np.zeros_like(v) for k, v in self.w.items()}
+        for k, at, d in self._parts(x, y, valid):
+            g[k][at] += d
+        return g
+
+    def _parts(self, x, y, valid) -> list[tuple]:
+        """(name, where, gradient) of all weights that the windows move, each place of a weight once."""
         w, (h, q, k, v, a, m, z) = self.w, self._forward(x)
         flat = lambda t: t.reshape(-1, t.shape[-1])
         back = lambda t, by: (flat(t) @ by.T).reshape(*t.shape[:-1], by.shape[0])
-        d = flat(z) @ w["u"]
-        d += w["b"]
-        d = softmax(d)[0]
-        d[np.arange(len(d)), y.ravel()] -= 1
-        d *= valid.reshape(-1, 1) / max(1, valid.sum())
-        g = {"u": flat(z).T @ d, "b": d.sum(0)}
-        dz = (d @ w["u"].T).reshape(z.shape)
-        g["o"] = flat(m).T @ flat(dz)
+        y, weight, out = y.ravel(), (valid.reshape(-1, 1) / max(1, valid.sum())).astype(valid.dtype), []
+
+        def errors(z, u, b, y, weight):
+            d = z @ u
+            d += b
+            d = softmax(d)
+            d[np.arange(len(d)), y] -= 1
+            d *= weight
+            return d
+
+        zs, (u, b), (first, rows) = flat(z), self._head(), self._places(y)
+        d = errors(zs, u, b, first, weight)
+        dz, gu, gb, n = d @ u.T, zs.T @ d, d.sum(0), self.head
+        if self.groups:
+            out += [("c", slice(None), gu[:, n:]), ("d", slice(None), gb[n:])]
+            top = max([n, *(high for (_, high), r in zip(self.groups, rows, strict=True) if len(r))])
+            gu, gb = (np.concatenate([v[..., :n], np.zeros((*v.shape[:-1], top - n), v.dtype)], -1) for v in (gu, gb))
+            for (low, high), r in zip(self.groups, rows, strict=True):
+                if len(r):
+                    u, zr = w["u"][:, low:high], zs[r]
+                    d = errors(zr, u, w["b"][low:high], y[r] - low, weight[r])
+                    dz[r] += d @ u.T
+                    gu[:, low:high], gb[low:high] = zr.T @ d, d.sum(0)
+        out += [("u", (slice(None), slice(0, gu.shape[1])), gu), ("b", slice(0, gu.shape[1]), gb)]
+        dz = dz.reshape(z.shape)
         dm = back(dz, w["o"])
         da = dm @ v.transpose(0, 2, 1)
         dv = a.transpose(0, 2, 1) @ dm
@@ -108,14 +205,12 @@ class Attention:
         da -= a * rows_sum(da.reshape(-1, da.shape[-1])).reshape(*da.shape[:-1], 1)
         da *= np.float32(1 / np.sqrt(self.width))
         dq, dk = da @ k, da.transpose(0, 2, 1) @ q
-        g["q"], g["k"], g["v"] = flat(h).T @ flat(dq), flat(h).T @ flat(dk), flat(h).T @ flat(dv)
+        out += [("o", slice(None), flat(m).T @ flat(dz)), ("q", slice(None), flat(h).T @ flat(dq)), ("k", slice(None), flat(h).T @ flat(dk)), ("v", slice(None), flat(h).T @ flat(dv))]
         dh = dz + back(dq, w["q"]) + back(dk, w["k"]) + back(dv, w["v"])
-        one = np.zeros((x.size, self.size + 1), dh.dtype)
-        one.ravel()[np.arange(x.size) * (self.size + 1) + x.ravel()] = 1
-        g["e"] = one.T @ flat(dh)
-        g["p"] = np.zeros_like(w["p"])
-        g["p"][: x.shape[1]] = dh.sum(0)
-        return g
+        order = np.argsort(x.ravel(), kind="stable")
+        own, begin = np.unique(x.ravel()[order], return_index=True)
+        out += [("e", own, np.add.reduceat(flat(dh)[order], begin, 0)), ("p", slice(0, x.shape[1]), dh.sum(0))]
+        return out
 
     def cut(self, ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Windows over texts whose ids stand one after the other: inputs, targets, which places to score, and the text of each window.
@@ -147,6 +242,7 @@ class Attention:
     def scores(self, ids: np.ndarray, ends: np.ndarray, block: int = 256) -> np.ndarray:
         """The natural log-probability of every token, in the order of ids."""
         x, y, score, _ = self.cut(ids, ends)
+        keep_memory()
         with one_thread():
-            out = [self.log_probabilities(x[i : i + block], y[i : i + block])[score[i : i + block]] for i in range(0, len(x), block)]
+            out = [self.log_probabilities(x[i : i + block], y[i : i + block], score[i : i + block]) for i in range(0, len(x), block)]
         return np.concatenate(out) if out else np.empty(0)

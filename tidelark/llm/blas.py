@@ -1,4 +1,4 @@
-"""One thread for matrix products: a task has one core, and threads that wait for small products only burn its time."""
+"""One thread for matrix products: a task has one core, and threads that wait for small products only burn its time. Memory for their results is kept."""
 
 from __future__ import annotations
 
@@ -35,3 +35,12 @@ def one_thread() -> Iterator[None]:
     finally:
         for n, (_, put) in zip(before, _threads(), strict=True):
             put(n)
+
+
+@lru_cache(maxsize=1)
+def keep_memory() -> None:
+    """Lets this process keep up to 64 MB that it has freed, where its C library can: to get pages of small results again and again takes as long as to compute them."""
+    mallopt = getattr(ctypes.CDLL(None), "mallopt", None)
+    if mallopt is not None:
+        for option in (-1, -3):  # M_TRIM_THRESHOLD, M_MMAP_THRESHOLD; at most 32 MB for the second
+            mallopt(option, 32 << 20 if option == -3 else 64 << 20)

@@ -1,19 +1,24 @@
 """Language-model scores of texts against a unigram base.
 
-The model factors a word's probability: a causal self-attention model says which subword the word begins with, given
-the words before it, and the corpus's counts say which of the words with this subword it is:
+A causal self-attention model gives the probability of every subword of a text after those before it, and of the end:
+each word, after a space, is encoded in the ids of a public byte-level vocabulary, and the softmax is over that whole vocabulary (in
+two steps, attention.py). Any word has its ids. Ids that no training text holds can't be told apart by it: they are one class, whose
+probability they share equally.
+
+`WordModel` is the cheaper model of whole words for those who can't afford all subwords: the attention model gives the subword
+that a word begins with, one of a few, and the corpus's counts say which of the words with this subword it is:
 
     P(word | context) = P(subword | context) * (c + 1) / (C + V + 1)
 
-c, C, V: the word's count, and the tokens and distinct words with its subword, in all training texts. A word's subword
-is the longest of a few hundred pieces of a public vocabulary that it begins with; scoring the first piece alone keeps
-one place a token, where a softmax over whole vocabularies at every piece would cost a hundred times more.
+c, C, V: the word's count, and the tokens and distinct words with its subword, in all training texts.
 """
 
 from __future__ import annotations
 
 import copy
+import dataclasses
 from dataclasses import dataclass
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -21,25 +26,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .attention import Attention
-from .bpe import vocabulary
+from .bpe import pieces_of, vocabulary
 from .common import crc_remainder, held_out, map_texts, most_frequent, table, written
 from .decontaminate import ascii_lower
 
 #: The most frequent words, which are sent to every executor; the counts of the others are joined to the texts' words.
 FREQUENT = 200_000
-#: Subwords, without the one of all other words and the end of a text.
+#: Subwords of a WordModel, without the one of all other words and the end of a text.
 SUBWORDS = 62
 #: The attention model trains on every training token: texts are cut into pieces of PIECE tokens, which are dealt into groups
 #: of about GROUP tokens by their hash. The driver begins with one group; the others follow in rounds, in each of which every
 #: group trains its own copy of the model, and the copies are averaged.
 PIECE, GROUP = 4096, 1 << 19
-#: First and last learning rate of each round.
+#: First and last learning rate of each round, for steps of 64 windows; larger steps have rates as many times higher.
 ROUNDS = ((0.004, 0.001), (0.003, 0.0005), (0.002, 0.0001))
 #: Steps at least; a small corpus is passed over more than once.
 LEAST_STEPS = 400
+#: Weights that are averaged in one row.
+CHUNK = 1 << 14
 #: Share of the subword's own frequency in its probability.
 SMOOTH = 0.02
 LONGEST_PIECE = 8
+#: Ids below which the subword model's softmax isn't grouped, and the windows of its training steps.
+HEAD, BATCH = 32, 256
 
 
 @dataclass
@@ -54,6 +63,7 @@ class WordModel:
     log_rest: np.ndarray | None = None  # log10(C + V + 1) of each subword
     share: np.ndarray | None = None
     attention: Attention | None = None
+    batch = 64  # windows of a training step
 
     @property
     def other(self) -> int:
@@ -71,6 +81,24 @@ class WordModel:
                 return k
         return self.other
 
+    @property
+    def size(self) -> int:
+        return len(self.piece) + 2
+
+    @property
+    def places(self) -> int:
+        """Places of the training texts that the attention model learns from."""
+        return self.tokens
+
+    def network(self) -> Attention:
+        return Attention(self.size)
+
+    def for_parsing(self) -> WordModel:
+        return WordModel(self.word, np.empty(0), self.subword, self.piece, 0, 0, 0)
+
+    def ids_of(self, texts: list[bytes | None]) -> list[np.ndarray]:
+        return [self.parse(t)[1] for t in texts]
+
     def parse(self, text: bytes | None) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
         """Places of the frequent words (-1: others), the subwords of all tokens with the end, and the other words."""
         w = (text or b"").lower().split()
@@ -98,6 +126,93 @@ class WordModel:
         return [len(x[1]) for x in parsed], known, sums, gain.tolist(), [x[2] for x in parsed]
 
 
+def encoded(path: str, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the words one after the other, each word after a space and for itself, and the number of each word's ids."""
+    place: dict[str, int] = {}
+    per = [[place.setdefault(p, len(place)) for p in pieces_of(" " + w.decode("utf-8", "surrogateescape"))] for w in words]
+    found = vocabulary(path).merge([p.encode("utf-8", "surrogateescape") for p in place])
+    lengths = np.array([len(x) for x in found], np.int64)
+    pieces = np.array([p for x in per for p in x], np.int64)
+    of_word = np.repeat(np.arange(len(words)), np.array([len(x) for x in per], np.int64))
+    return gathered(found and np.concatenate(found), lengths, pieces), np.bincount(of_word, lengths[pieces], len(words)).astype(np.int64)
+
+
+def gathered(flat: np.ndarray, lengths: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Rows, of these lengths, of a ragged table one after the other."""
+    if not len(rows):
+        return np.empty(0, np.int64)
+    begin, n = (np.cumsum(lengths) - lengths)[rows], lengths[rows]
+    return flat[np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+
+
+@dataclass
+class SubwordModel(WordModel):
+    """Ids are numbered by frequency in the training texts, with the end of a text among them and, last, the class of all ids that don't occur."""
+
+    path: str = ""
+    lengths: np.ndarray | None = None  # how many ids each frequent word has; the ids are in subword
+    number: np.ndarray | None = None  # of each id of the vocabulary
+    unseen: int = 0  # ids in the last class
+    own_end: int = 0
+    places_: int = 0
+    batch = BATCH
+
+    @property
+    def end(self) -> int:
+        return self.own_end
+
+    @property
+    def size(self) -> int:
+        return len(self.share)
+
+    @property
+    def places(self) -> int:
+        return self.places_
+
+    def network(self) -> Attention:
+        return Attention(self.size, head=HEAD)
+
+    def for_parsing(self) -> SubwordModel:
+        return dataclasses.replace(self, log_count=np.empty(0), attention=None)
+
+    def parse_all(self, texts: list[bytes | None]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, list[list[bytes]]]:
+        """Of each text the places of the frequent words (-1: others), and the other words; the ids of all texts with their ends, one after the other, and where each text's stop."""
+        split = [(t or b"").lower().split() for t in texts]
+        at = [np.fromiter(map(self.word.get, w, repeat(-1)), np.int64, len(w)) for w in split]
+        rare = [[w[i] for i in np.flatnonzero(a < 0).tolist()] for w, a in zip(split, at, strict=True)]
+        extra = {w: i for i, w in enumerate(dict.fromkeys(chain.from_iterable(rare)))}
+        flat, lengths = encoded(self.path, list(extra))
+        stop = len(self.lengths) + len(extra)  # the row of the end
+        flat = np.concatenate([self.subword, self.number[flat], [self.end]])
+        lengths = np.concatenate([self.lengths, lengths, [1]])
+        rows = []
+        for a, r in zip(at, rare, strict=True):
+            row = np.append(a, stop)
+            row[:-1][a < 0] = np.fromiter(map(extra.__getitem__, r), np.int64, len(r)) + len(self.lengths)
+            rows.append(row)
+        every = np.concatenate(rows) if rows else np.empty(0, np.int64)
+        ends = np.cumsum(lengths[every])[np.cumsum([len(r) for r in rows]) - 1] if rows else np.empty(0, np.int64)
+        return at, gathered(flat, lengths, every), ends, rare
+
+    def ids_of(self, texts: list[bytes | None]) -> list[np.ndarray]:
+        _, ids, ends, _ = self.parse_all(texts)
+        return np.split(ids, ends[:-1]) if len(texts) else []
+
+    def log10_probabilities(self, ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        p = self.share[ids]
+        if self.attention is not None:
+            p = (1 - SMOOTH) * np.exp(self.attention.scores(ids, ends).astype(float)) + SMOOTH * p
+        return np.log10(np.where(ids == self.size - 1, p / max(1, self.unseen), p))
+
+    def score(self, texts: list[bytes | None]):
+        """Of each text: tokens, known among the frequent and the end, sums of log10(c + 1) over these, the log10 probability of its ids, and the other words."""
+        at, ids, ends, rare = self.parse_all(texts)
+        gain = np.add.reduceat(self.log10_probabilities(ids, ends), np.r_[0, ends[:-1]]) if len(texts) else np.empty(0)
+        known = [int((a >= 0).sum()) + (self.documents > 0) for a in at]
+        sums = [float(self.log_count[a[a >= 0]].sum()) + float(np.log10(self.documents + 1)) for a in at]
+        return [len(a) + 1 for a in at], known, sums, gain.tolist(), rare
+
+
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(w, c): every distinct lower-cased word of the texts, as bytes, and its count; counted before the shuffle."""
     words = F.split(ascii_lower(F.col(text_col)), r"[\x20\x09-\x0D]+")
@@ -117,16 +232,53 @@ def _pieces(path: str, frequent: list[tuple[bytes, int]]) -> dict[bytes, int]:
     return {t: i for i, t in enumerate(best)}
 
 
-def fit_words(docs: DataFrame, learn: Column, path: str, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT) -> tuple[WordModel, DataFrame]:
-    """The model, and the table of all word counts. Counts are of all rows that may be learned from."""
-    spark = docs.sparkSession
+def _counted(docs: DataFrame, learn: Column, id_col: str, text_col: str, frequent: int) -> tuple[DataFrame, DataFrame, list[tuple[bytes, int]], int, int, int]:
+    """The rows to learn from, the counts of their words, the most frequent words, N, V and the number of rows."""
     train = docs.where(learn).select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     counts = written(word_counts(train, "_text"))
     documents = train.select("_id").count()
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     top = [(bytes(w), c) for w, c in most_frequent(counts, frequent)]
+    return train, counts, top, total["n"] + documents, total["v"] + (documents > 0), documents
+
+
+def fit_subwords(docs: DataFrame, learn: Column, path: str, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT) -> tuple[SubwordModel, DataFrame]:
+    """The model of all subwords, and the table of all word counts. Every row that may be learned from is counted and trained on."""
+    train, counts, top, tokens, distinct, documents = _counted(docs, learn, id_col, text_col, frequent)
+    public = len(vocabulary(path).token_bytes)
+
+    def per_id():
+        def work(words, c):
+            ids, n = encoded(path, words)
+            total = np.bincount(ids, np.repeat(np.array(c, float), n), public).astype(np.int64)
+            some = np.flatnonzero(total)
+            return some.tolist(), total[some].tolist()
+
+        return work
+
+    sums = map_texts(counts, [F.col("w"), F.col("c")], 0, per_id, [("k", "bigint"), ("c", "bigint")]).groupBy("k").agg(F.sum("c").alias("c")).collect()  # at most the vocabulary
+    c = np.zeros(public + 1)
+    for r in sums:
+        c[r["k"]] = r["c"]
+    c[public] = documents
+    order = np.argsort(-c, kind="stable")
+    order = order[(c[order] > 0) | (order == public)]
+    number = np.full(public + 1, len(order))
+    number[order] = np.arange(len(order))
+    words = [w for w, _ in top]
+    ids, lengths = encoded(path, words)
+    share = np.r_[c[order], 0] + 1
+    m = SubwordModel({w: i for i, w in enumerate(words)}, np.log10(np.array([n for _, n in top], float) + 1), number[ids], {}, tokens, distinct, documents, None, share / share.sum(), None, path, lengths, number, public + 1 - len(order), int(number[public]), int(c.sum()))
+    m.attention = _fit_attention(train, m)
+    return m, counts
+
+
+def fit_words(docs: DataFrame, learn: Column, path: str, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT) -> tuple[WordModel, DataFrame]:
+    """The model, and the table of all word counts. Counts are of all rows that may be learned from."""
+    spark = docs.sparkSession
+    train, counts, top, tokens, distinct, documents = _counted(docs, learn, id_col, text_col, frequent)
     piece = _pieces(path, top)
-    m = WordModel({w: i for i, (w, _) in enumerate(top)}, np.log10(np.array([c for _, c in top], float) + 1), np.empty(0, np.int64), piece, total["n"] + documents, total["v"] + (documents > 0), documents)
+    m = WordModel({w: i for i, (w, _) in enumerate(top)}, np.log10(np.array([c for _, c in top], float) + 1), np.empty(0, np.int64), piece, tokens, distinct, documents)
     m.subword = np.array([m.subword_of(w) for w, _ in top], np.int64)
     shared = spark.sparkContext.broadcast(m.piece)
 
@@ -153,15 +305,15 @@ def fit_words(docs: DataFrame, learn: Column, path: str, id_col: str = "doc_id",
 
 def _pieces_of_texts(train: DataFrame, m: WordModel) -> DataFrame:
     """(h, at, ids): all training texts as subwords, in pieces of at most PIECE after the one before them."""
-    shared = train.sparkSession.sparkContext.broadcast(WordModel(m.word, np.empty(0), m.subword, m.piece, 0, 0, 0))
+    shared = train.sparkSession.sparkContext.broadcast(m.for_parsing())
 
     def factory():
-        begin = shared.value.end + 1
+        begin = shared.value.size
 
         def work(h, texts):
             out = ([], [], [])
-            for x, t in zip(h, texts, strict=True):
-                ids = np.r_[begin, shared.value.parse(t)[1]].astype(np.int32)
+            for x, own in zip(h, shared.value.ids_of(texts), strict=True):
+                ids = np.r_[begin, own].astype(np.int32)
                 for at in range(0, len(ids) - 1, PIECE):
                     for column, value in zip(out, (x, at, ids[at : at + PIECE + 1]), strict=True):
                         column.append(value)
@@ -169,10 +321,10 @@ def _pieces_of_texts(train: DataFrame, m: WordModel) -> DataFrame:
 
         return work
 
-    return map_texts(train, [F.xxhash64("_id", "_text").alias("_h"), F.col("_text").cast("binary").alias("_t")], 1, factory, [("h", "bigint"), ("at", "bigint"), ("ids", "array<int>")])
+    return map_texts(train, [F.xxhash64("_id", "_text").alias("_h"), F.col("_text").cast("binary").alias("_t")], 1, factory, [("h", "bigint"), ("at", "bigint"), ("ids", "array<int>")], most_bytes=2 << 20)
 
 
-def _trained_copies(pieces: DataFrame, net: Attention, rate: float, least: float) -> list[np.ndarray]:
+def _trained_copies(pieces: DataFrame, net: Attention, rate: float, least: float, windows: int) -> list[np.ndarray]:
     """The average over all groups of the copies of net that they train, weighted by their windows.
 
     Sums are of whole numbers, so that they don't depend on the order of tasks.
@@ -186,7 +338,7 @@ def _trained_copies(pieces: DataFrame, net: Attention, rate: float, least: float
         def add(part):
             own = copy.deepcopy(start)
             x, y, valid = own.blocks(part)
-            own.train(x, y, valid, rate=rate, least=least)
+            own.train(x, y, valid, batch=windows, rate=rate, least=least)
             return np.rint(np.concatenate([v.ravel() for v in own.w.values()]).astype(float) * (1 << 24)).astype(np.int64) * len(x), len(x)
 
         part, tokens, group = [], 0, None
@@ -201,32 +353,38 @@ def _trained_copies(pieces: DataFrame, net: Attention, rate: float, least: float
             w, n = add(part)
             total, count = total + w, count + n
         if count:
-            yield pa.RecordBatch.from_arrays([pa.array([[*total.tolist(), count]], pa.list_(pa.int64()))], ["w"])
+            for i, at in enumerate(range(0, len(total), CHUNK)):
+                yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([total[at : at + CHUNK].tobytes()]), pa.array([count])], ["i", "w", "n"])
+
+    def add(t: pa.Table) -> pa.Table:
+        w = np.sum([np.frombuffer(x, np.int64) for x in t.column("w").to_pylist()], 0)
+        return pa.table({"i": t.column("i").slice(0, 1), "w": [w.tobytes()], "n": [sum(t.column("n").to_pylist())]})
 
-    sums = pieces.repartition("g").sortWithinPartitions("g", "h", "at").select("g", "ids").mapInArrow(run, "w array<bigint>")
-    rows = sums.select(F.posexplode("w").alias("i", "w")).groupBy("i").agg(F.sum("w").alias("w")).collect()
+    kinds = "i bigint, w binary, n bigint"
+    sums = pieces.repartition("g").sortWithinPartitions("g", "h", "at").select("g", "ids").mapInArrow(run, kinds)
+    rows = sums.groupBy("i").applyInArrow(add, kinds).collect()  # the weights, once
     if not rows:
         return []
-    w = np.array([r["w"] for r in sorted(rows)], float)
-    return np.split(w[:-1] / w[-1] / (1 << 24), np.cumsum([v.size for v in net.w.values()])[:-1])
+    w = np.concatenate([np.frombuffer(r["w"], np.int64) for r in sorted(rows)]).astype(float)
+    return np.split(w / rows[0]["n"] / (1 << 24), np.cumsum([v.size for v in net.w.values()])[:-1])
 
 
 def _fit_attention(train: DataFrame, m: WordModel) -> Attention | None:
-    groups = max(1, -(-m.tokens // GROUP))
+    groups = max(1, -(-m.places // GROUP))
     pieces = _pieces_of_texts(train, m).withColumn("g", F.pmod(F.xxhash64("h", "at"), F.lit(groups)))
     pieces = written(pieces)
     first = sorted(pieces.where("g = 0").groupBy("h", "at").agg(F.first("ids").alias("ids"), F.count("*").alias("n")).collect())  # equal rows once, with their number
-    net = Attention(m.end + 1)
-    net.w["b"][:] = np.log(m.share)
+    net, batch, speed = m.network(), m.batch, m.batch / 64
+    net.start_from(m.share)
     if first:
         x, y, valid = net.blocks([np.array(r["ids"]) for r in first])
         valid *= np.repeat([r["n"] for r in first], [-(-(len(r["ids"]) - 1) // net.length) for r in first])[:, None].astype(np.float32)
-        net.train(x, y, valid, passes=max(1, -(-LEAST_STEPS * 64 // len(x))), least=0.0 if groups == 1 else ROUNDS[0][0])
+        net.train(x, y, valid, passes=max(1, -(-LEAST_STEPS * 64 // len(x))), batch=batch, rate=0.01 * speed, least=0.0 if groups == 1 else ROUNDS[0][0] * speed)
     elif groups == 1:
         return None
     for k, (rate, least) in enumerate(ROUNDS):
         if groups > 1 + k:
-            new = _trained_copies(pieces.where((F.col("g") > 0) & (F.col("g") % len(ROUNDS) == (k + 1) % len(ROUNDS))), net, rate, least)
+            new = _trained_copies(pieces.where((F.col("g") > 0) & (F.col("g") % len(ROUNDS) == (k + 1) % len(ROUNDS))), net, rate * speed, least * speed, batch)
             if new:
                 net.w = {name: v.reshape(net.w[name].shape).astype(np.float32) for name, v in zip(net.w, new, strict=True)}
     return net
@@ -247,15 +405,16 @@ def score_texts(docs: DataFrame, model: WordModel, counts: DataFrame, id_col: st
 
     schema = [("_id", kind), ("_key", "bigint"), ("n", "bigint"), ("known", "bigint"), ("sums", "double"), ("gain", "double"), ("rare", "array<binary>")]
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    rows = written(map_texts(docs, [F.col(id_col).alias("_id"), F.xxhash64(text).alias("_key"), text.alias("_t")], 2, factory, schema, most_bytes=4 << 20))
+    rows = written(map_texts(docs, [F.col(id_col).alias("_id"), F.xxhash64(text).alias("_key"), text.alias("_t")], 2, factory, schema, most_bytes=2 << 20))
     rare = rows.select("_id", "_key", F.explode("rare").alias("w")).join(counts, "w").select("_id", "_key", F.log10(F.col("c") + 1).alias("s"))
     none = lambda kind: F.lit(None).cast(kind)
     every = rows.select("_id", "_key", "n", "known", "sums", "gain", none("double").alias("s")).unionByName(rare.select("_id", "_key", none("bigint").alias("n"), none("bigint").alias("known"), none("double").alias("sums"), none("double").alias("gain"), "s"))
     out = every.groupBy("_id", "_key").agg(F.count("n").alias("rows"), F.max("n").alias("n"), F.max("known").alias("known"), F.max("sums").alias("sums"), F.max("gain").alias("gain"), F.coalesce(F.sum("s"), F.lit(0.0)).alias("s"), F.count("s").alias("found"))
     out = out.withColumns({"s": F.col("sums") + F.col("s") / F.col("rows"), "known": F.col("known") + (F.col("found") / F.col("rows")).cast("long")})
     out = out.select("*", F.explode(F.array_repeat(F.lit(0), F.col("rows").cast("int"))).alias("_copy"))
+    score = F.col("gain") if isinstance(model, SubwordModel) else F.col("s") + F.col("gain")
     base = F.col("s") - F.col("n") * float(np.log10(model.tokens + model.distinct + 1))
-    return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_tokens"), F.col("known").alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("s") + F.col("gain")).alias("score"))
+    return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_tokens"), F.col("known").alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"), base.alias("base_score"), score.alias("score"))
 
 
 def op5_lm_score(spark, sf_dir: str) -> DataFrame:
@@ -263,6 +422,6 @@ def op5_lm_score(spark, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     learn = F.coalesce(crc_remainder(F.col("doc_id"), 7) != 2, F.lit(False))
-    model, counts = fit_words(docs, learn, public_tokenizers.path("byte_bpe_50k.json"))
+    model, counts = fit_subwords(docs, learn, public_tokenizers.path("byte_bpe_50k.json"))
     out = score_texts(docs, model, counts)
     return out.select("doc_id", held_out(F.col("doc_id"), 7, 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
