@@ -19,12 +19,16 @@ def rows_sum(t: np.ndarray) -> np.ndarray:
 
 
 def exponentials(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The exponentials of a matrix, and the sums of its rows. t is left with its exponents.
+    """The exponentials of a matrix, made in its place where none can overflow or vanish, and the sums of its rows.
 
     Only from rows whose exponents would overflow or vanish the greatest is taken off, so that a row's result doesn't
     depend on the others.
     """
-    if t.size and t.max() > 60:
+    top = t.max() if t.size else 0
+    if top < 60 and t.size and t.min() > -40:
+        np.exp(t, out=t)
+        return t, rows_sum(t)
+    if top > 60:
         top = t.max(-1, keepdims=True)
         t -= np.where(top > 60, top, 0)
     p = np.exp(t)
@@ -37,13 +41,6 @@ def exponentials(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return p, total
 
 
-def softmax(t: np.ndarray) -> np.ndarray:
-    """The rows of a matrix as probabilities. t is left with its exponents."""
-    p, total = exponentials(t)
-    p /= total[:, None]
-    return p
-
-
 def groups_of(size: int, head: int) -> list[tuple[int, int]]:
     """The ids from head on in groups, of head ids or, farther on, a quarter of those before."""
     out, a = [], head
@@ -75,18 +72,10 @@ class Attention:
             self.w |= {"c": g(width, len(self.groups)), "d": np.zeros(len(self.groups), np.float32)}
         self.mask = np.where(np.tril(np.ones((length, length), bool)), 0, -1e9).astype(np.float32)
 
-    def _forward(self, x: np.ndarray):
-        w, n = self.w, x.shape[1]
-        h = w["e"].take(x.ravel(), 0).reshape(*x.shape, self.width)
-        h += w["p"][:n]
-        flat = h.reshape(-1, self.width)
-        q, k, v = ((flat @ w[name]).reshape(h.shape) for name in "qkv")
-        a = (q * np.float32(1 / np.sqrt(self.width))) @ k.transpose(0, 2, 1)
-        a += self.mask[:n, :n]
-        a = softmax(a.reshape(-1, n)).reshape(a.shape)
-        m = a @ v
-        z = h + (m.reshape(-1, self.width) @ w["o"]).reshape(h.shape)
-        return h, q, k, v, a, m, z
+    def _merged(self) -> tuple[np.ndarray, np.ndarray]:
+        """The product of the weights of queries and keys, scaled, and that of values and outputs: attention needs no more of them."""
+        w = self.w
+        return (w["q"] / np.sqrt(w["q"].dtype.type(self.width))) @ w["k"].T, w["v"] @ w["o"]
 
     def start_from(self, share: np.ndarray) -> None:
         """Sets the biases so that, without context, ids have these shares."""
@@ -101,47 +90,59 @@ class Attention:
             return w["u"], w["b"]
         return np.concatenate([w["u"][:, : self.head], w["c"]], 1), np.concatenate([w["b"][: self.head], w["d"]])
 
-    def _places(self, y: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-        """The place of each id in the first softmax, and the rows whose ids are in each group."""
+    def _places(self, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int, int]]]:
+        """An order of the rows by groups, those of the head first; the place of each id, in this order, in the first softmax; and the groups that have rows: their ids, and where their rows begin and end in this order."""
         first = self.first.take(y)
         if not self.groups:
-            return first, []
-        far = np.flatnonzero(first >= self.head)
-        group = first[far] - self.head
-        far = far[np.argsort(group.astype(np.uint8), kind="stable")]
-        return first, np.split(far, np.cumsum(np.bincount(group, minlength=len(self.groups)))[:-1])
+            return np.arange(len(y)), first, []
+        group = np.maximum(first, self.head - 1).astype(np.uint16)
+        ends = np.cumsum(np.bincount(group, minlength=self.head + len(self.groups))).tolist()[self.head - 1 :]
+        order = np.argsort(group, kind="stable")
+        return order, first.take(order), [(*g, i, j) for g, i, j in zip(self.groups, ends, ends[1:]) if j > i]
 
     def log_probabilities(self, x: np.ndarray, y: np.ndarray, places: np.ndarray | None = None) -> np.ndarray:
-        """Natural log-probabilities of y after the inputs x, both windows x places; of the marked places alone, in their order, if these are given."""
-        w, n = self.w, x.shape[1]
+        """Natural log-probabilities of y after the inputs x, both windows x places; of the marked places alone, in their order, if these are given.
+
+        Most windows leave out their first `context` places, whose attention is then not evaluated.
+        """
+        w, n, c = self.w, x.shape[1], min(self.context, x.shape[1])
         h = w["e"].take(x.ravel(), 0).reshape(*x.shape, self.width)
         h += w["p"][:n]
-        flat = h.reshape(-1, self.width)
-        a = (flat @ ((w["q"] / np.sqrt(np.float32(self.width))) @ w["k"].T)).reshape(h.shape) @ h.transpose(0, 2, 1)
-        a += self.mask[:n, :n]
-        p, total = exponentials(a.reshape(-1, n))
-        m = p.reshape(a.shape) @ (flat @ (w["v"] @ w["o"])).reshape(h.shape)
-        z = m.reshape(-1, self.width)
-        z /= total[:, None]
-        z += flat
-        shape, y = x.shape, y.ravel()
+        qk, vo = self._merged()
+        begun = np.arange(len(x)) if places is None else np.flatnonzero(places[:, :c].any(1))
+        z = h.copy()
+        for rows, low, high in ((slice(None), c, n), (begun, 0, c)):
+            if high > low and (rows is not begun or len(begun)):
+                own, keys = h[rows, low:high], h[rows, :high]
+                a = (own.reshape(-1, self.width) @ qk).reshape(own.shape) @ keys.transpose(0, 2, 1)
+                a += self.mask[low:high, :high]
+                p, total = exponentials(a.reshape(-1, high))
+                m = (p.reshape(a.shape) @ keys).reshape(-1, self.width)
+                m /= total[:, None]
+                z[rows, low:high] += (m @ vo).reshape(own.shape)
+        z, shape, y = z.reshape(-1, self.width), x.shape, y.ravel()
         if places is not None:
             at = np.flatnonzero(places)
-            z, y, shape = z[at], y[at], at.shape
+            z, y, shape = z.take(at, 0), y.take(at), at.shape
         u, b = self._head()
-        first, rows = self._places(y)
-        out = self._log_softmax(z, u, b, first)
-        for (low, high), r in zip(self.groups, rows, strict=True):
-            if len(r):
-                out[r] += self._log_softmax(z[r], w["u"][:, low:high], w["b"][low:high], y[r] - low)
+        order, first, some = self._places(y)
+        z, y, out = z.take(order, 0), y.take(order), np.empty(len(y), z.dtype)
+        found = self._log_softmax(z, u, b, first)
+        for low, high, i, j in some:
+            found[i:j] += self._log_softmax(z[i:j], w["u"][:, low:high], w["b"][low:high], y[i:j] - low)
+        out[order] = found
         return out.reshape(shape)
 
     @staticmethod
     def _log_softmax(z: np.ndarray, u: np.ndarray, b: np.ndarray, y: np.ndarray) -> np.ndarray:
         t = z @ u
         t += b
-        total = exponentials(t)[1]
-        return t[np.arange(len(t)), y] - np.log(total)
+        at = np.arange(0, t.size, t.shape[1]) + y
+        own = t.ravel().take(at)
+        p, total = exponentials(t)
+        if p is not t:  # rows may have lost their greatest
+            own = t.ravel().take(at)
+        return own - np.log(total)
 
     def train(self, x: np.ndarray, y: np.ndarray, valid: np.ndarray, passes: int = 1, batch: int = 64, rate: float = 0.01, least: float = 0.0, seed: int = 11) -> None:
         """Adam, each pass over all windows in another order; the rate falls from `rate` to `least` on the way. A step moves the embeddings of its windows' ids, and no group above those they hold."""
@@ -155,12 +156,21 @@ class Attention:
             for t in range(1, steps + 1):
                 i = order[(t - 1) * batch : t * batch]
                 lr = min(1, t / 20) * (least + (rate - least) * (0.5 + 0.5 * np.cos(np.pi * t / steps)))
+                far = np.sqrt(1 - 0.99**t)
                 for k, at, d in self._parts(x[i], y[i], valid[i]):
                     a, b = m1[k][at], m2[k][at]
-                    a += 0.1 * (d - a)
-                    b += 0.01 * (d * d - b)
+                    a *= 0.9
+                    a += 0.1 * d
+                    d *= d
+                    d *= 0.01
+                    b *= 0.99
+                    b += d
                     m1[k][at], m2[k][at] = a, b
-                    self.w[k][at] -= (lr * (a / (1 - 0.9**t)) / (np.sqrt(b / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
+                    b = np.sqrt(b)
+                    b += 1e-8 * far
+                    np.divide(a, b, out=b)
+                    b *= lr * far / (1 - 0.9**t)
+                    self.w[k][at] -= b
 
     def _gradients(self, x, y, valid) -> dict[str, np.ndarray]:
         g = {k: np.zeros_like(v) for k, v in self.w.items()}
@@ -170,46 +180,66 @@ class Attention:
 
     def _parts(self, x, y, valid) -> list[tuple]:
         """(name, where, gradient) of all weights that the windows move, each place of a weight once."""
-        w, (h, q, k, v, a, m, z) = self.w, self._forward(x)
-        flat = lambda t: t.reshape(-1, t.shape[-1])
-        back = lambda t, by: (flat(t) @ by.T).reshape(*t.shape[:-1], by.shape[0])
-        y, weight, out = y.ravel(), (valid.reshape(-1, 1) / max(1, valid.sum())).astype(valid.dtype), []
+        w, n, width = self.w, x.shape[1], self.width
+        own = np.argsort(x.ravel().astype(np.uint16 if self.size < 1 << 16 else np.int64), kind="stable")
+        h = w["e"].take(x.ravel(), 0).reshape(*x.shape, width)
+        h += w["p"][:n]
+        flat = h.reshape(-1, width)
+        qk, vo = self._merged()
+        hq = (flat @ qk).reshape(h.shape)
+        a = hq @ h.transpose(0, 2, 1)
+        a += self.mask[:n, :n]
+        a, total = exponentials(a.reshape(-1, n))
+        a, total = a.reshape(*x.shape, n), total[:, None]
+        m = (a @ h).reshape(-1, width)
+        m /= total
+        z = m @ vo
+        z += flat
+        y, weight, out = y.ravel(), (valid.ravel() / max(1, valid.sum())).astype(valid.dtype), []
 
         def errors(z, u, b, y, weight):
             d = z @ u
             d += b
-            d = softmax(d)
-            d[np.arange(len(d)), y] -= 1
-            d *= weight
+            d, total = exponentials(d)
+            d *= (weight / total)[:, None]
+            d.ravel()[np.arange(0, d.size, d.shape[1]) + y] -= weight
             return d
 
-        zs, (u, b), (first, rows) = flat(z), self._head(), self._places(y)
-        d = errors(zs, u, b, first, weight)
-        dz, gu, gb, n = d @ u.T, zs.T @ d, d.sum(0), self.head
+        (u, b), (order, first, some) = self._head(), self._places(y)
+        z, y, weight, ones = z.take(order, 0), y.take(order), weight.take(order), np.ones(len(y), z.dtype)
+        d = errors(z, u, b, first, weight)
+        dzs, gu, gb, head = d @ u.T, z.T @ d, ones @ d, self.head
         if self.groups:
-            out += [("c", slice(None), gu[:, n:]), ("d", slice(None), gb[n:])]
-            top = max([n, *(high for (_, high), r in zip(self.groups, rows, strict=True) if len(r))])
-            gu, gb = (np.concatenate([v[..., :n], np.zeros((*v.shape[:-1], top - n), v.dtype)], -1) for v in (gu, gb))
-            for (low, high), r in zip(self.groups, rows, strict=True):
-                if len(r):
-                    u, zr = w["u"][:, low:high], zs[r]
-                    d = errors(zr, u, w["b"][low:high], y[r] - low, weight[r])
-                    dz[r] += d @ u.T
-                    gu[:, low:high], gb[low:high] = zr.T @ d, d.sum(0)
+            out += [("c", slice(None), gu[:, head:]), ("d", slice(None), gb[head:])]
+            top = some[-1][1] if some else head
+            gu, gb = (np.concatenate([t[..., :head], np.zeros((*t.shape[:-1], top - head), t.dtype)], -1) for t in (gu, gb))
+            for low, high, i, j in some:
+                u = w["u"][:, low:high]
+                d = errors(z[i:j], u, w["b"][low:high], y[i:j] - low, weight[i:j])
+                dzs[i:j] += d @ u.T
+                gu[:, low:high], gb[low:high] = z[i:j].T @ d, ones[i:j] @ d
+        dz = np.empty_like(dzs)
+        dz[order] = dzs
         out += [("u", (slice(None), slice(0, gu.shape[1])), gu), ("b", slice(0, gu.shape[1]), gb)]
-        dz = dz.reshape(z.shape)
-        dm = back(dz, w["o"])
-        da = dm @ v.transpose(0, 2, 1)
-        dv = a.transpose(0, 2, 1) @ dm
-        da *= a
-        da -= a * rows_sum(da.reshape(-1, da.shape[-1])).reshape(*da.shape[:-1], 1)
-        da *= np.float32(1 / np.sqrt(self.width))
-        dq, dk = da @ k, da.transpose(0, 2, 1) @ q
-        out += [("o", slice(None), flat(m).T @ flat(dz)), ("q", slice(None), flat(h).T @ flat(dq)), ("k", slice(None), flat(h).T @ flat(dk)), ("v", slice(None), flat(h).T @ flat(dv))]
-        dh = dz + back(dq, w["q"]) + back(dk, w["k"]) + back(dv, w["v"])
-        order = np.argsort(x.ravel(), kind="stable")
-        own, begin = np.unique(x.ravel()[order], return_index=True)
-        out += [("e", own, np.add.reduceat(flat(dh)[order], begin, 0)), ("p", slice(0, x.shape[1]), dh.sum(0))]
+        dm = dz @ vo.T
+        dm /= total
+        gvo, less = m.T @ dz, rows_sum(dm * m)
+        dm = dm.reshape(h.shape)
+        ds = dm @ h.transpose(0, 2, 1)
+        ds -= less.reshape(*x.shape, 1)
+        ds *= a
+        dhq = (ds @ h).reshape(-1, width)
+        gqk = flat.T @ dhq
+        scale = qk.dtype.type(1 / np.sqrt(width))
+        out += [("q", slice(None), gqk @ w["k"] * scale), ("k", slice(None), gqk.T @ w["q"] * scale), ("v", slice(None), gvo @ w["o"].T), ("o", slice(None), w["v"].T @ gvo)]
+        dh = a.transpose(0, 2, 1) @ dm
+        dh += ds.transpose(0, 2, 1) @ hq
+        dhf = dh.reshape(-1, width)
+        dhf += dz
+        dhf += dhq @ qk.T
+        ids = x.ravel().take(own)
+        begin = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+        out += [("e", ids[begin], np.add.reduceat(dhf.take(own, 0), begin, 0)), ("p", slice(0, n), dh.sum(0))]
         return out
 
     def cut(self, ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

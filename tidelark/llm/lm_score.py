@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import copy
 import dataclasses
+from collections import Counter
 from dataclasses import dataclass
 from itertools import chain, repeat
 
@@ -27,11 +28,12 @@ from pyspark.sql import functions as F
 
 from .attention import Attention
 from .bpe import pieces_of, vocabulary
-from .common import crc_remainder, held_out, map_texts, most_frequent, table, written
-from .decontaminate import ascii_lower
+from .common import crc_remainder, held_out, map_texts, most_frequent, slices, table, written
 
 #: The most frequent words, which are sent to every executor; the counts of the others are joined to the texts' words.
 FREQUENT = 200_000
+#: Different words that a task counts before it gives them away.
+HELD = 200_000
 #: Subwords of a WordModel, without the one of all other words and the end of a text.
 SUBWORDS = 62
 #: The attention model trains on every training token: texts are cut into pieces of PIECE tokens, which are dealt into groups
@@ -129,7 +131,7 @@ class WordModel:
 def encoded(path: str, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The ids of the words one after the other, each word after a space and for itself, and the number of each word's ids."""
     place: dict[str, int] = {}
-    per = [[place.setdefault(p, len(place)) for p in pieces_of(" " + w.decode("utf-8", "surrogateescape"))] for w in words]
+    per = [[place.setdefault(p, len(place)) for p in ((" " + w.decode(),) if w.isalpha() else pieces_of(" " + w.decode("utf-8", "surrogateescape")))] for w in words]  # ASCII letters alone are one piece
     found = vocabulary(path).merge([p.encode("utf-8", "surrogateescape") for p in place])
     lengths = np.array([len(x) for x in found], np.int64)
     pieces = np.array([p for x in per for p in x], np.int64)
@@ -145,6 +147,17 @@ def gathered(flat: np.ndarray, lengths: np.ndarray, rows: np.ndarray) -> np.ndar
     return flat[np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())]
 
 
+def packed(ids: np.ndarray, size: int) -> bytes:
+    """Ids up to size as bytes: all lowest bytes first, then the next ones, most of which are 0 and compress."""
+    kind = np.dtype("<u2" if size < 1 << 16 else "<u4")
+    return ids.astype(kind).view(np.uint8).reshape(-1, kind.itemsize).T.tobytes()
+
+
+def unpacked(data, size: int) -> np.ndarray:
+    kind = np.dtype("<u2" if size < 1 << 16 else "<u4")
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(kind.itemsize, -1).T).view(kind).ravel()
+
+
 @dataclass
 class SubwordModel(WordModel):
     """Ids are numbered by frequency in the training texts, with the end of a text among them and, last, the class of all ids that don't occur."""
@@ -172,51 +185,83 @@ class SubwordModel(WordModel):
     def network(self) -> Attention:
         return Attention(self.size, head=HEAD)
 
-    def for_parsing(self) -> SubwordModel:
-        return dataclasses.replace(self, log_count=np.empty(0), attention=None)
+    def for_scoring(self) -> SubwordModel:
+        """Without the words, which parsed texts don't need."""
+        return dataclasses.replace(self, word={}, log_count=np.empty(0), subword=np.empty(0, np.int64), lengths=None, number=None)
 
     def parse_all(self, texts: list[bytes | None]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, list[list[bytes]]]:
         """Of each text the places of the frequent words (-1: others), and the other words; the ids of all texts with their ends, one after the other, and where each text's stop."""
         split = [(t or b"").lower().split() for t in texts]
-        at = [np.fromiter(map(self.word.get, w, repeat(-1)), np.int64, len(w)) for w in split]
-        rare = [[w[i] for i in np.flatnonzero(a < 0).tolist()] for w, a in zip(split, at, strict=True)]
-        extra = {w: i for i, w in enumerate(dict.fromkeys(chain.from_iterable(rare)))}
+        extra: dict[bytes, int] = {}
+        get, known, rare, rows = self.word.get, len(self.lengths), [], []
+        stop = np.zeros(1, np.int64)  # the row of the end, after all others
+        for words in split:
+            at = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
+            other = np.flatnonzero(at < 0)
+            rare.append([words[i] for i in other.tolist()])
+            row = at.copy()
+            row[other] = [known + extra.setdefault(w, len(extra)) for w in rare[-1]]
+            rows += [(at, row)]
         flat, lengths = encoded(self.path, list(extra))
-        stop = len(self.lengths) + len(extra)  # the row of the end
-        flat = np.concatenate([self.subword, self.number[flat], [self.end]])
-        lengths = np.concatenate([self.lengths, lengths, [1]])
-        rows = []
-        for a, r in zip(at, rare, strict=True):
-            row = np.append(a, stop)
-            row[:-1][a < 0] = np.fromiter(map(extra.__getitem__, r), np.int64, len(r)) + len(self.lengths)
-            rows.append(row)
-        every = np.concatenate(rows) if rows else np.empty(0, np.int64)
-        ends = np.cumsum(lengths[every])[np.cumsum([len(r) for r in rows]) - 1] if rows else np.empty(0, np.int64)
-        return at, gathered(flat, lengths, every), ends, rare
-
-    def ids_of(self, texts: list[bytes | None]) -> list[np.ndarray]:
-        _, ids, ends, _ = self.parse_all(texts)
-        return np.split(ids, ends[:-1]) if len(texts) else []
+        stop[0] = known + len(extra)
+        if not texts:
+            return [], np.empty(0, np.int64), np.empty(0, np.int64), []
+        every = np.concatenate([v for _, row in rows for v in (row, stop)])
+        kind = np.int32 if len(self.subword) + len(flat) < 1 << 31 else np.int64
+        n = np.concatenate([self.lengths, lengths, [1]]).astype(kind).take(every)
+        begin = np.cumsum(np.concatenate([self.lengths, lengths, [1]])).astype(kind).take(every) - n
+        flat = np.concatenate([self.subword, self.number.take(flat), [self.end]]).astype(np.int32)
+        ends = np.cumsum(n)
+        step = np.ones(int(ends[-1]), kind)  # places of the ids: one after the other within a word
+        nonempty = n > 0
+        first, where = begin[nonempty], (ends - n)[nonempty]
+        step[where] = first - np.r_[0, (first + n[nonempty] - 1)[:-1]].astype(kind)
+        return [at for at, _ in rows], flat.take(np.cumsum(step)), ends.take(np.cumsum([len(row) + 1 for _, row in rows]) - 1), rare
+
+    def parsed(self, texts: list[bytes | None]):
+        """Of each text: tokens, known among the frequent and the end, sums of log10(c + 1) over these, the other words, and its ids as bytes."""
+        at, ids, ends, rare = self.parse_all(texts)
+        known = [int((a >= 0).sum()) + (self.documents > 0) for a in at]
+        sums = [float(self.log_count[a[a >= 0]].sum()) + float(np.log10(self.documents + 1)) for a in at]
+        return [len(a) + 1 for a in at], known, sums, rare, [packed(x, self.size) for x in np.split(ids, ends[:-1])] if len(texts) else []
 
     def log10_probabilities(self, ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        p = self.share[ids]
+        p = self.share.take(ids)
         if self.attention is not None:
-            p = (1 - SMOOTH) * np.exp(self.attention.scores(ids, ends).astype(float)) + SMOOTH * p
-        return np.log10(np.where(ids == self.size - 1, p / max(1, self.unseen), p))
+            p *= SMOOTH
+            own = np.exp(self.attention.scores(ids, ends).astype(float))
+            own *= 1 - SMOOTH
+            p += own
+        if self.unseen > 1:
+            p[ids == self.size - 1] /= self.unseen
+        return np.log10(p, out=p)
 
-    def score(self, texts: list[bytes | None]):
-        """Of each text: tokens, known among the frequent and the end, sums of log10(c + 1) over these, the log10 probability of its ids, and the other words."""
-        at, ids, ends, rare = self.parse_all(texts)
-        gain = np.add.reduceat(self.log10_probabilities(ids, ends), np.r_[0, ends[:-1]]) if len(texts) else np.empty(0)
-        known = [int((a >= 0).sum()) + (self.documents > 0) for a in at]
-        sums = [float(self.log_count[a[a >= 0]].sum()) + float(np.log10(self.documents + 1)) for a in at]
-        return [len(a) + 1 for a in at], known, sums, gain.tolist(), rare
+    def totals(self, ids: list[np.ndarray]) -> np.ndarray:
+        """The log10 probability of each text, of its ids."""
+        ends = np.cumsum([len(x) for x in ids])
+        return np.add.reduceat(self.log10_probabilities(np.concatenate(ids), ends), np.r_[0, ends[:-1]]) if len(ids) else np.empty(0)
 
 
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(w, c): every distinct lower-cased word of the texts, as bytes, and its count; counted before the shuffle."""
-    words = F.split(ascii_lower(F.col(text_col)), r"[\x20\x09-\x0D]+")
-    return docs.select(F.explode(words).alias("w")).where("w <> ''").groupBy("w").agg(F.count("*").alias("c")).select(F.col("w").cast("binary").alias("w"), "c")
+    """(w, c): every distinct lower-cased word of the texts, as bytes, and its count; counted in tasks, up to HELD words at a time, before the shuffle."""
+
+    def run(batches):
+        count: Counter[bytes] = Counter()
+
+        def rows():
+            return pa.RecordBatch.from_arrays([pa.array(count.keys(), pa.binary()), pa.array(count.values(), pa.int64())], ["w", "c"])
+
+        for batch in batches:
+            for part in slices(batch, 0, 2 << 20):
+                count.update(chain.from_iterable(t.lower().split() for t in part.column(0).to_pylist()))
+                if len(count) > HELD:
+                    yield rows()
+                    count.clear()
+        if count:
+            yield rows()
+
+    texts = docs.select(F.col(text_col).cast("binary").alias("t")).where("t IS NOT NULL")
+    return texts.mapInArrow(run, "w binary, c bigint").groupBy("w").agg(F.sum("c").alias("c"))
 
 
 def _pieces(path: str, frequent: list[tuple[bytes, int]]) -> dict[bytes, int]:
@@ -244,7 +289,19 @@ def _counted(docs: DataFrame, learn: Column, id_col: str, text_col: str, frequen
 
 def fit_subwords(docs: DataFrame, learn: Column, path: str, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT) -> tuple[SubwordModel, DataFrame]:
     """The model of all subwords, and the table of all word counts. Every row that may be learned from is counted and trained on."""
-    train, counts, top, tokens, distinct, documents = _counted(docs, learn, id_col, text_col, frequent)
+    m, counts = number_subwords(docs, learn, path, id_col, text_col, frequent)
+    train_subwords(parse_texts(docs.where(learn), m, id_col, text_col), m)
+    return m, counts
+
+
+def train_subwords(parsed: DataFrame, m: SubwordModel) -> None:
+    """Trains the attention weights on all of these parsed texts."""
+    m.attention = _fit_attention(_pieces_of_parsed(parsed, m.size), m)
+
+
+def number_subwords(docs: DataFrame, learn: Column, path: str, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT) -> tuple[SubwordModel, DataFrame]:
+    """The model without attention weights, which parses texts, and the table of all word counts."""
+    _, counts, top, tokens, distinct, documents = _counted(docs, learn, id_col, text_col, frequent)
     public = len(vocabulary(path).token_bytes)
 
     def per_id():
@@ -269,7 +326,6 @@ def fit_subwords(docs: DataFrame, learn: Column, path: str, id_col: str = "doc_i
     ids, lengths = encoded(path, words)
     share = np.r_[c[order], 0] + 1
     m = SubwordModel({w: i for i, w in enumerate(words)}, np.log10(np.array([n for _, n in top], float) + 1), number[ids], {}, tokens, distinct, documents, None, share / share.sum(), None, path, lengths, number, public + 1 - len(order), int(number[public]), int(c.sum()))
-    m.attention = _fit_attention(train, m)
     return m, counts
 
 
@@ -299,7 +355,7 @@ def fit_words(docs: DataFrame, learn: Column, path: str, id_col: str = "doc_id",
     c[m.end], v[m.end] = documents, documents > 0
     m.log_rest = np.log10(c + v + 1)
     m.share = (c + 1) / (c + 1).sum()
-    m.attention = _fit_attention(train, m)
+    m.attention = _fit_attention(_pieces_of_texts(train, m), m)
     return m, counts
 
 
@@ -324,6 +380,42 @@ def _pieces_of_texts(train: DataFrame, m: WordModel) -> DataFrame:
     return map_texts(train, [F.xxhash64("_id", "_text").alias("_h"), F.col("_text").cast("binary").alias("_t")], 1, factory, [("h", "bigint"), ("at", "bigint"), ("ids", "array<int>")], most_bytes=2 << 20)
 
 
+def parse_texts(docs: DataFrame, m: SubwordModel, id_col: str = "doc_id", text_col: str = "text", learn: Column | None = None) -> DataFrame:
+    """(_id, _key, _h, _learn, n, known, sums, rare, ids), written: each text is split and encoded once, for training and scoring."""
+    shared = docs.sparkSession.sparkContext.broadcast(m)
+    kind = dict(docs.dtypes)[id_col]
+
+    def factory():
+        return lambda ids, keys, h, learn, texts: (ids, keys, h, learn, *shared.value.parsed(texts))
+
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    columns = [F.col(id_col).alias("_id"), F.xxhash64(text.cast("binary")).alias("_key"), F.xxhash64(F.col(id_col), text).alias("_h"), (F.lit(True) if learn is None else F.coalesce(learn, F.lit(False))).alias("_learn"), text.cast("binary").alias("_t")]
+    schema = [("_id", kind), ("_key", "bigint"), ("_h", "bigint"), ("_learn", "boolean"), ("n", "bigint"), ("known", "bigint"), ("sums", "double"), ("rare", "array<binary>"), ("ids", "binary")]
+    return written(map_texts(docs, columns, 4, factory, schema, most_bytes=2 << 20))
+
+
+def _pieces_of_parsed(parsed: DataFrame, size: int) -> DataFrame:
+    """(h, at, ids): all parsed texts to learn from, in pieces of at most PIECE after the id before them, as bytes."""
+
+    def factory():
+        def work(h, texts):
+            out = ([], [], [])
+            for x, own in zip(h, texts, strict=True):
+                ids = np.r_[size, unpacked(own, size)]
+                for at in range(0, len(ids) - 1, PIECE):
+                    for column, value in zip(out, (x, at, packed(ids[at : at + PIECE + 1], size)), strict=True):
+                        column.append(value)
+            return out
+
+        return work
+
+    return map_texts(parsed.where("_learn"), [F.col("_h"), F.col("ids")], 1, factory, [("h", "bigint"), ("at", "bigint"), ("ids", "binary")], most_bytes=2 << 20)
+
+
+def _ids_of_piece(data, size: int) -> np.ndarray:
+    return unpacked(data, size) if isinstance(data, bytes | bytearray | pa.Buffer) else np.asarray(data)
+
+
 def _trained_copies(pieces: DataFrame, net: Attention, rate: float, least: float, windows: int) -> list[np.ndarray]:
     """The average over all groups of the copies of net that they train, weighted by their windows.
 
@@ -347,7 +439,7 @@ def _trained_copies(pieces: DataFrame, net: Attention, rate: float, least: float
                 if part and (g != group or tokens >= 2 * GROUP):  # equal rows can make a group large
                     w, n = add(part)
                     total, count, part, tokens = total + w, count + n, [], 0
-                part.append(ids.values.to_numpy())
+                part.append(_ids_of_piece(ids.as_buffer() if pa.types.is_binary(ids.type) else ids.values.to_numpy(), start.size))
                 tokens, group = tokens + len(part[-1]), g
         if part:
             w, n = add(part)
@@ -369,16 +461,17 @@ def _trained_copies(pieces: DataFrame, net: Attention, rate: float, least: float
     return np.split(w / rows[0]["n"] / (1 << 24), np.cumsum([v.size for v in net.w.values()])[:-1])
 
 
-def _fit_attention(train: DataFrame, m: WordModel) -> Attention | None:
+def _fit_attention(pieces: DataFrame, m: WordModel) -> Attention | None:
     groups = max(1, -(-m.places // GROUP))
-    pieces = _pieces_of_texts(train, m).withColumn("g", F.pmod(F.xxhash64("h", "at"), F.lit(groups)))
+    pieces = pieces.withColumn("g", F.pmod(F.xxhash64("h", "at"), F.lit(groups)))
     pieces = written(pieces)
     first = sorted(pieces.where("g = 0").groupBy("h", "at").agg(F.first("ids").alias("ids"), F.count("*").alias("n")).collect())  # equal rows once, with their number
     net, batch, speed = m.network(), m.batch, m.batch / 64
     net.start_from(m.share)
     if first:
-        x, y, valid = net.blocks([np.array(r["ids"]) for r in first])
-        valid *= np.repeat([r["n"] for r in first], [-(-(len(r["ids"]) - 1) // net.length) for r in first])[:, None].astype(np.float32)
+        ids = [_ids_of_piece(r["ids"], net.size) for r in first]
+        x, y, valid = net.blocks(ids)
+        valid *= np.repeat([r["n"] for r in first], [-(-(len(x) - 1) // net.length) for x in ids])[:, None].astype(np.float32)
         net.train(x, y, valid, passes=max(1, -(-LEAST_STEPS * 64 // len(x))), batch=batch, rate=0.01 * speed, least=0.0 if groups == 1 else ROUNDS[0][0] * speed)
     elif groups == 1:
         return None
@@ -396,6 +489,8 @@ def score_texts(docs: DataFrame, model: WordModel, counts: DataFrame, id_col: st
     NULL counts as empty; an empty text has its end alone; repeated rows give repeated results. Words that aren't
     sent to every executor are joined to the counts; the words so sent are those that would make that join skewed.
     """
+    if isinstance(model, SubwordModel):
+        return score_parsed(parse_texts(docs, model, id_col, text_col), model, counts, id_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = dict(docs.dtypes)[id_col]
 
@@ -406,7 +501,26 @@ def score_texts(docs: DataFrame, model: WordModel, counts: DataFrame, id_col: st
     schema = [("_id", kind), ("_key", "bigint"), ("n", "bigint"), ("known", "bigint"), ("sums", "double"), ("gain", "double"), ("rare", "array<binary>")]
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     rows = written(map_texts(docs, [F.col(id_col).alias("_id"), F.xxhash64(text).alias("_key"), text.alias("_t")], 2, factory, schema, most_bytes=2 << 20))
-    rare = rows.select("_id", "_key", F.explode("rare").alias("w")).join(counts, "w").select("_id", "_key", F.log10(F.col("c") + 1).alias("s"))
+    return _summed(rows, rows, model, counts, id_col)
+
+
+def score_parsed(parsed: DataFrame, model: SubwordModel, counts: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """What score_texts gives, of parsed texts."""
+    shared = parsed.sparkSession.sparkContext.broadcast(model.for_scoring())
+    kind = dict(parsed.dtypes)["_id"]
+
+    def factory():
+        m = shared.value
+        return lambda ids, keys, n, known, sums, own: (ids, keys, n, known, sums, m.totals([unpacked(x, m.size) for x in own]).tolist())
+
+    schema = [("_id", kind), ("_key", "bigint"), ("n", "bigint"), ("known", "bigint"), ("sums", "double"), ("gain", "double")]
+    rows = map_texts(parsed, [F.col(c) for c in ("_id", "_key", "n", "known", "sums", "ids")], 5, factory, schema, most_bytes=2 << 20)
+    return _summed(rows, parsed, model, counts, id_col)
+
+
+def _summed(rows: DataFrame, parsed: DataFrame, model: WordModel, counts: DataFrame, id_col: str) -> DataFrame:
+    """The result rows; rare: words of parsed that are joined to the counts."""
+    rare = parsed.select("_id", "_key", F.explode("rare").alias("w")).join(counts, "w").select("_id", "_key", F.log10(F.col("c") + 1).alias("s"))
     none = lambda kind: F.lit(None).cast(kind)
     every = rows.select("_id", "_key", "n", "known", "sums", "gain", none("double").alias("s")).unionByName(rare.select("_id", "_key", none("bigint").alias("n"), none("bigint").alias("known"), none("double").alias("sums"), none("double").alias("gain"), "s"))
     out = every.groupBy("_id", "_key").agg(F.count("n").alias("rows"), F.max("n").alias("n"), F.max("known").alias("known"), F.max("sums").alias("sums"), F.max("gain").alias("gain"), F.coalesce(F.sum("s"), F.lit(0.0)).alias("s"), F.count("s").alias("found"))
@@ -422,6 +536,8 @@ def op5_lm_score(spark, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     learn = F.coalesce(crc_remainder(F.col("doc_id"), 7) != 2, F.lit(False))
-    model, counts = fit_subwords(docs, learn, public_tokenizers.path("byte_bpe_50k.json"))
-    out = score_texts(docs, model, counts)
+    model, counts = number_subwords(docs, learn, public_tokenizers.path("byte_bpe_50k.json"))
+    parsed = parse_texts(docs, model, learn=learn)
+    train_subwords(parsed, model)
+    out = score_parsed(parsed, model, counts)
     return out.select("doc_id", held_out(F.col("doc_id"), 7, 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
