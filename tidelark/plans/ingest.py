@@ -118,13 +118,14 @@ CF = """bk AS (SELECT p_partkey, p_brand, p_size, p_retailprice, p_partkey % 8 A
 @query("s12_s13_contract_blocks", f"""WITH {CF}, r AS (SELECT upper(p_brand) || ' FUTURES CONTRACT' AS contract, (p_size + e / 8.0::DOUBLE) / 100 AS coupon, 'Q' || p_partkey AS cusip, 0.85::DOUBLE + p_size / 500.0::DOUBLE AS m1, CASE WHEN p_partkey % 5 <> 0 THEN 0.9::DOUBLE + p_size / 500.0::DOUBLE END AS m2 FROM bk)
 SELECT contract, round(coupon, 8) AS coupon, cusip, 'Mar-2026' AS delivery_month, round(m1, 6) AS cf FROM r UNION ALL SELECT contract, round(coupon, 8), cusip, 'Jun-2026', round(m2, 6) FROM r""")
 def blocks(spark, d):
+    """A sheet a brand: rows stand at their part key, the contract's header and the line of names at the two places before the first, so that no place is taken twice."""
     part = read(spark, d, "part")
     cols = ["c1", "c2", "c3", "c4", "c5", "c6", "c7", "Mar-2026", "Jun-2026"]
     none = lambda n: [F.lit(None).cast("string").alias(c) for c in n]
-    heads = part.select(F.col("p_brand").alias("b")).distinct().select(F.col("b").alias("sheet_id"), F.lit(0).cast("long").alias("pos"), F.concat(F.upper("b"), F.lit(" FUTURES CONTRACT")).alias("c1"), *none(cols[1:]))
-    names = heads.select("sheet_id", F.lit(1).cast("long").alias("pos"), *none(cols[:2]), F.lit("Coupon").alias("c3"), *none(cols[3:]))
+    heads = part.groupBy(F.col("p_brand").alias("b")).agg((F.min("p_partkey") - 2).alias("pos")).select(F.col("b").alias("sheet_id"), "pos", F.concat(F.upper("b"), F.lit(" FUTURES CONTRACT")).alias("c1"), *none(cols[1:]))
+    names = heads.select("sheet_id", (F.col("pos") + 1).alias("pos"), *none(cols[:2]), F.lit("Coupon").alias("c3"), *none(cols[3:]))
     eighth = F.col("p_partkey") % 8
-    rows = part.select(F.col("p_brand").alias("sheet_id"), (F.col("p_partkey") + 1).alias("pos"), F.lit(None).cast("string").alias("c1"), F.col("p_partkey").cast("string").alias("c2"), F.when(eighth == 0, F.col("p_size").cast("string")).otherwise(F.concat_ws(" ", F.col("p_size").cast("string"), F.concat(eighth.cast("string"), F.lit("/8")))).alias("c3"), F.lit("01/15/2024").alias("c4"), F.lit("01/15/2034").alias("c5"), F.concat(F.lit("Q"), F.col("p_partkey").cast("string")).alias("c6"), F.lit("$42").alias("c7"),
+    rows = part.select(F.col("p_brand").alias("sheet_id"), F.col("p_partkey").alias("pos"), F.lit(None).cast("string").alias("c1"), F.col("p_partkey").cast("string").alias("c2"), F.when(eighth == 0, F.col("p_size").cast("string")).otherwise(F.concat_ws(" ", F.col("p_size").cast("string"), F.concat(eighth.cast("string"), F.lit("/8")))).alias("c3"), F.lit("01/15/2024").alias("c4"), F.lit("01/15/2034").alias("c5"), F.concat(F.lit("Q"), F.col("p_partkey").cast("string")).alias("c6"), F.lit("$42").alias("c7"),
                        (F.lit(0.85) + F.col("p_size") / 500.0).cast("string").alias("Mar-2026"), F.when(F.col("p_partkey") % 5 != 0, (F.lit(0.9) + F.col("p_size") / 500.0).cast("string")).otherwise("-----").alias("Jun-2026"))
     sheet = heads.unionByName(names).unionByName(rows)
     out = g.clean_blocks(g.contract_blocks(sheet), ["Mar-2026", "Jun-2026"])
@@ -157,11 +158,12 @@ def factor_sheets(spark, d):
 
 @query("s12_one_contract", f"""WITH {CF} SELECT 'BRAND#7 FUTURES CONTRACT' AS contract, 'Q' || p_partkey AS cusip, p_partkey::VARCHAR AS row_no FROM bk WHERE p_brand = 'Brand#7'""")
 def one_contract(spark, d):
+    """One sheet of all brands, 10^12 places each: rows stand at their part key, a header at the place before a brand's first row."""
     part = read(spark, d, "part").select(F.col("p_brand").alias("b"), "p_partkey")
-    n = F.substring("b", 7, 3).cast("long") * 10_000_000
+    n = F.substring("b", 7, 3).cast("long") * 10**12
     text = lambda c: F.lit(None).cast("string").alias(c)
-    heads = part.select("b").distinct().select(F.lit("s").alias("sheet_id"), n.alias("pos"), F.concat(F.upper("b"), F.lit(" FUTURES CONTRACT")).alias("c1"), text("c2"), text("c6"))
-    rows = part.select(F.lit("s").alias("sheet_id"), (n + 1 + F.col("p_partkey")).alias("pos"), text("c1"), F.col("p_partkey").cast("string").alias("c2"), F.concat(F.lit("Q"), F.col("p_partkey").cast("string")).alias("c6"))
+    heads = part.groupBy("b").agg(F.min("p_partkey").alias("p")).select(F.lit("s").alias("sheet_id"), (n + F.col("p") - 1).alias("pos"), F.concat(F.upper("b"), F.lit(" FUTURES CONTRACT")).alias("c1"), text("c2"), text("c6"))
+    rows = part.select(F.lit("s").alias("sheet_id"), (n + F.col("p_partkey")).alias("pos"), text("c1"), F.col("p_partkey").cast("string").alias("c2"), F.concat(F.lit("Q"), F.col("p_partkey").cast("string")).alias("c6"))
     return g.contract_block(heads.unionByName(rows), "BRAND#7 ").select("contract", F.col("c6").alias("cusip"), F.col("c2").alias("row_no"))
 
 

@@ -115,7 +115,7 @@ def decode_candles(payloads: DataFrame) -> DataFrame:
 
 
 def contract_blocks(sheet: DataFrame) -> DataFrame:
-    """sheet (sheet_id, pos, c1, c2, ...) with contract: the header row that a row stands under. Tentative headers open no block."""
+    """sheet (sheet_id, pos, c1, c2, ...) with contract: the header row that a row stands under. Tentative headers open no block. No two rows of a sheet may share a pos."""
     head = F.upper("c1").contains("FUTURES CONTRACT") & ~F.upper("c1").contains("TENTATIVE")
     w = Window.partitionBy("sheet_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     d = sheet.withColumn("contract", F.last(F.when(head, F.col("c1")), ignorenulls=True).over(w))
